@@ -71,9 +71,16 @@ def rate_columns(df: DataFrame) -> list[str]:
     return columns_matching(df, "RATE", "TREASURY", numeric_only=True)
 
 
+def round_half_away(x, digits: int = 4) -> Column:
+    """round(x * 10^d) / 10^d in double arithmetic (the SQL engines' double
+    rounding), so that x.xxxx5 written inexactly in binary rounds alike."""
+    p = float(10 ** digits)
+    return F.round(col(x) * p, 0) / p + F.lit(0.0)
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every double column (oracle comparisons)."""
-    return df.select(*[F.round(f.name, digits).alias(f.name)
+    return df.select(*[round_half_away(f.name, digits).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 

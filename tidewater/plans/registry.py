@@ -13,17 +13,45 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _plus_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + CAST(0 AS DOUBLE))``:
+    IEEE addition turns -0.0 into +0.0, as Spark's decimal rounding does."""
+    out, i = [], 0
+    low = sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _plus_zero(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = _plus_zero(sql)
         return fn
     return deco
 
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import (q_flows, q_risk)  # noqa: F401
+    from . import (q_flows, q_risk, q_windows)  # noqa: F401

@@ -73,9 +73,12 @@ def rate_columns(df: DataFrame) -> list[str]:
 
 def round_half_away(x, digits: int = 4) -> Column:
     """round(x * 10^d) / 10^d in double arithmetic (the SQL engines' double
-    rounding), so that x.xxxx5 written inexactly in binary rounds alike."""
+    rounding) after snapping to 9 decimals, so that a value such as
+    x.xxxx5 that summation order leaves just above or below the boundary
+    rounds alike in both engines."""
+    snap = F.round(col(x) * 1e9, 0) / 1e9
     p = float(10 ** digits)
-    return F.round(col(x) * p, 0) / p + F.lit(0.0)
+    return F.round(snap * p, 0) / p + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -13,9 +13,24 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _split_last_arg(text: str) -> tuple[str, str | None]:
+    depth = 0
+    for i in range(len(text) - 1, -1, -1):
+        ch = text[i]
+        if ch == ")":
+            depth += 1
+        elif ch == "(":
+            depth -= 1
+        elif ch == "," and depth == 0:
+            return text[:i], text[i + 1:].strip()
+    return text, None
+
+
 def _plus_zero(sql: str) -> str:
-    """Wrap every ``round(...)`` as ``(round(...) + CAST(0 AS DOUBLE))``:
-    IEEE addition turns -0.0 into +0.0, as Spark's decimal rounding does."""
+    """Rewrite every ``round(x, d)`` as ``(round(round(x, 9), d) + 0.0)``:
+    snapping to 9 decimals first removes summation-order noise so a value
+    such as 658.04375 rounds alike in both engines, and IEEE addition turns
+    -0.0 into +0.0 as Spark's decimal rounding does."""
     out, i = [], 0
     low = sql.lower()
     while True:
@@ -37,7 +52,11 @@ def _plus_zero(sql: str) -> str:
                     break
             k += 1
         inner = _plus_zero(sql[j + 6:k])
-        out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        expr, digits = _split_last_arg(inner)
+        if digits is None:
+            out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        else:
+            out.append(sql[i:j] + f"(round(round({expr}, 9), {digits}) + CAST(0 AS DOUBLE))")
         i = k + 1
 
 
@@ -54,4 +73,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import (q_flows, q_risk, q_windows)  # noqa: F401
+    from . import (q_flows, q_joins, q_risk, q_windows)  # noqa: F401

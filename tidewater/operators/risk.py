@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, flag, nan_to_null, safe_div
-from ..plans.global_order import value_count_ladder
+from ..plans.global_order import exact_quantiles, value_count_ladder
 from ..schemas import LCR_BUFFER, LCR_MINIMUM
 from . import windows as W
 
@@ -74,12 +74,14 @@ def deposit_at_risk(flows: DataFrame, confidence: float = 0.95, by: Sequence[str
     Groups with fewer than ``min_rows`` non-null flows are dropped."""
     z = NormalDist().inv_cdf(1 - confidence)
     f = flows.select(*by, F.col(flow_col).alias("__f")).where(F.col("__f").isNotNull())
+    hv = exact_quantiles(f, "__f", [1 - confidence], ["historical_var"], by=by)
     s1 = f.groupBy(*by).agg(F.count("__f").alias("n"),
-                            F.percentile("__f", 1 - confidence).alias("historical_var"),
                             F.avg("__f").alias("mean"), F.stddev_samp("__f").alias("std"),
                             F.skewness("__f").alias("skewness"), F.kurtosis("__f").alias("kurtosis"),
                             F.min("__f").alias("min"), F.max("__f").alias("max")) \
         .where(F.col("n") >= min_rows)
+    s1 = s1.join(hv, list(by)) if by else s1.select("*", hv.select("historical_var").scalar()
+                                                    .alias("historical_var"))
     j = _attach(f, s1.select(*by, "historical_var"), by)
     s2 = j.groupBy(*by).agg(F.avg(F.when(F.col("__f") <= F.col("historical_var"), F.col("__f")))
                             .alias("__es"),
@@ -124,7 +126,7 @@ def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> Da
                       F.count(F.lit(1)).alias("n_segments"))
     reg = segment_shares(customers, "region", balance)
     reg_row = reg.agg(F.max("share").alias("max_region_exposure"), F.count(F.lit(1)).alias("n_regions"))
-    thr = customers.agg(F.percentile(balance, 0.95)).scalar()
+    thr = exact_quantiles(customers, balance, [0.95], ["t"]).scalar()
     b = F.col(balance)
     big = customers.agg(F.lit(thr).alias("threshold"),
                         F.count(F.when(b >= thr, 1)).alias("n_large_depositors"),

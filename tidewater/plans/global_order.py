@@ -64,23 +64,33 @@ def global_lag(df_with_pos: DataFrame, cols: Sequence[str], pos_col: str = "pos"
     return j.select(*out)
 
 
-def value_count_ladder(df: DataFrame, col: str, num_partitions: int | None = None) -> DataFrame:
-    """Distinct non-null values of ``col`` with their count ``c`` and the
-    number of values strictly below them ``below`` (global cumulative count
-    over the sorted distinct values, computed partition-parallel).
-
-    A hot value collapses to one row in the map-side partial aggregation.
+def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
+                       num_partitions: int | None = None) -> DataFrame:
+    """Distinct non-null values of ``col`` (per ``by`` group) with their
+    count ``c`` and the number of values strictly below them in the same
+    group ``below`` (a cumulative count over the sorted distinct values,
+    computed partition-parallel).
+
+    A hot value collapses to one row in the map-side partial aggregation,
+    and a hot group is spread over as many range partitions as its
+    distinct values need.
     """
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("c"))
-    t = _tagged(vc, [col], num_partitions)
-    # within a partition: cumulative count in value order, bounded per task
+    keys = list(by)
+    vc = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("c"))
+    t = _tagged(vc, [*keys, col], num_partitions)
+    # within a partition: cumulative count in (group, value) order
     w_local = Window.partitionBy(PID).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
-    local = t.select(col, "c", PID, F.coalesce(F.sum("c").over(w_local), F.lit(0)).alias("__lb"))
+    local = t.select(*keys, col, "c", PID, F.coalesce(F.sum("c").over(w_local), F.lit(0)).alias("__lb"))
     per = t.groupBy(PID).agg(F.sum("c").alias("__pc"))
+    # one row per partition: an unpartitioned window here is bounded
     offs = per.select(PID, F.coalesce(F.sum("__pc").over(Window.orderBy(PID).rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offs), PID)
-                 .select(col, "c", (F.col("__off") + F.col("__lb")).alias("below")))
+    lad = (local.join(F.broadcast(offs), PID)
+                .select(*keys, col, "c", (F.col("__off") + F.col("__lb")).alias("below")))
+    if not keys:
+        return lad
+    start = lad.groupBy(*keys).agg(F.min("below").alias("__start"))
+    return lad.join(start, keys).select(*keys, col, "c", (F.col("below") - F.col("__start")).alias("below"))
 
 
 def rank_pct(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -91,3 +101,30 @@ def rank_pct(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     avg_rank = F.col("below") + (F.col("c") + 1) / 2.0
     lad = lad.select(col, (avg_rank / n).alias(out or f"{col}_rank_pct"))
     return df.join(lad, col, "left")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequence[str] | None = None,
+                    by: Sequence[str] = (), ladder: DataFrame | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy / pandas default), one
+    row (per ``by`` group), computed from the value ladder so that no task
+    ever holds all distinct values (the built-in exact ``percentile``
+    merges every distinct value of a group into one buffer).  Position
+    q*(n-1) falls on the value whose rank range [below, below + c) holds it."""
+    keys = list(by)
+    lad = ladder if ladder is not None else value_count_ladder(df, col, keys)
+    if keys:
+        lad = lad.join(lad.groupBy(*keys).agg(F.sum("c").alias("__n")), keys)
+        n = F.col("__n")
+    else:
+        n = lad.agg(F.sum("c")).scalar()
+    v, c, below = F.col(col), F.col("c"), F.col("below")
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (n - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        v_lo = F.max(F.when((below <= lo) & (lo < below + c), v))
+        v_hi = F.max(F.when((below <= hi) & (hi < below + c), v))
+        frac = F.max(pos - lo)
+        name = names[i] if names else f"q{q}"
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
+    return lad.groupBy(*keys).agg(*aggs)

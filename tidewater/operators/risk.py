@@ -202,16 +202,16 @@ def gini_and_top_shares(df: DataFrame, col: str, shares: Sequence[float] = (0.10
     n = lad.agg(F.sum("c")).scalar()
     out = [(F.sum(v * c * (2 * below + c - n)) / (n * F.sum(v * c))).alias("gini_coefficient"),
            F.sum(v * c).alias("total"), F.sum(c).alias("n")]
-    for p in shares:
+    for i, p in enumerate(shares):
         k = F.floor(n * F.lit(p))
         at_least = n - below  # values >= v
         # k-th largest value t: the largest v whose at_least count reaches k
         t = F.max(F.when(at_least >= k, v))
-        out.append(t.alias(f"__t_{p}"))
+        out.append(t.alias(f"__t_{i}"))
     base = lad.agg(*out)
     res = [F.col("gini_coefficient"), F.col("total"), F.col("n")]
-    for p in shares:
-        t = base.select(f"__t_{p}").scalar()
+    for i, p in enumerate(shares):
+        t = base.select(f"__t_{i}").scalar()
         k = F.floor(F.col("n") * F.lit(p))
         above = lad.agg(F.sum(F.when(v > t, v * c)).alias("s"), F.sum(F.when(v > t, c)).alias("m"))
         s_above = F.coalesce(above.select("s").scalar(), F.lit(0.0))
@@ -286,8 +286,9 @@ def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
              fs]
     if balance_col and balance_col in deposits.columns:
         b = F.col(balance_col)
+        med = exact_quantiles(deposits, balance_col, [0.5], ["m"]).scalar()
         dist = deposits.agg(F.sum(b).alias("total_deposits"), F.avg(b).alias("avg_deposit"),
-                            F.median(b).alias("median_deposit"))
+                            F.lit(med).alias("median_deposit"))
         parts += [dist, gini_and_top_shares(deposits, balance_col).drop("total", "n")]
     if market is not None:
         parts.append(market_liquidity_risk(market).drop("as_of"))

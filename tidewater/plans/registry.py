@@ -73,4 +73,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import (q_clean, q_evaluate, q_flows, q_joins, q_risk, q_scenarios, q_windows)  # noqa: F401
+    from . import (q_clean, q_evaluate, q_features, q_flows, q_joins, q_risk, q_scenarios, q_windows)  # noqa: F401

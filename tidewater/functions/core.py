@@ -105,3 +105,33 @@ def adjusted_kurtosis(x) -> Column:
     n = F.count(col(x)).cast("double")
     g2 = F.kurtosis(col(x))
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+
+
+def scalar_fields(one_row: DataFrame) -> dict[str, Column]:
+    """Every column of a one-row frame as a field of ONE scalar subquery:
+    the subquery runs once (identical plans are reused) however many of its
+    fields a later expression uses."""
+    s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("__s")).scalar()
+    return {c: s[c] for c in one_row.columns}
+
+
+def combine_rows(parts: list[DataFrame]) -> DataFrame:
+    """Side-by-side combination of one-row frames without joins: each part
+    becomes ONE struct-valued scalar subquery of a one-row projection, whose
+    fields are expanded in an outer projection (the subquery is not copied
+    per field, so plans stay linear in the number of parts)."""
+    spark = parts[0].sparkSession
+    structs = [p.select(F.struct(*[F.col(f"`{c}`") for c in p.columns])).scalar().alias(f"__p{i}")
+               for i, p in enumerate(parts)]
+    row = spark.range(1).select(*structs)
+    return row.select(*[F.col(f"__p{i}")[c].alias(c) for i, p in enumerate(parts) for c in p.columns])
+
+
+def with_row(df: DataFrame, one_row: DataFrame, name: str = "__r") -> DataFrame:
+    """Attach the one-row frame ``one_row`` to every row of ``df`` as a
+    struct column ``name`` computed by ONE scalar subquery (no join).
+    Refer to its fields as ``F.col(name)[field]``; a later projection that
+    uses several fields does not copy the subquery (it is not cheap, so
+    Catalyst does not collapse it into each reference)."""
+    s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
+    return df.select("*", s.alias(name))

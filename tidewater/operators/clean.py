@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import clean_double, clip, numeric_columns
+from ..functions.core import clean_double, clip, numeric_columns, with_row
 from ..plans.global_order import exact_quantiles
 from ..schemas import SEGMENTS
 from . import windows as W
@@ -29,11 +29,12 @@ def clean_numeric_data(df: DataFrame, cols: Sequence[str] | None = None, z_limit
     finite = df.select(*[clean_double(c).alias(c) if c in cols else F.col(c) for c in df.columns])
     st = finite.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
                     *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(cols)])
+    finite = with_row(finite, st, "__st")
     out = []
-    for c in finite.columns:
+    for c in df.columns:
         if c in cols:
             i = cols.index(c)
-            m, s = st.select(f"m_{i}").scalar(), st.select(f"s_{i}").scalar()
+            m, s = F.col("__st")[f"m_{i}"], F.col("__st")[f"s_{i}"]
             bad = F.coalesce((s > 0) & (F.abs((F.col(c) - m) / s) > z_limit), F.lit(False))
             out.append(F.when(~bad, F.col(c)).alias(c))
         else:
@@ -54,7 +55,8 @@ def outlier_flag(df: DataFrame, col: str, method: str = "iqr", threshold: float
     def attach(stats: DataFrame) -> DataFrame:
         if keys:
             return df.join(stats, keys, "left")
-        return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+        d = with_row(df, stats, "__stats")
+        return d.select(*df.columns, *[F.col("__stats")[c].alias(c) for c in stats.columns])
 
     if method == "iqr":
         k = 1.5 if threshold is None else threshold
@@ -223,7 +225,11 @@ def clean_flow_data(flows: DataFrame, as_of: str, ingest_order: str | None = Non
     for c in d.columns:
         if c in flow_cols:
             q = exact_quantiles(d, c, [0.25, 0.75], ["q1", "q3"])
-            q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
+            qf = q.first()  # one row per column: two numbers
+            q1, q3 = qf["q1"], qf["q3"]
+            if q1 is None:
+                sel.append(F.col(c))
+                continue
             lo, hi = q1 - iqr_k * (q3 - q1), q3 + iqr_k * (q3 - q1)
             x = F.col(c)
             sel.append(F.when(x < lo, lo).when(x > hi, hi).otherwise(x).alias(c))

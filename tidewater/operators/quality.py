@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import numeric_columns
+from ..functions.core import numeric_columns, scalar_fields
 
 
 # --------------------------------------------------------------------------- V1
@@ -73,7 +73,7 @@ def validate_integrity(market: DataFrame, customers: DataFrame, flows: DataFrame
                if c not in (customers.columns if t == "customers" else flows.columns)]
     row = mr.select(F.col("mn").alias("market_start"), F.col("mx").alias("market_end"),
                     F.col("n").alias("market_rows"),
-                    *[fr.select(c).scalar().alias(f"flow_{c}") for c in ("mn", "mx", "n")],
+                    *[scalar_fields(fr)[c].alias(f"flow_{c}") for c in ("mn", "mx", "n")],
                     n_cust.alias("customer_rows"), orphans.alias("orphan_flow_customers"))
     row = row.withColumnsRenamed({"flow_mn": "flow_start", "flow_mx": "flow_end", "flow_n": "flow_rows"})
     in_range = (F.col("flow_start") >= F.col("market_start")) & (F.col("flow_end") <= F.col("market_end"))
@@ -97,7 +97,8 @@ def quality_report(original: DataFrame, cleaned: DataFrame, name: str = "table")
                      F.sum(sum((F.col(c).isNull().cast("long") for c in original.columns), F.lit(0))).alias("m0"))
     c = cleaned.agg(F.count(F.lit(1)).alias("n1"),
                     F.sum(sum((F.col(x).isNull().cast("long") for x in cleaned.columns), F.lit(0))).alias("m1"))
-    n1, m1 = c.select("n1").scalar(), c.select("m1").scalar()
+    cf = scalar_fields(c)
+    n1, m1 = cf["n1"], cf["m1"]
     row = o.select(F.lit(name).alias("table"), F.col("n0").alias("original_rows"), n1.alias("cleaned_rows"),
                    (F.col("n0") - n1).alias("rows_removed"),
                    ((F.col("n0") - n1) / F.col("n0") * 100).alias("removal_percentage"),

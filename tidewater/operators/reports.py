@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div
+from ..functions.core import adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div, scalar_fields
+from ..plans.global_order import exact_quantiles
 from . import windows as W
 
 
@@ -75,11 +76,10 @@ def data_profile(df: DataFrame, outlier_k: float = 1.5) -> DataFrame:
              "unique_count": F.countDistinct(x).cast("double")}
         if c in num:
             m.update({"min": F.min(x).cast("double"), "max": F.max(x).cast("double"),
-                      "mean": F.avg(x), "median": F.median(x), "std": F.stddev_samp(x),
+                      "mean": F.avg(x), "std": F.stddev_samp(x),
                       "skewness": adjusted_skewness(x), "kurtosis": adjusted_kurtosis(x),
                       "zeros_count": F.count(F.when(x == 0, 1)).cast("double"),
-                      "negative_count": F.count(F.when(x < 0, 1)).cast("double"),
-                      "q1": F.percentile(x, 0.25), "q3": F.percentile(x, 0.75)})
+                      "negative_count": F.count(F.when(x < 0, 1)).cast("double")})
         if c in strs:
             m.update({"min_length": F.min(F.length(x)).cast("double"),
                       "max_length": F.max(F.length(x)).cast("double"),
@@ -98,18 +98,24 @@ def data_profile(df: DataFrame, outlier_k: float = 1.5) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("metric"),
                              F.col(f"`{c}\u0001{k}`").alias("value")) for c, k in names], *extra)
     prof = wide.select(F.explode(arr).alias("__s")).select("__s.*")
-    # IQR outlier count (true count) in a second pass over numeric columns
+    # exact quartiles/median per numeric column from its value ladder, then
+    # the IQR outlier count (true count) in one more pass
     if num:
-        q = {c: (wide.select(f"`{c}\u0001q1`").scalar(), wide.select(f"`{c}\u0001q3`").scalar()) for c in num}
+        cols = sorted(num)
+        qs = {c: scalar_fields(exact_quantiles(df, c, [0.25, 0.5, 0.75], ["q1", "median", "q3"])) for c in cols}
         out_aggs = []
-        for c, (q1, q3) in q.items():
+        for c in cols:
+            q1, q3 = qs[c]["q1"], qs[c]["q3"]
             iqr = q3 - q1
             x = F.col(c)
             out_aggs.append(F.count(F.when((x < q1 - outlier_k * iqr) | (x > q3 + outlier_k * iqr), 1))
                             .cast("double").alias(c))
         cnt = df.agg(*out_aggs)
-        prof = prof.unionByName(_long(cnt, list(q), "column", "value")
+        prof = prof.unionByName(_long(cnt, cols, "column", "value")
                                 .select("column", F.lit("outliers_count").alias("metric"), "value"))
+        med = df.sparkSession.range(1).select(*[qs[c]["median"].alias(c) for c in cols])
+        prof = prof.unionByName(_long(med, cols, "column", "value")
+                                .select("column", F.lit("median").alias("metric"), "value"))
     return prof
 
 
@@ -176,7 +182,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: Sequence[str] = ()) -
     x = F.col(col)
     rng = df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     d = df.where(x.isNotNull()).select(*by, x.alias("__x"))
-    d = d.join(rng, list(by)) if by else d.select("*", *[rng.select(c).scalar().alias(c) for c in ("__lo", "__hi")])
+    d = d.join(rng, list(by)) if by else d.select("*", *[scalar_fields(rng)[c].alias(c) for c in ("__lo", "__hi")])
     width = (F.col("__hi") - F.col("__lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
@@ -232,11 +238,11 @@ def latest_snapshot(market: DataFrame, col: str = "VIX", std_window: int = 21) -
     cur = last.select(col).scalar()
     stats = market.agg(F.avg(col).alias("mean"),
                        (F.avg(flag(F.col(col) <= cur)) * 100).alias("current_percentile"))
+    sf = scalar_fields(stats)
     return last.select(F.col("date").alias("as_of"), F.col(col).alias("current"),
-                       stats.select("mean").scalar().alias("mean"),
-                       (F.col(col) - stats.select("mean").scalar()).alias("delta_vs_mean"),
+                       sf["mean"].alias("mean"), (F.col(col) - sf["mean"]).alias("delta_vs_mean"),
                        F.col("__sd").alias(f"std_{std_window}"),
-                       stats.select("current_percentile").scalar().alias("current_percentile"))
+                       sf["current_percentile"].alias("current_percentile"))
 
 
 # -------------------------------------------------------------------------- A16
@@ -368,10 +374,120 @@ def current_metrics(market: DataFrame, customers: DataFrame, flows: DataFrame,
                    F.coalesce(F.avg(F.when(F.col("deposit_flow") < 0, F.abs("deposit_flow"))), F.lit(0.0))
                    .alias("avg_outflow"),
                    F.sum(F.when(F.col("date") == last_day, F.col(balance_col))).alias("latest_balance"))
-    lcr = safe_div(0.15 * fl.select("latest_balance").scalar(), 30 * fl.select("avg_outflow").scalar())
+    ff, cf = scalar_fields(fl), scalar_fields(cust)
+    lcr = safe_div(0.15 * ff["latest_balance"], 30 * ff["avg_outflow"])
     return lm.select(F.col("date").alias("as_of"), "FED_FUNDS_RATE", "VIX",
                      (F.col("TREASURY_10Y") - F.col("TREASURY_2Y")).alias("yield_spread"),
-                     *[cust.select(c).scalar().alias(c) for c in cust.columns],
-                     *[fl.select(c).scalar().alias(c) for c in ("latest_daily_flow", "avg_flow")],
+                     *[cf[c].alias(c) for c in cust.columns],
+                     *[ff[c].alias(c) for c in ("latest_daily_flow", "avg_flow")],
                      lcr.alias("lcr_estimate"),
                      F.least(F.lit(1.0), F.lit(hhi) * 10).alias("concentration_index"))
+
+
+# -------------------------------------------------------------------------- W16
+def trend_indicator(df: DataFrame, value: str, order_by: str = "date", by: Sequence[str] = (),
+                    window: int = 5) -> DataFrame:
+    """Mean of the last ``window - 1`` differences (the diffs inside the
+    last ``window`` rows) against 0.1 x the sample std of the whole series:
+    increasing / decreasing / stable; shorter series are stable.  Windows
+    are partitioned by ``by`` and run on calendar-bounded series."""
+    keys = list(by)
+    w = W.spec([order_by], keys)
+    rn_desc = F.row_number().over((Window.partitionBy(*keys) if keys else Window).orderBy(F.col(order_by).desc()))
+    d = df.select(*keys, order_by, (F.col(value) - F.lag(value).over(w)).alias("__d"), rn_desc.alias("__r"),
+                  F.col(value).alias("__v"))
+    g = d.groupBy(*keys).agg(F.avg(F.when(F.col("__r") < window, F.col("__d"))).alias("recent_trend"),
+                             F.stddev_samp("__v").alias("overall_std"), F.count(F.lit(1)).alias("__n"))
+    t = F.col("overall_std") * 0.1
+    lab = (F.when(F.col("__n") < window, "stable").when(F.col("recent_trend") > t, "increasing")
+            .when(F.col("recent_trend") < -t, "decreasing").otherwise("stable"))
+    return g.select(*keys, "recent_trend", "overall_std", lab.alias("trend"))
+
+
+# -------------------------------------------------------------------------- W17
+def rank_models(metrics: DataFrame, by: str = "model_name") -> DataFrame:
+    """Average ranks of rmse (ascending) and r2 (descending) and their mean
+    (one row per model: the unpartitioned windows are bounded)."""
+    def avg_rank(c, desc=False):
+        o = F.col(c).desc() if desc else F.col(c).asc()
+        return F.rank().over(Window.orderBy(o)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
+    r = metrics.select(by, "rmse", "r2", avg_rank("rmse").alias("rmse_rank"), avg_rank("r2", True).alias("r2_rank"))
+    return r.select("*", ((F.col("rmse_rank") + F.col("r2_rank")) / 2).alias("mean_rank"))
+
+
+# --------------------------------------------------------------------------- L7
+def tornado_order(values: DataFrame, name: str, value: str, base: float) -> DataFrame:
+    """Scenarios by |value - base| descending (ties by name)."""
+    return values.select(name, value, (F.col(value) - base).alias("delta")) \
+                 .orderBy(F.abs("delta").desc(), F.col(name))
+
+
+# --------------------------------------------------------------------------- L8
+def feature_importance_metrics(imp: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(summary row, top ranking) of a (feature, importance) table: totals,
+    pop std, top 5/10/20 cumulative share %, Gini of the normalised
+    importances in ascending order, effective features (> .001) and their
+    share.  One row per feature: windows here are bounded."""
+    w_desc = Window.orderBy(F.col("importance").desc(), F.col("feature"))
+    tot = imp.agg(F.sum("importance")).scalar()
+    ranked = imp.select("feature", "importance", F.row_number().over(w_desc).alias("rank"),
+                        (F.sum("importance").over(w_desc.rowsBetween(Window.unboundedPreceding, 0)) / tot * 100)
+                        .alias("cumulative_pct"))
+    n = imp.agg(F.count(F.lit(1))).scalar()
+    asc_rank = F.row_number().over(Window.orderBy(F.col("importance").asc(), F.col("feature").desc()))
+    g = imp.select("importance", asc_rank.alias("i")).agg(
+        (F.sum((2 * F.col("i") - n - 1) * (F.col("importance") / tot)) / (n * F.sum(F.col("importance") / tot)))
+        .alias("gini_coefficient"))
+    summ = imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total_importance"),
+                   F.avg("importance").alias("mean_importance"), F.stddev_pop("importance").alias("std_importance"),
+                   F.max("importance").alias("max_importance"), F.min("importance").alias("min_importance"),
+                   F.count(F.when(F.col("importance") > 0.001, 1)).alias("effective_features"))
+    tops = {k: ranked.where(F.col("rank") == k).select("cumulative_pct").scalar() for k in (5, 10, 20)}
+    summ = summ.select("*", *[F.when(F.col("n_features") >= k, v).alias(f"top_{k}_contribution_pct")
+                              for k, v in tops.items()],
+                       g.select("gini_coefficient").scalar().alias("gini_coefficient"),
+                       (F.col("effective_features") / F.col("n_features")).alias("feature_diversity"))
+    return summ, ranked.where(F.col("rank") <= top)
+
+
+# ------------------------------------------------------------------------- EV11
+def run_stability(runs: DataFrame, run_col: str = "run", runs_list: Sequence[str] | None = None) -> DataFrame:
+    """Across runs (long: run, row_id, predicted): per-row std (pop) and
+    range summarised as average/max std, cv = average std / mean
+    prediction, rating (< .05 very stable, < .1 stable, < .2 moderately
+    stable, else unstable) and mean/min/max/std of pairwise inter-run
+    correlations (runs are few: pivot with an explicit list)."""
+    per = runs.groupBy("row_id").agg(F.avg("predicted").alias("m"), F.stddev_pop("predicted").alias("s"),
+                                     (F.max("predicted") - F.min("predicted")).alias("r"))
+    s = per.agg(F.avg("s").alias("average_std"), F.max("s").alias("max_std"), F.avg("m").alias("__mm"),
+                F.avg("r").alias("average_range"))
+    cv = F.when(F.col("__mm") != 0, F.col("average_std") / F.col("__mm")).otherwise(0.0)
+    s = s.select("average_std", "max_std", "average_range", cv.alias("coefficient_of_variation"))
+    s = s.select("*", F.when(F.col("coefficient_of_variation") < 0.05, "Very Stable")
+                 .when(F.col("coefficient_of_variation") < 0.1, "Stable")
+                 .when(F.col("coefficient_of_variation") < 0.2, "Moderately Stable").otherwise("Unstable")
+                 .alias("stability_rating"))
+    names = list(runs_list or [r[0] for r in runs.select(run_col).distinct().orderBy(run_col).collect()])
+    if len(names) < 2:
+        return s
+    wide = runs.groupBy("row_id").pivot(run_col, names).agg(F.first("predicted"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    corr = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    arr = F.array(*[F.col(f"c{i}") for i in range(len(pairs))])
+    cs = corr.select(F.filter(arr, lambda x: x.isNotNull()).alias("a"))
+    st = cs.select(F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x).alias("__s"), F.size("a").alias("__n"),
+                   F.array_min("a").alias("corr_min"), F.array_max("a").alias("corr_max"), "a")
+    st = st.select("corr_min", "corr_max", (F.col("__s") / F.col("__n")).alias("corr_mean"), "a", "__n")
+    st = st.select("corr_min", "corr_max", "corr_mean",
+                   F.sqrt(F.aggregate("a", F.lit(0.0), lambda acc, x: acc + (x - F.col("corr_mean")) ** 2)
+                          / F.col("__n")).alias("corr_std"))
+    sf = scalar_fields(st)
+    return s.select("*", *[sf[c].alias(f"inter_run_{c}") for c in st.columns])
+
+
+# ------------------------------------------------------------------------- EV12
+def efficiency_rating(train_seconds: Column, predict_seconds: Column) -> Column:
+    """Excellent (< 10 s and < .001 s), Good (< 60, < .01), Fair (< 300, < .1), else Poor."""
+    return (F.when((train_seconds < 10) & (predict_seconds < 0.001), "Excellent")
+             .when((train_seconds < 60) & (predict_seconds < 0.01), "Good")
+             .when((train_seconds < 300) & (predict_seconds < 0.1), "Fair").otherwise("Poor"))

@@ -16,7 +16,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import clip, flag, nan_to_null, safe_div
+from ..functions.core import combine_rows, safe_div, scalar_fields, with_row
 from ..plans.global_order import exact_quantiles, value_count_ladder
 from ..schemas import LCR_BUFFER, LCR_MINIMUM
 from . import windows as W
@@ -27,7 +27,8 @@ def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     subqueries when there is a single group."""
     if by:
         return df.join(stats, list(by), "left")
-    return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+    sf = scalar_fields(stats)
+    return df.select("*", *[sf[c].alias(c) for c in stats.columns])
 
 
 def risk_level(ratio: Column) -> Column:
@@ -82,12 +83,13 @@ def deposit_at_risk(flows: DataFrame, confidence: float = 0.95, by: Sequence[str
         .where(F.col("n") >= min_rows)
     s1 = s1.join(hv, list(by)) if by else s1.select("*", hv.select("historical_var").scalar()
                                                     .alias("historical_var"))
-    j = _attach(f, s1.select(*by, "historical_var"), by)
+    j = f.join(s1.select(*by, "historical_var"), list(by), "left") if by else \
+        with_row(f, s1.select("historical_var"), "__h").select("*", F.col("__h")["historical_var"].alias("historical_var"))
     s2 = j.groupBy(*by).agg(F.avg(F.when(F.col("__f") <= F.col("historical_var"), F.col("__f")))
                             .alias("__es"),
                             F.count(F.when(F.col("__f") < F.col("historical_var"), 1)).alias("__viol"))
-    out = s1.join(s2, list(by), "inner") if by else s1.select(
-        "*", *[s2.select(c).scalar().alias(c) for c in ("__es", "__viol")])
+    out = s1.join(s2, list(by), "inner") if by else with_row(s1, s2, "__s2").select(
+        "*", F.col("__s2")["__es"].alias("__es"), F.col("__s2")["__viol"].alias("__viol"))
     return out.select(*by, F.lit(confidence).alias("confidence_level"), "n", "historical_var",
                       (F.col("mean") + z * F.col("std")).alias("parametric_var"),
                       F.coalesce(F.col("__es"), F.col("historical_var")).alias("expected_shortfall"),
@@ -102,7 +104,8 @@ def monte_carlo_var(flows: DataFrame, confidence: float = 0.95, n_sim: int = 10_
     flows' mean and sample std (own seed; statistically, not bit, equal)."""
     stats = flows.agg(F.avg(flow_col).alias("m"), F.stddev_samp(flow_col).alias("s"))
     sims = flows.sparkSession.range(n_sim).select(F.randn(seed).alias("z"))
-    return sims.select((F.col("z") * stats.select("s").scalar() + stats.select("m").scalar()).alias("x")) \
+    sf = scalar_fields(stats)
+    return sims.select((F.col("z") * sf["s"] + sf["m"]).alias("x")) \
         .agg(F.percentile("x", 1 - confidence).alias("monte_carlo_var"))
 
 
@@ -133,9 +136,7 @@ def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> Da
                         (F.sum(F.when(b >= thr, b)) / F.sum(b)).alias("large_depositor_concentration"),
                         F.avg(F.when(b >= thr, b)).alias("avg_large_depositor_balance"),
                         F.max(b).alias("largest_depositor_balance"))
-    cols = [seg_row.select(c).scalar().alias(c) for c in seg_row.columns] + \
-           [reg_row.select(c).scalar().alias(c) for c in reg_row.columns]
-    out = big.select(*cols, "*")
+    out = combine_rows([seg_row, reg_row, big])
     f1 = F.coalesce(F.col("top_3_concentration") > 0.7, F.lit(False))
     f2 = F.coalesce(F.col("large_depositor_concentration") > 0.3, F.lit(False))
     flags = F.array_compact(F.array(F.when(f1, F.lit("High segment concentration")),
@@ -192,33 +193,34 @@ def segment_flow_risk(flows: DataFrame, min_rows: int = 10, parity_order: bool =
 
 
 # --------------------------------------------------------------------------- R5
-def gini_and_top_shares(df: DataFrame, col: str, shares: Sequence[float] = (0.10, 0.05, 0.01)) -> DataFrame:
+def gini_and_top_shares(df: DataFrame, col: str, shares: Sequence[float] = (0.10, 0.05, 0.01),
+                        ladder: DataFrame | None = None) -> DataFrame:
     """Gini = sum((2i-n-1) x_(i)) / (n sum x) over ascending x, and the share
     of the total held by the top int(n*p) values, both from the value ladder:
     a value v with count c and ``below`` smaller values contributes
-    v*c*(2*below + c - n); ties need no order."""
-    lad = value_count_ladder(df, col)
-    v, c, below = F.col(col), F.col("c"), F.col("below")
-    n = lad.agg(F.sum("c")).scalar()
-    out = [(F.sum(v * c * (2 * below + c - n)) / (n * F.sum(v * c))).alias("gini_coefficient"),
-           F.sum(v * c).alias("total"), F.sum(c).alias("n")]
-    for i, p in enumerate(shares):
-        k = F.floor(n * F.lit(p))
-        at_least = n - below  # values >= v
-        # k-th largest value t: the largest v whose at_least count reaches k
-        t = F.max(F.when(at_least >= k, v))
-        out.append(t.alias(f"__t_{i}"))
-    base = lad.agg(*out)
+    v*c*(2*below + c - n); ties need no order.  The k-th largest value t
+    is the largest v with at least k values >= v; the top-k sum is
+    sum(x > t) + (k - count(x > t)) * t."""
+    lad = ladder if ladder is not None else value_count_ladder(df, col)
+    lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
+    v, c, below, n = F.col(col), F.col("c"), F.col("below"), F.col("__n")
+    ks = [F.floor(n * F.lit(p)) for p in shares]
+    base = lad.agg(F.first("__n").alias("n"),
+                   (F.sum(v * c * (2 * below + c - n)) / (F.first("__n") * F.sum(v * c))).alias("gini_coefficient"),
+                   F.sum(v * c).alias("total"),
+                   *[F.max(F.when(n - below >= k, v)).alias(f"__t{i}") for i, k in enumerate(ks)])
+    lad2 = with_row(lad, base, "__b")
+    above = lad2.agg(*[x for i in range(len(shares)) for x in (
+        F.coalesce(F.sum(F.when(v > F.col("__b")[f"__t{i}"], v * c)), F.lit(0.0)).alias(f"s{i}"),
+        F.coalesce(F.sum(F.when(v > F.col("__b")[f"__t{i}"], c)), F.lit(0)).alias(f"m{i}"))])
+    r = with_row(base, above, "__a")
     res = [F.col("gini_coefficient"), F.col("total"), F.col("n")]
     for i, p in enumerate(shares):
-        t = base.select(f"__t_{i}").scalar()
         k = F.floor(F.col("n") * F.lit(p))
-        above = lad.agg(F.sum(F.when(v > t, v * c)).alias("s"), F.sum(F.when(v > t, c)).alias("m"))
-        s_above = F.coalesce(above.select("s").scalar(), F.lit(0.0))
-        m_above = F.coalesce(above.select("m").scalar(), F.lit(0))
-        top = F.when(k > 0, s_above + (k - m_above) * t).otherwise(F.lit(0.0))
+        t = F.col(f"__t{i}")
+        top = F.when(k > 0, F.col("__a")[f"s{i}"] + (k - F.col("__a")[f"m{i}"]) * t).otherwise(F.lit(0.0))
         res.append((top / F.col("total")).alias(f"top_{int(round(p * 100))}_pct_share"))
-    return base.select(*res)
+    return r.select(*res)
 
 
 # --------------------------------------------------------------------------- R7
@@ -248,9 +250,10 @@ def market_liquidity_risk(market: DataFrame, order_by: str = "date") -> DataFram
 def funding_stability(flows: DataFrame, flow_col: str = "deposit_flow") -> DataFrame:
     """R6 funding stability: std, skew, kurtosis, share of positive days,
     share below -2 std, min, mean of flows below -std."""
+    d = with_row(flows, flows.agg(F.stddev_samp(flow_col).alias("sd")), "__sd")
     f = F.col(flow_col)
-    sd = flows.agg(F.stddev_samp(flow_col)).scalar()
-    return flows.agg(F.stddev_samp(f).alias("flow_volatility"), F.skewness(f).alias("flow_skewness"),
+    sd = F.col("__sd")["sd"]
+    return d.agg(F.stddev_samp(f).alias("flow_volatility"), F.skewness(f).alias("flow_skewness"),
                      F.kurtosis(f).alias("flow_kurtosis"),
                      (F.count(F.when(f > 0, 1)) / F.count(F.lit(1))).alias("positive_flow_days"),
                      (F.count(F.when(f < -2 * sd, 1)) / F.count(F.lit(1))).alias("large_outflow_days"),
@@ -286,17 +289,15 @@ def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
              fs]
     if balance_col and balance_col in deposits.columns:
         b = F.col(balance_col)
-        med = exact_quantiles(deposits, balance_col, [0.5], ["m"]).scalar()
+        # one value ladder serves the median, the Gini and the top shares
+        lad = value_count_ladder(deposits, balance_col)
+        med = exact_quantiles(deposits, balance_col, [0.5], ["m"], ladder=lad).scalar()
         dist = deposits.agg(F.sum(b).alias("total_deposits"), F.avg(b).alias("avg_deposit"),
                             F.lit(med).alias("median_deposit"))
-        parts += [dist, gini_and_top_shares(deposits, balance_col).drop("total", "n")]
+        parts += [dist, gini_and_top_shares(deposits, balance_col, ladder=lad).drop("total", "n")]
     if market is not None:
         parts.append(market_liquidity_risk(market).drop("as_of"))
-    first, rest = parts[0], parts[1:]
-    cols = [F.col(c) for c in first.columns]
-    for p in rest:
-        cols += [p.select(c).scalar().alias(c) for c in p.columns]
-    row = first.select(*cols)
+    row = combine_rows(parts)
     top10 = F.col("top_10_pct_share") if "top_10_pct_share" in row.columns else F.lit(None).cast("double")
     warnings = F.array_compact(F.array(
         F.when(F.coalesce(F.col("lcr_ratio"), F.lit(1.0)) < 1.1, F.lit("LCR below buffer threshold")),

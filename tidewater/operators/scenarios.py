@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import scalar_fields
 from ..plans.global_order import exact_quantiles
 from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
 
@@ -144,8 +145,8 @@ def compare_scenarios(metrics: DataFrame, base: str = "base") -> DataFrame:
     """Deltas of every scenario against the base row (scalar subqueries of
     the one base row)."""
     b = metrics.where(F.col("scenario") == base)
-    bd, bl, bv = (b.select("total_deposits").scalar(), b.select("stressed_lcr_ratio").scalar(),
-                  b.select("stressed_dar_95").scalar())
+    bf = scalar_fields(b.select("total_deposits", "stressed_lcr_ratio", "stressed_dar_95"))
+    bd, bl, bv = bf["total_deposits"], bf["stressed_lcr_ratio"], bf["stressed_dar_95"]
     pct = (F.col("total_deposits") - bd) / bd * 100
     return metrics.where(F.col("scenario") != base).select(
         "scenario", (F.col("total_deposits") - bd).alias("deposit_change_abs"), pct.alias("deposit_change_pct"),

@@ -97,9 +97,9 @@ def rank_pct(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """W9 at scale: pandas ``rank(pct=True)`` (average ranks over non-null
     values).  The ladder join is on the value; AQE splits a hot value."""
     lad = value_count_ladder(df, col)
-    n = lad.agg(F.sum("c")).scalar()
+    lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
     avg_rank = F.col("below") + (F.col("c") + 1) / 2.0
-    lad = lad.select(col, (avg_rank / n).alias(out or f"{col}_rank_pct"))
+    lad = lad.select(col, (avg_rank / F.col("__n")).alias(out or f"{col}_rank_pct"))
     return df.join(lad, col, "left")
 
 
@@ -114,9 +114,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
     lad = ladder if ladder is not None else value_count_ladder(df, col, keys)
     if keys:
         lad = lad.join(lad.groupBy(*keys).agg(F.sum("c").alias("__n")), keys)
-        n = F.col("__n")
     else:
-        n = lad.agg(F.sum("c")).scalar()
+        lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
+    n = F.col("__n")
     v, c, below = F.col(col), F.col("c"), F.col("below")
     aggs = []
     for i, q in enumerate(qs):

@@ -317,3 +317,38 @@ def dashboard_alerts(lcr: Column, vix: Column, flow_std: Column, flow_mean: Colu
          .when(lcr < 1.1, F.lit("WARNING: LCR below buffer target")),
         F.when(vix > 30, F.lit("WARNING: Elevated market volatility")),
         F.when(flow_std > 0.5 * F.abs(flow_mean), F.lit("INFO: High deposit flow volatility"))))
+
+
+# --------------------------------------------------------------------------- R9
+def risk_report(deposits: DataFrame, customers: DataFrame, market: DataFrame | None = None,
+                balance_col: str | None = "balance") -> DataFrame:
+    """One row: data period and size, R6 liquidity metrics, R3 overall
+    concentration level, and the executive summary: risk level (> 7 High,
+    > 4 Medium, else Low), number of flags and recommendation rules."""
+    period = deposits.agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"),
+                          F.count(F.lit(1)).alias("n_observations"))
+    liq = liquidity_metrics(deposits, market, balance_col=balance_col)
+    conc = concentration_risk(customers).select(F.col("overall_risk").alias("concentration_risk"))
+    row = combine_rows([period, liq, conc])
+    score, lcr = F.col("overall_risk_score"), F.coalesce(F.col("lcr_ratio"), F.lit(1.0))
+    n_flags = F.size("early_warnings")
+    recs = F.array_compact(F.array(
+        F.when(lcr < 1.1, F.lit("Increase liquid asset buffer to improve LCR ratio")),
+        F.when(n_flags > 2, F.lit("Implement enhanced monitoring due to multiple risk flags")),
+        F.when(F.col("concentration_risk") == "High", F.lit("Diversify deposit base to reduce concentration risk")),
+        F.when(score > 6, F.lit("Consider stress testing and contingency funding plan review"))))
+    recs = F.when(F.size(recs) == 0, F.array(F.lit("Current risk profile is acceptable, maintain monitoring"))) \
+            .otherwise(recs)
+    return row.select("*", F.when(score > 7, "High").when(score > 4, "Medium").otherwise("Low").alias("summary_risk_level"),
+                      n_flags.alias("n_risk_flags"), recs.alias("recommendations"))
+
+
+def alerts(deposits: DataFrame, market: DataFrame, balance_col: str = "balance") -> DataFrame:
+    """Dashboard alert list from the LCR, the latest VIX and flow
+    dispersion (one row)."""
+    lcr = lcr_ratio(deposits, balance_col=balance_col).select("lcr_ratio")
+    vix = market.agg(F.max_by("VIX", "date").alias("vix"))
+    fl = deposits.agg(F.stddev_samp("deposit_flow").alias("flow_std"), F.avg("deposit_flow").alias("flow_mean"))
+    row = combine_rows([lcr, vix, fl])
+    return row.select("*", dashboard_alerts(F.col("lcr_ratio"), F.col("vix"), F.col("flow_std"),
+                                            F.col("flow_mean")).alias("alerts"))

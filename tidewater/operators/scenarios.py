@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import scalar_fields
+from ..functions.core import combine_rows, scalar_fields
 from ..plans.global_order import exact_quantiles
 from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
 
@@ -183,18 +183,70 @@ def scenario_summary(assessment: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- N8
-def quick_impact(deposits: DataFrame, params: Sequence[tuple], balance: str = "balance") -> DataFrame:
-    """N8 quick model per parameter row (name, outflow, bps): stressed
-    deposits = total*(1-outflow), LCR = 1.15*(1-.5*outflow), flows scaled
-    by (1 + 10*bps/1e4), gap, stress ratio bands (< .8 critical, < .9 warning)."""
-    tot = deposits.agg(F.sum(balance).alias("t"), F.sum("deposit_flow").alias("fl"))
-    arr = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(o)).alias("outflow"),
-                             F.lit(float(b)).alias("bps")) for n, o, b in params])
-    p = tot.select("t", "fl", F.explode(arr).alias("p")).select("t", "fl", "p.*")
-    stressed = F.col("t") * (1 - F.col("outflow"))
-    ratio = stressed / F.col("t")
-    return p.select("scenario", F.col("t").alias("base_deposits"), stressed.alias("stressed_deposits"),
-                    (1.15 * (1 - 0.5 * F.col("outflow"))).alias("stressed_lcr"),
-                    (F.col("fl") * (1 + 10 * F.col("bps") / 1e4)).alias("stressed_flows"),
-                    (F.col("t") - stressed).alias("funding_gap"), ratio.alias("stress_ratio"),
-                    F.when(ratio < 0.8, "critical").when(ratio < 0.9, "warning").otherwise("ok").alias("status"))
+def quick_impact(customers: DataFrame, flows: DataFrame, params: Sequence[tuple]) -> DataFrame:
+    """N8 quick model per parameter row (name, deposit outflow, rate change
+    bps): base deposits = sum of customer balances, base LCR 1.15, base flows
+    = sum of flows; stressed deposits = base*(1-outflow), LCR = 1.15*(1 -
+    .5*outflow), flows*(1 + 10*bps/1e4), funding gap max(0, loss - .15*base),
+    stress ratio = stressed LCR / base LCR (< .8 High, < .9 Medium, else
+    Low), breach below 1.0 and the critical list.  A VIX change has no
+    effect (as in the modelled screen)."""
+    base = combine_rows([customers.agg(F.coalesce(F.sum("balance_avg"), F.lit(1e9)).alias("base_deposits")),
+                         flows.agg(F.coalesce(F.sum("deposit_flow"), F.lit(0.0)).alias("base_flows"))])
+    arr = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(o)).alias("deposit_outflow"),
+                             F.lit(float(b)).alias("rate_change_bps")) for n, o, b in params])
+    p = base.select("*", F.explode(arr).alias("p")).select("base_deposits", "base_flows", "p.*")
+    dep = F.col("base_deposits") * (1 - F.col("deposit_outflow"))
+    lcr = F.lit(1.15) * (1 - F.col("deposit_outflow") * 0.5)
+    ratio = lcr / 1.15
+    gap = F.greatest(F.lit(0.0), (F.col("base_deposits") - dep) - F.col("base_deposits") * 0.15)
+    crit = F.array_compact(F.array(F.when(lcr < 1.0, F.lit("LCR below regulatory minimum")),
+                                   F.when(F.col("deposit_outflow") > 0.2, F.lit("High deposit outflow"))))
+    return p.select("scenario", "base_deposits", dep.alias("scenario_deposits"), lcr.alias("scenario_lcr"),
+                    (F.col("base_flows") * (1 + F.col("rate_change_bps") / 10000 * 10)).alias("scenario_flows"),
+                    (dep - F.col("base_deposits")).alias("deposit_change"), gap.alias("funding_gap"),
+                    ratio.alias("stress_ratio"),
+                    F.when(ratio < 0.8, "High").when(ratio < 0.9, "Medium").otherwise("Low").alias("risk_level"),
+                    (lcr < 1.0).alias("lcr_breach"), crit.alias("critical_metrics"))
+
+
+# --------------------------------------------------------------------------- N7
+def run_scenario_analysis(deposits: DataFrame, customers: DataFrame | None, scenarios=STANDARD_SCENARIOS,
+                          noise: bool = False, balance: str = "balance"):
+    """Base + scenarios in one pass: (metrics, comparison, assessment)."""
+    shocked = shock_deposits(deposits, customers, scenarios, noise=noise, balance=balance)
+    m = scenario_metrics(shocked, balance)
+    cmp = compare_scenarios(m)
+    return m, cmp, assess_scenarios(m, cmp)
+
+
+def scenario_report(deposits: DataFrame, customers: DataFrame | None, scenarios=STANDARD_SCENARIOS,
+                    balance: str = "balance") -> DataFrame:
+    """One row per scenario joining metrics, comparison and assessment
+    (scenario count is a handful: the joins are bounded)."""
+    m, cmp, a = run_scenario_analysis(deposits, customers, scenarios, balance=balance)
+    return (m.join(cmp.drop("funding_gap"), "scenario", "left")
+             .join(a.drop("lcr_breach"), "scenario", "left"))
+
+
+# --------------------------------------------------------------------------- N9
+# fixed values: parameter presets of the scenario screens, as
+# (name, deposit outflow, rate change bps): rate shock, market crisis and
+# recession severities, then the four historical stresses
+SCENARIO_PRESETS = [
+    ("rate_shock_mild", 0.05, 100.0), ("rate_shock_moderate", 0.15, 250.0), ("rate_shock_severe", 0.30, 500.0),
+    ("market_crisis_mild", 0.10, 0.0), ("market_crisis_moderate", 0.20, 0.0), ("market_crisis_severe", 0.35, 0.0),
+    ("recession_mild", 0.08, 0.0), ("recession_moderate", 0.18, 0.0), ("recession_severe", 0.30, 0.0),
+    ("2008 Financial Crisis", 0.25, 0.0), ("COVID-19 Pandemic", 0.15, 0.0),
+    ("Interest Rate Surge", 0.20, 400.0), ("Banking Sector Stress", 0.30, 0.0),
+]
+
+
+def waterfall(comparison: DataFrame, base_value: float | Column, value: str = "deposit_change_abs",
+              order: str = "scenario") -> DataFrame:
+    """Base, then each scenario's delta as an increment with its
+    running total (a handful of rows: bounded window)."""
+    from pyspark.sql import Window
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return comparison.select(order, F.col(value).alias("increment"),
+                             (F.lit(base_value) + F.sum(value).over(w)).alias("running_total"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.core import round_doubles
 from ..operators import scenarios as N
-from ..schemas import ECONOMIC_SHOCKS, RISK_STRESS_PRESETS, STANDARD_SCENARIOS
+from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
 from .registry import register
 
 
@@ -145,20 +145,39 @@ def n6_assess_scenarios(spark, sf_dir):
     return N.assess_scenarios(m, N.compare_scenarios(m))
 
 
-def _quick_params():
-    return [(n, o, r * 1e4) for n, r, o in RISK_STRESS_PRESETS]
+@register("n8_n9_quick_impact_presets", fx.sql_with("flows") + """,
+b AS (SELECT COALESCE(SUM(balance_avg), 1e9) AS bd FROM customers),
+fl AS (SELECT COALESCE(SUM(deposit_flow), 0.0) AS bf FROM flows),
+p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {float(o)}, {float(b)})" for n, o, b in N.SCENARIO_PRESETS) + """)
+      AS v(scenario, outr, bps)),
+x AS (SELECT scenario, bd, bf, outr, bps, bd * (1 - outr) AS sd, 1.15 * (1 - outr * 0.5) AS lcr FROM b, fl, p)
+SELECT scenario, round(bd, 4) AS base_deposits, round(sd, 4) AS scenario_deposits, round(lcr, 4) AS scenario_lcr,
+  round(bf * (1 + bps / 10000 * 10), 4) AS scenario_flows, round(sd - bd, 4) AS deposit_change,
+  round(greatest(0.0, (bd - sd) - bd * 0.15), 4) AS funding_gap, round(lcr / 1.15, 4) AS stress_ratio,
+  CASE WHEN lcr / 1.15 < 0.8 THEN 'High' WHEN lcr / 1.15 < 0.9 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  lcr < 1.0 AS lcr_breach,
+  list_filter([CASE WHEN lcr < 1.0 THEN 'LCR below regulatory minimum' END,
+               CASE WHEN outr > 0.2 THEN 'High deposit outflow' END], lambda x: x IS NOT NULL) AS critical_metrics
+FROM x""")
+def n8_n9_quick_impact_presets(spark, sf_dir):
+    c, f = _deposits(spark, sf_dir)
+    return round_doubles(N.quick_impact(c, f, N.SCENARIO_PRESETS))
+
+
+@register("n7_scenario_report")
+def n7_scenario_report(spark, sf_dir):
+    """Composition of N4-N6 (each has an oracle): rows-only."""
+    c, f = _deposits(spark, sf_dir)
+    return N.scenario_report(f, c)
 
 
-@register("n8_quick_impact", fx.sql_with("flows") + """,
-t AS (SELECT SUM(balance_end) AS t, SUM(deposit_flow) AS fl FROM flows),
-p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {float(o)}, {float(b)})" for n, o, b in _quick_params()) + """)
-      AS v(scenario, outflow, bps))
-SELECT scenario, round(t, 4) AS base_deposits, round(t * (1 - outflow), 4) AS stressed_deposits,
-  round(1.15 * (1 - 0.5 * outflow), 4) AS stressed_lcr, round(fl * (1 + 10 * bps / 1e4), 4) AS stressed_flows,
-  round(t - t * (1 - outflow), 4) AS funding_gap, round(t * (1 - outflow) / t, 4) AS stress_ratio,
-  CASE WHEN t * (1 - outflow) / t < 0.8 THEN 'critical' WHEN t * (1 - outflow) / t < 0.9 THEN 'warning'
-       ELSE 'ok' END AS status
-FROM t, p""")
-def n8_quick_impact(spark, sf_dir):
-    _, f = _deposits(spark, sf_dir)
-    return round_doubles(N.quick_impact(f, _quick_params()))
+@register("n10_scenario_waterfall", _CMP + """
+SELECT scenario, round(deposit_change_abs, 4) AS increment,
+  round((SELECT total_deposits FROM b) + SUM(deposit_change_abs) OVER (ORDER BY scenario ROWS UNBOUNDED PRECEDING), 4)
+    AS running_total
+FROM cmp""")
+def n10_scenario_waterfall(spark, sf_dir):
+    c, f = _deposits(spark, sf_dir)
+    m = N.scenario_metrics(N.shock_deposits(f, c))
+    base = m.where(F.col("scenario") == "base").select("total_deposits").scalar()
+    return round_doubles(N.waterfall(N.compare_scenarios(m), base))

@@ -135,3 +135,12 @@ def with_row(df: DataFrame, one_row: DataFrame, name: str = "__r") -> DataFrame:
     Catalyst does not collapse it into each reference)."""
     s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
     return df.select("*", s.alias(name))
+
+
+def np_round(x, digits: int) -> Column:
+    """numpy's round: scale by 10^d in double arithmetic, round half to
+    even, scale back.  The value is first snapped to 9 decimals so that
+    summation-order noise cannot move a decimal tie to either side."""
+    p = float(10 ** digits)
+    snap = F.round(col(x) * 1e9, 0) / 1e9
+    return F.bround(snap * p, 0) / p

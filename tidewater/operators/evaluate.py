@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import np_round
 from ..plans.global_order import exact_quantiles, global_lag, with_global_position
 
 KEY = "model_name"
@@ -89,8 +90,8 @@ def error_table(preds: DataFrame, period: str = "month", by: str = KEY) -> DataF
     unit = {"month": "month", "quarter": "quarter"}[period]
     return (preds.select(by, F.date_trunc(unit, F.col("date")).cast("date").alias("period"), e.alias("__e"))
                  .groupBy(by, "period")
-                 .agg(F.bround(F.avg("__e"), 4).alias("error_mean"), F.bround(F.stddev_samp("__e"), 4).alias("error_std"),
-                      F.bround(F.avg(F.abs("__e")), 4).alias("abs_error_mean"), F.count("__e").alias("actual_count")))
+                 .agg(np_round(F.avg("__e"), 4).alias("error_mean"), np_round(F.stddev_samp("__e"), 4).alias("error_std"),
+                      np_round(F.avg(F.abs("__e")), 4).alias("abs_error_mean"), F.count("__e").alias("actual_count")))
 
 
 # -------------------------------------------------------------------------- W24
@@ -211,3 +212,92 @@ def error_percentile_bounds(preds: DataFrame, by: str = KEY) -> DataFrame:
     """Absolute-error percentiles 50/68/95/99 per model (exact)."""
     d = preds.select(by, F.abs(F.col("actual") - F.col("predicted")).alias("__e"))
     return exact_quantiles(d, "__e", [0.5, 0.68, 0.95, 0.99], ["p50", "p68", "p95", "p99"], by=[by])
+
+
+# ------------------------------------------------------------------------- EV4
+def cv_scores(fold_preds: DataFrame, by: str = KEY) -> DataFrame:
+    """Per model: mse/mae/r2/rmse per fold (long fold predictions with a
+    ``fold`` column), then mean/std(pop)/min/max of each score."""
+    y, yh = F.col("actual"), F.col("predicted")
+    r = y - yh
+    per = fold_preds.groupBy(by, "fold").agg(F.avg(r * r).alias("mse"), F.avg(F.abs(r)).alias("mae"),
+                                             (1 - F.sum(r * r) / (F.var_pop(y) * F.count(y))).alias("r2"))
+    per = per.select("*", F.sqrt("mse").alias("rmse"))
+    aggs = []
+    for m in ("mse", "mae", "r2", "rmse"):
+        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"),
+                 F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
+    return per.groupBy(by).agg(*aggs)
+
+
+# ------------------------------------------------------------------------- EV6
+def residual_halves(preds: DataFrame, by: str = KEY, order_by: str = "row_id") -> DataFrame:
+    """Residual mean/std (pop) and the variance ratio of the second to the
+    first half (by position)."""
+    p = positioned(preds, by, order_by)
+    r = F.col("actual") - F.col("predicted")
+    first = F.col("pos") < F.floor(F.col("n") / 2)
+    return p.groupBy(by).agg(F.avg(r).alias("residual_mean"), F.stddev_pop(r).alias("residual_std"),
+                             (F.var_pop(F.when(~first, r)) / F.var_pop(F.when(first, r))).alias("half_variance_ratio"))
+
+
+# ------------------------------------------------------------------------ EV13
+def evaluation_report(metrics: DataFrame, residuals: DataFrame | None = None, by: str = KEY) -> DataFrame:
+    """Quality score 0-100: r2 (40, min(40, 40 r2), 0 if negative), mape
+    (< 5: 30, < 10: 25, < 20: 15, < 30: 5), directional accuracy (30 *
+    acc/100 capped); rating (>= 80 Excellent, 70 Good, 60 Fair, else Poor);
+    residual issues and recommendations."""
+    r2, mape, da = F.col("r2"), F.col("mape"), F.col("directional_accuracy")
+    score = (F.when(r2 >= 0, F.least(F.lit(40.0), r2 * 40)).otherwise(0.0)
+             + F.when(mape < 5, 30.0).when(mape < 10, 25.0).when(mape < 20, 15.0).when(mape < 30, 5.0).otherwise(0.0)
+             + F.least(F.lit(30.0), da * 30 / 100))
+    m = metrics.select(by, "r2", "mape", "directional_accuracy", F.round(score, 1).alias("overall_score"))
+    m = m.select("*", F.when(F.col("overall_score") >= 80, "Excellent").when(F.col("overall_score") >= 70, "Good")
+                 .when(F.col("overall_score") >= 60, "Fair").otherwise("Poor").alias("rating"))
+    if residuals is not None:
+        m = m.join(residuals.select(by, "is_normal", "autocorrelation_significant", "likely_heteroscedastic",
+                                    "outlier_percentage"), by, "left")
+        issues = F.array_compact(F.array(
+            F.when(~F.coalesce(F.col("is_normal"), F.lit(True)), F.lit("Residuals not normally distributed")),
+            F.when(F.coalesce(F.col("autocorrelation_significant"), F.lit(False)),
+                   F.lit("Significant autocorrelation in residuals")),
+            F.when(F.coalesce(F.col("likely_heteroscedastic"), F.lit(False)),
+                   F.lit("Likely heteroscedasticity present")),
+            F.when(F.col("outlier_percentage") > 5,
+                   F.format_string("High percentage of outliers (%.1f%%)", F.col("outlier_percentage")))))
+        m = m.select(by, "r2", "mape", "directional_accuracy", "overall_score", "rating", issues.alias("issues"))
+    recs = F.array_compact(F.array(
+        F.when(r2 < 0.5, F.lit("Consider feature engineering or different algorithms")),
+        F.when(mape > 20, F.lit("High prediction errors - review model assumptions")),
+        F.when(F.col("overall_score") < 60, F.lit("Model performance below acceptable threshold"))))
+    return m.select("*", recs.alias("recommendations"))
+
+
+# ------------------------------------------------------------------------ EV14
+def qq_pairs(preds: DataFrame, by: str = KEY, order_by: str = "row_id", points: int = 99) -> DataFrame:
+    """Q-Q pairs of standardised residuals: theoretical normal quantiles at
+    linspace(.01, .99, points) against the exact sample quantiles."""
+    from ..functions.stats import norm_ppf
+    r = preds.select(by, (F.col("actual") - F.col("predicted")).alias("__r"))
+    st = r.groupBy(by).agg(F.avg("__r").alias("__m"), F.stddev_pop("__r").alias("__s"))
+    z = r.join(st, by).select(by, ((F.col("__r") - F.col("__m")) / F.col("__s")).alias("__z"))
+    qs = [0.01 + i * (0.98 / (points - 1)) for i in range(points)]
+    q = exact_quantiles(z, "__z", qs, [f"q{i}" for i in range(points)], by=[by])
+    arr = F.array(*[F.struct(F.lit(qs[i]).alias("p"), F.col(f"q{i}").alias("sample_quantile")) for i in range(points)])
+    out = q.select(by, F.explode(arr).alias("s")).select(by, "s.*")
+    return out.select(by, "p", norm_ppf(F.col("p")).alias("theoretical_quantile"), "sample_quantile")
+
+
+# ------------------------------------------------------------------------ EV15
+def radar_scores(metrics: DataFrame, cols: Sequence[str] = ("rmse", "mae", "mape", "r2"),
+                 higher_better: Sequence[str] = ("r2",), by: str = KEY) -> DataFrame:
+    """Min-max normalised metric per model for a radar view (error metrics
+    inverted); a constant metric scores 1 (one row per model: bounded)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy()
+    out = []
+    for c in cols:
+        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        z = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(1.0))
+        out.append((z if c in higher_better else F.when(hi > lo, 1 - z).otherwise(F.lit(1.0))).alias(f"{c}_radar"))
+    return metrics.select(by, *out)

@@ -345,3 +345,72 @@ def transform_flows(flows: DataFrame) -> DataFrame:
     fill = [c for c in d.columns if c not in flows.columns]
     d = W.forward_fill(d, fill, o, p)
     return d.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in fill else F.col(c) for c in d.columns])
+
+
+# ------------------------------------------------------------------------ P13
+def market_segment_interactions(unified: DataFrame, segments: Sequence[str]) -> DataFrame:
+    """rate x VIX, rate / (VIX + 1), steepness x VIX, each segment flow x the
+    first two rate columns, the first three segment flows x VIX."""
+    r, v = F.col("FED_FUNDS_RATE"), F.col("VIX")
+    cols = [(r * v).alias("RATE_VIX_interaction"), (r / (v + 1)).alias("RATE_VIX_ratio")]
+    if "YIELD_CURVE_STEEPNESS" in unified.columns:
+        cols.append((F.col("YIELD_CURVE_STEEPNESS") * v).alias("CURVE_VIX_interaction"))
+    rates = [c for c in unified.columns if ("RATE" in c or "TREASURY" in c) and c.isupper()][:2]
+    flows = [f"deposit_flow_sum_{s}" for s in segments if f"deposit_flow_sum_{s}" in unified.columns]
+    for fcol in flows:
+        for rc in rates:
+            cols.append((F.col(fcol) * F.col(rc)).alias(f"{fcol}_X_{rc}"))
+    for fcol in flows[:3]:
+        cols.append((F.col(fcol) * v).alias(f"{fcol}_X_VIX"))
+    return unified.select("*", *cols)
+
+
+# ------------------------------------------------------------------------ P23
+# fixed values: monthly seasonal deposit factors (January .. December)
+SEASONAL_FACTORS = [0.1, 0.05, -0.1, -0.05, 0.0, 0.1, -0.05, -0.05, 0.05, 0.0, -0.1, 0.15]
+
+
+def behavioral_impacts(df: DataFrame, balance: str = "balance", rate_change: str = "rate_change",
+                       vix: str = "vix", date_col: str = "date") -> DataFrame:
+    """Deterministic impact terms on a customer x day x market row:
+    rate impact = dr * sens * balance * .1 (x1.5 when |dr| > .5);
+    seasonal = balance * month factor * segment multiplier (retail 1.5,
+    SME 1.2, else 1) * .01; volatility impact (VIX > 25 inflow, < 15
+    outflow) damped by (1 - volatility factor); loyalty impact on rate
+    moves beyond +/- .25."""
+    b, dr, vx = F.col(balance), F.col(rate_change), F.col(vix)
+    rate = dr * F.col("rate_sensitivity") * b * 0.1
+    rate = F.when(F.abs(dr) > 0.5, rate * 1.5).otherwise(rate)
+    month_factor = F.element_at(F.array(*[F.lit(x) for x in SEASONAL_FACTORS]), F.month(date_col))
+    mult = (F.when(F.col("segment").startswith("RETAIL"), 1.5).when(F.col("segment") == "SME", 1.2)
+             .otherwise(1.0))
+    vol = (F.when(vx > 25, b * 0.002 * (vx - 25) / 10).when(vx < 15, -b * 0.001 * (15 - vx) / 5)
+            .otherwise(0.0)) * (1 - F.col("volatility_factor"))
+    loy = (F.when(dr < -0.25, b * 0.001 * F.col("loyalty_score"))
+            .when(dr > 0.25, b * 0.0005 * F.col("loyalty_score")).otherwise(0.0))
+    return df.select("*", rate.alias("rate_impact"), (b * month_factor * mult * 0.01).alias("seasonal_impact"),
+                     vol.alias("volatility_impact"), loy.alias("loyalty_impact"))
+
+
+# ------------------------------------------------------------------------- M2
+def pca_components(df: DataFrame, cols: Sequence[str], k: int = 3, names: Sequence[str] | None = None,
+                   keys: Sequence[str] = ("date",), min_rows: int = 10) -> DataFrame:
+    """Principal components of the complete rows (centred first: Spark's
+    PCA does not centre), signs fixed so the largest |loading| of each
+    component is positive; empty when fewer than ``min_rows`` rows."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    import numpy as np
+    d = df.select(*keys, *cols).dropna(subset=list(cols))
+    means = d.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    n = d.count()
+    if n < min_rows:
+        return d.select(*keys).limit(0)
+    centred = d.select(*keys, *[(F.col(c) - float(means[c])).alias(c) for c in cols])
+    vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(centred)
+    model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(vec)
+    loadings = model.pc.toArray()  # len(cols) x k, tiny
+    signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, j])), j] >= 0 else -1.0 for j in range(k)]
+    out = model.transform(vec).select(*keys, vector_to_array("__pc").alias("__a"))
+    names = list(names or [f"PC_{j + 1}" for j in range(k)])
+    return out.select(*keys, *[(F.col("__a")[j] * signs[j]).alias(names[j]) for j in range(k)])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import safe_div
+from ..functions.core import np_round, safe_div
 from . import windows as W
 
 
@@ -35,12 +35,12 @@ def segment_behavioral_features(flows: DataFrame, windows: Sequence[int] = (7, 2
     """A2: per (date, segment) flow statistics rounded to 4 (half-even),
     derived ratios, and rolling means/stds per segment over 7/21/63 rows."""
     g = (flows.groupBy("date", "segment")
-              .agg(F.bround(F.sum("deposit_flow"), 4).alias("segment_sum_deposit_flow"),
-                   F.bround(F.avg("deposit_flow"), 4).alias("segment_mean_deposit_flow"),
-                   F.bround(F.stddev_samp("deposit_flow"), 4).alias("segment_std_deposit_flow"),
+              .agg(np_round(F.sum("deposit_flow"), 4).alias("segment_sum_deposit_flow"),
+                   np_round(F.avg("deposit_flow"), 4).alias("segment_mean_deposit_flow"),
+                   np_round(F.stddev_samp("deposit_flow"), 4).alias("segment_std_deposit_flow"),
                    F.count("deposit_flow").alias("segment_count_deposit_flow"),
-                   F.bround(F.sum("inflow"), 4).alias("segment_sum_inflow"),
-                   F.bround(F.sum("outflow"), 4).alias("segment_sum_outflow")))
+                   np_round(F.sum("inflow"), 4).alias("segment_sum_inflow"),
+                   np_round(F.sum("outflow"), 4).alias("segment_sum_outflow")))
     s, i, o = F.col("segment_sum_deposit_flow"), F.col("segment_sum_inflow"), F.col("segment_sum_outflow")
     g = g.select("*",
                  (s / (i + F.abs(o) + 1)).alias("segment_net_flow_rate"),
@@ -58,7 +58,7 @@ def grouped_summary(df: DataFrame, by: Sequence[str], value: str, digits: int |
             F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count")]
     out = df.groupBy(*by).agg(*aggs)
     if digits is not None:
-        out = out.select(*by, *[F.bround(c, digits).alias(c) for c in ("total", "mean", "std", "min", "max")],
+        out = out.select(*by, *[np_round(c, digits).alias(c) for c in ("total", "mean", "std", "min", "max")],
                          "count")
     return out
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,164 @@ def diversity(preds: DataFrame, models: Sequence[str]) -> DataFrame:
     mean = sum((F.col(m) for m in models), F.lit(0.0)) / len(models)
     var = sum(((F.col(m) - mean) ** 2 for m in models), F.lit(0.0)) / len(models)
     return wide.agg(*cols, F.avg(F.sqrt(var)).alias("mean_row_std"))
+
+
+# -------------------------------------------------------------------------- T3
+def per_segment_models(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
+                       segments: Sequence[str], min_rows: int = 50, kind: str = "gbt", row_id: str = "row_id"):
+    """One distributed fit per segment with more than ``min_rows`` rows;
+    predictions routed by segment; unseen segments get the mean of the
+    other predictions.  Returns the long prediction frame."""
+    parts = []
+    counts = {r["segment"]: r["n"] for r in train.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for s in segments:
+        if counts.get(s, 0) > min_rows:
+            m = fit_regressor(train.where(F.col("segment") == s), features, label, kind)
+            parts.append(m.transform(test.where(F.col("segment") == s).fillna(0.0, subset=list(features)))
+                          .select(row_id, "segment", F.col(label).cast("double").alias("actual"),
+                                  F.col("prediction").alias("predicted")))
+    base = test.select(row_id, "segment", F.col(label).cast("double").alias("actual"))
+    if not parts:
+        return base.select("*", F.lit(None).cast("double").alias("predicted"))
+    pred = parts[0]
+    for p in parts[1:]:
+        pred = pred.unionByName(p)
+    fallback = pred.agg(F.avg("predicted")).scalar()
+    return (base.join(pred.select(row_id, "predicted"), row_id, "left")
+                .select(row_id, "segment", "actual", F.coalesce(F.col("predicted"), fallback).alias("predicted")))
+
+
+# -------------------------------------------------------------------------- T4
+def risk_class_label(target: str, std: Column | float) -> Column:
+    """5 classes from the target cut at +/-.5 and +/-2 std (right-closed):
+    0 (<= -2s), 1 (-2s, -.5s], 2 (-.5s, .5s], 3 (.5s, 2s], 4 (> 2s)."""
+    t = F.col(target)
+    s = F.lit(std) if not isinstance(std, Column) else std
+    return (F.when(t <= -2 * s, 0).when(t <= -0.5 * s, 1).when(t <= 0.5 * s, 2).when(t <= 2 * s, 3)
+             .when(t.isNotNull(), 4)).cast("double")
+
+
+def fit_risk_classifier(train: DataFrame, features: Sequence[str], target: str, seed: int = 42):
+    """Random forest classifier (100 trees, depth 10) on the 5-class label."""
+    from pyspark.ml.classification import RandomForestClassifier
+    sd = train.agg(F.stddev_samp(target)).first()[0] or 1.0
+    d = train.select("*", risk_class_label(target, sd).alias("risk_class")).where(F.col("risk_class").isNotNull())
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    clf = RandomForestClassifier(labelCol="risk_class", numTrees=100, maxDepth=10, seed=seed)
+    return Pipeline(stages=[asm, clf]).fit(d.fillna(0.0, subset=list(features))), sd
+
+
+# -------------------------------------------------------------------------- T6
+def tree_intervals(model, df: DataFrame, features: Sequence[str], z: float = 1.96) -> DataFrame:
+    """Prediction interval from the spread of a random forest's trees:
+    mean +/- z * population std of the per-tree predictions (each tree is
+    applied as a Spark ML model; trees are part of the fitted model)."""
+    asm_df = model.stages[0].transform(df.fillna(0.0, subset=list(features)))
+    forest = model.stages[-1]
+    cols = []
+    d = asm_df
+    for i, tree in enumerate(forest.trees):
+        d = tree.setPredictionCol(f"__t{i}").transform(d)
+        cols.append(F.col(f"__t{i}"))
+    n = len(cols)
+    mean = sum(cols, F.lit(0.0)) / n
+    var = sum(((c - mean) ** 2 for c in cols), F.lit(0.0)) / n
+    out = d.select(*df.columns, mean.alias("prediction"), F.sqrt(var).alias("__sd"))
+    return out.select("*", (F.col("prediction") - z * F.col("__sd")).alias("lower"),
+                      (F.col("prediction") + z * F.col("__sd")).alias("upper")).drop("__sd")
+
+
+# -------------------------------------------------------------------------- T8
+def expanding_window_stability(df: DataFrame, features: Sequence[str], label: str, order_by: Sequence[str],
+                               n_splits: int = 5, kind: str = "random_forest") -> DataFrame:
+    """Fit on each expanding fold, score on its test block (folds by global
+    position), then rmse mean/std/cv and r2 mean/std (population)."""
+    from .sampling import expanding_folds
+    folds = expanding_folds(df, list(order_by), n_splits)
+    scores = []
+    for i in range(n_splits):
+        tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
+        te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
+        m = fit_regressor(tr, features, label, kind)
+        p = m.transform(te.fillna(0.0, subset=list(features)))
+        r = F.col(label) - F.col("prediction")
+        scores.append(p.agg(F.lit(i).alias("fold"), F.sqrt(F.avg(r * r)).alias("rmse"),
+                            (1 - F.sum(r * r) / (F.var_pop(label) * F.count(label))).alias("r2")))
+    s = scores[0]
+    for x in scores[1:]:
+        s = s.unionByName(x)
+    return s.agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
+                 (F.stddev_pop("rmse") / F.avg("rmse")).alias("rmse_cv"),
+                 F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))
+
+
+# -------------------------------------------------------------------------- E3
+def stacking(df: DataFrame, features: Sequence[str], label: str, row_id: str = "row_id",
+             kinds: Sequence[str] = ("random_forest", "gbt"), k: int = 5, seed: int = 42) -> DataFrame:
+    """Out-of-fold base predictions (fold = pmod(xxhash64(row_id, seed), k)),
+    then a linear meta-learner on them; returns the meta predictions."""
+    from pyspark.ml.regression import LinearRegression
+    d = df.select("*", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(k)).alias("__fold"))
+    oof = None
+    for kind in kinds:
+        parts = []
+        for f in range(k):
+            m = fit_regressor(d.where(F.col("__fold") != f), features, label, kind)
+            parts.append(m.transform(d.where(F.col("__fold") == f).fillna(0.0, subset=list(features)))
+                          .select(row_id, F.col("prediction").alias(f"p_{kind}")))
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+        oof = u if oof is None else oof.join(u, row_id)
+    meta_in = oof.join(d.select(row_id, F.col(label).cast("double").alias("label")), row_id)
+    asm = VectorAssembler(inputCols=[f"p_{k_}" for k_ in kinds], outputCol="mf")
+    lr = Pipeline(stages=[asm, LinearRegression(featuresCol="mf", labelCol="label")]).fit(meta_in)
+    return lr.transform(meta_in).select(row_id, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+
+
+# -------------------------------------------------------------------------- E5
+def dynamic_weights(preds: DataFrame, batch: int = 20, min_batch: int = 10, by: str = "model_name",
+                    order_by: str = "row_id") -> DataFrame:
+    """Batches of ``batch`` rows from position max(n/2, 100); batches with
+    fewer than ``min_batch`` rows are skipped; per batch weights are
+    1/(rmse + 1e-8) normalised over models.  Long (batch, model, weight);
+    the final weights are those of the last valid batch."""
+    from .evaluate import positioned
+    p = positioned(preds, by, order_by)
+    start = F.greatest(F.floor(F.col("n") / 2), F.lit(100))
+    d = p.where(F.col("pos") >= start).select(by, F.floor((F.col("pos") - start) / batch).alias("batch"),
+                                              "actual", "predicted")
+    g = d.groupBy("batch", by).agg(F.count(F.lit(1)).alias("rows"),
+                                   F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("rmse"))
+    g = g.where(F.col("rows") >= min_batch)
+    inv = g.select("batch", by, (1 / (F.col("rmse") + 1e-8)).alias("__i"))
+    tot = inv.groupBy("batch").agg(F.sum("__i").alias("__t"))
+    return inv.join(tot, "batch").select("batch", by, (F.col("__i") / F.col("__t")).alias("weight"))
+
+
+def final_dynamic_weights(weights: DataFrame, by: str = "model_name") -> DataFrame:
+    last = weights.agg(F.max("batch")).scalar()
+    return weights.where(F.col("batch") == last).select(by, "weight")
+
+
+# ------------------------------------------------------------------------- EV7
+def bootstrap_stability(df: DataFrame, features: Sequence[str], label: str, test: DataFrame,
+                        n_boot: int = 10, fraction: float = 0.8, kind: str = "random_forest") -> DataFrame:
+    """Refit on ``n_boot`` bootstrap samples (with replacement, seeded),
+    score each on the same test set; per metric mean/std/cv/min/max."""
+    scores = []
+    for i in range(n_boot):
+        m = fit_regressor(df.sample(True, fraction, seed=i), features, label, kind, seed=i)
+        p = m.transform(test.fillna(0.0, subset=list(features)))
+        r = F.col(label) - F.col("prediction")
+        scores.append(p.agg(F.lit(i).alias("run"), F.sqrt(F.avg(r * r)).alias("rmse"),
+                            F.avg(F.abs(r)).alias("mae"),
+                            (1 - F.sum(r * r) / (F.var_pop(label) * F.count(label))).alias("r2")))
+    s = scores[0]
+    for x in scores[1:]:
+        s = s.unionByName(x)
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("rmse", "mae", "r2")])
+    long = s.select(F.explode(arr).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+                                      (F.stddev_pop("value") / F.avg("value")).alias("cv"),
+                                      F.min("value").alias("min"), F.max("value").alias("max"))

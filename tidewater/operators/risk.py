@@ -16,7 +16,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import combine_rows, safe_div, scalar_fields, with_row
+from ..functions.core import combine_rows, np_round, safe_div, scalar_fields, with_row
 from ..plans.global_order import exact_quantiles, value_count_ladder
 from ..schemas import LCR_BUFFER, LCR_MINIMUM
 from . import windows as W
@@ -117,9 +117,9 @@ def segment_shares(customers: DataFrame, key: str = "segment", balance: str = "b
     return per.select(key, "exposure", (F.col("exposure") / total).alias("share"))
 
 
-def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> DataFrame:
-    """HHI, top-3 and max segment share, region max share, large depositors
-    (>= exact 95th percentile): count, share, mean, max; flags and level."""
+def concentration_parts(customers: DataFrame, balance: str = "balance_avg") -> list[DataFrame]:
+    """One-row inputs of R3: segment shares summary, region summary, large
+    depositors above the exact 95th percentile."""
     seg = segment_shares(customers, "segment", balance)
     # one row per segment value: collecting shares is bounded by the segment domain
     seg_row = seg.agg(F.sum(F.col("share") * F.col("share")).alias("hhi_index"),
@@ -136,7 +136,10 @@ def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> Da
                         (F.sum(F.when(b >= thr, b)) / F.sum(b)).alias("large_depositor_concentration"),
                         F.avg(F.when(b >= thr, b)).alias("avg_large_depositor_balance"),
                         F.max(b).alias("largest_depositor_balance"))
-    out = combine_rows([seg_row, reg_row, big])
+    return [seg_row, reg_row, big]
+
+
+def concentration_finish(out: DataFrame) -> DataFrame:
     f1 = F.coalesce(F.col("top_3_concentration") > 0.7, F.lit(False))
     f2 = F.coalesce(F.col("large_depositor_concentration") > 0.3, F.lit(False))
     flags = F.array_compact(F.array(F.when(f1, F.lit("High segment concentration")),
@@ -146,6 +149,13 @@ def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> Da
                       F.when(n >= 2, "High").when(n == 1, "Medium").otherwise("Low").alias("overall_risk"))
 
 
+def concentration_risk(customers: DataFrame, balance: str = "balance_avg") -> DataFrame:
+    """HHI, top-3 and max segment share, region max share, large
+    depositors (>= exact 95th percentile): count, share, mean, max; flags
+    and level."""
+    return concentration_finish(combine_rows(concentration_parts(customers, balance)))
+
+
 # --------------------------------------------------------------------------- R4
 RISK_WEIGHTS_RISK = (0.4, 0.35, 0.25)
 
@@ -161,13 +171,13 @@ def segment_behavioral_risk(customers: DataFrame) -> DataFrame:
     """R4 segment scores, rounded half-even to 4, with risk-weighted exposure."""
     c = customers.select("*", behavioral_risk_score().alias("behavioral_risk_score"))
     g = c.groupBy("segment").agg(
-        F.bround(F.avg("behavioral_risk_score"), 4).alias("mean_behavioral_risk_score"),
-        F.bround(F.stddev_samp("behavioral_risk_score"), 4).alias("std_behavioral_risk_score"),
+        np_round(F.avg("behavioral_risk_score"), 4).alias("mean_behavioral_risk_score"),
+        np_round(F.stddev_samp("behavioral_risk_score"), 4).alias("std_behavioral_risk_score"),
         F.count("behavioral_risk_score").alias("count_behavioral_risk_score"),
-        F.bround(F.sum("balance_avg"), 4).alias("sum_balance_avg"),
-        F.bround(F.avg("rate_sensitivity"), 4).alias("mean_rate_sensitivity"),
-        F.bround(F.avg("loyalty_score"), 4).alias("mean_loyalty_score"),
-        F.bround(F.avg("volatility_factor"), 4).alias("mean_volatility_factor"))
+        np_round(F.sum("balance_avg"), 4).alias("sum_balance_avg"),
+        np_round(F.avg("rate_sensitivity"), 4).alias("mean_rate_sensitivity"),
+        np_round(F.avg("loyalty_score"), 4).alias("mean_loyalty_score"),
+        np_round(F.avg("volatility_factor"), 4).alias("mean_volatility_factor"))
     return g.select("*", (F.col("mean_behavioral_risk_score") * F.col("sum_balance_avg"))
                     .alias("risk_weighted_exposure"))
 
@@ -277,10 +287,10 @@ def overall_liquidity_risk_score(lcr: Column, top10: Column, flow_vol: Column, v
     return F.least(F.lit(10.0), lcr_s * 0.3 + conc_s * 0.25 + vol_s * 0.2 + var_s * 0.15 + warn_s * 0.1)
 
 
-def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
-                      balance_col: str | None = "balance", flow_col: str = "deposit_flow") -> DataFrame:
-    """One row combining R1, R2, deposit distribution (when a balance
-    column exists), funding stability, R7, early warnings and R8."""
+def liquidity_parts(deposits: DataFrame, market: DataFrame | None = None,
+                    balance_col: str | None = "balance", flow_col: str = "deposit_flow") -> list[DataFrame]:
+    """The one-row inputs of R6 (R1, R2, funding stability, distribution,
+    R7), to be combined side by side."""
     lcr = lcr_ratio(deposits, balance_col=balance_col, flow_col=flow_col)
     dar = deposit_at_risk(deposits, flow_col=flow_col)
     fs = funding_stability(deposits, flow_col)
@@ -297,7 +307,11 @@ def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
         parts += [dist, gini_and_top_shares(deposits, balance_col, ladder=lad).drop("total", "n")]
     if market is not None:
         parts.append(market_liquidity_risk(market).drop("as_of"))
-    row = combine_rows(parts)
+    return parts
+
+
+def liquidity_finish(row: DataFrame) -> DataFrame:
+    """Early warnings and the R8 score on a combined R6 row."""
     top10 = F.col("top_10_pct_share") if "top_10_pct_share" in row.columns else F.lit(None).cast("double")
     warnings = F.array_compact(F.array(
         F.when(F.coalesce(F.col("lcr_ratio"), F.lit(1.0)) < 1.1, F.lit("LCR below buffer threshold")),
@@ -309,6 +323,13 @@ def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
         F.size("early_warnings")).alias("overall_risk_score"))
 
 
+def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
+                      balance_col: str | None = "balance", flow_col: str = "deposit_flow") -> DataFrame:
+    """One row combining R1, R2, deposit distribution (when a balance
+    column exists), funding stability, R7, early warnings and R8."""
+    return liquidity_finish(combine_rows(liquidity_parts(deposits, market, balance_col, flow_col)))
+
+
 # -------------------------------------------------------------------------- R10
 def dashboard_alerts(lcr: Column, vix: Column, flow_std: Column, flow_mean: Column) -> Column:
     """R10 rule array: LCR < 1 critical, < 1.1 warning, VIX > 30, flow std > .5 * |mean|."""
@@ -322,14 +343,15 @@ def dashboard_alerts(lcr: Column, vix: Column, flow_std: Column, flow_mean: Colu
 # --------------------------------------------------------------------------- R9
 def risk_report(deposits: DataFrame, customers: DataFrame, market: DataFrame | None = None,
                 balance_col: str | None = "balance") -> DataFrame:
-    """One row: data period and size, R6 liquidity metrics, R3 overall
-    concentration level, and the executive summary: risk level (> 7 High,
-    > 4 Medium, else Low), number of flags and recommendation rules."""
+    """One row: data period and size, R6 liquidity metrics, R3
+    concentration, and the executive summary: risk level (> 7 High, > 4
+    Medium, else Low), number of flags and recommendation rules.  All
+    one-row inputs are combined in a single level."""
     period = deposits.agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"),
                           F.count(F.lit(1)).alias("n_observations"))
-    liq = liquidity_metrics(deposits, market, balance_col=balance_col)
-    conc = concentration_risk(customers).select(F.col("overall_risk").alias("concentration_risk"))
-    row = combine_rows([period, liq, conc])
+    parts = [period] + liquidity_parts(deposits, market, balance_col) + concentration_parts(customers)
+    row = concentration_finish(liquidity_finish(combine_rows(parts)))
+    row = row.withColumnRenamed("overall_risk", "concentration_risk")
     score, lcr = F.col("overall_risk_score"), F.coalesce(F.col("lcr_ratio"), F.lit(1.0))
     n_flags = F.size("early_warnings")
     recs = F.array_compact(F.array(

@@ -56,14 +56,15 @@ def j2_assemble_market_sources(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- J4
-def _unified_sql() -> str:
+def _unified_sql(rounded: bool = True) -> str:
     piv = ",\n".join(
         f"COALESCE({agg}(CASE WHEN segment = '{s}' THEN {col} END), 0.0) AS {m}_{s}"
         for m, agg, col in (("deposit_flow_mean", "AVG", "deposit_flow"), ("deposit_flow_sum", "SUM", "deposit_flow"),
                             ("inflow_sum", "SUM", "inflow"), ("outflow_sum", "SUM", "outflow"))
         for s in SEGMENTS)
     cols = MKT + [f"{m}_{s}" for m in J.UNIFIED_METRICS for s in SEGMENTS]
-    fill = ",\n".join(f"round(last_value({c} IGNORE NULLS) OVER w, 4) AS {c}" for c in cols)
+    fill = ",\n".join((f"round(last_value({c} IGNORE NULLS) OVER w, 4) AS {c}" if rounded else
+                       f"last_value({c} IGNORE NULLS) OVER w AS {c}") for c in cols)
     return fx.sql_with("market", "flows") + f""",
 p AS (SELECT date, {piv} FROM flows GROUP BY date),
 u AS (SELECT COALESCE(m.date, p.date) AS date, {", ".join("m." + c for c in MKT)},

@@ -60,18 +60,45 @@ def _plus_zero(sql: str) -> str:
         i = k + 1
 
 
+def _snap_round_even(sql: str) -> str:
+    """``round_even(x, d)`` -> ``round_even(round(x, 9), d)`` (the same
+    9-decimal snap that ``np_round`` applies on the Spark side)."""
+    out, i = [], 0
+    low = sql.lower()
+    key = "round_even("
+    while True:
+        j = low.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _snap_round_even(sql[j + len(key):k])
+        expr, digits = _split_last_arg(inner)
+        out.append(sql[i:j] + f"round_even(round({expr}, 9), {digits})")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE_SQL[name] = _plus_zero(sql)
+            ORACLE_SQL[name] = _plus_zero(_snap_round_even(sql))
         return fn
     return deco
 
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import (q_clean, q_evaluate, q_features, q_flows, q_joins, q_misc, q_quality_reports, q_risk,  # noqa: F401
+    from . import (q_clean, q_evaluate, q_extra, q_features, q_flows, q_joins, q_misc, q_quality_reports,  # noqa: F401
+                   q_risk,
                    q_scenarios, q_windows)

@@ -118,3 +118,56 @@ def t1_random_forest_segment_flows(spark, sf_dir):
     feats = ["y_lag_1", "y_lag_2", "FED_FUNDS_RATE", "VIX"]
     model = ML.fit_regressor(d, feats, "y", "random_forest")
     return ML.predict_long(model, d, feats, "y", "random_forest")
+
+
+@register("x2_streaming_dynamic_weights")
+def x2_streaming_dynamic_weights(spark, sf_dir):
+    """foreachBatch weight updates over a file stream of orders: rows-only."""
+    schema = read_table(spark, sf_dir, "orders").schema
+    o = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    variants = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(k).alias("k")) for n, k in fx.MODEL_VARIANTS])
+    p = o.select("o_orderkey", "o_totalprice", F.explode(variants).alias("m")).select(
+        F.col("m.model_name").alias("model_name"), F.col("o_orderkey").alias("row_id"),
+        F.col("o_totalprice").alias("actual"),
+        (F.col("o_totalprice") * (1 + ((F.col("o_orderkey") * F.col("m.k")) % 21 - 10).cast("double") / 100))
+        .alias("predicted"))
+    return X.run_dynamic_weights(spark, p)
+
+
+@register("v6_clean_all_integrity")
+def v6_clean_all_integrity(spark, sf_dir):
+    """V6 composition (its steps have oracles): integrity row, rows-only."""
+    from .compositions import clean_all
+    c = fx.customers(spark, sf_dir)
+    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), "2024-01-31")
+    return out["integrity"]
+
+
+@register("v6_clean_all_quality_report")
+def v6_clean_all_quality_report(spark, sf_dir):
+    """V6 composition: per-table quality report, rows-only."""
+    from .compositions import clean_all
+    c = fx.customers(spark, sf_dir)
+    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), "2024-01-31")
+    return out["quality_report"]
+
+
+@register("m4_feature_table")
+def m4_feature_table(spark, sf_dir):
+    """M4 composition (market features + segment features + targets): rows-only."""
+    from .compositions import feature_table
+    return feature_table(fx.market(spark, sf_dir), fx.flows(spark, sf_dir))
+
+
+@register("t5_train_and_compare")
+def t5_train_and_compare(spark, sf_dir):
+    """RF and GBT on the segment-day table, ranked by rmse: rows-only."""
+    from ..operators import flows as A
+    from .compositions import train_and_compare
+    seg = A.segment_behavioral_features(fx.flows(spark, sf_dir))
+    m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
+    t = seg.join(F.broadcast(m), "date", "left")
+    feats = ["segment_sum_deposit_flow_ma_7", "segment_net_flow_rate_ma_7", "FED_FUNDS_RATE", "VIX"]
+    _, cmp = train_and_compare(t, feats, "segment_sum_deposit_flow", "2024-01-22")
+    return cmp

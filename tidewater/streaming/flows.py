@@ -52,3 +52,23 @@ def dynamic_weights_batch(batch: DataFrame, window_rows: int = 20) -> DataFrame:
     inv = err.select("model_name", (1 / (F.col("rmse") + 1e-8)).alias("__w"))
     tot = inv.agg(F.sum("__w")).scalar()
     return inv.select("model_name", (F.col("__w") / tot).alias("weight"))
+
+
+def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name: str = "x2") -> DataFrame:
+    """Each arriving micro-batch of labelled predictions updates the
+    ensemble weights (1/rmse of the batch, normalised); every update is
+    appended with its batch id to a table in the shared checkpoint folder,
+    which is returned after all available input is processed."""
+    base = os.path.join(checkpoint_dir(spark), f"{name}-{os.getpid()}-{id(predictions_stream)}")
+    out_path, ck = os.path.join(base, "weights"), os.path.join(base, "_checkpoint")
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        dynamic_weights_batch(batch).withColumn("batch_id", F.lit(batch_id)) \
+            .write.mode("append").parquet(out_path)
+
+    q = (predictions_stream.writeStream.foreachBatch(update).option("checkpointLocation", ck)
+                           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_path)

@@ -113,3 +113,26 @@ def test_no_python_udf_in_flagship_plan(spark):
     import __spark_entry__ as E
     plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_global_position_with_adaptive_partitions(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"))
+    p = G.with_global_position(df, ["k"]).orderBy("k").toPandas()
+    assert list(p["pos"]) == list(range(5000))
+
+
+def test_ladder_quantiles_with_a_hot_value(spark):
+    # one value holds a third of the rows: it collapses to one ladder row
+    vals = [7.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = G.exact_quantiles(df, "x", [0.1, 0.5, 0.9], ["a", "b", "c"]).first()
+    np.testing.assert_allclose(list(q), np.percentile(vals, [10, 50, 90]))
+    lad = G.value_count_ladder(df, "x")
+    assert lad.where(F.col("x") == 7.0).first()["c"] == 301
+
+
+def test_grouped_ladder_quantiles(spark):
+    rows = [("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", float(v)) for v in [5, 5, 5, 6]]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["m"] for r in G.exact_quantiles(df, "x", [0.5], ["m"], by=["g"]).collect()}
+    assert got == {"a": 3.0, "b": 5.0}

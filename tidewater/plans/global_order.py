@@ -27,9 +27,11 @@ PID, MID = "__go_pid", "__go_mid"
 
 
 def _tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may coalesce neighbouring ranges, which
+    # keeps partition ids in key order while sizing partitions from the data
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    ranged = ranged.sortWithinPartitions(*order_cols)
     tagged = ranged.select("*", F.spark_partition_id().alias(PID),
                            F.monotonically_increasing_id().alias(MID))
     return reliable_checkpoint(tagged)

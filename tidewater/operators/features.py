@@ -216,8 +216,7 @@ def select_features(df: DataFrame, target: str, candidates: Sequence[str], metho
 def transform_customers(customers: DataFrame, as_of: str, segments: Sequence[str] | None = None) -> DataFrame:
     """One-hot segment/region, balance quartile category and log1p, balance
     percentile (average rank), behavioural risk score and its quintile,
-    account age, segment mean/deviation of balance (window, no join)."""
-    from pyspark.sql import Window
+    account age, segment mean/deviation of balance."""
     d = one_hot(customers, "segment", segments)
     d = one_hot(d, "region")
     d = quartile_category(d, "balance_avg", "balance_category")
@@ -226,10 +225,11 @@ def transform_customers(customers: DataFrame, as_of: str, segments: Sequence[str
     d = d.select("*", behavioral_risk_score().alias("behavioral_risk_score"))
     d = quintile_category(d, "behavioral_risk_score", "risk_quintile")
     age = F.datediff(F.lit(as_of).cast("date"), F.col("account_opening_date"))
-    w = Window.partitionBy("segment")
+    # segment means by partial aggregation; one row per segment: broadcast
+    seg = customers.groupBy("segment").agg(F.avg("balance_avg").alias("segment_balance_mean"))
+    d = d.join(F.broadcast(seg), "segment", "left")
     return d.select("*", age.alias("account_age_days"), (age / 365.25).alias("account_age_years"),
-                    F.avg("balance_avg").over(w).alias("segment_balance_mean"),
-                    (F.col("balance_avg") - F.avg("balance_avg").over(w)).alias("balance_vs_segment"))
+                    (F.col("balance_avg") - F.col("segment_balance_mean")).alias("balance_vs_segment"))
 
 
 # ------------------------------------------------------------------------ W19

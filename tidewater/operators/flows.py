@@ -95,16 +95,16 @@ def flow_stability_index(flows: DataFrame, by: Sequence[str] = (), value: str =
 
 
 def group_stats_to_rows(df: DataFrame, key: str, value: str, prefix: str,
-                        zscore: bool = True) -> DataFrame:
-    """Per-key mean/std/min/max/count attached to every row via a
-    partitioned window (no join), plus z-score with (std + 1e-8)."""
-    w = Window.partitionBy(key)
-    cols = [F.avg(value).over(w).alias(f"{prefix}_mean"),
-            F.stddev_samp(value).over(w).alias(f"{prefix}_std"),
-            F.min(value).over(w).alias(f"{prefix}_min"),
-            F.max(value).over(w).alias(f"{prefix}_max"),
-            F.count(value).over(w).alias(f"{prefix}_count")]
-    out = df.select("*", *cols)
+                        zscore: bool = True, bounded_keys: bool = False) -> DataFrame:
+    """Per-key mean/std/min/max/count joined back to every row, plus
+    z-score with (std + 1e-8).  The statistics come from a partial + final
+    aggregation (a hot key is combined map-side); the join back is
+    broadcast when the key domain is bounded (e.g. segments), else left to
+    AQE, whose skew handling splits a hot key."""
+    st = df.groupBy(key).agg(F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
+                             F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max"),
+                             F.count(value).alias(f"{prefix}_count"))
+    out = df.join(F.broadcast(st) if bounded_keys else st, key, "left")
     if zscore:
         out = out.select("*", ((F.col(value) - F.col(f"{prefix}_mean")) / (F.col(f"{prefix}_std") + 1e-8))
                          .alias(f"{prefix}_zscore"))

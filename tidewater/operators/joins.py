@@ -140,22 +140,32 @@ def asof_join_market(facts: DataFrame, market: DataFrame, date_col: str = "date"
 
 
 def asof_join_entity(left: DataFrame, right: DataFrame, entity: str, ts: str,
-                     value_cols: Sequence[str]) -> DataFrame:
-    """Per-entity backward as-of join: union both sides tagged by side,
-    carry the latest right row (as a struct) over each entity's timeline,
-    keep the left rows.  One shuffle by entity; right rows at equal
-    timestamps sort before left rows so they match."""
-    r = right.select(entity, ts, F.lit(0).alias("__side"),
+                     value_cols: Sequence[str], block: str = "day") -> DataFrame:
+    """Per-entity backward as-of join (latest right row at or before each
+    left row of the same entity; right rows sort first at equal times).
+
+    A hot entity is not sent to one task: rows are windowed per
+    (entity, time block); the value carried into a block comes from a
+    per-(entity, block) summary (one row per block, bounded by the
+    calendar) windowed over the entity's blocks."""
+    blk = F.date_trunc(block, F.col(ts))
+    r = right.select(entity, ts, blk.alias("__b"), F.lit(0).alias("__side"),
                      F.struct(*value_cols).alias("__v"))
     l_cols = [c for c in left.columns if c not in (entity, ts)]
-    l_ = left.select(entity, ts, F.lit(1).alias("__side"), F.struct(*l_cols).alias("__l"))
+    l_ = left.select(entity, ts, blk.alias("__b"), F.lit(1).alias("__side"), F.struct(*l_cols).alias("__l"))
     r = r.select("*", F.lit(None).cast(l_.schema["__l"].dataType).alias("__l"))
-    l_ = l_.select(entity, ts, "__side", F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), "__l")
+    l_ = l_.select(entity, ts, "__b", "__side", F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), "__l")
     u = r.unionByName(l_)
-    w = Window.partitionBy(entity).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    c = u.select(entity, ts, "__side", "__l", F.last("__v", ignorenulls=True).over(w).alias("__v"))
-    return c.where(F.col("__side") == 1).select(entity, ts, "__l.*", *[F.col(f"__v.{v}").alias(v)
-                                                                         for v in value_cols])
+    w = Window.partitionBy(entity, "__b").orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    local = u.select(entity, ts, "__b", "__side", "__l", F.last("__v", ignorenulls=True).over(w).alias("__v"))
+    # one row per (entity, block): the block's last right row, carried over blocks
+    blocks = (u.groupBy(entity, "__b")
+               .agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct(ts))).alias("__last")))
+    wb = Window.partitionBy(entity).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(entity, "__b", F.last("__last", ignorenulls=True).over(wb).alias("__in"))
+    out = local.where(F.col("__side") == 1).join(carry, [entity, "__b"], "left")
+    v = F.coalesce(F.col("__v"), F.col("__in"))
+    return out.select(entity, ts, "__l.*", *[v[c].alias(c) for c in value_cols])
 
 
 # ------------------------------------------------------------------------ J9/J10

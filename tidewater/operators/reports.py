@@ -141,16 +141,21 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
                                  F.col(f"`{a}\u0001{b}`").alias("corr")) for a in cols for b in cols])
         return wide.select(F.explode(arr).alias("__s")).select("__s.*")
     if method == "spearman":
+        from ..plans.global_order import value_count_ladder
         pairs = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                                    F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
                           for a in cols for b in cols])
         p = df.select(F.explode(pairs).alias("__p")).select("__p.*") \
               .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        rx = W.rank_pct_expr(F.col("x"), ["var1", "var2"])
-        ry = W.rank_pct_expr(F.col("y"), ["var1", "var2"])
-        r = p.select("var1", "var2", rx.alias("rx"), ry.alias("ry"))
-        return r.groupBy("var1", "var2").agg(
-            F.when(F.count(F.lit(1)) >= min_periods, F.corr("rx", "ry")).alias("corr"))
+        keys = ["var1", "var2"]
+        # average ranks per pair from grouped value ladders (no task holds a
+        # whole column); the joins back are on (pair, value)
+        rx = value_count_ladder(p, "x", keys).select(*keys, "x", (F.col("below") + (F.col("c") + 1) / 2.0)
+                                                     .alias("rx"))
+        ry = value_count_ladder(p, "y", keys).select(*keys, "y", (F.col("below") + (F.col("c") + 1) / 2.0)
+                                                     .alias("ry"))
+        r = p.join(rx, keys + ["x"]).join(ry, keys + ["y"])
+        return r.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_periods, F.corr("rx", "ry")).alias("corr"))
     raise ValueError(f"unsupported method {method!r}")
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import flag, safe_div, scalar_fields
+from ..functions.core import flag, safe_div, with_row
 from ..plans.global_order import exact_quantiles, rank_pct
 from . import windows as W
 
@@ -133,24 +133,24 @@ def quartile_category(df: DataFrame, col: str, name: str | None = None) -> DataF
     """cut into (0,q25], (q25,q50], (q50,q75], (q75,inf) -> Q1..Q4 (rank
     1..4); values <= 0 fall outside every bin -> NULL."""
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75], ["a", "b", "c"])
-    qf = scalar_fields(q)
-    a, b, c = qf["a"], qf["b"], qf["c"]
+    d = with_row(df, q, "__q")
+    a, b, c = F.col("__q")["a"], F.col("__q")["b"], F.col("__q")["c"]
     x = F.col(col)
     rank = F.when((x > 0) & (x <= a), 1).when((x > a) & (x <= b), 2).when((x > b) & (x <= c), 3).when(x > c, 4)
     n = name or f"{col}_category"
-    return df.select("*", F.concat(F.lit("Q"), rank.cast("string")).alias(n), rank.alias(f"{n}_rank"))
+    return d.select(*df.columns, F.concat(F.lit("Q"), rank.cast("string")).alias(n), rank.alias(f"{n}_rank"))
 
 
 def quintile_category(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """qcut into 5 equal-frequency bins (lowest edge included, right
     closed) with exact edges -> 1..5."""
     q = exact_quantiles(df, col, [0.0, 0.2, 0.4, 0.6, 0.8], ["e0", "e1", "e2", "e3", "e4"])
-    qf = scalar_fields(q)
-    e = [qf[f"e{i}"] for i in range(5)]
+    d = with_row(df, q, "__q")
+    e = [F.col("__q")[f"e{i}"] for i in range(5)]
     x = F.col(col)
     rank = (F.when((x >= e[0]) & (x <= e[1]), 1).when(x <= e[2], 2).when(x <= e[3], 3).when(x <= e[4], 4)
              .when(x.isNotNull(), 5))
-    return df.select("*", rank.alias(name or f"{col}_quintile"))
+    return d.select(*df.columns, rank.alias(name or f"{col}_quintile"))
 
 
 # ------------------------------------------------------------------------- M1
@@ -180,15 +180,15 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataF
     """(x - center) / scale; a zero scale divides by 1 (as sklearn)."""
     # one scalar subquery holding every fitted (center, scale) pair
     wide = params.groupBy().pivot("column", list(cols)).agg(F.first(F.struct("center", "scale")))
-    pf = scalar_fields(wide)
+    d = with_row(df, wide, "__p")
     sel = []
     for c in df.columns:
         if c in cols:
-            ctr, sc = pf[c]["center"], pf[c]["scale"]
+            ctr, sc = F.col("__p")[c]["center"], F.col("__p")[c]["scale"]
             sel.append(((F.col(c) - ctr) / F.when(sc == 0, F.lit(1.0)).otherwise(sc)).alias(c))
         else:
             sel.append(F.col(c))
-    return df.select(*sel)
+    return d.select(*sel)
 
 
 # ------------------------------------------------------------------------- M3

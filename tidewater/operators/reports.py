@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div, scalar_fields
+from ..functions.core import (adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div, scalar_fields,
+                             with_row)
 from ..plans.global_order import exact_quantiles
 from . import windows as W
 
@@ -187,7 +188,11 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: Sequence[str] = ()) -
     x = F.col(col)
     rng = df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     d = df.where(x.isNotNull()).select(*by, x.alias("__x"))
-    d = d.join(rng, list(by)) if by else d.select("*", *[scalar_fields(rng)[c].alias(c) for c in ("__lo", "__hi")])
+    if by:
+        d = d.join(rng, list(by))
+    else:
+        d = with_row(d, rng, "__rng").select(*by, "__x", F.col("__rng")["__lo"].alias("__lo"),
+                                             F.col("__rng")["__hi"].alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")

@@ -22,15 +22,6 @@ from ..schemas import LCR_BUFFER, LCR_MINIMUM
 from . import windows as W
 
 
-def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-group statistics to rows: join on the keys, or scalar
-    subqueries when there is a single group."""
-    if by:
-        return df.join(stats, list(by), "left")
-    sf = scalar_fields(stats)
-    return df.select("*", *[sf[c].alias(c) for c in stats.columns])
-
-
 def risk_level(ratio: Column) -> Column:
     return (F.when(ratio >= LCR_MINIMUM + LCR_BUFFER, "Low")
              .when(ratio >= LCR_MINIMUM, "Medium").otherwise("High"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import combine_rows, scalar_fields
+from ..functions.core import combine_rows, with_row
 from ..plans.global_order import exact_quantiles
 from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
 
@@ -145,10 +145,11 @@ def compare_scenarios(metrics: DataFrame, base: str = "base") -> DataFrame:
     """Deltas of every scenario against the base row (scalar subqueries of
     the one base row)."""
     b = metrics.where(F.col("scenario") == base)
-    bf = scalar_fields(b.select("total_deposits", "stressed_lcr_ratio", "stressed_dar_95"))
-    bd, bl, bv = bf["total_deposits"], bf["stressed_lcr_ratio"], bf["stressed_dar_95"]
+    m = with_row(metrics.where(F.col("scenario") != base),
+                 b.select("total_deposits", "stressed_lcr_ratio", "stressed_dar_95"), "__b")
+    bd, bl, bv = F.col("__b")["total_deposits"], F.col("__b")["stressed_lcr_ratio"], F.col("__b")["stressed_dar_95"]
     pct = (F.col("total_deposits") - bd) / bd * 100
-    return metrics.where(F.col("scenario") != base).select(
+    return m.select(
         "scenario", (F.col("total_deposits") - bd).alias("deposit_change_abs"), pct.alias("deposit_change_pct"),
         (F.col("stressed_lcr_ratio") - bl).alias("lcr_change"), F.col("lcr_breach").alias("lcr_breach_risk"),
         (F.col("stressed_dar_95") - F.coalesce(bv, F.lit(0.0))).alias("dar_change"), "funding_gap",

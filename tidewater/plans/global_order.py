@@ -66,6 +66,21 @@ def global_lag(df_with_pos: DataFrame, cols: Sequence[str], pos_col: str = "pos"
     return j.select(*out)
 
 
+# distinct (group, value) pairs below which the ladder is computed with a
+# plain window instead of the range-partitioned, checkpointed passes
+SMALL_DISTINCT = 200_000
+
+
+def _few_distinct(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> bool:
+    """Size check (one cheap aggregation): approximate number of distinct
+    ``cols`` combinations is at most ``limit`` (5 % relative error, so the
+    check keeps a margin below the limit)."""
+    limit = SMALL_DISTINCT if limit is None else limit
+    key = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
+    n = df.agg(F.approx_count_distinct(key, rsd=0.05)).first()[0]
+    return n is not None and n <= limit * 0.9
+
+
 def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
                        num_partitions: int | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` (per ``by`` group) with their
@@ -79,6 +94,12 @@ def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
     """
     keys = list(by)
     vc = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("c"))
+    if _few_distinct(df, [*keys, col]):
+        # checked size: the value-count table is small, so a window over it
+        # (one partition per group) is bounded; no checkpoint pass needed
+        w = (Window.partitionBy(*keys) if keys else Window).orderBy(col) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        return vc.select(*keys, col, "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("below"))
     t = _tagged(vc, [*keys, col], num_partitions)
     # within a partition: cumulative count in (group, value) order
     w_local = Window.partitionBy(PID).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +134,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
     merges every distinct value of a group into one buffer).  Position
     q*(n-1) falls on the value whose rank range [below, below + c) holds it."""
     keys = list(by)
+    names = list(names) if names else [f"q{q}" for q in qs]
     lad = ladder if ladder is not None else value_count_ladder(df, col, keys)
     if keys:
         lad = lad.join(lad.groupBy(*keys).agg(F.sum("c").alias("__n")), keys)
@@ -127,6 +149,5 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
         v_lo = F.max(F.when((below <= lo) & (lo < below + c), v))
         v_hi = F.max(F.when((below <= hi) & (hi < below + c), v))
         frac = F.max(pos - lo)
-        name = names[i] if names else f"q{q}"
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(names[i]))
     return lad.groupBy(*keys).agg(*aggs)

@@ -136,3 +136,19 @@ def test_grouped_ladder_quantiles(spark):
     df = spark.createDataFrame(rows, "g string, x double")
     got = {r["g"]: r["m"] for r in G.exact_quantiles(df, "x", [0.5], ["m"], by=["g"]).collect()}
     assert got == {"a": 3.0, "b": 5.0}
+
+
+def test_ladder_range_path_matches_numpy(spark, monkeypatch):
+    # force the range-partitioned, checkpointed ladder used for large inputs
+    monkeypatch.setattr(G, "SMALL_DISTINCT", 0)
+    vals = [7.0] * 50 + [float(i % 97) for i in range(400)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = G.exact_quantiles(df, "x", [0.05, 0.5, 0.95], ["a", "b", "c"]).first()
+    np.testing.assert_allclose(list(q), np.percentile(vals, [5, 50, 95]))
+    got = G.rank_pct(df.select(F.monotonically_increasing_id().alias("i"), "x"), "x") \
+        .orderBy("i").toPandas()["x_rank_pct"]
+    np.testing.assert_allclose(got, pd.Series(vals).rank(pct=True))
+    rows = [("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", float(v)) for v in [5, 5, 5, 6]]
+    g = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["m"] for r in G.exact_quantiles(g, "x", [0.5], ["m"], by=["g"]).collect()}
+    assert got == {"a": 3.0, "b": 5.0}

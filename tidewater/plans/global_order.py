@@ -66,21 +66,12 @@ def global_lag(df_with_pos: DataFrame, cols: Sequence[str], pos_col: str = "pos"
     return j.select(*out)
 
 
-# distinct (group, value) pairs below which the ladder is computed with a
-# plain window instead of the range-partitioned, checkpointed passes
+# distinct (group, value) pairs up to which the ladder is computed with a
+# plain window over the (checkpointed) value counts instead of a second,
+# range-partitioned pass
 SMALL_DISTINCT = 200_000
 
 
-def _few_distinct(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> bool:
-    """Size check (one cheap aggregation): approximate number of distinct
-    ``cols`` combinations is at most ``limit`` (5 % relative error, so the
-    check keeps a margin below the limit)."""
-    limit = SMALL_DISTINCT if limit is None else limit
-    key = F.struct(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
-    n = df.agg(F.approx_count_distinct(key, rsd=0.05)).first()[0]
-    return n is not None and n <= limit * 0.9
-
-
 def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
                        num_partitions: int | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` (per ``by`` group) with their
@@ -94,9 +85,11 @@ def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
     """
     keys = list(by)
     vc = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("c"))
-    if _few_distinct(df, [*keys, col]):
+    # materialise the value counts once (they are read several times)
+    vc = reliable_checkpoint(vc)
+    if vc.count() <= SMALL_DISTINCT:
         # checked size: the value-count table is small, so a window over it
-        # (one partition per group) is bounded; no checkpoint pass needed
+        # (one partition per group) is bounded; no range pass needed
         w = (Window.partitionBy(*keys) if keys else Window).orderBy(col) \
             .rowsBetween(Window.unboundedPreceding, -1)
         return vc.select(*keys, col, "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("below"))

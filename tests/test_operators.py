@@ -152,3 +152,13 @@ def test_ladder_range_path_matches_numpy(spark, monkeypatch):
     g = spark.createDataFrame(rows, "g string, x double")
     got = {r["g"]: r["m"] for r in G.exact_quantiles(g, "x", [0.5], ["m"], by=["g"]).collect()}
     assert got == {"a": 3.0, "b": 5.0}
+
+
+def test_all_scenarios_in_one_scan_of_deposits(spark):
+    import __spark_entry__ as E
+    df = E.queries()["n2_n3_shocked_deposits"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # events (the deposits' source) is read once for the base case and all scenarios
+    assert sum(1 for line in plan.splitlines() if "Relation [event_id" in line) == 1
+    assert "Generate explode" in plan
+    assert "CartesianProduct" not in plan and "crossJoin" not in plan.lower()

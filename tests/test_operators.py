@@ -162,3 +162,19 @@ def test_all_scenarios_in_one_scan_of_deposits(spark):
     assert sum(1 for line in plan.splitlines() if "Relation [event_id" in line) == 1
     assert "Generate explode" in plan
     assert "CartesianProduct" not in plan and "crossJoin" not in plan.lower()
+
+
+def test_entity_asof_hot_entity_matches_brute_force(spark):
+    # one entity holds most rows and spans many day blocks
+    base = dt.datetime(2024, 1, 1)
+    right = [("hot", base + dt.timedelta(hours=7 * i), float(i)) for i in range(60)] + \
+            [("cold", base + dt.timedelta(hours=30), 99.0)]
+    left = [("hot", base + dt.timedelta(hours=5 * j + 1), j) for j in range(80)] + \
+           [("cold", base, -1), ("cold", base + dt.timedelta(days=3), -2)]
+    r = spark.createDataFrame(right, "k string, ts timestamp, v double")
+    l_ = spark.createDataFrame(left, "k string, ts timestamp, q int")
+    got = {(row["k"], row["q"]): row["v"] for row in J.asof_join_entity(l_, r, "k", "ts", ["v"]).collect()}
+    for k, ts, q in left:
+        cands = [(t, v) for kk, t, v in right if kk == k and t <= ts]
+        exp = max(cands)[1] if cands else None
+        assert got[(k, q)] == exp

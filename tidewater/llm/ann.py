@@ -178,7 +178,7 @@ def nearest(rows: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", vec
         picked = classes.select("v").limit(2).toPandas()
     codes = fit_codes(np.stack(picked["v"].to_numpy()), longest)
 
-    asking = rows.where(asks)
+    asking = rows.where(asks).distinct()
     queries = written(asking.select("v").distinct().join(classes, "v").select(F.col("cid").alias("asked"), "v"))
     m = queries.count()
     chunks, turns = -(-n // CHUNK), max(1, -(-m // QUERIES))

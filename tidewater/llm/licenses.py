@@ -1,8 +1,8 @@
 """Licence scan by canonical digests, in DataFrame functions.
 
-A text is brought to a canonical form: lines that claim a copyright go, spelling
-variants become one, letters become small, and whatever isn't a letter or digit
-becomes a single blank.  The SHA-256 of that form is joined with the digests of
+A text is brought to a canonical form: lines that claim a copyright go, letters
+become small, whatever isn't a letter or digit becomes a single blank, and
+spelling variants become one.  The SHA-256 of that form is joined with the digests of
 known licences, so a document is a licence if its entire text is one, whatever
 its layout, year or holder.  Single lines are matched with known notices the
 same way.
@@ -23,10 +23,11 @@ from .common import BROADCAST_ROWS
 #: Rows of known texts up to which lines are looked up, too.
 NOTICE_ROWS = 1_000
 
-#: Spellings that licences use for one another.
-SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"),
-             ("noncommercial", "non-commercial"), ("whilst", "while"), ("wilful", "willful"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"),
-             ("redistributions", "redistribution"), ("https://", "http://"), ("per cent", "percent"), ("&", "and")]
+#: Spellings that licences use for one another, as they look
+#: when punctuation is gone.
+SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"), ("non commercial", "noncommercial"),
+             ("whilst", "while"), ("wilful", "willful"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"),
+             ("redistributions", "redistribution"), ("https ", "http "), ("per cent", "percent")]
 COPYRIGHT = r"(?im)^[^\n]{0,20}(?:copyright|\(c\)|©)\s*(?:\(c\)|©|[0-9]{4}|by\s)[^\n]*$"
 
 #: Texts of short public licences and the usual notices.
@@ -59,9 +60,10 @@ Unless required by applicable law or agreed to in writing, software distributed
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null becomes empty."""
     c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " "))
+    c = F.btrim(F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.btrim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    return c
 
 
 def digest(text: Column) -> Column:

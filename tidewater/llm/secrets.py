@@ -74,8 +74,9 @@ def labelled_samples(docs: DataFrame, text: str = "text", by: str = "doc_id") ->
     """(token, random boolean), the training sample.
 
     Random: digests of counters, spelled as lower and upper hex and as base64.
-    Identifiers: the words of a hash-chosen part of the documents, alone and
-    joined the way names, paths and constants join them.
+    Ordinary: the words of a hash-chosen part of the documents, alone and
+    joined the way names, paths and constants join them; dates, times and
+    numbers; ruled lines.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -94,24 +95,38 @@ def labelled_samples(docs: DataFrame, text: str = "text", by: str = "doc_id") ->
     at = F.col("id").cast("string")
     lots = spark.range(RANDOM_SAMPLES).select(F.explode(F.array(
         F.sha1(at), F.upper(F.sha1(at)), F.base64(F.unhex(F.sha2(at, 256))))).alias("token"), F.lit(True).alias("random"))
-    return lots.unionByName(ids)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 11).cast("int"))
+    plain = spark.range(RANDOM_SAMPLES).select(F.explode(F.array(
+        day.cast("string"), F.date_format(day, "yyyy/MM/dd"), F.concat(F.date_format(day, "yyyyMMdd"), F.lit("000000")),
+        (F.col("id") * 1_000_003).cast("string"), *[F.repeat(F.lit(c), F.lit(24)) for c in ALPHABET[62:]])).alias("token"), F.lit(False).alias("random"))
+    return lots.unionByName(ids).unionByName(plain)
 
 
 def likelihood_ratios(samples: DataFrame) -> np.ndarray:
-    """log P(b | a; random) - log P(b | a; identifier) for all pairs of states.
+    """log P(b | a; random) - log P(b | a; ordinary) for all pairs of states.
 
     The pairs are counted by Spark; two tables of ``STATES`` x ``STATES``
-    counts come to the driver, however many samples there are.
+    counts come to the driver, however many samples there are.  Half of every
+    probability is that of the characters' classes (small letter, capital,
+    digit, each symbol), so that words with pairs of letters that the sample
+    lacks still look like words.
     """
     pairs = samples.select("random", _states(F.col("token")).alias("s")).select("random", F.explode(F.zip_with(
         F.expr("slice(s, 1, size(s) - 1)"), F.expr("slice(s, 2, size(s) - 1)"), lambda a, b: a * STATES + b)).alias("pair"))
-    counts = {False: np.full(STATES * STATES, 0.5), True: np.full(STATES * STATES, 0.5)}
+    counts = {k: np.zeros(STATES * STATES) for k in (False, True)}
     for r in pairs.groupBy("random", "pair").count().collect():
         counts[r["random"]][r["pair"]] += r["count"]
+    kind = np.array([0] + [1] * 26 + [2] * 26 + [3] * 10 + [4, 5, 6, 7, 8])
+    member = np.eye(kind.max() + 1)[kind]
+    size = member.sum(0)
     log = {}
     for k, c in counts.items():
         c = c.reshape(STATES, STATES)
-        log[k] = np.log(c / c.sum(1, keepdims=True))
+        classes = member.T @ c @ member + 0.5
+        by_class = (classes / classes.sum(1, keepdims=True) / size)[kind][:, kind]
+        total = c.sum(1, keepdims=True)
+        seen = np.where(total > 0, c / np.maximum(total, 1), by_class)
+        log[k] = np.log(0.5 * seen + 0.5 * by_class)
     return log[True] - log[False]
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import clean as C
@@ -138,9 +139,7 @@ def test_grouped_ladder_quantiles(spark):
     assert got == {"a": 3.0, "b": 5.0}
 
 
-def test_ladder_range_path_matches_numpy(spark, monkeypatch):
-    # force the range-partitioned, checkpointed ladder used for large inputs
-    monkeypatch.setattr(G, "SMALL_DISTINCT", 0)
+def test_ladder_range_path_matches_numpy(spark):
     vals = [7.0] * 50 + [float(i % 97) for i in range(400)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     q = G.exact_quantiles(df, "x", [0.05, 0.5, 0.95], ["a", "b", "c"]).first()
@@ -178,3 +177,92 @@ def test_entity_asof_hot_entity_matches_brute_force(spark):
         cands = [(t, v) for kk, t, v in right if kk == k and t <= ts]
         exp = max(cands)[1] if cands else None
         assert got[(k, q)] == exp
+
+
+def test_join_groups_when_one_group_holds_all_rows(spark):
+    df = spark.range(5_000).select(F.when(F.col("id") < 4_900, "a").otherwise("b").alias("g"), F.col("id").cast("double").alias("x"))
+    out = G.join_groups(df, df.groupBy("g").agg(F.avg("x").alias("m")), ["g"])
+    assert {r["g"]: (r["n"], r["m"]) for r in out.groupBy("g").agg(F.count("*").alias("n"), F.max("m").alias("m")).collect()} == {
+        "a": (4_900, 2449.5), "b": (100, 4949.5)}
+    left = G.join_groups(df, df.where("g = 'a'").groupBy("g").agg(F.avg("x").alias("m")), ["g"], "left")
+    assert left.where("m is null").count() == 100
+
+
+def test_interpolate_frame_fills_edges_and_text(spark):
+    from tidewater.operators.clean import handle_missing_frame
+    rows = [(1, None, None), (2, 2.0, "a"), (3, None, None), (4, 4.0, "b"), (5, None, None)]
+    df = spark.createDataFrame(rows, "date int, x double, t string")
+    got = [tuple(r) for r in handle_missing_frame(df, "interpolate").orderBy("date").collect()]
+    assert got == [(1, 2.0, "a"), (2, 2.0, "a"), (3, 3.0, "a"), (4, 4.0, "b"), (5, 4.0, "b")]
+
+
+def test_report_rates_the_unrounded_score(spark):
+    from tidewater.operators.evaluate import evaluation_report
+    # 40 * 0.9 + 25 + 0.3 * directional accuracy: 79.96, 80 and 59.96
+    rows = [("a", 0.9, 7.0, 63.2), ("b", 0.9, 7.0, 190 / 3), ("c", 0.9, 50.0, 79.8666666666)]
+    df = spark.createDataFrame(rows, "model_name string, r2 double, mape double, directional_accuracy double")
+    got = {r["model_name"]: r for r in evaluation_report(df).collect()}
+    assert (got["a"]["overall_score"], got["a"]["rating"]) == (80.0, "Good")
+    assert (got["b"]["overall_score"], got["b"]["rating"]) == (80.0, "Excellent")
+    assert got["c"]["rating"] == "Poor" and "Model performance below acceptable threshold" in got["c"]["recommendations"]
+
+
+def test_indicators_skip_days_without_a_value(spark):
+    import datetime
+    from tidewater.operators.features import technical_indicators
+    rng = np.random.default_rng(4)
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(90)]
+    values = [None if k == 40 else float(v) for k, v in enumerate(100 + rng.normal(size=90).cumsum())]
+    full = [(d, v) for d, v in zip(days, values) if v is not None]
+    schema = "date date, x double"
+    a = {r["date"]: r for r in technical_indicators(spark.createDataFrame(list(zip(days, values)), schema), ["x"]).collect()}
+    b = {r["date"]: r for r in technical_indicators(spark.createDataFrame(full, schema), ["x"]).collect()}
+    assert len(a) == 90 and a[days[40]]["bb_middle"] is None and a[days[40]]["rsi_14"] is None
+    assert all(a[d] == b[d] for d, _ in full)
+    # by hand: Wilder's averages start with no change on the first day
+    x = [v for _, v in full]
+    up = down = 0.0
+    for k in range(1, 20):
+        change = x[k] - x[k - 1]
+        up, down = (13 * up + max(change, 0.0)) / 14, (13 * down + max(-change, 0.0)) / 14
+    assert abs(b[full[19][0]]["rsi_14"] - (100 - 100 / (1 + up / down))) < 1e-9
+
+
+def test_components_need_more_rows_than_the_least(spark):
+    from tidewater.operators.features import pca_components
+    rows = [(k, float(k), float(k * k), float(k % 3)) for k in range(11)]
+    df = spark.createDataFrame(rows, "date int, a double, b double, c double")
+    few = pca_components(df.where("date < 10"), ["a", "b", "c"])
+    assert few.columns == ["date", "PC_1", "PC_2", "PC_3"] and few.count() == 0
+    assert pca_components(df, ["a", "b", "c"]).count() == 11
+
+
+def test_severe_scenario_has_the_funding_gap(spark):
+    from tidewater.operators.scenarios import quick_impact
+    c = spark.createDataFrame([(1000.0,)], "balance_avg double")
+    f = spark.createDataFrame([(10.0,)], "deposit_flow double")
+    got = {r["scenario"]: r for r in quick_impact(c, f, [("mild", 0.05, 100.0), ("edge", 0.25, 0.0), ("severe", 0.30, 500.0)]).collect()}
+    assert got["mild"]["critical_metrics"] == [] and got["edge"]["critical_metrics"] == ["High deposit outflow"]
+    assert got["severe"]["critical_metrics"] == ["LCR below regulatory minimum", "High deposit outflow", "Significant funding gap"]
+    assert abs(got["severe"]["flow_change"] - 5.0) < 1e-9 and abs(got["severe"]["deposit_change_pct"] + 30) < 1e-9
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    from tidewater.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import clean_double, clip, numeric_columns, with_row
-from ..plans.global_order import exact_quantiles
+from ..plans.global_order import exact_quantiles, join_groups
 from ..schemas import SEGMENTS
 from . import windows as W
 
@@ -54,7 +54,7 @@ def outlier_flag(df: DataFrame, col: str, method: str = "iqr", threshold: float
 
     def attach(stats: DataFrame) -> DataFrame:
         if keys:
-            return df.join(stats, keys, "left")
+            return join_groups(df, stats, keys, "left")
         d = with_row(df, stats, "__stats")
         return d.select(*df.columns, *[F.col("__stats")[c].alias(c) for c in stats.columns])
 
@@ -74,7 +74,7 @@ def outlier_flag(df: DataFrame, col: str, method: str = "iqr", threshold: float
         d = attach(exact_quantiles(df, col, [0.5], ["__med"], by=keys))
         dev = d.select(*keys, F.abs(x - F.col("__med")).alias("__dev"))
         mad = exact_quantiles(dev, "__dev", [0.5], ["__mad"], by=keys)
-        d = d.join(mad, keys, "left") if keys else d.select("*", mad.select("__mad").scalar().alias("__mad"))
+        d = join_groups(d, mad, keys, "left") if keys else d.select("*", mad.select("__mad").scalar().alias("__mad"))
         cond = F.abs(0.6745 * (x - F.col("__med")) / F.col("__mad")) > k
         drop = ["__med", "__mad"]
     else:
@@ -134,14 +134,16 @@ def handle_missing_values(df: DataFrame, strategy: Mapping[str, str] | None = No
 def handle_missing_frame(df: DataFrame, method: str = "forward_fill", order_by=("date",),
                          partition_by=None) -> DataFrame:
     """One method for the whole frame: forward_fill (then bfill),
-    interpolate, zero_fill (numeric), mean_fill (mean for numeric, mode or
+    interpolate (numeric; then forward and backward fill of what is left),
+    zero_fill (numeric), mean_fill (mean for numeric, mode or
     'Unknown' for the rest)."""
     cols = [c for c in df.columns if c not in order_by and c not in (partition_by or [])]
     num = set(numeric_columns(df))
     if method == "forward_fill":
         return W.forward_then_backward_fill(df, cols, list(order_by), partition_by)
     if method == "interpolate":
-        return W.interpolate_linear(df, [c for c in cols if c in num], list(order_by), partition_by)
+        inner = W.interpolate_linear(df, [c for c in cols if c in num], list(order_by), partition_by)
+        return W.forward_then_backward_fill(inner, cols, list(order_by), partition_by)
     if method == "zero_fill":
         return df.select(*[F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
                            if c in num and c in cols else F.col(c) for c in df.columns])

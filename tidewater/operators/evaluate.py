@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
-from ..plans.global_order import exact_quantiles, global_lag, with_global_position
+from ..plans.global_order import exact_quantiles, global_lag, join_groups, with_global_position
 
 KEY = "model_name"
 
@@ -25,7 +25,7 @@ def positioned(preds: DataFrame, by: str = KEY, order_by: str = "row_id") -> Dat
     ``n`` (rows of the model), with the previous row's actual/predicted."""
     p = with_global_position(preds, [by, order_by], "gpos")
     start = p.groupBy(by).agg(F.min("gpos").alias("__s"), F.count(F.lit(1)).alias("n"))
-    p = p.join(start, by)
+    p = join_groups(p, start, [by])
     p = global_lag(p, ["actual", "predicted"], "gpos", same=[by])
     return p.select(*preds.columns, (F.col("gpos") - F.col("__s")).alias("pos"), "n",
                     "actual_prev", "predicted_prev")
@@ -129,7 +129,7 @@ def residual_analysis(preds: DataFrame, by: str = KEY, order_by: str = "row_id")
     q = exact_quantiles(d, "r", [0.25, 0.5, 0.75], ["q25", "median", "q75"], by=[by])
     s = stats.join(ratio, by, "left").join(q, by, "left")
     jb = F.col("n") / 6 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4)
-    out = d.join(s.select(by, "mean", "std"), by).groupBy(by).agg(
+    out = join_groups(d, s.select(by, "mean", "std"), [by]).groupBy(by).agg(
         F.count(F.when(F.abs((F.col("r") - F.col("mean")) / F.col("std")) > 2.5, 1)).alias("outlier_count"))
     return s.join(out, by).select(
         by, "n", "mean", "std", "min", "max", "q25", "median", "q75", "skewness", "kurtosis",
@@ -193,7 +193,7 @@ def business_impact(preds: DataFrame, by: str = KEY, value_per_unit: float = 1.0
     e = F.abs(F.col("predicted") - F.col("actual"))
     d = preds.select(by, "actual", "predicted", e.alias("__e"))
     p95 = exact_quantiles(d, "__e", [0.95], ["__p95"], by=[by])
-    g = d.join(p95, by).groupBy(by).agg(
+    g = join_groups(d, p95, [by]).groupBy(by).agg(
         (F.sum("predicted") * value_per_unit).alias("total_prediction_value"),
         (F.sum("actual") * value_per_unit).alias("total_actual_value"),
         ((F.sum("predicted") - F.sum("actual")) * value_per_unit).alias("value_difference"),
@@ -251,9 +251,10 @@ def evaluation_report(metrics: DataFrame, residuals: DataFrame | None = None, by
     score = (F.when(r2 >= 0, F.least(F.lit(40.0), r2 * 40)).otherwise(0.0)
              + F.when(mape < 5, 30.0).when(mape < 10, 25.0).when(mape < 20, 15.0).when(mape < 30, 5.0).otherwise(0.0)
              + F.least(F.lit(30.0), da * 30 / 100))
-    m = metrics.select(by, "r2", "mape", "directional_accuracy", F.round(score, 1).alias("overall_score"))
-    m = m.select("*", F.when(F.col("overall_score") >= 80, "Excellent").when(F.col("overall_score") >= 70, "Good")
-                 .when(F.col("overall_score") >= 60, "Fair").otherwise("Poor").alias("rating"))
+    # rated and judged unrounded; only the reported score is rounded
+    m = metrics.select(by, "r2", "mape", "directional_accuracy", F.bround(score, 1).alias("overall_score"),
+                       F.when(score >= 80, "Excellent").when(score >= 70, "Good").when(score >= 60, "Fair")
+                       .otherwise("Poor").alias("rating"), score.alias("__score"))
     if residuals is not None:
         m = m.join(residuals.select(by, "is_normal", "autocorrelation_significant", "likely_heteroscedastic",
                                     "outlier_percentage"), by, "left")
@@ -265,12 +266,12 @@ def evaluation_report(metrics: DataFrame, residuals: DataFrame | None = None, by
                    F.lit("Likely heteroscedasticity present")),
             F.when(F.col("outlier_percentage") > 5,
                    F.format_string("High percentage of outliers (%.1f%%)", F.col("outlier_percentage")))))
-        m = m.select(by, "r2", "mape", "directional_accuracy", "overall_score", "rating", issues.alias("issues"))
+        m = m.select(by, "r2", "mape", "directional_accuracy", "overall_score", "rating", "__score", issues.alias("issues"))
     recs = F.array_compact(F.array(
         F.when(r2 < 0.5, F.lit("Consider feature engineering or different algorithms")),
         F.when(mape > 20, F.lit("High prediction errors - review model assumptions")),
-        F.when(F.col("overall_score") < 60, F.lit("Model performance below acceptable threshold"))))
-    return m.select("*", recs.alias("recommendations"))
+        F.when(F.col("__score") < 60, F.lit("Model performance below acceptable threshold"))))
+    return m.select("*", recs.alias("recommendations")).drop("__score")
 
 
 # ------------------------------------------------------------------------ EV14
@@ -280,7 +281,7 @@ def qq_pairs(preds: DataFrame, by: str = KEY, order_by: str = "row_id", points:
     from ..functions.stats import norm_ppf
     r = preds.select(by, (F.col("actual") - F.col("predicted")).alias("__r"))
     st = r.groupBy(by).agg(F.avg("__r").alias("__m"), F.stddev_pop("__r").alias("__s"))
-    z = r.join(st, by).select(by, ((F.col("__r") - F.col("__m")) / F.col("__s")).alias("__z"))
+    z = join_groups(r, st, [by]).select(by, ((F.col("__r") - F.col("__m")) / F.col("__s")).alias("__z"))
     qs = [0.01 + i * (0.98 / (points - 1)) for i in range(points)]
     q = exact_quantiles(z, "__z", qs, [f"q{i}" for i in range(points)], by=[by])
     arr = F.array(*[F.struct(F.lit(qs[i]).alias("p"), F.col(f"q{i}").alias("sample_quantile")) for i in range(points)])

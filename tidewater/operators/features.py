@@ -264,7 +264,8 @@ def _indicators(pdf: pd.DataFrame) -> pd.DataFrame:
             out[c] = float("nan")
         return out
     delta = x.diff()
-    up, down = delta.clip(lower=0), (-delta).clip(lower=0)
+    # the first row's change is unknown and counts as none, so it seeds both
+    up, down = delta.where(delta > 0, 0.0), -delta.where(delta < 0, 0.0)
     # Wilder smoothing: EMA with alpha 1/14, min periods 14
     au = up.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean()
     ad = down.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean()
@@ -282,9 +283,12 @@ def technical_indicators(market: DataFrame, cols: Sequence[str], date_col: str =
     """RSI 14 and MACD 12/26/9 (EMA recurrences, pandas per series in
     ``applyInPandas``; the long form has one group per series, bounded by
     the calendar) plus Bollinger 20/2 and Williams %R 14 as window
-    expressions; series with 50 or fewer values get NULL indicators."""
+    expressions; series with 50 or fewer values get NULL indicators.  Days
+    without a value are left out of every window and have NULL indicators."""
     arr = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in cols])
     long = market.select(F.col(date_col).alias("date"), F.explode(arr).alias("s")).select("date", "s.*")
+    days = long.select("series", "date")
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     ema = long.groupBy("series").applyInPandas(
         _indicators, "series string, date date, rsi_14 double, macd double, macd_signal double, "
                      "macd_histogram double")
@@ -300,7 +304,7 @@ def technical_indicators(market: DataFrame, cols: Sequence[str], date_col: str =
                      F.when(ok, mid - 2 * sd).alias("bb_lower"),
                      F.when(ok, safe_div(4 * sd, mid)).alias("bb_width"),
                      F.when(ok, safe_div(v - hi, hi - lo) * 100).alias("williams_r"))
-    return bb.join(ema, ["series", "date"], "left")
+    return days.join(bb.join(ema, ["series", "date"], "left"), ["series", "date"], "left")
 
 
 # ------------------------------------------------------------------------ W21
@@ -397,20 +401,20 @@ def pca_components(df: DataFrame, cols: Sequence[str], k: int = 3, names: Sequen
                    keys: Sequence[str] = ("date",), min_rows: int = 10) -> DataFrame:
     """Principal components of the complete rows (centred first: Spark's
     PCA does not centre), signs fixed so the largest |loading| of each
-    component is positive; empty when fewer than ``min_rows`` rows."""
+    component is positive; no rows unless there are more than ``min_rows``."""
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
     import numpy as np
     d = df.select(*keys, *cols).dropna(subset=list(cols))
     means = d.agg(*[F.avg(c).alias(c) for c in cols]).first()
     n = d.count()
-    if n < min_rows:
-        return d.select(*keys).limit(0)
+    names = list(names or [f"PC_{j + 1}" for j in range(k)])
+    if n <= min_rows:
+        return d.select(*keys, *[F.lit(None).cast("double").alias(c) for c in names]).limit(0)
     centred = d.select(*keys, *[(F.col(c) - float(means[c])).alias(c) for c in cols])
     vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(centred)
     model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(vec)
     loadings = model.pc.toArray()  # len(cols) x k, tiny
     signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, j])), j] >= 0 else -1.0 for j in range(k)]
     out = model.transform(vec).select(*keys, vector_to_array("__pc").alias("__a"))
-    names = list(names or [f"PC_{j + 1}" for j in range(k)])
     return out.select(*keys, *[(F.col("__a")[j] * signs[j]).alias(names[j]) for j in range(k)])

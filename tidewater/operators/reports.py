@@ -145,7 +145,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
         from ..plans.global_order import value_count_ladder
         pairs = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                                    F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                          for a in cols for b in cols])
+                          for i, a in enumerate(cols) for b in cols[i:]])
         p = df.select(F.explode(pairs).alias("__p")).select("__p.*") \
               .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         keys = ["var1", "var2"]
@@ -156,7 +156,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
         ry = value_count_ladder(p, "y", keys).select(*keys, "y", (F.col("below") + (F.col("c") + 1) / 2.0)
                                                      .alias("ry"))
         r = p.join(rx, keys + ["x"]).join(ry, keys + ["y"])
-        return r.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_periods, F.corr("rx", "ry")).alias("corr"))
+        r = r.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_periods, F.corr("rx", "ry")).alias("corr"))
+        # each pair was worked out once; its mirror image is added here
+        one, two = F.struct("var1", "var2", "corr"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "corr")
+        return r.select(F.explode(F.when(F.col("var1") == F.col("var2"), F.array(one)).otherwise(F.array(one, two))).alias("__s")).select("__s.*")
     raise ValueError(f"unsupported method {method!r}")
 
 

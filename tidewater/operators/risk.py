@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import combine_rows, np_round, safe_div, scalar_fields, with_row
-from ..plans.global_order import exact_quantiles, value_count_ladder
+from ..plans.global_order import exact_quantiles, join_groups, value_count_ladder
 from ..schemas import LCR_BUFFER, LCR_MINIMUM
 from . import windows as W
 
@@ -74,7 +74,7 @@ def deposit_at_risk(flows: DataFrame, confidence: float = 0.95, by: Sequence[str
         .where(F.col("n") >= min_rows)
     s1 = s1.join(hv, list(by)) if by else s1.select("*", hv.select("historical_var").scalar()
                                                     .alias("historical_var"))
-    j = f.join(s1.select(*by, "historical_var"), list(by), "left") if by else \
+    j = join_groups(f, s1.select(*by, "historical_var"), list(by), "left") if by else \
         with_row(f, s1.select("historical_var"), "__h").select("*", F.col("__h")["historical_var"].alias("historical_var"))
     s2 = j.groupBy(*by).agg(F.avg(F.when(F.col("__f") <= F.col("historical_var"), F.col("__f")))
                             .alias("__es"),
@@ -203,7 +203,6 @@ def gini_and_top_shares(df: DataFrame, col: str, shares: Sequence[float] = (0.10
     is the largest v with at least k values >= v; the top-k sum is
     sum(x > t) + (k - count(x > t)) * t."""
     lad = ladder if ladder is not None else value_count_ladder(df, col)
-    lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
     v, c, below, n = F.col(col), F.col("c"), F.col("below"), F.col("__n")
     ks = [F.floor(n * F.lit(p)) for p in shares]
     base = lad.agg(F.first("__n").alias("n"),
@@ -322,13 +321,20 @@ def liquidity_metrics(deposits: DataFrame, market: DataFrame | None = None,
 
 
 # -------------------------------------------------------------------------- R10
+# fixed values: the alert texts
+ALERT_LCR_MINIMUM = "CRITICAL: LCR below regulatory minimum"
+ALERT_LCR_BUFFER = "WARNING: LCR below buffer threshold"
+ALERT_MARKET = "HIGH STRESS: Elevated market volatility"
+ALERT_FLOWS = "ATTENTION: High deposit flow volatility"
+
+
 def dashboard_alerts(lcr: Column, vix: Column, flow_std: Column, flow_mean: Column) -> Column:
-    """R10 rule array: LCR < 1 critical, < 1.1 warning, VIX > 30, flow std > .5 * |mean|."""
+    """R10 rule array: LCR < 1 critical, < 1.1 warning, VIX > 30, flow std >
+    .5 * mean (a negative mean always alerts)."""
     return F.array_compact(F.array(
-        F.when(lcr < 1.0, F.lit("CRITICAL: LCR below regulatory minimum"))
-         .when(lcr < 1.1, F.lit("WARNING: LCR below buffer target")),
-        F.when(vix > 30, F.lit("WARNING: Elevated market volatility")),
-        F.when(flow_std > 0.5 * F.abs(flow_mean), F.lit("INFO: High deposit flow volatility"))))
+        F.when(lcr < 1.0, F.lit(ALERT_LCR_MINIMUM)).when(lcr < 1.1, F.lit(ALERT_LCR_BUFFER)),
+        F.when(vix > 30, F.lit(ALERT_MARKET)),
+        F.when(flow_std > 0.5 * flow_mean, F.lit(ALERT_FLOWS))))
 
 
 # --------------------------------------------------------------------------- R9

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import combine_rows, with_row
+from ..functions.core import combine_rows, safe_div, with_row
 from ..plans.global_order import exact_quantiles
 from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
 
@@ -190,7 +190,8 @@ def quick_impact(customers: DataFrame, flows: DataFrame, params: Sequence[tuple]
     = sum of flows; stressed deposits = base*(1-outflow), LCR = 1.15*(1 -
     .5*outflow), flows*(1 + 10*bps/1e4), funding gap max(0, loss - .15*base),
     stress ratio = stressed LCR / base LCR (< .8 High, < .9 Medium, else
-    Low), breach below 1.0 and the critical list.  A VIX change has no
+    Low), breach below 1.0 and the critical list (LCR below 1.0, outflow
+    above 20 %, funding gap above 10 % of the base deposits).  A VIX change has no
     effect (as in the modelled screen)."""
     base = combine_rows([customers.agg(F.coalesce(F.sum("balance_avg"), F.lit(1e9)).alias("base_deposits")),
                          flows.agg(F.coalesce(F.sum("deposit_flow"), F.lit(0.0)).alias("base_flows"))])
@@ -202,10 +203,14 @@ def quick_impact(customers: DataFrame, flows: DataFrame, params: Sequence[tuple]
     ratio = lcr / 1.15
     gap = F.greatest(F.lit(0.0), (F.col("base_deposits") - dep) - F.col("base_deposits") * 0.15)
     crit = F.array_compact(F.array(F.when(lcr < 1.0, F.lit("LCR below regulatory minimum")),
-                                   F.when(F.col("deposit_outflow") > 0.2, F.lit("High deposit outflow"))))
+                                   F.when(F.col("deposit_outflow") > 0.2, F.lit("High deposit outflow")),
+                                   F.when(gap > F.col("base_deposits") * 0.1, F.lit("Significant funding gap"))))
+    flows_after = F.col("base_flows") * (1 + F.col("rate_change_bps") / 10000 * 10)
     return p.select("scenario", "base_deposits", dep.alias("scenario_deposits"), lcr.alias("scenario_lcr"),
-                    (F.col("base_flows") * (1 + F.col("rate_change_bps") / 10000 * 10)).alias("scenario_flows"),
-                    (dep - F.col("base_deposits")).alias("deposit_change"), gap.alias("funding_gap"),
+                    flows_after.alias("scenario_flows"), (dep - F.col("base_deposits")).alias("deposit_change"),
+                    safe_div((dep - F.col("base_deposits")) * 100, F.col("base_deposits")).alias("deposit_change_pct"),
+                    (lcr - 1.15).alias("lcr_change"), (flows_after - F.col("base_flows")).alias("flow_change"),
+                    gap.alias("funding_gap"),
                     ratio.alias("stress_ratio"),
                     F.when(ratio < 0.8, "High").when(ratio < 0.9, "Medium").otherwise("Low").alias("risk_level"),
                     (lcr < 1.0).alias("lcr_breach"), crit.alias("critical_metrics"))

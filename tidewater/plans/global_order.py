@@ -66,54 +66,56 @@ def global_lag(df_with_pos: DataFrame, cols: Sequence[str], pos_col: str = "pos"
     return j.select(*out)
 
 
-# distinct (group, value) pairs up to which the ladder is computed with a
-# plain window over the (checkpointed) value counts instead of a second,
-# range-partitioned pass
-SMALL_DISTINCT = 200_000
-
-
 def value_count_ladder(df: DataFrame, col: str, by: Sequence[str] = (),
                        num_partitions: int | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` (per ``by`` group) with their
-    count ``c`` and the number of values strictly below them in the same
-    group ``below`` (a cumulative count over the sorted distinct values,
-    computed partition-parallel).
-
-    A hot value collapses to one row in the map-side partial aggregation,
-    and a hot group is spread over as many range partitions as its
-    distinct values need.
+    count ``c``, the number of values strictly below them in the same group
+    ``below`` (a cumulative count over the sorted distinct values) and the
+    group's number of values ``__n``.
+
+    One plan at every size: a hot value collapses to one row in the map-side
+    partial aggregation, and the values are range-partitioned by (group,
+    value), so a hot group is spread over as many partitions as its values
+    need.  A partition's counts by group become offsets, which are joined on
+    (partition, group): no join brings a whole group together.
     """
     keys = list(by)
     vc = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("c"))
-    # materialise the value counts once (they are read several times)
-    vc = reliable_checkpoint(vc)
-    if vc.count() <= SMALL_DISTINCT:
-        # checked size: the value-count table is small, so a window over it
-        # (one partition per group) is bounded; no range pass needed
-        w = (Window.partitionBy(*keys) if keys else Window).orderBy(col) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        return vc.select(*keys, col, "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("below"))
     t = _tagged(vc, [*keys, col], num_partitions)
-    # within a partition: cumulative count in (group, value) order
-    w_local = Window.partitionBy(PID).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
+    w_local = Window.partitionBy(PID, *keys).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
     local = t.select(*keys, col, "c", PID, F.coalesce(F.sum("c").over(w_local), F.lit(0)).alias("__lb"))
-    per = t.groupBy(PID).agg(F.sum("c").alias("__pc"))
-    # one row per partition: an unpartitioned window here is bounded
-    offs = per.select(PID, F.coalesce(F.sum("__pc").over(Window.orderBy(PID).rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    lad = (local.join(F.broadcast(offs), PID)
-                .select(*keys, col, "c", (F.col("__off") + F.col("__lb")).alias("below")))
-    if not keys:
-        return lad
-    start = lad.groupBy(*keys).agg(F.min("below").alias("__start"))
-    return lad.join(start, keys).select(*keys, col, "c", (F.col("below") - F.col("__start")).alias("below"))
+    # a row per partition and group that it holds, of which all but two are
+    # wholly inside it
+    per = t.groupBy(PID, *keys).agg(F.sum("c").alias("__pc"))
+    before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    offs = per.select(F.col(PID).alias("__opid"), *[F.col(k).alias(f"__o_{k}") for k in keys],
+                      F.coalesce(F.sum("__pc").over(before), F.lit(0)).alias("__off"),
+                      F.sum("__pc").over(whole).alias("__n"))
+    same = local[PID] == offs["__opid"]
+    for k in keys:
+        same = same & local[k].eqNullSafe(offs[f"__o_{k}"])
+    return local.join(offs, same).select(*keys, col, "c", (F.col("__off") + F.col("__lb")).alias("below"), "__n")
+
+
+#: Tasks over which ``join_groups`` deals the rows of one group.
+SPREAD = 32
+
+
+def join_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of ``df`` with ``stats`` (one row per group of ``keys``) that works
+    when a few groups hold all rows: the statistics are repeated for ``SPREAD``
+    salts and a row's salt is the hash of the row, so a group's rows go to as
+    many tasks, whatever its size."""
+    here = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("int"))
+    there = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return here.join(there, [*keys, "__salt"], how).drop("__salt")
 
 
 def rank_pct(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """W9 at scale: pandas ``rank(pct=True)`` (average ranks over non-null
     values).  The ladder join is on the value; AQE splits a hot value."""
     lad = value_count_ladder(df, col)
-    lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
     avg_rank = F.col("below") + (F.col("c") + 1) / 2.0
     lad = lad.select(col, (avg_rank / F.col("__n")).alias(out or f"{col}_rank_pct"))
     return df.join(lad, col, "left")
@@ -129,10 +131,6 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
     keys = list(by)
     names = list(names) if names else [f"q{q}" for q in qs]
     lad = ladder if ladder is not None else value_count_ladder(df, col, keys)
-    if keys:
-        lad = lad.join(lad.groupBy(*keys).agg(F.sum("c").alias("__n")), keys)
-    else:
-        lad = lad.select("*", lad.agg(F.sum("c")).scalar().alias("__n"))
     n = F.col("__n")
     v, c, below = F.col(col), F.col("c"), F.col("below")
     aggs = []

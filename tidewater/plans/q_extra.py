@@ -47,9 +47,9 @@ v AS (SELECT arg_max(VIX, date) AS vix FROM market)
 SELECT round(lcr_ratio, 4) AS lcr_ratio, round(vix, 4) AS vix, round(flow_std, 4) AS flow_std,
   round(flow_mean, 4) AS flow_mean,
   list_filter([CASE WHEN lcr_ratio < 1.0 THEN 'CRITICAL: LCR below regulatory minimum'
-                    WHEN lcr_ratio < 1.1 THEN 'WARNING: LCR below buffer target' END,
-               CASE WHEN vix > 30 THEN 'WARNING: Elevated market volatility' END,
-               CASE WHEN flow_std > 0.5 * abs(flow_mean) THEN 'INFO: High deposit flow volatility' END],
+                    WHEN lcr_ratio < 1.1 THEN 'WARNING: LCR below buffer threshold' END,
+               CASE WHEN vix > 30 THEN 'HIGH STRESS: Elevated market volatility' END,
+               CASE WHEN flow_std > 0.5 * flow_mean THEN 'ATTENTION: High deposit flow volatility' END],
               lambda x: x IS NOT NULL) AS alerts
 FROM a, v""")
 def r10_dashboard_alerts(spark, sf_dir):

@@ -53,8 +53,9 @@ def get_spark(master: str | None = None, app: str = "tidewater",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for ``checkpoint()`` and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only create a
-    private folder when nothing is configured (local tests).
+    The cluster names it in ``spark.checkpoint.dir``.  Without it a private
+    folder is made if the master is local, as in tests; on a cluster that
+    would lose data, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidewater-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -28,7 +28,8 @@ NOTICE_ROWS = 1_000
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"), ("non commercial", "noncommercial"),
              ("whilst", "while"), ("wilful", "willful"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"),
              ("redistributions", "redistribution"), ("https ", "http "), ("per cent", "percent")]
-COPYRIGHT = r"(?im)^[^\n]{0,20}(?:copyright|\(c\)|©)\s*(?:\(c\)|©|[0-9]{4}|by\s)[^\n]*$"
+COPYRIGHT = r"^[^\n]{0,20}(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by[ \t])[^\n]*$"
+NOTICE_LINE = "licen[sc]e|permi"
 
 #: Texts of short public licences and the usual notices.
 KNOWN = [
@@ -59,7 +60,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null becomes empty."""
-    c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " "))
+    c = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?imd){COPYRIGHT}", " "))
     c = F.btrim(F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -92,9 +93,33 @@ def license_scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text
     if n <= NOTICE_ROWS:
         names = {r["digest"]: r["license"] for r in known.collect()}
         table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
-        lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: x.rlike(r"(?i)licen[sc]e|permi"))
+        lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: x.rlike(f"(?i){NOTICE_LINE}"))
         hits = F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
         notices = F.array_join(F.array_sort(F.array_distinct(hits)), ",")
     rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), notices.alias("notices"))
     side = F.broadcast(known) if n <= BROADCAST_ROWS else known
     return rows.join(side, "digest", "left").select("doc_id", "digest", "license", "notices")
+
+
+def _sql_canonical(text: str) -> str:
+    c = f"replace(lower(regexp_replace({text}, '(?im){COPYRIGHT}', ' ', 'g')), '&', ' and ')"
+    c = f"trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for old, new in SPELLINGS:
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE_SQL = f"""
+WITH known AS (SELECT sha256({_sql_canonical('body')}) AS digest, min(license) AS license
+  FROM (VALUES {', '.join(f"({_sql_text(n)}, {_sql_text(b)})" for n, b in KNOWN)}) AS k(license, body) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+hits AS (SELECT DISTINCT r, license FROM lines JOIN known ON known.digest = sha256({_sql_canonical('line')})
+  WHERE regexp_matches(line, '(?i){NOTICE_LINE}')),
+found AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM hits GROUP BY r)
+SELECT doc_id, sha256({_sql_canonical('text')}) AS digest, license, coalesce(notices, '') AS notices
+FROM docs LEFT JOIN known ON known.digest = sha256({_sql_canonical('text')}) LEFT JOIN found USING (r)"""

@@ -297,3 +297,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     many = many.groupBy(stay).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias(row)).select(f"{row}.*")
     return (once.select(*docs.columns).unionByName(many.select(*docs.columns))
             .unionByName(docs.where(F.col(doc_id).isNull())))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'),
+  lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 3, 2)) END) AS i FROM split)),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM grams GROUP BY doc_id),
+classes AS (SELECT m, any_value(n) AS n, min(doc_id) AS class_id FROM sizes GROUP BY m),
+own AS (SELECT g, class_id, n FROM grams JOIN classes ON grams.doc_id = classes.class_id),
+pairs AS (SELECT a.class_id AS a, b.class_id AS b FROM own a JOIN own b ON a.g = b.g AND a.class_id < b.class_id
+    AND 100 * least(a.n, b.n) >= {LEAST_PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= {LEAST_PERCENT} * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+  coalesce(component_id, s.doc_id) = s.doc_id AS kept, coalesce(c.class_id, s.doc_id) AS class_id
+FROM split s LEFT JOIN sizes z USING (doc_id) LEFT JOIN classes c USING (m) LEFT JOIN comp USING (class_id)"""

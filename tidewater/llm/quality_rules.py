@@ -147,3 +147,25 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_li
     if rows:
         good = attach(good, bad, host, F.xxhash64(*docs.columns), rows).where(F.col(flag).isNull())
     return good.select(*docs.columns)
+
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+windows AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+often AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
+counts AS (SELECT r, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN covered USING (r)),
+rules AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {MAX_LINE_PERCENT} * n_words
+  OR word_chars > {MAX_WORD_CHARS} * n_words AS other FROM counts),
+hosts AS (SELECT source, count(*) AS n, sum(CAST(base_failed OR other AS INT)) AS x FROM rules GROUP BY source),
+facts AS (SELECT sum(n) AS docs, sum(x) / sum(n) AS p, sum(x * x / n) / sum(n) AS xx, count(*) AS h FROM hosts),
+extra AS (SELECT docs, p, xx - p * p - p * (1 - p) * h / docs AS e FROM facts),
+prior AS (SELECT p, CASE WHEN e > 0 THEN greatest(1, least(p * (1 - p) / e - 1, docs)) ELSE greatest(1, docs) END AS m FROM extra),
+bad AS (SELECT source, (x + m * p) / (n + m) >= {HOST_LIMIT} AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM rules JOIN bad ON rules.source IS NOT DISTINCT FROM bad.source"""

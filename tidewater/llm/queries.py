@@ -71,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_minhash_neardup, op5_quality_rules,
     op6_multi_index_hashing, op7_byte_bpe, op8_knn_quality, op9_license_digests, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_neardup": neardup.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL,
+                              "op9_license_digests": licenses.ORACLE_SQL}

@@ -44,6 +44,7 @@ SMALL = 16
 BLOCK = 256
 #: Members of a star that one task compares with its centre at a time.
 STAR = 256
+SPREAD = 32
 
 _U = np.uint64
 _BINS = BANDS * ROWS
@@ -137,9 +138,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     and sorted so that a's set comes first; a task holds that set and reads its
     partners as they stream by.
     """
-    pairs = written(pairs.distinct())
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), F.col("b").alias("doc"), F.lit(1).alias("side"))
+    pairs = written(pairs.distinct().withColumn("at", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")))
+    # only centres with many partners need salts; their counts are repeated for
+    # each of SPREAD hashes, so that no centre's pairs meet in one task here
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")).where("parts > 1")
+    parts = parts.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salt = F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("parts", F.lit(1)))
+    dealt = pairs.join(parts, ["a", "at"], "left").select("a", salt.alias("salt"), F.col("b").alias("doc"), F.lit(1).alias("side"))
     centres = dealt.select("a", "salt", F.col("a").alias("doc"), F.lit(0).alias("side")).distinct()
     rows = dealt.unionByName(centres).join(sets, "doc").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 

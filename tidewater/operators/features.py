@@ -9,12 +9,14 @@ per series in ``applyInPandas`` on the long form (one group per series).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import flow_date_flags
 from ..functions.core import flag, safe_div, with_row
 from ..plans.global_order import exact_quantiles, rank_pct
 from . import windows as W
@@ -67,6 +69,32 @@ def transformer_market_features(market: DataFrame, date_col: str = "date") -> Da
         (r * v).alias("rate_vix_interaction"))
 
 
+# ------------------------------------------------------------------------ W18
+def market_bundle(market: DataFrame, date_col: str = "date") -> DataFrame:
+    """Per rate column (name with RATE or TREASURY) its change, 20-row
+    std, 5- and 20-row means and 5-row mean change; the P16 features; calendar
+    parts with the month as sine and cosine; what the windows leave empty is
+    filled backward, then forward.  One row per day, so the windows over the
+    whole table are bounded by the calendar."""
+    o = [date_col]
+    rates = [c for c in market.columns if "RATE" in c or "TREASURY" in c]
+    w = W.spec(o)
+    d = market.select("*", *[(F.col(c) - F.lag(c).over(w)).alias(f"{c}_change") for c in rates])
+    d = W.rolling_features(d, rates, [20], o, stats=("std",), name="{c}_volatility")
+    d = W.rolling_features(d, rates, [5, 20], o, stats=("ma",), name="{c}_ma_{n}")
+    d = W.rolling_features(d, [f"{c}_change" for c in rates], [5], o, stats=("ma",), name="{c}_mean")
+    d = d.withColumnsRenamed({f"{c}_change_mean": f"{c}_momentum" for c in rates})
+    d = transformer_market_features(d, date_col)
+    t = F.col(date_col)
+    angle = F.month(t) * (2 * math.pi / 12)
+    d = d.select("*", F.year(t).alias("year"), F.month(t).alias("month"), F.quarter(t).alias("quarter"),
+                 F.weekday(t).alias("day_of_week"), F.weekofyear(t).alias("week_of_year"),
+                 F.sin(angle).alias("month_sin"), F.cos(angle).alias("month_cos"))
+    cols = [c for c in d.columns if c != date_col]
+    return d.select(date_col, *[F.coalesce(W.bfill_expr(F.col(c), o, None), W.ffill_expr(F.col(c), o, None)).alias(c)
+                                for c in cols])
+
+
 # ------------------------------------------------------------------------ P17
 def engineer_regimes(market: DataFrame, date_col: str = "date") -> DataFrame:
     """VIX against its 21-row mean +/- 0.5 std (incomplete window: normal);
@@ -310,13 +338,17 @@ def technical_indicators(market: DataFrame, cols: Sequence[str], date_col: str =
 # ------------------------------------------------------------------------ W21
 def target_variables(segment_daily: DataFrame, horizons: Sequence[int] = (1, 5, 21),
                      value: str = "segment_sum_deposit_flow") -> DataFrame:
-    """Per segment: value led by h rows; large outflow/inflow flags at
-    2 x the global sample std of the value (NULL target -> 0)."""
+    """Per segment: value led by h rows, and the flow volatility and net flow
+    rate led by h rows where the table has them; large outflow/inflow flags
+    at 2 x the global sample std of the value (NULL target -> 0)."""
     w = W.spec(["date"], ["segment"])
     sd = segment_daily.agg(F.stddev_samp(value)).scalar()
     cols = []
     for h in horizons:
         t = F.lead(value, h).over(w)
+        cols += [F.lead(c, h).over(w).alias(f"target_{n}_{h}d") for n, c in (
+            ("flow_volatility", "segment_flow_volatility"), ("net_flow_rate", "segment_net_flow_rate"))
+            if c in segment_daily.columns]
         cols += [t.alias(f"target_flow_{h}d"),
                  F.coalesce((t < -2 * sd).cast("int"), F.lit(0)).alias(f"target_large_outflow_{h}d"),
                  F.coalesce((t > 2 * sd).cast("int"), F.lit(0)).alias(f"target_large_inflow_{h}d")]
@@ -325,30 +357,47 @@ def target_variables(segment_daily: DataFrame, horizons: Sequence[int] = (1, 5,
 
 # ------------------------------------------------------------------------ W23
 def transform_flows(flows: DataFrame) -> DataFrame:
-    """Per customer-day: direction flags, magnitude and log1p, customer
-    statistics (window per customer, no join), lags 1/7, 7-row rolling
-    mean/std (min 1), balance log/diff/pct change, 10/21-row volatility
-    (min 5), then fill within the customer (ffill) and 0."""
+    """Per customer-day: calendar parts and flags; flow direction, magnitude
+    and its log1p; the customer's flow mean, std, min, max and count with the
+    distance and z-score of the flow; lags 1/5/10/21; means and stds over
+    5/10/21 rows (min 1); per balance column log1p, change and relative
+    change; volatility over 10/21/63 rows (min 5); the segment's daily sum,
+    mean and count.  Empty values are filled forward within the customer,
+    then by 0.  Windows are per customer (one row per day at most); the
+    segment's days are a small table, joined on (date, segment)."""
     from pyspark.sql import Window
     f = F.col("deposit_flow")
     wc = Window.partitionBy("customer_id")
-    o = ["date"]
-    p = ["customer_id"]
+    o, p = ["date"], ["customer_id"]
     w = W.spec(o, p)
-    d = flows.select("*", flag(f > 0).alias("is_inflow"), flag(f < 0).alias("is_outflow"),
-                     F.abs(f).alias("flow_magnitude"), F.log1p(F.abs(f)).alias("flow_log"),
-                     F.avg(f).over(wc).alias("customer_flow_mean"), F.stddev_samp(f).over(wc).alias("customer_flow_std"),
-                     F.lag(f, 1).over(w).alias("deposit_flow_lag_1"), F.lag(f, 7).over(w).alias("deposit_flow_lag_7"),
-                     F.log1p(F.when(F.col("balance_end") > -1, F.col("balance_end"))).alias("balance_log"),
-                     (F.col("balance_end") - F.lag("balance_end").over(w)).alias("balance_diff"),
-                     (safe_div(F.col("balance_end"), F.lag("balance_end").over(w)) - 1).alias("balance_pct_change"))
-    d = W.rolling_features(d, ["deposit_flow"], [7], o, p, stats=("ma", "std"), min_periods=1,
-                           name="{c}_rolling_{s}_{n}")
-    d = W.rolling_features(d, ["deposit_flow"], [10, 21], o, p, stats=("std",), min_periods=5,
-                           name="flow_volatility_{n}")
+    t = F.col("date")
+    flags = flow_date_flags(flows).drop("MONTH", "QUARTER", "DAY_OF_WEEK", "WEEK_OF_YEAR")
+    d = flags.select(
+        "*", F.year(t).alias("year"), F.month(t).alias("month"), F.dayofmonth(t).alias("day"),
+        F.weekday(t).alias("day_of_week"), F.weekofyear(t).alias("week_of_year"), F.quarter(t).alias("quarter"),
+        flag(f > 0).alias("is_inflow"), flag(f < 0).alias("is_outflow"), F.abs(f).alias("flow_magnitude"),
+        F.log1p(F.abs(f)).alias("flow_magnitude_log"),
+        F.avg(f).over(wc).alias("mean_customer"), F.stddev_samp(f).over(wc).alias("std_customer"),
+        F.min(f).over(wc).alias("min_customer"), F.max(f).over(wc).alias("max_customer"),
+        F.count(f).over(wc).alias("count_customer"),
+        *[F.lag(f, k).over(w).alias(f"deposit_flow_lag_{k}") for k in (1, 5, 10, 21)])
+    away = f - F.col("mean_customer")
+    d = d.select("*", away.alias("flow_vs_customer_mean"), (away / (F.col("std_customer") + 1e-8)).alias("flow_zscore"))
+    for c in ("balance_start", "balance_end"):
+        x = F.col(c)
+        d = d.select("*", F.log1p(F.when(x > -1, x)).alias(f"{c}_log"), (x - F.lag(x).over(w)).alias(f"{c}_change"),
+                     (safe_div(x, F.lag(x).over(w)) - 1).alias(f"{c}_pct_change"))
+    d = W.rolling_features(d, ["deposit_flow"], [5, 10, 21], o, p, stats=("ma", "std"), min_periods=1)
+    d = W.rolling_features(d, ["deposit_flow"], [10, 21, 63], o, p, stats=("std",), min_periods=5,
+                           name="flow_volatility_{n}d")
     fill = [c for c in d.columns if c not in flows.columns]
     d = W.forward_fill(d, fill, o, p)
-    return d.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in fill else F.col(c) for c in d.columns])
+    daily = flows.groupBy("date", "segment").agg(
+        F.sum(f).alias("segment_sum_deposit_flow"), F.avg(f).alias("segment_mean_deposit_flow"),
+        F.count(f).alias("segment_count_deposit_flow"))
+    d = d.join(daily, ["date", "segment"], "left")
+    fill += daily.columns[2:]
+    return d.select(*flows.columns, *[F.coalesce(F.col(c), F.lit(0).cast(d.schema[c].dataType)).alias(c) for c in fill])
 
 
 # ------------------------------------------------------------------------ P13

@@ -10,6 +10,7 @@ from .. import fixtures as fx
 from ..functions import calendar as CAL
 from ..functions.core import round_doubles
 from ..operators import features as FE
+from ..operators.flows import segment_behavioral_features
 from .registry import register
 
 AS_OF = "2024-01-31"
@@ -172,10 +173,66 @@ def m3_select_features(spark, sf_dir):
     return round_doubles(FE.select_features(m, "VIX", _FEATS + ["VIX"], max_features=3))
 
 
-@register("w19_rate_change_features")
+def _rank_sql(n: int) -> str:
+    """Average-rank percentile of the value within the last n rows, once
+    there are n."""
+    return (f"CASE WHEN COUNT(x) OVER w{n} >= {n} AND x IS NOT NULL THEN (len(list_filter(l{n}, lambda v: v < x)) + "
+            f"(len(list_filter(l{n}, lambda v: v = x)) + 1) / 2.0) / len(l{n}) END")
+
+
+@register("w19_rate_change_features", M + """,
+b AS (SELECT date, FED_FUNDS_RATE AS x, FED_FUNDS_RATE - LAG(FED_FUNDS_RATE) OVER (ORDER BY date) AS ch FROM market),
+l AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS l63,
+  list(x) FILTER (x IS NOT NULL) OVER (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS l252 FROM b)
+SELECT date, """ + ", ".join([
+    rd("x", "FED_FUNDS_RATE"), rd("ch", "FED_FUNDS_RATE_change_1d"),
+    rd("x - LAG(x, 5) OVER w", "FED_FUNDS_RATE_change_5d"), rd("x - LAG(x, 21) OVER w", "FED_FUNDS_RATE_change_21d"),
+    rd("ch - LAG(ch) OVER w", "FED_FUNDS_RATE_momentum"),
+    *[rd(f"CASE WHEN COUNT(ch) OVER w{n} >= {n} THEN STDDEV_SAMP(ch) OVER w{n} END", f"FED_FUNDS_RATE_volatility_{n}d")
+      for n in (5, 21)],
+    *[rd(_rank_sql(n), f"FED_FUNDS_RATE_percentile_{n}d") for n in (63, 252)]]) + """
+FROM l WINDOW w AS (ORDER BY date), """ + ", ".join(
+    f"w{n} AS (ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 21, 63, 252)))
 def w19_rate_change_features(spark, sf_dir):
-    """Composition of W1-W3 (each has its own oracle): rows-only."""
-    return FE.rate_change_features(fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE"), ["FED_FUNDS_RATE"])
+    m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE")
+    return round_doubles(FE.rate_change_features(m, ["FED_FUNDS_RATE"]))
+
+
+_BUNDLE_RATES = ["FED_FUNDS_RATE", "TREASURY_10Y", "TREASURY_5Y", "TREASURY_2Y", "TREASURY_3M"]
+
+
+def _bundle_sql() -> str:
+    ch = ", ".join(f"{c} - LAG({c}) OVER (ORDER BY date) AS {c}_change" for c in _BUNDLE_RATES)
+    full = lambda f, c, n: f"CASE WHEN COUNT({c}) OVER w{n} >= {n} THEN {f}({c}) OVER w{n} END"
+    cols = {c: c for c in [*_BUNDLE_RATES, "VIX"]}
+    for c in _BUNDLE_RATES:
+        cols |= {f"{c}_change": f"{c}_change", f"{c}_volatility": full("STDDEV_SAMP", c, 20), f"{c}_ma_5": full("AVG", c, 5),
+                 f"{c}_ma_20": full("AVG", c, 20), f"{c}_momentum": full("AVG", f"{c}_change", 5)}
+    spread = "(TREASURY_10Y - TREASURY_2Y)"
+    flags = {"VIX_regime_low": "VIX < 20", "VIX_regime_high": "VIX > 30", "rate_regime_zero": "FED_FUNDS_RATE <= 0.25",
+             "rate_regime_low": "FED_FUNDS_RATE > 0.25 AND FED_FUNDS_RATE <= 2.0",
+             "rate_regime_normal": "FED_FUNDS_RATE > 2.0 AND FED_FUNDS_RATE <= 5.0", "rate_regime_high": "FED_FUNDS_RATE > 5.0"}
+    cols |= {"yield_spread_10y2y": spread, "yield_spread_change": f"{spread} - LAG({spread}) OVER w",
+             "yield_spread_2y3m": "TREASURY_2Y - TREASURY_3M", "VIX_log": "CASE WHEN VIX > 0 THEN ln(VIX) END",
+             "VIX_change": "VIX - LAG(VIX) OVER w", "VIX_pct_change": "VIX / NULLIF(LAG(VIX) OVER w, 0) - 1",
+             "rate_vix_interaction": "FED_FUNDS_RATE * VIX", "year": "year(date)", "month": "month(date)",
+             "quarter": "quarter(date)", "day_of_week": "isodow(date) - 1", "week_of_year": "weekofyear(date)",
+             "month_sin": "sin(2 * pi() * month(date) / 12)", "month_cos": "cos(2 * pi() * month(date) / 12)"}
+    cols |= {k: f"CAST(COALESCE({v}, false) AS DOUBLE)" for k, v in flags.items()}
+    inner = ", ".join(f"{v} AS f_{k}" for k, v in cols.items())
+    outer = ", ".join(rd(f"COALESCE(first_value(f_{k} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+                         f"last_value(f_{k} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING))", k) for k in cols)
+    return M + f""",
+b AS (SELECT *, {ch} FROM market),
+f AS (SELECT date, {inner} FROM b WINDOW w AS (ORDER BY date), w5 AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+  w20 AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT date, {outer} FROM f"""
+
+
+@register("w18_market_bundle", _bundle_sql())
+def w18_market_bundle(spark, sf_dir):
+    d = FE.market_bundle(fx.market(spark, sf_dir).select("date", *_BUNDLE_RATES, "VIX"))
+    return round_doubles(d.select("date", *[F.col(c).cast("double").alias(c) for c in d.columns if c != "date"]))
 
 
 @register("w20_technical_indicators")
@@ -185,23 +242,61 @@ def w20_technical_indicators(spark, sf_dir):
 
 
 @register("w21_target_variables", fx.sql_with("flows") + """,
-d AS (SELECT date, segment, SUM(deposit_flow) AS x FROM flows GROUP BY date, segment),
+g AS (SELECT date, segment, round_even(SUM(deposit_flow), 4) AS x, round_even(AVG(deposit_flow), 4) AS m,
+        round_even(STDDEV_SAMP(deposit_flow), 4) AS sd, round_even(SUM(inflow), 4) AS i, round_even(SUM(outflow), 4) AS o
+      FROM flows GROUP BY date, segment),
+d AS (SELECT date, segment, x, sd / (abs(m) + 1) AS vol, x / (i + abs(o) + 1) AS nfr FROM g),
 sd AS (SELECT STDDEV_SAMP(x) AS s FROM d)
 SELECT date, segment, round(x, 4) AS segment_sum_deposit_flow, """ + ", ".join(
-    f"round(LEAD(x, {h}) OVER w, 4) AS target_flow_{h}d, "
+    f"round(LEAD(x, {h}) OVER w, 4) AS target_flow_{h}d, round(LEAD(vol, {h}) OVER w, 4) AS target_flow_volatility_{h}d, "
+    f"round(LEAD(nfr, {h}) OVER w, 4) AS target_net_flow_rate_{h}d, "
     f"COALESCE(CAST(LEAD(x, {h}) OVER w < -2 * s AS INTEGER), 0) AS target_large_outflow_{h}d, "
     f"COALESCE(CAST(LEAD(x, {h}) OVER w > 2 * s AS INTEGER), 0) AS target_large_inflow_{h}d"
     for h in (1, 5, 21)) + """
 FROM d, sd WINDOW w AS (PARTITION BY segment ORDER BY date)""")
 def w21_target_variables(spark, sf_dir):
-    d = fx.flows(spark, sf_dir).groupBy("date", "segment").agg(F.sum("deposit_flow").alias("segment_sum_deposit_flow"))
-    return round_doubles(FE.target_variables(d))
-
-
-@register("w23_transform_flows")
+    d = segment_behavioral_features(fx.flows(spark, sf_dir), windows=())
+    d = d.select("date", "segment", "segment_sum_deposit_flow", "segment_flow_volatility", "segment_net_flow_rate")
+    return round_doubles(FE.target_variables(d).drop("segment_flow_volatility", "segment_net_flow_rate"))
+
+
+def _flow_bundle_sql() -> str:
+    w = {n: f"(PARTITION BY customer_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 10, 21, 63)}
+    f = "deposit_flow"
+    cols = {"is_month_end": "CAST(last_day(date) = date AS INTEGER)",
+            "is_quarter_end": "CAST(CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) = date AS INTEGER)",
+            "is_year_end": "CAST(month(date) = 12 AND day(date) = 31 AS INTEGER)", "is_weekend": "CAST(isodow(date) >= 6 AS INTEGER)",
+            "year": "year(date)", "month": "month(date)", "day": "day(date)", "day_of_week": "isodow(date) - 1",
+            "week_of_year": "weekofyear(date)", "quarter": "quarter(date)", "is_inflow": f"CAST({f} > 0 AS INTEGER)",
+            "is_outflow": f"CAST({f} < 0 AS INTEGER)", "flow_magnitude": f"abs({f})", "flow_magnitude_log": f"ln(1 + abs({f}))",
+            "mean_customer": f"AVG({f}) OVER c", "std_customer": f"STDDEV_SAMP({f}) OVER c", "min_customer": f"MIN({f}) OVER c",
+            "max_customer": f"MAX({f}) OVER c", "count_customer": f"COUNT({f}) OVER c", "flow_vs_customer_mean": f"{f} - AVG({f}) OVER c",
+            "flow_zscore": f"({f} - AVG({f}) OVER c) / (STDDEV_SAMP({f}) OVER c + 1e-8)"}
+    cols |= {f"deposit_flow_lag_{k}": f"LAG({f}, {k}) OVER o" for k in (1, 5, 10, 21)}
+    for b in ("balance_start", "balance_end"):
+        cols |= {f"{b}_log": f"CASE WHEN {b} > -1 THEN ln(1 + {b}) END", f"{b}_change": f"{b} - LAG({b}) OVER o",
+                 f"{b}_pct_change": f"{b} / NULLIF(LAG({b}) OVER o, 0) - 1"}
+    for n in (5, 10, 21):
+        cols |= {f"deposit_flow_ma_{n}": f"AVG({f}) OVER {w[n]}", f"deposit_flow_std_{n}": f"STDDEV_SAMP({f}) OVER {w[n]}"}
+    for n in (10, 21, 63):
+        cols[f"flow_volatility_{n}d"] = f"CASE WHEN COUNT({f}) OVER {w[n]} >= 5 THEN STDDEV_SAMP({f}) OVER {w[n]} END"
+    own = ["deposit_flow", "inflow", "outflow", "balance_start", "balance_end"]
+    filled = ", ".join(rd(f"CAST(COALESCE(last_value(f_{k} IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY b.date ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE)", k)
+                       for k in cols)
+    return fx.sql_with("flows") + f""",
+b AS (SELECT customer_id, date, segment, {', '.join(own)}, {', '.join(f'{v} AS f_{k}' for k, v in cols.items())} FROM flows
+  WINDOW c AS (PARTITION BY customer_id), o AS (PARTITION BY customer_id ORDER BY date)),
+s AS (SELECT date, segment, SUM({f}) AS x, AVG({f}) AS m, COUNT({f}) AS n FROM flows GROUP BY date, segment)
+SELECT customer_id, b.date, b.segment, {', '.join(rd(c, c) for c in own)}, {filled}, {rd('COALESCE(s.x, 0)', 'segment_sum_deposit_flow')},
+  {rd('COALESCE(s.m, 0)', 'segment_mean_deposit_flow')}, CAST(COALESCE(s.n, 0) AS DOUBLE) AS segment_count_deposit_flow
+FROM b LEFT JOIN s ON b.date = s.date AND b.segment = s.segment"""
+
+
+@register("w23_transform_flows", _flow_bundle_sql())
 def w23_transform_flows(spark, sf_dir):
-    """Per-customer flow feature bundle (W1, W2, J7 have oracles): rows-only."""
-    return FE.transform_flows(fx.flows(spark, sf_dir))
+    d = FE.transform_flows(fx.flows(spark, sf_dir))
+    keep = ("customer_id", "date", "segment")
+    return round_doubles(d.select(*keep, *[F.col(c).cast("double").alias(c) for c in d.columns if c not in keep]))
 
 
 TWO_PI = repr(2 * math.pi)

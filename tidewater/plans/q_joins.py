@@ -191,11 +191,11 @@ def a4_daily_flow_totals(spark, sf_dir):
 @register("a4_latest_segment_days", fx.sql_with("flows") + """
 SELECT date, segment, round(flow, 4) AS deposit_flow FROM (
   SELECT date, segment, SUM(deposit_flow) AS flow FROM flows GROUP BY date, segment
-  ORDER BY date DESC, segment LIMIT 20)""")
+  ORDER BY date DESC, segment LIMIT 200)""")
 def a4_latest_segment_days(spark, sf_dir):
     d = fx.flows(spark, sf_dir).groupBy("date", "segment").agg(F.sum("deposit_flow").alias("deposit_flow"))
     # the last rows of the daily table are the feature (a top-k report)
-    return round_doubles(d.orderBy(F.col("date").desc(), "segment").limit(20))
+    return round_doubles(d.orderBy(F.col("date").desc(), "segment").limit(200))
 
 
 # ---------------------------------------------------------------------- A5

@@ -66,9 +66,15 @@ def l4_chronological_split(spark, sf_dir):
     return L.chronological_split(f, ["date", "customer_id"], (0.7, 0.15))
 
 
-@register("l6_expanding_folds")
+@register("l6_expanding_folds", fx.sql_with("flows") + """,
+p AS (SELECT customer_id, date, deposit_flow, row_number() OVER (ORDER BY date, customer_id) - 1 AS pos,
+             COUNT(*) OVER () AS n FROM flows),
+x AS (SELECT *, n // 6 AS size, unnest([0, 1, 2, 3, 4]) AS fold FROM p),
+s AS (SELECT *, (fold + 1) * size + (n - 6 * size) AS start FROM x)
+SELECT customer_id, date, deposit_flow, fold, CASE WHEN pos < start THEN 'train' ELSE 'test' END AS role
+FROM s WHERE pos < start + size""")
 def l6_expanding_folds(spark, sf_dir):
-    """Time-series folds by position: rows-only."""
+    """Time-series folds by position."""
     f = fx.flows(spark, sf_dir).select("customer_id", "date", "deposit_flow")
     return L.expanding_folds(f, ["date", "customer_id"], 5)
 

@@ -167,11 +167,28 @@ def n8_n9_quick_impact_presets(spark, sf_dir):
     return round_doubles(N.quick_impact(c, f, N.SCENARIO_PRESETS))
 
 
-@register("n7_scenario_report")
+@register("n7_scenario_report", _CMP + """,
+j AS (SELECT m.*, abs(cmp.deposit_change_pct) AS loss FROM metrics m JOIN cmp ON m.scenario = cmp.scenario),
+a AS (SELECT scenario, lcr_breach, loss, funding_gap,
+        (CASE WHEN lcr_breach THEN 40 WHEN stressed_lcr_ratio < 1.1 THEN 20 ELSE 0 END)
+        + (CASE WHEN loss > 30 THEN 30 WHEN loss > 15 THEN 20 WHEN loss > 5 THEN 10 ELSE 0 END)
+        + (CASE WHEN funding_gap > 1e9 THEN 20 WHEN funding_gap > 5e8 THEN 15 WHEN funding_gap > 1e8 THEN 10 ELSE 0 END)
+        + (CASE WHEN COALESCE(flow_volatility, 0) > 3e6 THEN 10 WHEN COALESCE(flow_volatility, 0) > 2e6 THEN 5 ELSE 0 END)
+        AS risk_score FROM j)
+SELECT m.scenario, round(m.total_deposits, 4) AS total_deposits, round(m.avg_daily_flow, 4) AS avg_daily_flow,
+  round(m.flow_volatility, 4) AS flow_volatility, round(m.max_daily_outflow, 4) AS max_daily_outflow,
+  m.outflow_days_count, round(m.stressed_lcr_ratio, 4) AS stressed_lcr_ratio, m.lcr_breach,
+  round(m.stressed_dar_95, 4) AS stressed_dar_95, round(m.funding_gap, 4) AS funding_gap,
+  round(c.deposit_change_abs, 4) AS deposit_change_abs, round(c.deposit_change_pct, 4) AS deposit_change_pct,
+  round(c.lcr_change, 4) AS lcr_change, c.lcr_breach_risk, round(c.dar_change, 4) AS dar_change,
+  CASE WHEN c.scenario IS NOT NULL THEN CASE WHEN c.deposit_change_pct < -20 THEN 'High'
+       WHEN c.deposit_change_pct < -10 THEN 'Medium' ELSE 'Low' END END AS risk_level,
+  a.risk_score, a.risk_score >= 70 AS critical, a.loss > 20 AS high_deposit_loss,
+  a.funding_gap > 1e8 AS large_funding_gap
+FROM metrics m LEFT JOIN cmp c ON m.scenario = c.scenario LEFT JOIN a ON m.scenario = a.scenario""")
 def n7_scenario_report(spark, sf_dir):
-    """Composition of N4-N6 (each has an oracle): rows-only."""
     c, f = _deposits(spark, sf_dir)
-    return N.scenario_report(f, c)
+    return round_doubles(N.scenario_report(f, c))
 
 
 @register("n10_scenario_waterfall", _CMP + """

@@ -265,16 +265,30 @@ def w15_centred_decomposition(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- W22
-@register("w22_lookback_sequences", fx.sql_with("flows") + """,
+def _sequence_sql(n: int) -> str:
+    return fx.sql_with("flows") + f""",
 d AS (SELECT segment, date, SUM(deposit_flow) AS x, SUM(inflow) AS i FROM flows GROUP BY segment, date),
 s AS (SELECT segment, date, x AS target,
         list([round(x, 4), round(i, 4)]) OVER (PARTITION BY segment ORDER BY date
-             ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS sequence FROM d)
-SELECT segment, date, sequence, round(target, 4) AS target FROM s WHERE len(sequence) = 5""")
-def w22_lookback_sequences(spark, sf_dir):
+             ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS sequence FROM d)
+SELECT segment, date, sequence, round(target, 4) AS target FROM s WHERE len(sequence) = {n}"""
+
+
+def _sequences(spark, sf_dir, n):
     d = fx.flows(spark, sf_dir).groupBy("segment", "date").agg(
         F.round(F.sum("deposit_flow"), 4).alias("x"), F.round(F.sum("inflow"), 4).alias("i"))
-    return round_doubles(W.lookback_sequences(d, ["x", "i"], 5, "x", ["date"], ["segment"]))
+    return round_doubles(W.lookback_sequences(d, ["x", "i"], n, "x", ["date"], ["segment"]))
+
+
+@register("w22_lookback_sequences", _sequence_sql(30))
+def w22_lookback_sequences(spark, sf_dir):
+    return _sequences(spark, sf_dir, 30)
+
+
+@register("w22_short_lookback_sequences", _sequence_sql(5))
+def w22_short_lookback_sequences(spark, sf_dir):
+    """As above with five rows, for tables with few days."""
+    return _sequences(spark, sf_dir, 5)
 
 
 # ---------------------------------------------------------------------- A2

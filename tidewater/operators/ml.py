@@ -100,6 +100,13 @@ def diversity(preds: DataFrame, models: Sequence[str]) -> DataFrame:
     return wide.agg(*cols, F.avg(F.sqrt(var)).alias("mean_row_std"))
 
 
+def date_cutoff(df: DataFrame, share: float = 0.7, date_col: str = "date") -> str:
+    """The day (as text) that parts the table's days at ``share`` of its span."""
+    span = F.datediff(F.max(date_col), F.min(date_col))
+    r = df.agg(F.date_add(F.min(date_col), F.ceil(span * share).cast("int")).cast("string").alias("d")).first()
+    return r["d"]
+
+
 # -------------------------------------------------------------------------- T3
 def per_segment_models(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                        segments: Sequence[str], min_rows: int = 50, kind: str = "gbt", row_id: str = "row_id"):
@@ -240,7 +247,7 @@ def final_dynamic_weights(weights: DataFrame, by: str = "model_name") -> DataFra
 
 # ------------------------------------------------------------------------- EV7
 def bootstrap_stability(df: DataFrame, features: Sequence[str], label: str, test: DataFrame,
-                        n_boot: int = 10, fraction: float = 0.8, kind: str = "random_forest") -> DataFrame:
+                        n_boot: int = 100, fraction: float = 0.8, kind: str = "random_forest") -> DataFrame:
     """Refit on ``n_boot`` bootstrap samples (with replacement, seeded),
     score each on the same test set; per metric mean/std/cv/min/max."""
     scores = []

@@ -81,7 +81,7 @@ def train_and_compare(table: DataFrame, features, label: str, cutoff: str) -> tu
     Returns (long predictions, comparison)."""
     from ..operators import evaluate as EV
     from ..operators import ml as ML
-    d = table.select("*", F.xxhash64("segment", "date").alias("row_id"))
+    d = table.select("*", F.concat_ws("|", "segment", "date").alias("row_id"))
     train = d.where(F.col("date") < F.lit(cutoff).cast("date"))
     test = d.where(F.col("date") >= F.lit(cutoff).cast("date"))
     preds = None

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import stats as ST
 from ..functions.core import round_doubles
+from ..operators import clean as CL
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import joins as J
 from ..operators import ml as ML
 from ..operators import reports as RP
 from ..operators import risk as R
+from ..operators import sampling as SA
 from ..operators import windows as W
 from ..schemas import SEGMENTS
 from ..session import read_table
@@ -268,7 +270,7 @@ def _flow_features(spark, sf_dir):
     f = fx.flows(spark, sf_dir, c).select("customer_id", "date", "segment", "deposit_flow")
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
     d = W.lag_features(f.join(F.broadcast(m), "date", "left"), ["deposit_flow"], [1, 2], ["date"], ["customer_id"])
-    d = d.select("*", F.xxhash64("customer_id", "date").alias("row_id"))
+    d = d.select("*", F.concat_ws("|", "customer_id", "date").alias("row_id"))
     return d, ["deposit_flow_lag_1", "deposit_flow_lag_2", "FED_FUNDS_RATE", "VIX"]
 
 
@@ -283,8 +285,8 @@ def t2_gbt_flows(spark, sf_dir):
 def t3_per_segment_models(spark, sf_dir):
     """One fit per segment with a mean fallback: rows-only."""
     d, feats = _flow_features(spark, sf_dir)
-    train = d.where(F.col("date") < F.lit("2024-01-22").cast("date"))
-    test = d.where(F.col("date") >= F.lit("2024-01-22").cast("date"))
+    cutoff = F.lit(ML.date_cutoff(d)).cast("date")
+    train, test = d.where(F.col("date") < cutoff), d.where(F.col("date") >= cutoff)
     return ML.per_segment_models(train, test, feats, "deposit_flow", SEGMENTS, kind="random_forest")
 
 
@@ -304,7 +306,7 @@ def t6_tree_intervals(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
-                             RandomForestRegressor(labelCol="deposit_flow", numTrees=20, maxDepth=6, seed=42)]
+                             RandomForestRegressor(labelCol="deposit_flow", numTrees=100, maxDepth=10, seed=42)]
                      ).fit(d.fillna(0.0, subset=feats))
     return ML.tree_intervals(model, d.select("row_id", *feats), feats).select("row_id", "prediction", "lower",
                                                                               "upper")
@@ -314,7 +316,7 @@ def t6_tree_intervals(spark, sf_dir):
 def t8_expanding_window_stability(spark, sf_dir):
     """Fits per expanding fold: rows-only."""
     d, feats = _flow_features(spark, sf_dir)
-    return ML.expanding_window_stability(d, feats, "deposit_flow", ["date", "customer_id"], 3)
+    return ML.expanding_window_stability(d, feats, "deposit_flow", ["date", "customer_id"], 5)
 
 
 @register("l8_feature_importance_metrics")
@@ -327,6 +329,14 @@ def l8_feature_importance_metrics(spark, sf_dir):
     return ranked.select("*", RP.feature_category(F.col("feature")).alias("category"))
 
 
+@register("l8_feature_importance_summary")
+def l8_feature_importance_summary(spark, sf_dir):
+    """The summary row of L8 over a fitted forest: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    imp = ML.feature_importance(ML.fit_regressor(d, feats, "deposit_flow", "random_forest"), feats, "random_forest", spark)
+    return RP.feature_importance_metrics(imp.select("feature", "importance"))[0]
+
+
 # ----------------------------------------------------------------- sources
 @register("s11_series_to_wide", fx.sql_with("market") + """,
 l AS (SELECT date, 'FED_FUNDS_RATE' AS series, FED_FUNDS_RATE AS value FROM market WHERE dayofmonth(date) <> 10
@@ -357,8 +367,75 @@ def a22_table_sizes(spark, sf_dir):
     return out
 
 
-@register("c8_number_formatting")
+@register("c8_number_formatting", fx.sql_with("customers") + """,
+x AS (SELECT customer_id, balance_avg * 1000 AS x FROM customers),
+s AS (SELECT customer_id, x, CASE WHEN abs(x) >= 1e12 THEN 1e12 WHEN abs(x) >= 1e9 THEN 1e9 WHEN abs(x) >= 1e6 THEN 1e6
+        WHEN abs(x) >= 1e3 THEN 1e3 ELSE 1 END AS unit FROM x)
+SELECT customer_id, CASE unit WHEN 1e12 THEN format('{:.1f}T', CAST(x / 1e12 AS DOUBLE))
+  WHEN 1e9 THEN format('{:.1f}B', CAST(x / 1e9 AS DOUBLE)) WHEN 1e6 THEN format('{:.1f}M', CAST(x / 1e6 AS DOUBLE))
+  WHEN 1e3 THEN format('{:.1f}K', CAST(x / 1e3 AS DOUBLE)) ELSE format('{:.0f}', CAST(x AS DOUBLE)) END AS balance_text
+FROM s""")
 def c8_number_formatting(spark, sf_dir):
-    """Text formatting (JVM formatter): rows-only."""
     c = fx.customers(spark, sf_dir)
     return c.select("customer_id", ST.human_number(F.col("balance_avg") * 1000).alias("balance_text"))
+
+
+# ------------------------------------------------- frames, unions and orders
+def _fill_sql(c: str) -> str:
+    """Linear interpolation by row, then forward and backward fill."""
+    past = "ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ahead = "ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    at = f"CASE WHEN {c} IS NOT NULL THEN rn END"
+    a, b = f"last_value({c} IGNORE NULLS) OVER ({past})", f"first_value({c} IGNORE NULLS) OVER ({ahead})"
+    i, j = f"last_value({at} IGNORE NULLS) OVER ({past})", f"first_value({at} IGNORE NULLS) OVER ({ahead})"
+    return f"COALESCE({c}, {a} + ({b} - {a}) * (rn - {i}) / NULLIF({j} - {i}, 0), {a}, {b})"
+
+
+@register("p4_interpolate_frame", fx.sql_with("market_gappy") + """,
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY date) AS DOUBLE) AS rn FROM market_gappy)
+SELECT date, """ + ", ".join(f"round({_fill_sql(c)}, 4) AS {c}" for c in ("FED_FUNDS_RATE", "TREASURY_10Y", "VIX")) + """
+FROM n""")
+def p4_interpolate_frame(spark, sf_dir):
+    m = fx.market_gappy(spark, sf_dir).select("date", "FED_FUNDS_RATE", "TREASURY_10Y", "VIX")
+    return round_doubles(CL.handle_missing_frame(m, "interpolate"))
+
+
+@register("p4_zero_fill_frame", fx.sql_with("market_gappy") + """
+SELECT date, round(COALESCE(FED_FUNDS_RATE, 0), 4) AS FED_FUNDS_RATE, round(COALESCE(VIX, 0), 4) AS VIX FROM market_gappy""")
+def p4_zero_fill_frame(spark, sf_dir):
+    m = fx.market_gappy(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
+    return round_doubles(CL.handle_missing_frame(m, "zero_fill"))
+
+
+@register("m1_minmax_scaling", fx.sql_with("customers") + """,
+p AS (SELECT MIN(loyalty_score) AS m, MAX(loyalty_score) - MIN(loyalty_score) AS s FROM customers)
+SELECT customer_id, round((loyalty_score - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END, 4) AS loyalty_score
+FROM customers, p""")
+def m1_minmax_scaling(spark, sf_dir):
+    c = fx.customers(spark, sf_dir).select("customer_id", "loyalty_score")
+    return round_doubles(FE.apply_scaler(c, FE.fit_scaler(c, ["loyalty_score"], "minmax"), ["loyalty_score"]))
+
+
+@register("u1_union_all", """
+SELECT 'customer' AS kind, c_custkey AS id, c_acctbal AS balance, NULL AS price FROM customer
+UNION ALL SELECT 'order', o_orderkey, NULL, o_totalprice FROM orders""")
+def u1_union_all(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    o = read_table(spark, sf_dir, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return SA.union_all([c, o])
+
+
+@register("l5_two_way_split", fx.sql_with("flows") + """
+SELECT customer_id, date, CASE WHEN pos < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT customer_id, date, row_number() OVER (ORDER BY date, customer_id) - 1 AS pos, COUNT(*) OVER () AS n FROM flows)""")
+def l5_two_way_split(spark, sf_dir):
+    f = fx.flows(spark, sf_dir).select("customer_id", "date")
+    return SA.chronological_split(f, ["date", "customer_id"], (0.8,))
+
+
+@register("l7_tornado_order", fx.sql_with("customers") + """,
+s AS (SELECT segment, AVG(loyalty_score) AS v FROM customers GROUP BY segment)
+SELECT segment, round(v, 4) AS v, round(v - 0.5, 4) AS delta FROM s""")
+def l7_tornado_order(spark, sf_dir):
+    s = fx.customers(spark, sf_dir).groupBy("segment").agg(F.avg("loyalty_score").alias("v"))
+    return round_doubles(RP.tornado_order(s, "segment", "v", 0.5))

@@ -120,7 +120,7 @@ def t1_random_forest_segment_flows(spark, sf_dir):
     d = fx.flows(spark, sf_dir).groupBy("segment", "date").agg(F.sum("deposit_flow").alias("y"))
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
     d = W.lag_features(d.join(F.broadcast(m), "date", "left"), ["y"], [1, 2], ["date"], ["segment"])
-    d = d.select("*", F.monotonically_increasing_id().alias("row_id"))
+    d = d.select("*", F.concat_ws("|", "segment", "date").alias("row_id"))
     feats = ["y_lag_1", "y_lag_2", "FED_FUNDS_RATE", "VIX"]
     model = ML.fit_regressor(d, feats, "y", "random_forest")
     return ML.predict_long(model, d, feats, "y", "random_forest")
@@ -175,5 +175,5 @@ def t5_train_and_compare(spark, sf_dir):
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
     t = seg.join(F.broadcast(m), "date", "left")
     feats = ["segment_sum_deposit_flow_ma_7", "segment_net_flow_rate_ma_7", "FED_FUNDS_RATE", "VIX"]
-    _, cmp = train_and_compare(t, feats, "segment_sum_deposit_flow", "2024-01-22")
+    _, cmp = train_and_compare(t, feats, "segment_sum_deposit_flow", ML.date_cutoff(t))
     return cmp

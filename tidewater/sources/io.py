@@ -66,8 +66,9 @@ def save_snapshot(tables: Mapping[str, DataFrame], base_path: str, snapshot_ts:
 
 
 def latest_snapshot_ts(spark: SparkSession, base_path: str, name: str):
-    """Newest snapshot id of one table (partition metadata only)."""
-    return spark.read.parquet(os.path.join(base_path, name)).agg(F.max("snapshot_ts")).first()[0]
+    """Newest snapshot id of one table: the largest partition value, without
+    reading a column of the files."""
+    return spark.read.parquet(os.path.join(base_path, name)).select("snapshot_ts").distinct().agg(F.max("snapshot_ts")).first()[0]
 
 
 def load_latest_snapshot(spark: SparkSession, base_path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -83,9 +84,13 @@ def load_latest_snapshot(spark: SparkSession, base_path: str, names: list[str])
 def is_stale(spark: SparkSession, base_path: str, name: str, as_of: str, max_age_hours: float = 24) -> bool:
     """True when there is no snapshot or the newest is older than the
     limit at ``as_of`` (snapshot ids are 'yyyy-MM-dd HH:mm:ss' texts)."""
+    from pyspark.errors import AnalysisException
     try:
         ts = latest_snapshot_ts(spark, base_path, name)
-    except Exception:  # noqa: BLE001 - no snapshot directory yet
+    except AnalysisException as e:
+        # no folder yet, or an empty one; any other failure is the caller's
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return True
     if ts is None:
         return True
@@ -105,6 +110,25 @@ def refresh_if_stale(spark: SparkSession, base_path: str, names: list[str], as_o
     return load_latest_snapshot(spark, base_path, names)
 
 
-def save_model(model, path: str) -> None:
-    """Spark ML model/pipeline persistence."""
+def save_model(model, path: str, metadata: dict | None = None) -> None:
+    """Spark ML model/pipeline persistence, with a metadata row (texts)
+    beside it."""
     model.write().overwrite().save(path)
+    if metadata:
+        spark = SparkSession.getActiveSession()
+        rows = [(str(k), str(v)) for k, v in metadata.items()]
+        spark.createDataFrame(rows, "key string, value string").write.mode("overwrite").json(path.rstrip("/") + "_metadata")
+
+
+def load_model(path: str):
+    """A saved pipeline model and its metadata ({} if none was saved)."""
+    from pyspark.errors import AnalysisException
+    from pyspark.ml import PipelineModel
+    model = PipelineModel.load(path)
+    try:
+        rows = SparkSession.getActiveSession().read.schema("key string, value string").json(path.rstrip("/") + "_metadata").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return model, {r["key"]: r["value"] for r in rows}

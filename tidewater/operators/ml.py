@@ -68,23 +68,25 @@ def error_gram(preds: DataFrame, models: Sequence[str]) -> list[list[float]]:
     return [[row[f"{i}_{j}"] for j in range(k)] for i in range(k)]
 
 
-def optimize_weights(gram: list[list[float]], iters: int = 2000) -> list[float]:
+def optimize_weights(gram: list[list[float]], tolerance: float = 1e-13) -> list[float]:
     """Minimise w' G w on the simplex (w >= 0, sum 1) by projected
-    gradient; k is the number of models (<= 10), so this is driver math on
-    a k x k matrix."""
+    gradient until no weight moves by more than ``tolerance``; k is the number
+    of models (<= 10), so this is driver math on a k x k matrix."""
     import numpy as np
     g = np.asarray(gram, dtype=float)
     k = g.shape[0]
     w = np.full(k, 1.0 / k)
     step = 1.0 / (2 * max(np.linalg.eigvalsh(g).max(), 1e-12))
-    for _ in range(iters):
+    while True:
+        before = w
         w = w - step * 2 * g @ w
         # Euclidean projection onto the simplex
         u = np.sort(w)[::-1]
         css = np.cumsum(u)
         rho = np.nonzero(u * np.arange(1, k + 1) > (css - 1))[0][-1]
         w = np.maximum(w - (css[rho] - 1) / (rho + 1.0), 0)
-    return w.tolist()
+        if np.abs(w - before).max() <= tolerance:
+            return w.tolist()
 
 
 def diversity(preds: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -20,7 +20,8 @@ from ..schemas import SEGMENTS
 from ..session import read_table
 from ..sources import payloads as S
 from .q_joins import _unified_sql
-from .registry import register
+from . import q_evaluate, q_risk  # noqa: F401 - their SQL is reused below
+from .registry import ORACLE_SQL, register
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -34,11 +35,24 @@ def _deposits(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- R9/R10
-@register("r9_risk_report")
+@register("r9_risk_report", fx.sql_with("flows") + f""",
+p AS (SELECT MIN(date) AS start_date, MAX(date) AS end_date, COUNT(*) AS n_observations FROM flows),
+l AS (SELECT * FROM ({ORACLE_SQL['r6_liquidity_metrics']})),
+c AS (SELECT * EXCLUDE (overall_risk), overall_risk AS concentration_risk FROM ({ORACLE_SQL['r3_concentration_risk']})),
+x AS (SELECT p.*, l.*, c.*, list_filter([
+    CASE WHEN COALESCE(lcr_ratio, 1.0) < 1.1 THEN 'Increase liquid asset buffer to improve LCR ratio' END,
+    CASE WHEN len(early_warnings) > 2 THEN 'Implement enhanced monitoring due to multiple risk flags' END,
+    CASE WHEN concentration_risk = 'High' THEN 'Diversify deposit base to reduce concentration risk' END,
+    CASE WHEN overall_risk_score > 6 THEN 'Consider stress testing and contingency funding plan review' END],
+    lambda r: r IS NOT NULL) AS recs FROM p, l, c)
+SELECT * EXCLUDE (recs), CASE WHEN overall_risk_score > 7 THEN 'High' WHEN overall_risk_score > 4 THEN 'Medium' ELSE 'Low' END
+    AS summary_risk_level, len(early_warnings) AS n_risk_flags,
+  CASE WHEN len(recs) = 0 THEN ['Current risk profile is acceptable, maintain monitoring'] ELSE recs END AS recommendations
+FROM x""")
 def r9_risk_report(spark, sf_dir):
-    """Composition of R6 and R3 (both with oracles) plus summary rules: rows-only."""
+    """Composition of R6 and R3 plus summary rules."""
     c, f = _deposits(spark, sf_dir)
-    return R.risk_report(f, c, fx.market(spark, sf_dir))
+    return round_doubles(R.risk_report(f, c, fx.market(spark, sf_dir)))
 
 
 @register("r10_dashboard_alerts", fx.sql_with("market", "flows") + """,
@@ -197,11 +211,25 @@ def ev6_residual_halves(spark, sf_dir):
     return round_doubles(EV.residual_halves(fx.predictions(spark, sf_dir)))
 
 
-@register("ev13_evaluation_report")
+@register("ev13_evaluation_report", f"""
+WITH m AS (SELECT * FROM ({ORACLE_SQL['ev1_ev2_prediction_metrics']})), r AS (SELECT * FROM ({ORACLE_SQL['ev5_residual_analysis']})),
+s AS (SELECT model_name, r2, mape, directional_accuracy, CASE WHEN r2 >= 0 THEN least(40.0, r2 * 40) ELSE 0 END
+    + CASE WHEN mape < 5 THEN 30 WHEN mape < 10 THEN 25 WHEN mape < 20 THEN 15 WHEN mape < 30 THEN 5 ELSE 0 END
+    + least(30.0, directional_accuracy * 30 / 100) AS score FROM m)
+SELECT s.model_name, r2, mape, directional_accuracy, CAST(round_even(score, 1) AS DOUBLE) AS overall_score,
+  CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 60 THEN 'Fair' ELSE 'Poor' END AS rating,
+  list_filter([CASE WHEN NOT COALESCE(is_normal, true) THEN 'Residuals not normally distributed' END,
+    CASE WHEN autocorrelation_significant THEN 'Significant autocorrelation in residuals' END,
+    CASE WHEN likely_heteroscedastic THEN 'Likely heteroscedasticity present' END,
+    CASE WHEN outlier_percentage > 5 THEN format('High percentage of outliers ({{:.1f}}%)', outlier_percentage) END],
+    lambda x: x IS NOT NULL) AS issues,
+  list_filter([CASE WHEN r2 < 0.5 THEN 'Consider feature engineering or different algorithms' END,
+    CASE WHEN mape > 20 THEN 'High prediction errors - review model assumptions' END,
+    CASE WHEN score < 60 THEN 'Model performance below acceptable threshold' END], lambda x: x IS NOT NULL) AS recommendations
+FROM s LEFT JOIN r ON s.model_name = r.model_name""")
 def ev13_evaluation_report(spark, sf_dir):
-    """Rules over EV1 and EV5 outputs (both with oracles): rows-only."""
     p = fx.predictions(spark, sf_dir)
-    return EV.evaluation_report(EV.prediction_metrics(p), EV.residual_analysis(p))
+    return round_doubles(EV.evaluation_report(EV.prediction_metrics(p), EV.residual_analysis(p)))
 
 
 @register("ev14_qq_pairs")
@@ -255,13 +283,19 @@ def e5_dynamic_weights(spark, sf_dir):
     return round_doubles(ML.dynamic_weights(fx.predictions(spark, sf_dir)))
 
 
-@register("e2_optimized_weights")
+@register("e2_optimized_weights", fx.sql_with("predictions") + """,
+e AS (SELECT a.actual - a.predicted AS ea, b.actual - b.predicted AS eb FROM predictions a JOIN predictions b USING (row_id)
+      WHERE a.model_name = 'a' AND b.model_name = 'b'),
+g AS (SELECT AVG(ea * ea) AS aa, AVG(eb * eb) AS bb, AVG(ea * eb) AS ab FROM e),
+w AS (SELECT greatest(0.0, least(1.0, (bb - ab) / (aa + bb - 2 * ab))) AS wa FROM g)
+SELECT 'a' AS model_name, round(wa, 4) AS weight FROM w UNION ALL SELECT 'b', round(1 - wa, 4) FROM w""")
 def e2_optimized_weights(spark, sf_dir):
-    """Simplex QP on the k x k error Gram matrix (driver math on k = 2): rows-only."""
+    """Simplex QP on the k x k error Gram matrix (driver math on k = 2, where
+    the minimum has a closed form)."""
     p = fx.predictions(spark, sf_dir)
     w = ML.optimize_weights(ML.error_gram(p, ["a", "b"]))
-    return p.select("model_name").distinct().select(
-        "model_name", F.when(F.col("model_name") == "a", w[0]).otherwise(w[1]).alias("weight"))
+    return round_doubles(p.select("model_name").distinct().select(
+        "model_name", F.when(F.col("model_name") == "a", w[0]).otherwise(w[1]).alias("weight")))
 
 
 # ------------------------------------------------------------------- models

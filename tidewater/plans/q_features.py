@@ -235,10 +235,38 @@ def w18_market_bundle(spark, sf_dir):
     return round_doubles(d.select("date", *[F.col(c).cast("double").alias(c) for c in d.columns if c != "date"]))
 
 
-@register("w20_technical_indicators")
+def _ema_sql(x: str, keep: str, add: str) -> str:
+    """An exponential mean as a fold over the rows so far."""
+    return f"list_reduce(list(CAST({x} AS DOUBLE)) FILTER ({x} IS NOT NULL) OVER p, lambda a, v: a * {keep} + v * {add})"
+
+
+_SO_FAR = "p AS (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING)"
+
+
+@register("w20_technical_indicators", fx.sql_with("market_gappy") + f""",
+long AS (SELECT 'FED_FUNDS_RATE' AS series, date, FED_FUNDS_RATE AS value FROM market_gappy
+         UNION ALL SELECT 'VIX', date, VIX FROM market_gappy),
+v AS (SELECT series, date, value, row_number() OVER s AS rn, COUNT(*) OVER (PARTITION BY series) AS n,
+        value - LAG(value) OVER s AS d FROM long WHERE value IS NOT NULL WINDOW s AS (PARTITION BY series ORDER BY date)),
+u AS (SELECT *, CASE WHEN d > 0 THEN d ELSE 0 END AS up, CASE WHEN d < 0 THEN -d ELSE 0 END AS down FROM v),
+l AS (SELECT *, {_ema_sql('up', '(13 / 14)', '(1 / 14)')} AS au, {_ema_sql('down', '(13 / 14)', '(1 / 14)')} AS ad,
+        {_ema_sql('value', '(11 / 13)', '(2 / 13)')} AS fast, {_ema_sql('value', '(25 / 27)', '(2 / 27)')} AS slow
+      FROM u WINDOW {_SO_FAR}),
+m AS (SELECT *, CASE WHEN rn >= 26 THEN fast - slow END AS macd FROM l),
+g AS (SELECT *, CASE WHEN rn >= 34 THEN {_ema_sql('macd', '0.8', '0.2')} END AS sig,
+        CASE WHEN rn >= 20 THEN AVG(value) OVER w20 END AS mid, STDDEV_POP(value) OVER w20 AS sd,
+        CASE WHEN rn >= 14 THEN MAX(value) OVER w14 END AS hi, MIN(value) OVER w14 AS lo
+      FROM m WINDOW {_SO_FAR}, w20 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+        w14 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+SELECT long.series, long.date, """ + ", ".join(rd(f"CASE WHEN n > 50 THEN {e} END", c) for c, e in (
+    ("bb_upper", "mid + 2 * sd"), ("bb_middle", "mid"), ("bb_lower", "mid - 2 * sd"), ("bb_width", "4 * sd / NULLIF(mid, 0)"),
+    ("williams_r", "(g.value - hi) / NULLIF(hi - lo, 0) * 100"),
+    ("rsi_14", "CASE WHEN rn >= 14 THEN CASE WHEN ad = 0 THEN 100 ELSE 100 - 100 / (1 + au / ad) END END"),
+    ("macd", "macd"), ("macd_signal", "sig"), ("macd_histogram", "macd - sig"))) + """
+FROM long LEFT JOIN g ON long.series = g.series AND long.date = g.date""")
 def w20_technical_indicators(spark, sf_dir):
-    """EMA recurrences in applyInPandas per series: rows-only."""
-    return FE.technical_indicators(fx.market(spark, sf_dir), ["FED_FUNDS_RATE", "VIX"])
+    m = fx.market_gappy(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
+    return round_doubles(FE.technical_indicators(m, ["FED_FUNDS_RATE", "VIX"]))
 
 
 @register("w21_target_variables", fx.sql_with("flows") + """,

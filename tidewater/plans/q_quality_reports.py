@@ -251,11 +251,22 @@ def a16_spread_statistics(spark, sf_dir):
         "2Y_3M_Spread": F.col("TREASURY_2Y") - F.col("TREASURY_3M")}))
 
 
-@register("a17_current_metrics")
+@register("a17_current_metrics", fx.sql_with("market", "flows") + """,
+m AS (SELECT * FROM market ORDER BY date DESC LIMIT 1),
+t AS (SELECT COUNT(*) AS total_customers, SUM(balance_avg) AS total_deposits, SUM((rate_sensitivity * 0.4
+        + (1 - loyalty_score) * 0.3 + volatility_factor * 0.3) * balance_avg) / SUM(balance_avg) AS behavioral_risk FROM customers),
+h AS (SELECT SUM((e / total_deposits) ** 2) AS hhi FROM (SELECT segment, SUM(balance_avg) AS e FROM customers GROUP BY segment), t),
+f AS (SELECT SUM(CASE WHEN date = d THEN deposit_flow END) AS latest_daily_flow, AVG(deposit_flow) AS avg_flow,
+        COALESCE(AVG(CASE WHEN deposit_flow < 0 THEN abs(deposit_flow) END), 0) AS avg_outflow,
+        SUM(CASE WHEN date = d THEN balance_end END) AS latest_balance FROM flows, (SELECT MAX(date) AS d FROM flows))
+SELECT m.date AS as_of, round(FED_FUNDS_RATE, 4) AS FED_FUNDS_RATE, round(VIX, 4) AS VIX,
+  round(TREASURY_10Y - TREASURY_2Y, 4) AS yield_spread, total_customers, round(total_deposits, 4) AS total_deposits,
+  round(behavioral_risk, 4) AS behavioral_risk, round(latest_daily_flow, 4) AS latest_daily_flow, round(avg_flow, 4) AS avg_flow,
+  round(0.15 * latest_balance / NULLIF(30 * avg_outflow, 0), 4) AS lcr_estimate, round(least(1.0, hhi * 10), 4) AS concentration_index
+FROM m, t, h, f""")
 def a17_current_metrics(spark, sf_dir):
-    """Dashboard KPI row composed of A/R operators with oracles: rows-only."""
     c = fx.customers(spark, sf_dir)
-    return RP.current_metrics(fx.market(spark, sf_dir), c, fx.flows(spark, sf_dir, c))
+    return round_doubles(RP.current_metrics(fx.market(spark, sf_dir), c, fx.flows(spark, sf_dir, c)))
 
 
 @register("a21_current_yield_curve", MS + """,

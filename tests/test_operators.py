@@ -266,3 +266,10 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_rows_after_the_as_of_date_go(spark):
+    rows = [("a", dt.date(2024, 1, k), float(k), float(k), 0.0, 10.0, 10.0 + k) for k in range(1, 9)]
+    f = spark.createDataFrame(rows, "customer_id string, date date, deposit_flow double, inflow double, outflow double, balance_start double, balance_end double")
+    assert C.clean_flow_data(f, "2024-01-05").count() == 5
+    assert C.clean_flow_data(f, "2024-01-08").count() == 8

@@ -94,6 +94,15 @@ def flows(spark: SparkSession, sf_dir: str, customers_df: DataFrame | None = Non
                     bal_end.alias("balance_end"))
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> str:
+    """The last day with a flow, as text: the as-of date of the queries."""
+    return daily_flows(spark, sf_dir).agg(F.max("date").cast("string")).first()[0]
+
+
+#: The same date in SQL (needs the flows).
+LAST_DAY_SQL = "(SELECT MAX(date) FROM flows)"
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily market series from line items, one row per shifted ship day."""
     li = read_table(spark, sf_dir, "lineitem").select(

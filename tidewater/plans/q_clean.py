@@ -9,8 +9,7 @@ from ..functions.core import round_doubles
 from ..operators import clean as C
 from .registry import register
 
-AS_OF = "2024-01-31"
-FLOW_AS_OF = "2024-01-25"
+LAST = fx.LAST_DAY_SQL
 MK = ["FED_FUNDS_RATE", "TREASURY_10Y", "TREASURY_5Y", "TREASURY_2Y", "TREASURY_3M", "VIX"]
 
 
@@ -115,7 +114,7 @@ def p5_clean_market_data(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- P6
-@register("p6_clean_customer_data", fx.sql_with("customers") + f"""
+@register("p6_clean_customer_data", fx.sql_with("flows") + f"""
 SELECT customer_id, segment, round(balance_avg, 4) AS balance_avg,
   round(CASE WHEN rate_sensitivity < 0 THEN 0.0 WHEN rate_sensitivity > 1 THEN 1.0 ELSE rate_sensitivity END, 4) AS rate_sensitivity,
   round(CASE WHEN loyalty_score < 0 THEN 0.0 WHEN loyalty_score > 1 THEN 1.0 ELSE loyalty_score END, 4) AS loyalty_score,
@@ -124,9 +123,9 @@ SELECT customer_id, segment, round(balance_avg, 4) AS balance_avg,
 FROM customers
 WHERE NOT COALESCE(balance_avg < 0 OR balance_avg > 1e8, false)
   AND COALESCE(segment IN ('RETAIL_SMALL', 'RETAIL_MEDIUM', 'RETAIL_LARGE', 'SME', 'CORPORATE'), false)
-  AND NOT COALESCE(account_opening_date < DATE '1990-01-01' OR account_opening_date > DATE '{AS_OF}', false)""")
+  AND NOT COALESCE(account_opening_date < DATE '1990-01-01' OR account_opening_date > {LAST}, false)""")
 def p6_clean_customer_data(spark, sf_dir):
-    return round_doubles(C.clean_customer_data(fx.customers(spark, sf_dir), AS_OF))
+    return round_doubles(C.clean_customer_data(fx.customers(spark, sf_dir), fx.last_day(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------- P7
@@ -136,7 +135,7 @@ def _clip(c: str) -> str:
 
 
 @register("p7_clean_flow_data", fx.sql_with("flows") + f""",
-f AS (SELECT * FROM flows WHERE NOT COALESCE(date > DATE '{FLOW_AS_OF}', false)),
+f AS (SELECT * FROM flows WHERE NOT COALESCE(date > {LAST}, false)),
 q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS q_{c}1, quantile_cont({c}, 0.75) AS q_{c}3"
                         for c in ("deposit_flow", "inflow", "outflow"))} FROM f),
 c AS (SELECT customer_id, date, segment, balance_start, balance_end,
@@ -150,12 +149,12 @@ SELECT customer_id, date, round(COALESCE(deposit_flow, 0), 4) AS deposit_flow,
   round(CASE WHEN be < 0 THEN 0.0 ELSE be END, 4) AS balance_end
 FROM b""")
 def p7_clean_flow_data(spark, sf_dir):
-    return round_doubles(C.clean_flow_data(fx.flows(spark, sf_dir), FLOW_AS_OF))
+    return round_doubles(C.clean_flow_data(fx.flows(spark, sf_dir), fx.last_day(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------- P8
 _P8_CUST = fx.sql_with("flows") + f""",
-c1 AS (SELECT customer_id, balance_avg, account_opening_date > DATE '{AS_OF}' - INTERVAL 30 DAY AS insufficient_history,
+c1 AS (SELECT customer_id, balance_avg, account_opening_date > {LAST} - INTERVAL 30 DAY AS insufficient_history,
               CASE WHEN segment = 'CORPORATE' AND balance_avg < 1000000 THEN 'SME' ELSE segment END AS seg
        FROM customers),
 c2 AS (SELECT *, COALESCE((seg = 'RETAIL_SMALL' AND (balance_avg < 0 OR balance_avg > 10000))
@@ -176,7 +175,7 @@ FROM c2"""
 @register("p8_business_rules_customers", _P8_CUST)
 def p8_business_rules_customers(spark, sf_dir):
     c = fx.customers(spark, sf_dir)
-    cc, _ = C.apply_business_rules(c, fx.flows(spark, sf_dir, c), AS_OF)
+    cc, _ = C.apply_business_rules(c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
     return round_doubles(cc.select("customer_id", "balance_avg", "insufficient_history", "segment"))
 
 
@@ -188,7 +187,7 @@ SELECT customer_id, date, round(deposit_flow, 4) AS deposit_flow FROM flows
 WHERE customer_id NOT IN (SELECT customer_id FROM x)""")
 def p8_business_rules_flows(spark, sf_dir):
     c = fx.customers(spark, sf_dir)
-    _, ff = C.apply_business_rules(c, fx.flows(spark, sf_dir, c), AS_OF)
+    _, ff = C.apply_business_rules(c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
     return round_doubles(ff.select("customer_id", "date", "deposit_flow"))
 
 

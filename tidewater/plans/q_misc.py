@@ -84,7 +84,7 @@ SELECT CAST(e.ts AS DATE) AS date, c.segment,
   round(SUM(CASE WHEN event_type IN ('purchase', 'error') THEN -value ELSE value END), 4) AS deposit_flow,
   round(SUM(CASE WHEN event_type IN ('purchase', 'error') THEN 0.0 ELSE value END), 4) AS inflow,
   round(SUM(CASE WHEN event_type IN ('purchase', 'error') THEN -value ELSE 0.0 END), 4) AS outflow,
-  COUNT(*) AS events
+  COUNT(*) AS events, COUNT(DISTINCT c.customer_id) AS active_customers
 FROM events e LEFT JOIN customers c ON printf('CUST_%06d', e.user_id) = c.customer_id
 GROUP BY CAST(e.ts AS DATE), c.segment""")
 def x1_streaming_segment_daily(spark, sf_dir):
@@ -93,8 +93,8 @@ def x1_streaming_segment_daily(spark, sf_dir):
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
                .option("maxFilesPerTrigger", 1).parquet(sf_dir))
     stream = X.segment_daily_stream(ev.withColumn("ts", F.col("ts").cast("timestamp")), fx.customers(spark, sf_dir))
-    out = X.run_to_table(spark, stream, "x1_segment_daily")
-    return round_doubles(out.drop("active_customers"))
+    out = X.run_to_table(spark, stream, ["date", "segment"], "x1_segment_daily")
+    return round_doubles(out)
 
 
 @register("e1_weighted_ensemble", fx.sql_with("predictions") + """
@@ -146,7 +146,7 @@ def v6_clean_all_integrity(spark, sf_dir):
     """V6 composition (its steps have oracles): integrity row, rows-only."""
     from .compositions import clean_all
     c = fx.customers(spark, sf_dir)
-    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), "2024-01-31")
+    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
     return out["integrity"]
 
 
@@ -155,7 +155,7 @@ def v6_clean_all_quality_report(spark, sf_dir):
     """V6 composition: per-table quality report, rows-only."""
     from .compositions import clean_all
     c = fx.customers(spark, sf_dir)
-    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), "2024-01-31")
+    out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
     return out["quality_report"]
 
 

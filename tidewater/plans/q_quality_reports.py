@@ -11,7 +11,6 @@ from ..operators import quality as Q
 from ..operators import reports as RP
 from .registry import register
 
-AS_OF = "2024-01-31"
 CF = fx.sql_with("customers")
 MS = fx.sql_with("market")
 
@@ -71,10 +70,10 @@ def v2_validate_integrity(spark, sf_dir):
     return Q.validate_integrity(fx.market(spark, sf_dir), c, fx.flows(spark, sf_dir, c))
 
 
-@register("v3_quality_report", CF + f""",
+@register("v3_quality_report", fx.sql_with("flows") + f""",
 cl AS (SELECT * FROM customers WHERE NOT COALESCE(balance_avg < 0 OR balance_avg > 1e8, false)
        AND COALESCE(segment IN ('RETAIL_SMALL','RETAIL_MEDIUM','RETAIL_LARGE','SME','CORPORATE'), false)
-       AND NOT COALESCE(account_opening_date < DATE '1990-01-01' OR account_opening_date > DATE '{AS_OF}', false)),
+       AND NOT COALESCE(account_opening_date < DATE '1990-01-01' OR account_opening_date > {fx.LAST_DAY_SQL}, false)),
 a AS (SELECT COUNT(*) AS n0 FROM customers), b AS (SELECT COUNT(*) AS n1 FROM cl),
 r AS (SELECT n0, n1, (n0 - n1) * 100.0 / n0 AS rp FROM a, b)
 SELECT 'customers' AS "table", n0 AS original_rows, n1 AS cleaned_rows, n0 - n1 AS rows_removed,
@@ -85,7 +84,7 @@ SELECT 'customers' AS "table", n0 AS original_rows, n1 AS cleaned_rows, n0 - n1
 FROM r""")
 def v3_quality_report(spark, sf_dir):
     c = fx.customers(spark, sf_dir)
-    return round_doubles(Q.quality_report(c, C.clean_customer_data(c, AS_OF), "customers"))
+    return round_doubles(Q.quality_report(c, C.clean_customer_data(c, fx.last_day(spark, sf_dir)), "customers"))
 
 
 @register("v4_quality_score", fx.sql_with("market_gappy") + """,

@@ -8,6 +8,8 @@ for late rows, partial aggregation in the state store.
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +35,30 @@ def segment_daily_stream(events: DataFrame, customers: DataFrame, watermark: str
                      "events", "active_customers"))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming query over all available input (availableNow) into
-    an in-memory table and return it as a batch DataFrame.  The checkpoint
-    goes to the shared checkpoint folder."""
-    ck = os.path.join(checkpoint_dir(spark), f"stream-{name}-{os.getpid()}-{id(stream)}")
-    q = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-               .option("checkpointLocation", ck).trigger(availableNow=True).start())
+def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Drive an aggregating stream over all available input (availableNow) in
+    update mode and return the newest row per key.
+
+    Each micro-batch writes the rows that it changed to a folder of its own in
+    the shared checkpoint folder, so a batch that is run again overwrites
+    itself; the result is read from there, not gathered on the driver.  State
+    older than the watermark is dropped, and so are rows that late.
+    """
+    base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    out = os.path.join(base, "rows")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+
+    q = (stream.writeStream.foreachBatch(store).outputMode("update")
+               .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).option("basePath", out).parquet(os.path.join(out, "batch_id=*"))
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
 
 
 def dynamic_weights_batch(batch: DataFrame, window_rows: int = 20) -> DataFrame:
@@ -59,14 +76,14 @@ def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name
     ensemble weights (1/rmse of the batch, normalised); every update is
     appended with its batch id to a table in the shared checkpoint folder,
     which is returned after all available input is processed."""
-    base = os.path.join(checkpoint_dir(spark), f"{name}-{os.getpid()}-{id(predictions_stream)}")
+    base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     out_path, ck = os.path.join(base, "weights"), os.path.join(base, "_checkpoint")
 
     def update(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        dynamic_weights_batch(batch).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(out_path)
+        # a folder per batch: a batch that is run again overwrites itself
+        dynamic_weights_batch(batch).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     q = (predictions_stream.writeStream.foreachBatch(update).option("checkpointLocation", ck)
                            .trigger(availableNow=True).start())

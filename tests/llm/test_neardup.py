@@ -93,3 +93,16 @@ def test_one_document_of_each_group_stays(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     want = {i for i, _, c in brute([r[:2] for r in cases.rows()]) if i == c and i is not None}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+
+
+def test_id_filter_never_misses(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewater.llm import common
+    ids = spark.range(0, 40_000, 2).select(F.col("id").alias("k"))
+    all_ = spark.range(-10, 40_000).withColumn("id", F.when(F.col("id") >= 0, F.col("id")))
+    hit = {r["id"] for r in all_.where(common.maybe_among(ids)(F.col("id"))).collect()}
+    assert set(range(0, 40_000, 2)) <= hit and len(hit) < 20_000 * 1.05 and None not in hit
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 14)  # outgrown: says true more often, misses nothing
+    assert set(range(0, 40_000, 2)) <= {r["id"] for r in all_.where(common.maybe_among(ids)(F.col("id"))).collect()}
+    assert all_.where(common.maybe_among(ids.limit(0))(F.col("id"))).count() == 0

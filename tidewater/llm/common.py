@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewater.session import checkpoint_dir, read_table
 
+from .wordhash import mix
+
 #: Rows up to which a table that was counted may be broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -88,3 +91,54 @@ def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch], np.ndarra
 
     parts = df.mapInArrow(rows, "slot int, v binary").repartition(slots, "slot").mapInArrow(add, "v binary").collect()
     return sum((np.frombuffer(r["v"], np.int64) for r in parts), np.zeros(size, np.int64))
+
+
+#: Bits of an id filter: 16 for each id, up to this many (32 MB).
+FILTER_BITS = 1 << 28
+
+
+def maybe_among(ids: DataFrame, slots: int = 8) -> Callable[[Column], Column]:
+    """A test for the long column of ``ids``: false only for ids that are not
+    there.
+
+    It is a Bloom filter of bounded size, so it can go to every task however
+    many ids there are; when they outgrow it, it says true more often, and
+    what relies on it joins more rows but gives the same result.  Each task
+    makes one bit map, ``slots`` tasks unite them.
+    """
+    n = max(1, ids.count())
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(13, (16 * n - 1).bit_length()))
+    name = ids.columns[0]
+
+    def places(x: np.ndarray) -> list[np.ndarray]:
+        h = x.astype(np.int64).view(np.uint64)
+        return [mix(h ^ seed) & np.uint64(size - 1) for seed in mix(np.arange(4))]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            for at in places(b.column(0).drop_null().to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slot", "v"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size >> 3, np.uint8)
+        for b in batches:
+            for v in b.column("v"):
+                bits |= np.frombuffer(v.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["v"])
+
+    rows = ids.select(name).mapInArrow(mark, "slot int, v binary").repartition(slots, "slot").mapInArrow(unite, "v binary").collect()
+    bits = np.zeros(size >> 3, np.uint8)
+    for r in rows:
+        bits |= np.frombuffer(r["v"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        there = np.ones(len(x), bool)
+        for at in places(x.fillna(0).to_numpy()):
+            there &= (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return pd.Series(there)
+
+    return lambda column: column.isNotNull() & test(F.coalesce(column.cast("long"), F.lit(0)))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, maybe_among, written
 from .components import components
 from .wordhash import mix, shingle_sets
 
@@ -251,9 +251,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = classes.select("doc", "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(keyed.join(hubs, "key").select("key", "doc", "n", "members", "hub"))
-    wanted = members.select(F.col("doc").alias("_wanted")).distinct()
+    wanted = written(members.select(F.col("doc").alias("_wanted")).distinct())
     texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    texts = texts.join(wanted, F.col("_doc") == F.col("_wanted"), "left_semi")
+    # few texts are candidates; the filter keeps most others out of the shuffle
+    texts = texts.where(maybe_among(wanted)(F.col("_doc"))).join(wanted, F.col("_doc") == F.col("_wanted"), "left_semi")
     sets = written(_sets(texts, "_doc", "_text"))
     near = f"100 * least(x.n, y.n) >= {LEAST_PERCENT} * greatest(x.n, y.n)"
     stars = members.select(F.col("hub").alias("x"), F.struct("doc", "n").alias("y")).where("x.doc <> y.doc").where(near)
@@ -292,16 +293,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` whose document stands for its group, one row per
     document (the one with the smallest text, if rows repeat its id)."""
     found = near_duplicates(docs, doc_id, text)
-    stay, last = fresh(docs, "stay", "last")
-    ids = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias(last))
-    ids = ids.select(F.col("doc_id").alias(stay), last)
-    here = docs.join(ids, docs[doc_id].cast("long") == ids[stay])
-    once = here.where(F.col(last) == 1)
+    stay, last, keep = fresh(docs, "stay", "last", "keep")
+    ids = written(found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(stay)).agg(
+        F.max("kept").alias(keep), F.count(F.lit(1)).alias(last)).where(~F.col(keep) | (F.col(last) > 1)))
+    # ids that go or repeat need a join; a row that is surely neither stays
+    # where it is, so that few texts are shuffled
+    special = maybe_among(ids.select(stay))
+    rest = docs.where(~special(F.col(doc_id)))
+    here = docs.where(special(F.col(doc_id)))
+    here = here.join(ids, here[doc_id].cast("long") == ids[stay], "left").where(F.coalesce(keep, F.lit(True)))
+    once = here.where(F.col(last).isNull())
     many = here.where(F.col(last) > 1)
     (row,) = fresh(docs, "row")
     many = many.groupBy(stay).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias(row)).select(f"{row}.*")
-    return (once.select(*docs.columns).unionByName(many.select(*docs.columns))
-            .unionByName(docs.where(F.col(doc_id).isNull())))
+    return rest.unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
 
 
 ORACLE_SQL = f"""

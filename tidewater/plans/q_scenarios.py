@@ -153,7 +153,7 @@ p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {float(o)}, {float(b)})" f
 x AS (SELECT scenario, bd, bf, outr, bps, bd * (1 - outr) AS sd, 1.15 * (1 - outr * 0.5) AS lcr FROM b, fl, p)
 SELECT scenario, round(bd, 4) AS base_deposits, round(sd, 4) AS scenario_deposits, round(lcr, 4) AS scenario_lcr,
   round(bf * (1 + bps / 10000 * 10), 4) AS scenario_flows, round(sd - bd, 4) AS deposit_change,
-  round((sd - bd) / bd * 100, 4) AS deposit_change_pct, floor((lcr - 1.15) * 10000 + 0.5 + 1e-9) / 10000 AS lcr_change,
+  round((sd - bd) / bd * 100, 4) AS deposit_change_pct, round(round(lcr - 1.15, 9) * 10000) / 10000 AS lcr_change,
   round(bf * (1 + bps / 10000 * 10) - bf, 4) AS flow_change,
   round(greatest(0.0, (bd - sd) - bd * 0.15), 4) AS funding_gap, round(lcr / 1.15, 4) AS stress_ratio,
   CASE WHEN lcr / 1.15 < 0.8 THEN 'High' WHEN lcr / 1.15 < 0.9 THEN 'Medium' ELSE 'Low' END AS risk_level,

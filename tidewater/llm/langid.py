@@ -33,7 +33,7 @@ ORDERS = 3
 SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
 #: Characters that are worked on at once; a longer text is taken alone.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 UNKNOWN = "und"
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FOLD: np.ndarray | None = None

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import os
+import shutil
 import time
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
+from tidewater import fixtures as fx
 from tidewater.streaming import flows as X
 
 
@@ -42,3 +45,48 @@ def test_weights_per_batch(spark, tmp_path):
     out = X.run_dynamic_weights(spark, stream)
     got = {(r["batch_id"], r["model_name"]): round(r["weight"], 4) for r in out.select("model_name", "weight", F.col("batch_id").cast("int")).collect()}
     assert got == {(0, "a"): 0.5, (0, "b"): 0.5, (1, "a"): 0.25, (1, "b"): 0.75}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _folders(spark, tmp_path):
+    """The small tables, events and orders as folders of four part files each."""
+    for t in ("region", "nation", "customer"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    for t in ("events", "orders"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(4).write.parquet(f"{tmp_path}/{t}.parquet")
+    return str(tmp_path)
+
+
+def test_folder_tables_are_streamed_whole(spark, tmp_path):
+    x1 = E.queries()["x1_streaming_segment_daily"]
+    one, four = x1(spark, SF), x1(spark, _folders(spark, tmp_path))
+    assert one.agg(F.sum("events")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert sorted(map(tuple, four.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
+
+
+def test_customers_are_counted_exactly(spark, tmp_path):
+    n = 3000
+    path = os.path.join(str(tmp_path), "in")
+    rows = spark.range(2 * n).selectExpr(f"id % {n} as user_id", "'view' as event_type", "timestamp'2024-01-01 12:00:00' as ts", "1.0D as value")
+    rows.coalesce(1).write.parquet(path)
+    customers = spark.range(n - 10).select(F.format_string("CUST_%06d", "id").alias("customer_id"), F.lit("SME").alias("segment"))
+    stream = X.customer_daily_stream(spark.readStream.schema(rows.schema).parquet(path), customers)
+    got = {r["segment"]: (r["events"], r["active_customers"]) for r in X.segment_daily(X.run_to_table(spark, stream, X.CUSTOMER_DAY, "exact")).collect()}
+    assert got == {"SME": (2 * (n - 10), n - 10), None: (20, 0)}
+
+
+def test_weights_per_twenty_rows(spark, tmp_path):
+    p = fx.predictions(spark, SF).toPandas().sort_values("row_id")
+    want = {}
+    for model, g in p.groupby("model_name"):
+        for k in range(0, len(g), 20):
+            part = g.iloc[k:k + 20]
+            want[k // 20, model] = 1 / (((part.actual - part.predicted) ** 2).mean() ** 0.5 + 1e-8)
+    total = {w: sum(v for (x, _), v in want.items() if x == w) for w, _ in want}
+    x2 = E.queries()["x2_streaming_dynamic_weights"]
+    for at in (SF, _folders(spark, tmp_path)):
+        got = {(r["window"], r["model_name"]): r["weight"] for r in x2(spark, at).collect()}
+        assert got.keys() == want.keys() and len(total) > 2
+        assert all(abs(got[k] - v / total[k[0]]) < 1e-9 for k, v in want.items())

@@ -88,12 +88,9 @@ SELECT CAST(e.ts AS DATE) AS date, c.segment,
 FROM events e LEFT JOIN customers c ON printf('CUST_%06d', e.user_id) = c.customer_id
 GROUP BY CAST(e.ts AS DATE), c.segment""")
 def x1_streaming_segment_daily(spark, sf_dir):
-    schema = read_table(spark, sf_dir, "events").schema
-    # the table is one file in the data folder: stream the folder, filtered to it
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-               .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    stream = X.segment_daily_stream(ev.withColumn("ts", F.col("ts").cast("timestamp")), fx.customers(spark, sf_dir))
-    out = X.run_to_table(spark, stream, ["date", "segment"], "x1_segment_daily")
+    ev = X.arriving(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = X.customer_daily_stream(ev, fx.customers(spark, sf_dir))
+    out = X.segment_daily(X.run_to_table(spark, stream, X.CUSTOMER_DAY, "x1_segment_daily"))
     return round_doubles(out)
 
 
@@ -128,17 +125,15 @@ def t1_random_forest_segment_flows(spark, sf_dir):
 
 @register("x2_streaming_dynamic_weights")
 def x2_streaming_dynamic_weights(spark, sf_dir):
-    """foreachBatch weight updates over a file stream of orders: rows-only."""
-    schema = read_table(spark, sf_dir, "orders").schema
-    o = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """foreachBatch weight updates over a file stream of orders, one per 20 rows: rows-only."""
+    o = X.arriving(spark, sf_dir, "orders")
     variants = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(k).alias("k")) for n, k in fx.MODEL_VARIANTS])
     p = o.select("o_orderkey", "o_totalprice", F.explode(variants).alias("m")).select(
         F.col("m.model_name").alias("model_name"), F.col("o_orderkey").alias("row_id"),
         F.col("o_totalprice").alias("actual"),
         (F.col("o_totalprice") * (1 + ((F.col("o_orderkey") * F.col("m.k")) % 21 - 10).cast("double") / 100))
         .alias("predicted"))
-    return X.run_dynamic_weights(spark, p)
+    return X.run_dynamic_weights(spark, p, order_by="row_id")
 
 
 @register("v6_clean_all_integrity")

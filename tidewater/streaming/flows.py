@@ -11,28 +11,73 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..fixtures import OUTFLOW_EVENT_TYPES
-from ..session import checkpoint_dir
+from ..operators.evaluate import positioned
+from ..session import checkpoint_dir, read_table, table_path
 
 
-def segment_daily_stream(events: DataFrame, customers: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Streaming aggregation per (day window, segment): signed flow, inflow,
-    outflow, event count and approximate distinct customers."""
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a table as a stream, all files there in one micro-batch:
+    files of a table are in no order of time, so taken one by one, rows of
+    later files would count as late.
+
+    A folder of part files is streamed itself; for a single file the data
+    folder is, filtered to its name (a file can't be a stream's path).
+    """
+    path = table_path(sf_dir, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(read_table(spark, sf_dir, name).schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(sf_dir)
+
+
+def _signed_events(events: DataFrame, customers: DataFrame, watermark: str) -> DataFrame:
     is_out = F.col("event_type").isin(*OUTFLOW_EVENT_TYPES)
     e = events.withWatermark("ts", watermark).select(
         F.format_string("CUST_%06d", F.col("user_id")).alias("customer_id"), "ts",
         F.when(is_out, -F.col("value")).otherwise(F.col("value")).alias("v"),
         F.when(is_out, F.lit(0.0)).otherwise(F.col("value")).alias("i"),
         F.when(is_out, -F.col("value")).otherwise(F.lit(0.0)).alias("o"))
-    j = e.join(customers.select("customer_id", "segment"), "customer_id", "left")
-    return (j.groupBy(F.window("ts", "1 day").alias("w"), "segment")
+    return e.join(customers.select("customer_id", "segment", F.lit(True).alias("known")), "customer_id", "left")
+
+
+def _daily(j: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    return (j.groupBy(F.window("ts", "1 day").alias("w"), *keys)
              .agg(F.sum("v").alias("deposit_flow"), F.sum("i").alias("inflow"), F.sum("o").alias("outflow"),
-                  F.count(F.lit(1)).alias("events"), F.approx_count_distinct("customer_id").alias("active_customers"))
-             .select(F.col("w.start").cast("date").alias("date"), "segment", "deposit_flow", "inflow", "outflow",
-                     "events", "active_customers"))
+                  F.count(F.lit(1)).alias("events"), *more)
+             .withColumn("date", F.col("w.start").cast("date")).drop("w"))
+
+
+def segment_daily_stream(events: DataFrame, customers: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Streaming aggregation per (day window, segment): signed flow, inflow,
+    outflow, event count and approximate distinct customers."""
+    j = _signed_events(events, customers, watermark)
+    return _daily(j, ["segment"], F.approx_count_distinct("customer_id").alias("active_customers")).select(
+        "date", "segment", "deposit_flow", "inflow", "outflow", "events", "active_customers")
+
+
+#: Keys of ``customer_daily_stream``.
+CUSTOMER_DAY = ["date", "segment", "customer_id"]
+
+
+def customer_daily_stream(events: DataFrame, customers: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """The same per (day window, segment, customer): with the customer among
+    the state's keys, ``segment_daily`` counts customers exactly."""
+    j = _signed_events(events, customers, watermark)
+    return _daily(j, ["segment", "customer_id"], F.max("known").alias("known"))
+
+
+def segment_daily(customer_days: DataFrame) -> DataFrame:
+    """The result table of ``customer_daily_stream`` per (day, segment), with
+    the exact number of its customers (ids without a customer row count as none)."""
+    return customer_days.groupBy("date", "segment").agg(
+        *[F.sum(c).alias(c) for c in ("deposit_flow", "inflow", "outflow", "events")],
+        F.count("known").alias("active_customers"))
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -61,21 +106,28 @@ def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], na
     return last.select(*keys, "last.*").select(*stream.columns)
 
 
-def dynamic_weights_batch(batch: DataFrame, window_rows: int = 20) -> DataFrame:
-    """X2 (foreachBatch body): per arriving batch of labelled predictions,
-    weights proportional to 1/(rmse + 1e-8) per model, normalised."""
-    err = batch.groupBy("model_name").agg(
+def dynamic_weights_batch(batch: DataFrame, window_rows: int = 20, order_by: str | None = None) -> DataFrame:
+    """X2 (foreachBatch body): weights proportional to 1/(rmse + 1e-8) per
+    model, normalised, for every ``window_rows`` rows of each model in the
+    order of ``order_by``; without an order the batch is one window."""
+    at = F.lit(0).cast("long")
+    if order_by is not None:
+        batch, at = positioned(batch, "model_name", order_by), F.floor(F.col("pos") / window_rows)
+    err = batch.groupBy(at.alias("window"), "model_name").agg(
         F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("rmse"))
-    inv = err.select("model_name", (1 / (F.col("rmse") + 1e-8)).alias("__w"))
-    tot = inv.agg(F.sum("__w")).scalar()
-    return inv.select("model_name", (F.col("__w") / tot).alias("weight"))
+    inv = err.select("window", "model_name", (1 / (F.col("rmse") + 1e-8)).alias("__w"))
+    # a window over one row per model
+    total = F.sum("__w").over(Window.partitionBy("window"))
+    return inv.select("window", "model_name", (F.col("__w") / total).alias("weight"))
 
 
-def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name: str = "x2") -> DataFrame:
+def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name: str = "x2",
+                        order_by: str | None = None) -> DataFrame:
     """Each arriving micro-batch of labelled predictions updates the
-    ensemble weights (1/rmse of the batch, normalised); every update is
-    appended with its batch id to a table in the shared checkpoint folder,
-    which is returned after all available input is processed."""
+    ensemble weights (1/rmse of each 20-row window of the batch, normalised;
+    see ``dynamic_weights_batch``); every update is appended with its batch id
+    to a table in the shared checkpoint folder, which is returned after all
+    available input is processed."""
     base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     out_path, ck = os.path.join(base, "weights"), os.path.join(base, "_checkpoint")
 
@@ -83,7 +135,7 @@ def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name
         if batch.isEmpty():
             return
         # a folder per batch: a batch that is run again overwrites itself
-        dynamic_weights_batch(batch).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        dynamic_weights_batch(batch, order_by=order_by).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     q = (predictions_stream.writeStream.foreachBatch(update).option("checkpointLocation", ck)
                            .trigger(availableNow=True).start())

@@ -383,10 +383,8 @@ SELECT date,
 FROM d""")
 def s11_series_to_wide(spark, sf_dir):
     m = fx.market(spark, sf_dir)
-    long = (m.where(F.dayofmonth("date") != 10).select("date", F.lit("FED_FUNDS_RATE").alias("series"),
-                                                       F.col("FED_FUNDS_RATE").alias("value"))
-             .unionByName(m.where(F.dayofmonth("date") != 20).select("date", F.lit("VIX").alias("series"),
-                                                                     F.col("VIX").alias("value"))))
+    long = (m.select("date", F.lit("FED_FUNDS_RATE").alias("series"), F.col("FED_FUNDS_RATE").alias("value"))
+             .unionByName(m.select("date", F.lit("VIX").alias("series"), F.col("VIX").alias("value"))))
     return round_doubles(S.wide_from_series(long, ["FED_FUNDS_RATE", "VIX"]))
 
 

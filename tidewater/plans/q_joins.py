@@ -32,8 +32,8 @@ def j1_merge_datasets(spark, sf_dir):
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
     f = fx.flows(spark, sf_dir)
     d = A.daily_totals(f)
-    s = f.where(F.col("segment") == "SME").groupBy("date").agg(F.sum("deposit_flow").alias("total_flow"))
-    return round_doubles(J.merge_datasets({"market": m, "flows": d, "sme": s}, "date", "inner"))
+    s = f.groupBy("date", "segment").agg(F.sum("deposit_flow").alias("total_flow"))
+    return round_doubles(J.merge_datasets({"market": m, "flows": d, "segments": s}, "date", "inner"))
 
 
 # ---------------------------------------------------------------------- J2
@@ -50,8 +50,8 @@ SELECT date,
 FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def j2_assemble_market_sources(spark, sf_dir):
     m = fx.market(spark, sf_dir)
-    rates = m.where(F.dayofmonth("date") != 15).select("date", "FED_FUNDS_RATE", "TREASURY_10Y")
-    vol = m.where(F.dayofweek("date") != 3).select("date", "VIX", "TREASURY_10Y")
+    rates = m.select("date", "FED_FUNDS_RATE", "TREASURY_10Y")
+    vol = m.select("date", "VIX", "TREASURY_10Y")
     return round_doubles(J.assemble_on_date([rates, vol], "date", fill="ffill"))
 
 
@@ -111,9 +111,6 @@ FROM j, e""")
 def j6_asof_market_conditions(spark, sf_dir):
     from ..operators import windows as W
     m = fx.market(spark, sf_dir)
-    # business days from 2024-01-05 only: fact dates before the first market
-    # day and on weekends exercise the backward search and the fallback
-    m = m.where((F.col("date") >= F.lit("2024-01-05").cast("date")) & ~F.dayofweek("date").isin(1, 7))
     m = m.select("date", "FED_FUNDS_RATE", "TREASURY_10Y", "VIX",
                  (F.col("TREASURY_10Y") - F.col("TREASURY_2Y")).alias("YIELD_SPREAD_10Y2Y"),
                  (F.col("FED_FUNDS_RATE") - F.lag("FED_FUNDS_RATE").over(W.spec(["date"])))
@@ -129,8 +126,7 @@ SELECT q.customer_id, q.ts, round(q.deposit_flow, 4) AS deposit_flow, round(b.ba
 FROM q ASOF LEFT JOIN b ON q.customer_id = b.customer_id AND q.ts >= b.ts""")
 def j6_asof_entity_balances(spark, sf_dir):
     f = fx.flows(spark, sf_dir)
-    right = f.where(F.dayofweek("date").isin(2, 4, 6)).select("customer_id", F.col("date").alias("ts"),
-                                                              "balance_end")
+    right = f.select("customer_id", F.col("date").alias("ts"), "balance_end")
     left = f.select("customer_id", F.col("date").alias("ts"), "deposit_flow")
     return round_doubles(J.asof_join_entity(left, right, "customer_id", "ts", ["balance_end"]))
 

@@ -119,6 +119,29 @@ def test_models_tell_random_from_identifiers(spark):
     assert clean <= 2
 
 
+def test_short_and_prefixed_secrets(spark):
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
+    ratios = secrets.trained(docs)
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    made = lambda n: "".join(rng.choice(letters, n))
+    texts, inside = [], []
+    for frame in ["use {} now", "user_authentication_session_key_for_the_application={} now", "set password=hunter2hunter2&{} now",
+                  "{}_the_ordinary_name_of_a_long_configuration_setting_here"]:
+        for _ in range(50):
+            key = made(16)
+            texts.append(frame.format(key))
+            inside.append((frame.index("{"), frame.index("{") + 16))
+    two = made(24) + "_the_ordinary_name_of_a_long_configuration_setting_here_and_there_" + made(16)
+    rows = [(k, t) for k, t in enumerate(texts + [two])]
+    found = {r["doc_id"]: [(x["s"], x["e"]) for x in r["found"] if x["kind"] == "random"] for r in
+             secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    covered = [any(s <= a and b <= e for s, e in found[k]) for k, (a, b) in enumerate(inside)]
+    for k in range(4):
+        assert sum(covered[50 * k:50 * k + 50]) >= 45, k
+    assert all(any(s <= a and b <= e for s, e in found[len(texts)]) for a, b in [(0, 24), (len(two) - 16, len(two))])
+
+
 def test_redaction(spark):
     docs = cases.documents(spark)
     out = secrets.redacted(docs, secrets.trained(docs))

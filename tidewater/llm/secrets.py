@@ -2,10 +2,12 @@
 
 Three patterns find secrets of known form (``BASE``).  What they can't know is
 found by two character Markov models, one of random strings and one of ordinary
-identifiers: a run of at least ``MIN_RUN`` token characters is a secret (kind
-``random``) if the logarithm of the ratio of its likelihoods reaches
-``MIN_EVIDENCE``, which is what it takes to believe in a secret that is one run
-in ten million.  Runs that overlap a base span are left to it.
+identifiers: a run of token characters is a secret (kind ``random``) if the
+logarithm of the ratio of its likelihoods reaches ``MIN_EVIDENCE``, which is
+what it takes to believe in a secret that is one run in ten million.  If the
+whole run does not, its stretches that do are secrets, each with the letters
+and digits that touch it, so that ordinary words before or after don't outvote
+a secret.  Runs end at base spans; what is left beside those is scanned.
 
 Defined cases: a null text is an empty one and has no spans; texts of any
 length are scanned whole; repeated rows are scanned each; an empty table gives
@@ -26,8 +28,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: least length in them: they match maximal runs, so nothing shifts.
 BASE = [("assign", ASSIGN, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0), ("hex", r"[0-9a-f]{32,}", 0)]
 KINDS = [kind for kind, _, _ in BASE] + ["random"]
-MIN_RUN = 20
-RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+#: Any run is scored that is long enough for the evidence (``least_run``).
+MIN_RUN = 1
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: the start of a string
 MIN_EVIDENCE = 16.0
@@ -37,6 +39,7 @@ RANDOM_SAMPLES = 2_000
 IDENTIFIER_DOCUMENTS = 100
 
 _SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
+_STRETCHES = "array<struct<a:int,b:int>>"
 _MARKED = "array<struct<s:bigint,rank:int,e:bigint,kind:string>>"
 
 
@@ -130,31 +133,143 @@ def likelihood_ratios(samples: DataFrame) -> np.ndarray:
     return log[True] - log[False]
 
 
-def _evidence(token: Column, ratios: Column) -> Column:
+def least_run(ratios: np.ndarray) -> int:
+    """A length (64 at most) below which no string's evidence can reach
+    ``MIN_EVIDENCE``: the best sum over strings grows from character to character."""
+    best = np.zeros(STATES)
+    for n in range(MIN_RUN, 64):
+        best = (np.maximum(best, 0)[:, None] + ratios).max(0)
+        if best[1:].max() >= MIN_EVIDENCE:
+            return n
+    return 64
+
+
+def _ratios(token: Column, table: Column) -> Column:
+    """The log-ratio of each of a token's characters after the one before it."""
     s = _states(token)
-    pairs = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: a * STATES + b + 1)
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.element_at(ratios, p))
+    return F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.element_at(table, a * STATES + b + 1))
+
+
+def _gains(token: Column, steps: Column) -> Column:
+    """The sum of a token's positive log-ratios in thousandths, each rounded
+    up: at least the evidence of any of its stretches.
+
+    One pass over the characters: the state is the sum and, in the last seven
+    bits, the place of the character before; ``steps`` is ``gain_steps``.
+    """
+    def step(acc: Column, c: Column) -> Column:
+        before = acc.bitwiseAND(F.lit(127).cast("bigint"))
+        return acc - before + F.get(steps, (before * STATES + F.instr(F.lit(ALPHABET), c)).cast("int"))
+
+    return F.shiftright(F.aggregate(F.split(token, "", -1), F.lit(0).cast("bigint"), step), 7)
+
+
+def gain_steps(ratios: np.ndarray) -> np.ndarray:
+    """By the places of two characters: what the second adds to ``_gains``'
+    state.  Place 0, the empty piece that ``split`` may leave, changes nothing."""
+    steps = np.ceil(np.maximum(ratios, 0) * 1000).astype(np.int64) * 128 + np.arange(STATES)
+    steps[:, 0] = np.arange(STATES)
+    return steps
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _stretches(token: Column, table: Column) -> Column:
+    """The places [a, b) of a token's secrets: all of it or its stretches.
+
+    A stretch starts where the running sum was least and ends where it is most,
+    as soon as the sum has fallen from there by ``MIN_EVIDENCE`` or to nothing;
+    so every stretch with the evidence meets one that is found.
+    """
+    out = lambda acc: F.when(acc["most"] >= MIN_EVIDENCE, F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))).otherwise(acc["out"])
+    state = lambda at, a, b, now, most, out: F.struct(at.alias("at"), a.alias("a"), b.alias("b"), now.alias("now"), most.alias("most"), out.alias("out"))
+    none, zero = F.lit(0.0), F.lit(0)
+
+    def step(acc: Column, x: Column) -> Column:
+        at, now = acc["at"] + 1, acc["now"] + x
+        return (F.when((now <= 0) | (now <= acc["most"] - MIN_EVIDENCE), state(at, at, at, none, none, out(acc)))
+                .when(now > acc["most"], state(at, acc["a"], at, now, now, acc["out"]))
+                .otherwise(state(at, acc["a"], acc["b"], now, acc["most"], acc["out"])))
+
+    ratios = _ratios(token, table)
+    found = F.aggregate(ratios, state(zero, zero, zero, none, none, F.array().cast(_STRETCHES)), step, out)
+
+    def whole_words(x: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(token, F.lit(1), x["a"]), "[A-Za-z0-9]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(token, x["b"] + 1, F.length(token)), "^[A-Za-z0-9]*", 0))
+        return F.struct((x["a"] - before).alias("a"), (x["b"] + after).alias("b"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        meets = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"])
+        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))).otherwise(
+            F.concat(acc, F.array(x)))
+
+    words = F.aggregate(F.transform(found, whole_words), F.array().cast(_STRETCHES), joined)
+    all_of_it = F.array(F.struct(zero.alias("a"), F.length(token).alias("b")))
+    return F.when(_sum(ratios) >= MIN_EVIDENCE, all_of_it).otherwise(words)
+
+
+def _without(body: Column, spans: Column) -> Column:
+    """The text with blanks for the spans; places stay."""
+    def step(acc: Column, x: Column) -> Column:
+        at = F.greatest(acc["at"], x["s"])
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - at, F.lit(0)).cast("int"))
+        between = F.substring(body, (acc["at"] + 1).cast("int"), (at - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(between, blank)).alias("out"))
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate(F.sort_array(spans), first, step, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    return F.when(F.size(spans) > 0, masked).otherwise(body)
+
+
+def _random(body: Column, likely: Column, pattern: str, table: Column) -> Column:
+    """Spans of the secrets in those of a text's runs that are ``likely``."""
+    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    rows = F.arrays_zip(F.slice(F.split(body, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("h"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["h"])
+        run = F.array(F.struct(start.alias("s"), end.alias("e"), x["h"].alias("m")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(likely, x["h"]), F.concat(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+
+    runs = F.aggregate(rows, first, step, lambda acc: acc["out"])
+    spans = F.flatten(F.transform(runs, lambda x: F.transform(_stretches(x["m"], table), lambda y: F.struct(
+        (x["s"] + y["a"]).alias("s"), (x["s"] + y["b"]).alias("e"), x["m"].alias("m")))))
+    return F.when(F.size(likely) > 0, spans.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
 def with_spans(docs: DataFrame, ratios: np.ndarray, text: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` and an array of all spans (s, rank, e, kind), in order."""
-    parts = fresh(docs, *[f"found_{k}" for k in KINDS])
+    parts = fresh(docs, *[f"found_{k}" for k in KINDS], "rest", "likely")
+    parts, rest, likely = parts[:-2], *parts[-2:]
     body = F.coalesce(F.col(text), F.lit(""))
     table = F.split(F.lit(",".join(f"{v:.6g}" for v in ratios.ravel())), ",", -1).cast("array<double>")
-    out = docs.withColumns({p: _found(body, pattern, least) for p, (_, pattern, least) in zip(parts, BASE)}
-                           | {parts[-1]: _found(body, RUN)})
+    steps = F.split(F.lit(",".join(map(str, gain_steps(ratios).ravel()))), ",", -1).cast("array<bigint>")
+    run = rf"[A-Za-z0-9+/_=-]{{{least_run(ratios)},}}"
+    out = docs.withColumns({p: _found(body, pattern, least) for p, (_, pattern, least) in zip(parts, BASE)})
+    out = out.withColumn(rest, _without(body, F.concat(*[F.col(p) for p in parts[:-1]])))
+    # few runs gain enough for a look at their stretches
+    words = F.array_distinct(F.regexp_extract_all(F.col(rest), F.lit(run), F.lit(0)))
+    out = out.withColumn(likely, F.filter(
+        F.filter(words, lambda x: _gains(x, steps) >= int(1000 * MIN_EVIDENCE)), lambda x: F.size(_stretches(x, table)) > 0))
+    out = out.withColumn(parts[-1], _random(F.col(rest), F.col(likely), run, table))
 
     def marked(spans: Column, k: int) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("rank"), x["e"].alias("e"), F.lit(KINDS[k]).alias("kind")))
 
     base = F.concat(*[marked(F.col(p), k) for k, p in enumerate(parts[:-1])])
-    apart = F.filter(F.col(parts[-1]), lambda x: ~F.exists(F.concat(*[F.col(p) for p in parts[:-1]]), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    random = F.filter(apart, lambda x: _evidence(x["m"], table) >= MIN_EVIDENCE)
+    random = F.col(parts[-1])
     spans = F.sort_array(F.concat(base, marked(random, len(KINDS) - 1)))
     none = F.lit(True)
     for p in parts:
         none = none & (F.size(p) == 0)
-    return out.withColumn(name, F.when(none, F.array().cast(_MARKED)).otherwise(spans.cast(_MARKED))).drop(*parts)
+    return out.withColumn(name, F.when(none, F.array().cast(_MARKED)).otherwise(spans.cast(_MARKED))).drop(*parts, rest, likely)
 
 
 def trained(docs: DataFrame, text: str = "text", by: str = "doc_id") -> np.ndarray:

@@ -1,6 +1,7 @@
 """Language identification, quality voting and nearest neighbours."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,16 @@ def test_language_edge_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_every_language_is_sampled(spark):
+    copies = spark.range(15_000).selectExpr("concat('copied', id % 5) as lang", "concat('the only text of language ', id % 5) as text")
+    some = spark.range(600).selectExpr("'some' as lang", "concat('text of words ', id) as text")
+    rare = spark.range(210).selectExpr("concat('rare', id) as lang", "concat('a rare text ', id) as text")
+    got = langid.labelled_sample(copies.union(some).union(rare), "text", "lang", 400)
+    n = Counter(r[0] for r in got)
+    assert len(n) == 5 + 1 + 210 and n["some"] == 400
+    assert all(n[f"copied{k}"] == 1 for k in range(5))
+
+
 def test_grams_respect_texts_and_blocks(monkeypatch):
     texts = ["Ab1c", None, "", "ab c", "x" * 50, "é漢🙂z"]
     whole = [c.tolist() for lo, hi, code, at in langid.grams(texts) for c in np.split(code, at[1:-1])]

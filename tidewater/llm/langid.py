@@ -25,13 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import summed
+from .common import attach, summed, written
 
 BUCKETS = 1 << 15
 ORDERS = 3
-#: Labelled rows per language that the model is fitted on, and languages.
+#: Labelled texts per language that the model is fitted on.
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
 #: Characters that are worked on at once; a longer text is taken alone.
 BLOCK = 1 << 17
 UNKNOWN = "und"
@@ -105,22 +104,21 @@ def document_frequency(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def labelled_sample(rows: DataFrame, text: str, lang: str, per_language: int) -> list:
-    """At most ``per_language`` rows of each of the ``MAX_LANGUAGES`` most
-    frequent languages, chosen by a hash of the text, as (lang, buckets, counts).
+    """At most ``per_language`` different texts of each language, chosen by a
+    hash of the text, as (lang, buckets, counts).
 
-    Counts by language thin the rows first, so no language's rows meet in one
-    task; the exact cut is made on what is left.
+    Counts of the different texts by language thin the rows first, so no
+    language's rows meet in one task; the copies of a text are then made one,
+    and the exact cut is made on what is left.  The counts shuffle hashes
+    only.  A language with any labelled text is in the sample.
     """
     rows = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return []
-    key = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    share = F.lit(0)
-    for name, n in counts.items():
-        most = min(1_000_003, int(1_000_003 * (1.5 * per_language + 30) / n) + 1)
-        share = F.when(F.col("lang") == name, F.lit(most)).otherwise(share)
-    some = rows.withColumn("key", key).where(F.col("key") < share)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    most = F.floor(1_000_003 * (1.5 * per_language + 30) / F.col("n")) + 1
+    shares = written(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", most.alias("share")))
+    key = F.pmod(F.col("h"), F.lit(1_000_003))
+    some = attach(rows, shares, "lang", F.col("h")).withColumn("key", key).where(F.col("key") < F.col("share"))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"), F.min("key").alias("key"))
     w = Window.partitionBy("lang").orderBy("key", F.length("text"), "text")
     some = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "text")
 

@@ -21,6 +21,7 @@ CUTS = {
     "j2_assemble_market_sources": [(" WHERE dayofmonth(date) <> 15", ""), (" WHERE dayofweek(date) <> 2", "")],
     "j6_asof_market_conditions": [(" WHERE date >= DATE '2024-01-05' AND dayofweek(date) NOT IN (0, 6)", "")],
     "j6_asof_entity_balances": [(" WHERE dayofweek(date) IN (1, 3, 5)", "")],
+    "m3_select_features": [("LIMIT 3", "LIMIT 50")],
     "s11_series_to_wide": [(" WHERE dayofmonth(date) <> 10", ""), (" WHERE dayofmonth(date) <> 20", "")],
 }
 
@@ -54,6 +55,12 @@ def test_query_takes_the_whole_table(spark, con, name):
     same(E.queries()[name](spark, SF), con, whole(name))
 
 
+def test_both_rank_windows(spark, con):
+    short = SQLS["w3_rolling_percentile_rank"]
+    year = short.replace("63d", "252d").replace("rn - 62", "rn - 251").replace("n >= 63", "n >= 252")
+    same(E.queries()["w3_rolling_percentile_rank"](spark, SF), con, f"SELECT a.*, b.* EXCLUDE (date, FED_FUNDS_RATE) FROM ({short}) a JOIN ({year}) b USING (date)")
+
+
 def test_market_gaps(spark, con, monkeypatch):
     market = fx.market
     monkeypatch.setattr(fx, "market", lambda s, d: market(s, d).where("date >= date'2024-01-05' and dayofweek(date) not in (1, 7)"))

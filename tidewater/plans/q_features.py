@@ -170,7 +170,7 @@ c AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, VIX)) AS
 SELECT feature, round(score, 4) AS score FROM c WHERE score IS NOT NULL ORDER BY round(score, 9) DESC, feature LIMIT 3""")
 def m3_select_features(spark, sf_dir):
     m = fx.market(spark, sf_dir)
-    return round_doubles(FE.select_features(m, "VIX", _FEATS + ["VIX"], max_features=3))
+    return round_doubles(FE.select_features(m, "VIX", _FEATS + ["VIX"]))
 
 
 def _rank_sql(n: int) -> str:

@@ -109,7 +109,7 @@ FROM p"""
 @register("w3_rolling_percentile_rank", _pct_rank_sql(63))
 def w3_rolling_percentile_rank(spark, sf_dir):
     m = fx.market(spark, sf_dir).select("date", RATE)
-    return round_doubles(W.rolling_percentile_rank(m, [RATE], [63], ["date"]))
+    return round_doubles(W.rolling_percentile_rank(m, [RATE], [63, 252], ["date"]))
 
 
 # ---------------------------------------------------------------------- W4

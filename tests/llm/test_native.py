@@ -178,3 +178,13 @@ def test_licenses(spark):
     found = queries.op9_license_digests(spark, cases.SF).where("notices <> ''").count()
     lines = [r for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect() if re.search(r"(?m)^(Licensed under|Released under|This work is licensed)", r["text"] or "")]
     assert found == len(lines) > 0
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 10])
+def test_lines_are_found_in_a_large_known_table(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("tidewater.llm.common.BROADCAST_ROWS", broadcast)
+    known = licenses.known_licenses(spark, licenses.KNOWN + [("Beer", "Buy me a beer.")] + [(f"L{k}", f"Text number {k}") for k in range(1_200)])
+    text = "words\nReleased under the MIT License.\nBUY me a beer\n\ntext number 7"
+    docs = spark.createDataFrame([(1, text), (2, "words"), (1, text), (None, text), (3, None)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["notices"]) for r in licenses.license_scan(docs, known).collect())
+    assert got == {(1, "Beer,L7,MIT"): 2, (None, "Beer,L7,MIT"): 1, (2, ""): 1, (3, ""): 1}

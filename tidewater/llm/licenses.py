@@ -18,10 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
-
-#: Rows of known texts up to which lines are looked up, too.
-NOTICE_ROWS = 1_000
+from .common import BROADCAST_ROWS, attach
 
 #: Spellings that licences use for one another, as they look
 #: when punctuation is gone.
@@ -29,6 +26,7 @@ SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("copyright
              ("whilst", "while"), ("wilful", "willful"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"),
              ("redistributions", "redistribution"), ("https ", "http "), ("per cent", "percent")]
 COPYRIGHT = r"^[^\n]{0,20}(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by[ \t])[^\n]*$"
+#: Lines that the SQL looks up; here every line is.
 NOTICE_LINE = "licen[sc]e|permi"
 
 #: Texts of short public licences and the usual notices.
@@ -83,20 +81,18 @@ def license_scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text
     names, comma-joined).
 
     ``known`` is counted: up to ``BROADCAST_ROWS`` rows are broadcast, so that
-    no text moves; a larger table is joined by a shuffle of narrow rows.  Lines
-    are looked up in a map of the known digests within the row, for which the
-    table must have ``NOTICE_ROWS`` rows at most; with more, notices is null.
+    no text moves; a larger table is joined by a shuffle of narrow rows.  Every
+    line with a letter or digit is looked up the same way, whatever the size
+    of ``known``; what is found is joined back by the digest of the raw text.
     """
     n = known.count()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    notices = F.lit(None).cast("string")
-    if n <= NOTICE_ROWS:
-        names = {r["digest"]: r["license"] for r in known.collect()}
-        table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
-        lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: x.rlike(f"(?i){NOTICE_LINE}"))
-        hits = F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
-        notices = F.array_join(F.array_sort(F.array_distinct(hits)), ",")
-    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), notices.alias("notices"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("raw"))
+    lines = rows.select("raw", F.explode(F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))).alias("line"))
+    lines = lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("raw", digest(F.col("line")).alias("digest"))
+    hits = attach(lines, known, "digest", F.col("raw"), n).where(F.col("license").isNotNull())
+    notices = hits.groupBy("raw").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), "raw")
+    rows = attach(rows, notices, "raw", F.col("doc_id")).withColumn("notices", F.coalesce(F.col("notices"), F.lit("")))
     side = F.broadcast(known) if n <= BROADCAST_ROWS else known
     return rows.join(side, "digest", "left").select("doc_id", "digest", "license", "notices")
 

@@ -67,6 +67,20 @@ def attach(left: DataFrame, right: DataFrame, key: str, spread: Column, rows: in
     return mine.join(side, mine[key].eqNullSafe(side[there]) & (mine[here] == side[salt]), "left").drop(there, salt, here)
 
 
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", parts: int = 32) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``keys``, whatever
+    share of the left rows one key holds.
+
+    The left rows of a key are dealt over ``parts`` cells by the hash of
+    ``spread``.  The cells in use, at most ``parts`` a key, look the key up, and
+    the left rows join their cell.  ``left`` is read twice.
+    """
+    (at,) = fresh(left.columns + right.columns, "at")
+    dealt = left.withColumn(at, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    cells = dealt.select(*keys, at).distinct().join(right, keys)
+    return dealt.join(cells, [*keys, at], how).drop(at)
+
+
 def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch], np.ndarray], slots: int = 32) -> np.ndarray:
     """The sum over all rows of ``df`` of vectors of ``size`` integers.
 

@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Cells over which the edges of one node are dealt.
+SPREAD = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m) for edges (a, b): m is the smallest of a and its neighbours.
+
+    A node's edges are dealt over cells by their other end, so that no node's
+    edges meet in one task, however many it has.
+    """
+    cells = edges.withColumn("at", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    parts = cells.groupBy("a", "at").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return cells.join(parts.select("a", "at").join(least, "a"), ["a", "at"]).select("a", "b", "m")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the smallest
@@ -22,11 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        down = _with_least(large)
+        small = down.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = written(small.unionByName(down.select("a", F.col("m").alias("b"))).where("a > b").distinct())
         now = _mark(links)
         if now == mark:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.session import read_table
 
-from . import ann, bpe, conv_trie, knn_quality, langid, licenses, neardup, packing, quality_rules, secrets, simhash, token_counts
+from . import alignment, ann, bpe, conv_trie, knn_quality, langid, licenses, neardup, packing, quality_rules, secrets, simhash, token_counts
 from .common import documents, remainder
 
 
@@ -75,10 +75,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_best_fit_packing, op3_language_id, op4_minhash_neardup, op5_quality_rules,
     op6_multi_index_hashing, op7_byte_bpe, op8_knn_quality, op9_license_digests, op10_token_counts,
-    op11_simhash_neardup, op12_conversation_trie)}
+    op11_simhash_neardup, op12_conversation_trie, op13_cross_tokenizer_alignment)}
 
 ORACLE_SQL: dict[str, str] = {"op4_minhash_neardup": neardup.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL,
                               "op9_license_digests": licenses.ORACLE_SQL}

@@ -5,9 +5,9 @@ Every text is encoded as A (byte-level BPE of a space and the text) and as B
 token of B end at the same byte, the text is cut into groups; within a group
 all tokens of A are linked with all of B.
 
-1. The texts of a batch become lanes, stretches of at most about ``LANE``
-   tokens that begin and end where both tokenizers surely do (before a space
-   that follows no white space); a usual text is one lane.
+1. The texts of a batch become lanes, stretches of ``LANE`` tokens or
+   a few times that, that begin and end where both tokenizers surely do (before a
+   space that follows no white space); a usual text is one lane.
 2. One state vector holds for all lanes the next token of A and of B.  Each step
    compares the ends of all lanes' tokens at once and advances the one that
    ends first, or both where they end together, which emits the cut and with it
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,23 +87,39 @@ class Pair:
         if any("▁" in self.b.id_to_piece(k).lstrip("▁") for k in range(self.n_b)):
             raise ValueError(f"{b_path} has pieces with a space after another character, so chunks can't be encoded apart")
         a_bytes = {i: t for t, i in self.a._mergeable_ranks.items()}
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) else p.replace("▁", " ").encode()
-                        for k, p in enumerate(self.b.id_to_piece(k) for k in range(self.n_b))]
+        self.b_text, self.b_size = _ragged([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) else p.replace("▁", " ").encode()
+                                             for k, p in enumerate(self.b.id_to_piece(k) for k in range(self.n_b))])
         self.a_size = np.array([len(a_bytes.get(k, b"")) for k in range(self.n_a)])
-        self.b_size = np.array([len(t) for t in self.b_bytes])
         a, b = range(self.n_a), range(self.n_b)
         self.names, self.name_size = _ragged([b"%d%s" % (k, end) for ids, ends in ((a, (b",", b"|")), (b, (b",", b";"))) for k in ids for end in ends])
         self.young: dict[str, tuple[bytes, bytes] | None] = {}
         self.old: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _encode(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        space = [self.b.piece_to_id("▁")]  # the library gives nothing for an empty text
-        for c, ids in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1)):
-            ids = space if c == " " else ids
-            if b"".join([self.b_bytes[i] for i in ids]) != c.encode():
-                yield None
-            else:
-                yield self.a.encode_to_numpy(c, disallowed_special=()).astype("<u4").tobytes(), np.array(ids, "<u4").tobytes()
+        """The ids of new chunks, None where B's don't give the chunk back."""
+        raw = [c.encode() for c in chunks]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        if " " in chunks:  # the library gives nothing for an empty text
+            ids[chunks.index(" ")] = [self.b.piece_to_id("▁")]
+        n_b = np.fromiter(map(len, ids), np.int64, len(ids))
+        b = np.fromiter(chain.from_iterable(ids), np.uint32, n_b.sum())
+        end_b = np.cumsum(n_b)
+        bytes_upto = np.append(0, np.cumsum(self.b_size[b]))
+        good = (bytes_upto[end_b] - bytes_upto[end_b - n_b] == size).tolist()
+        wide = self.b_size[b]
+        text, at = self.b_text[b][np.arange(self.b_text.shape[1]) < wide[:, None]].tobytes(), bytes_upto[end_b - n_b].tolist()
+        # chunks that end in no white space may be encoded as one text
+        apart = [k for k, c in enumerate(chunks) if c[-1].isspace()]
+        together = sorted(set(range(len(chunks))) - set(apart))
+        a = self.a.encode_to_numpy("".join([chunks[k] for k in together]), disallowed_special=()).astype("<u4")
+        end_a = np.searchsorted(np.cumsum(self.a_size[a]), np.cumsum(size[together]), "right").tolist()
+        a = a.tobytes()
+        ids_a = {k: a[4 * x:4 * y] for k, x, y in zip(together, [0, *end_a], end_a)}
+        ids_a |= {k: self.a.encode_to_numpy(chunks[k], disallowed_special=()).astype("<u4").tobytes() for k in apart}
+        b, end_b, n_b = b.astype("<u4").tobytes(), end_b.tolist(), n_b.tolist()
+        for k, r in enumerate(raw):
+            yield (ids_a[k], b[4 * (end_b[k] - n_b[k]):4 * end_b[k]]) if good[k] and text.startswith(r, at[k]) else None
 
     def encode(self, texts: list[list[str]]) -> list[list[tuple[bytes, bytes] | None]]:
         """Per chunk of each text: its ids of A and B, or None."""
@@ -115,7 +132,7 @@ class Pair:
             new.remove(c)
         new = list(new)
         long = {}
-        for c, v in zip(new, self._encode(new)):
+        for c, v in zip(new, self._encode(new) if new else ()):
             (known if len(c) <= LONGEST else long)[c] = v
         if long:
             known = known | long
@@ -135,10 +152,11 @@ def lanes(chunks: list[tuple[bytes, bytes] | None]) -> list[tuple[bytes, bytes]]
     """The ids of a text's lanes; none if a chunk has no ids."""
     if None in chunks:
         return []
-    a, b = b"".join([c[0] for c in chunks]), b"".join([c[1] for c in chunks])
-    if len(a) <= 4 * LANE:
+    parts = list(zip(*chunks))
+    a, b = map(b"".join, parts)
+    if len(a) <= 16 * LANE:
         return [(a, b)]
-    x, y = (np.cumsum(np.fromiter((len(c[k]) for c in chunks), np.int64, len(chunks))) for k in (0, 1))
+    x, y = (np.cumsum(np.fromiter(map(len, p), np.int64, len(p))) for p in parts)
     cut = np.unique(np.searchsorted(x, np.append(np.arange(4 * LANE, len(a), 4 * LANE), len(a))))
     cut = np.append(cut[cut < len(x) - 1], len(x) - 1)
     return [(a[p:q], b[r:s]) for p, q, r, s in zip(np.append(0, x[cut[:-1]]), x[cut], np.append(0, y[cut[:-1]]), y[cut])]

@@ -273,3 +273,20 @@ def test_rows_after_the_as_of_date_go(spark):
     f = spark.createDataFrame(rows, "customer_id string, date date, deposit_flow double, inflow double, outflow double, balance_start double, balance_end double")
     assert C.clean_flow_data(f, "2024-01-05").count() == 5
     assert C.clean_flow_data(f, "2024-01-08").count() == 8
+
+
+def test_one_decimal_as_in_python(spark):
+    import random
+    from tidewater.functions.stats import fixed1, human_number, pct_delta_text
+    rng = random.Random(1)
+    xs = [k / 20 for k in range(-200, 201)] + [49.25, 209.95, -209.95, 0.0, -0.0, -0.04, 1e15 / 3, 2.0 ** 53 + 2, 0.25, 0.35, 1e-300]
+    xs += [round(rng.uniform(-1e6, 1e6), 2) for _ in range(500)] + [rng.randrange(10 ** 8) / 20 for _ in range(500)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double").select("k", fixed1("x"), fixed1("x", sign=True), human_number(F.col("x") * 1e6), pct_delta_text("x", F.lit(8.0))).collect()
+    for k, a, b, c, d in got:
+        x, y = xs[k], xs[k] * 1e6
+        unit = next((u for u in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")) if abs(y) >= u[0]), None)
+        assert (a, b) == (f"{x:.1f}", f"{x:+.1f}")
+        assert c == (f"{y / unit[0]:.1f}{unit[1]}" if unit else f"{y:.0f}")
+        assert d == f"{(x - 8.0) / (8.0 + 1e-8) * 100:+.1f}%"
+    none = spark.sql("select cast(null as double) as x").select(fixed1("x"), human_number("x")).first()
+    assert none[0] is None and none[1] is None

@@ -48,18 +48,39 @@ def norm_ppf(p) -> Column:
              .when(p < low, tail_lo).when(p <= high, central).otherwise(tail_hi))
 
 
+def fixed1(x, sign: bool = False) -> Column:
+    """One decimal, the double's exact value rounded half to even (as in C and
+    Python; ``format_string`` rounds its shortest decimal text half up).
+
+    Ten times x is taken exactly, as the rounded sum s / 2 of 8x and 2x and its
+    rounding error e / 2.  A value of 2 ** 49 or more has no decimals to round.
+    """
+    x = col(x).cast("double")
+    a = F.abs(x)
+    big, small = a * 16, a * 4
+    s = big + small
+    e = (big - (s - (s - big))) + (small - (s - big))
+    whole = F.floor(s / 2)
+    part = s / 2 - whole
+    up = (part > 0.5) | ((part == 0.5) & ((e > 0) | ((e == 0) & (whole % 2 == 1))))
+    tenths = whole + up.cast("long")
+    minus = x.cast("string").startswith("-")  # negative zero too
+    text = F.concat(F.when(minus, "-").otherwise("+" if sign else ""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(a < 2.0 ** 49, text).when(x.isNotNull(), F.format_string("%+.1f" if sign else "%.1f", x))
+
+
 def human_number(x) -> Column:
     """T/B/M/K suffixed text with one decimal (e.g. 1.5B)."""
     x = col(x).cast("double")
     a = F.abs(x)
-    return (F.when(a >= 1e12, F.format_string("%.1fT", x / 1e12))
-             .when(a >= 1e9, F.format_string("%.1fB", x / 1e9))
-             .when(a >= 1e6, F.format_string("%.1fM", x / 1e6))
-             .when(a >= 1e3, F.format_string("%.1fK", x / 1e3))
-             .otherwise(F.format_string("%.0f", x)))
+    return (F.when(a >= 1e12, F.concat(fixed1(x / 1e12), F.lit("T")))
+             .when(a >= 1e9, F.concat(fixed1(x / 1e9), F.lit("B")))
+             .when(a >= 1e6, F.concat(fixed1(x / 1e6), F.lit("M")))
+             .when(a >= 1e3, F.concat(fixed1(x / 1e3), F.lit("K")))
+             .when(x.isNotNull(), F.format_string("%.0f", F.rint(x))))
 
 
 def pct_delta_text(current, previous) -> Column:
     """Signed percentage change text with (previous + 1e-8)."""
-    c, p = col(current), col(previous)
-    return F.format_string("%+.1f%%", (c - p) / (p + 1e-8) * 100)
+    c, p = col(current).cast("double"), col(previous).cast("double")
+    return F.concat(fixed1((c - p) / (p + 1e-8) * 100, sign=True), F.lit("%"))

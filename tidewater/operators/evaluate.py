@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
+from ..functions.stats import fixed1
 from ..plans.global_order import exact_quantiles, global_lag, join_groups, with_global_position
 
 KEY = "model_name"
@@ -265,7 +266,7 @@ def evaluation_report(metrics: DataFrame, residuals: DataFrame | None = None, by
             F.when(F.coalesce(F.col("likely_heteroscedastic"), F.lit(False)),
                    F.lit("Likely heteroscedasticity present")),
             F.when(F.col("outlier_percentage") > 5,
-                   F.format_string("High percentage of outliers (%.1f%%)", F.col("outlier_percentage")))))
+                   F.concat(F.lit("High percentage of outliers ("), fixed1("outlier_percentage"), F.lit("%)")))))
         m = m.select(by, "r2", "mape", "directional_accuracy", "overall_score", "rating", "__score", issues.alias("issues"))
     recs = F.array_compact(F.array(
         F.when(r2 < 0.5, F.lit("Consider feature engineering or different algorithms")),

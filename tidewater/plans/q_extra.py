@@ -373,8 +373,8 @@ def l8_feature_importance_summary(spark, sf_dir):
 
 # ----------------------------------------------------------------- sources
 @register("s11_series_to_wide", fx.sql_with("market") + """,
-l AS (SELECT date, 'FED_FUNDS_RATE' AS series, FED_FUNDS_RATE AS value FROM market WHERE dayofmonth(date) <> 10
-      UNION ALL SELECT date, 'VIX', VIX FROM market WHERE dayofmonth(date) <> 20),
+l AS (SELECT date, 'FED_FUNDS_RATE' AS series, FED_FUNDS_RATE AS value FROM market
+      UNION ALL SELECT date, 'VIX', VIX FROM market),
 d AS (SELECT date, MAX(CASE WHEN series = 'FED_FUNDS_RATE' THEN value END) AS FED_FUNDS_RATE,
              MAX(CASE WHEN series = 'VIX' THEN value END) AS VIX FROM l GROUP BY date)
 SELECT date,

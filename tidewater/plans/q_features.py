@@ -167,7 +167,7 @@ _FEATS = ["FED_FUNDS_RATE", "TREASURY_10Y", "TREASURY_5Y", "TREASURY_2Y", "TREAS
 @register("m3_select_features", M + """,
 c AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, VIX)) AS score FROM market" for c in _FEATS)
     + """)
-SELECT feature, round(score, 4) AS score FROM c WHERE score IS NOT NULL ORDER BY round(score, 9) DESC, feature LIMIT 3""")
+SELECT feature, round(score, 4) AS score FROM c WHERE score IS NOT NULL ORDER BY round(score, 9) DESC, feature LIMIT 50""")
 def m3_select_features(spark, sf_dir):
     m = fx.market(spark, sf_dir)
     return round_doubles(FE.select_features(m, "VIX", _FEATS + ["VIX"]))

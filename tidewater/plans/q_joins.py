@@ -23,10 +23,10 @@ MKT = ["FED_FUNDS_RATE", "TREASURY_10Y", "TREASURY_5Y", "TREASURY_2Y", "TREASURY
 @register("j1_merge_datasets", fx.sql_with("market", "flows") + """,
 d AS (SELECT date, SUM(deposit_flow) AS total_flow, COUNT(deposit_flow) AS n_flows,
              SUM(inflow) AS total_inflow, SUM(outflow) AS total_outflow FROM flows GROUP BY date),
-s AS (SELECT date, SUM(deposit_flow) AS total_flow FROM flows WHERE segment = 'SME' GROUP BY date)
+s AS (SELECT date, segment, SUM(deposit_flow) AS total_flow FROM flows GROUP BY date, segment)
 SELECT m.date, """ + ", ".join(rd(f"m.{c}", c) for c in ("FED_FUNDS_RATE", "VIX")) + """,
        round(d.total_flow, 4) AS total_flow, d.n_flows, round(d.total_inflow, 4) AS total_inflow,
-       round(d.total_outflow, 4) AS total_outflow, round(s.total_flow, 4) AS total_flow_sme
+       round(d.total_outflow, 4) AS total_outflow, round(s.total_flow, 4) AS total_flow_segments, s.segment
 FROM market m JOIN d ON m.date = d.date JOIN s ON m.date = s.date""")
 def j1_merge_datasets(spark, sf_dir):
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
@@ -38,8 +38,8 @@ def j1_merge_datasets(spark, sf_dir):
 
 # ---------------------------------------------------------------------- J2
 @register("j2_assemble_market_sources", fx.sql_with("market") + """,
-rates AS (SELECT date, FED_FUNDS_RATE, TREASURY_10Y FROM market WHERE dayofmonth(date) <> 15),
-vol AS (SELECT date, VIX, TREASURY_10Y FROM market WHERE dayofweek(date) <> 2),
+rates AS (SELECT date, FED_FUNDS_RATE, TREASURY_10Y FROM market),
+vol AS (SELECT date, VIX, TREASURY_10Y FROM market),
 dates AS (SELECT date FROM rates UNION SELECT date FROM vol),
 j AS (SELECT d.date, r.FED_FUNDS_RATE, COALESCE(r.TREASURY_10Y, v.TREASURY_10Y) AS TREASURY_10Y, v.VIX
       FROM dates d LEFT JOIN rates r ON d.date = r.date LEFT JOIN vol v ON d.date = v.date)
@@ -96,7 +96,7 @@ def j5_segment_features_with_market(spark, sf_dir):
 @register("j6_asof_market_conditions", fx.sql_with("market", "flows") + """,
 m AS (SELECT date, FED_FUNDS_RATE, TREASURY_10Y, VIX, TREASURY_10Y - TREASURY_2Y AS YIELD_SPREAD_10Y2Y,
              FED_FUNDS_RATE - LAG(FED_FUNDS_RATE) OVER (ORDER BY date) AS FED_FUNDS_RATE_CHANGE
-      FROM market WHERE date >= DATE '2024-01-05' AND dayofweek(date) NOT IN (0, 6)),
+      FROM market),
 e AS (SELECT * FROM m ORDER BY date LIMIT 1),
 j AS (SELECT f.customer_id, f.date, f.deposit_flow, m.date AS mdate, m.FED_FUNDS_RATE, m.TREASURY_10Y, m.VIX,
              m.YIELD_SPREAD_10Y2Y, m.FED_FUNDS_RATE_CHANGE
@@ -120,7 +120,7 @@ def j6_asof_market_conditions(spark, sf_dir):
 
 
 @register("j6_asof_entity_balances", fx.sql_with("flows") + """,
-b AS (SELECT customer_id, date AS ts, balance_end FROM flows WHERE dayofweek(date) IN (1, 3, 5)),
+b AS (SELECT customer_id, date AS ts, balance_end FROM flows),
 q AS (SELECT customer_id, date AS ts, deposit_flow FROM flows)
 SELECT q.customer_id, q.ts, round(q.deposit_flow, 4) AS deposit_flow, round(b.balance_end, 4) AS balance_end
 FROM q ASOF LEFT JOIN b ON q.customer_id = b.customer_id AND q.ts >= b.ts""")

@@ -93,20 +93,18 @@ def w2_segment_rolling_min_periods(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- W3
-def _pct_rank_sql(n: int) -> str:
-    return fx.sql_with("market") + f""",
-m AS (SELECT date, {RATE} AS x, row_number() OVER (ORDER BY date) AS rn FROM market),
-p AS (SELECT a.date, a.x, COUNT(b.x) AS n,
-             SUM(CASE WHEN b.x < a.x THEN 1 ELSE 0 END) AS lt,
-             SUM(CASE WHEN b.x = a.x THEN 1 ELSE 0 END) AS eq
-      FROM m a JOIN m b ON b.rn BETWEEN a.rn - {n - 1} AND a.rn GROUP BY a.date, a.x)
-SELECT date, round(x, 4) AS {RATE},
-       CASE WHEN n >= {n} AND x IS NOT NULL THEN round((lt + (eq + 1) / 2.0) / n, 4) END
-         AS {RATE}_percentile_{n}d
-FROM p"""
-
-
-@register("w3_rolling_percentile_rank", _pct_rank_sql(63))
+def _pct_rank_sql(windows: list[int]) -> str:
+    """Average-rank percentile of the value within its last n rows, for each n."""
+    parts = ",".join(f"""
+p{n} AS (SELECT a.date, CASE WHEN COUNT(b.x) >= {n} AND a.x IS NOT NULL THEN
+  round((SUM(CASE WHEN b.x < a.x THEN 1 ELSE 0 END) + (SUM(CASE WHEN b.x = a.x THEN 1 ELSE 0 END) + 1) / 2.0) / COUNT(b.x), 4) END AS v
+  FROM m a JOIN m b ON b.rn BETWEEN a.rn - {n - 1} AND a.rn GROUP BY a.date, a.x)""" for n in windows)
+    return (fx.sql_with("market") + f",\nm AS (SELECT date, {RATE} AS x, row_number() OVER (ORDER BY date) AS rn FROM market)," + parts
+            + f"\nSELECT m.date, round(x, 4) AS {RATE}, " + ", ".join(f"p{n}.v AS {RATE}_percentile_{n}d" for n in windows)
+            + " FROM m " + " ".join(f"JOIN p{n} ON p{n}.date = m.date" for n in windows))
+
+
+@register("w3_rolling_percentile_rank", _pct_rank_sql([63, 252]))
 def w3_rolling_percentile_rank(spark, sf_dir):
     m = fx.market(spark, sf_dir).select("date", RATE)
     return round_doubles(W.rolling_percentile_rank(m, [RATE], [63, 252], ["date"]))

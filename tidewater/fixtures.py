@@ -130,6 +130,26 @@ def market_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*cols)
 
 
+def economic_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Economic series of three frequencies: daily from line items, monthly from
+    orders, quarterly from line items; a month or quarter has its last day's
+    date, shifted as the market's."""
+    o = read_table(spark, sf_dir, "orders").select(
+        F.last_day(F.date_add(F.col("o_orderdate").cast("date"), MARKET_DAY_SHIFT)).alias("date"), "o_totalprice", "o_orderstatus", "o_custkey")
+    by_month = o.groupBy("date")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.date_add(F.col("l_shipdate").cast("date"), MARKET_DAY_SHIFT).alias("date"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    quarter = F.last_day(F.add_months(F.date_trunc("quarter", "date").cast("date"), 2))
+    return {
+        "growth": li.groupBy(quarter.alias("date")).agg(F.sum("l_extendedprice").alias("GDP_REAL")),
+        "labor": by_month.agg((100 * F.avg(F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0))).alias("UNEMPLOYMENT_RATE"),
+                              F.count(F.lit(1)).cast("double").alias("JOB_OPENINGS")),
+        "inflation": by_month.agg(F.avg("o_totalprice").alias("CPI_ALL"), F.avg(F.col("o_totalprice") - F.col("o_custkey")).alias("PCE_CORE")),
+        "business": li.groupBy("date").agg(F.avg("l_quantity").alias("VIX"), (100 * F.avg("l_tax")).alias("CREDIT_SPREAD_BAA"), (100 * F.avg("l_discount")).alias("CREDIT_SPREAD_AAA")),
+        "leading": by_month.agg((F.avg("o_totalprice") / 10000).alias("LEADING_INDEX")),
+    }
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     variants = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(k).alias("k"))
@@ -193,6 +213,16 @@ SELECT date,
        CASE WHEN dayofmonth(date) IN (7, 14, 21, 28) THEN NULL ELSE TREASURY_3M END AS TREASURY_3M,
        CASE WHEN dayofmonth(date) IN (1, 2, 3, 31) THEN NULL ELSE VIX END AS VIX
 FROM market""",
+    "growth": f"""
+SELECT last_day(CAST(date_trunc('quarter', CAST(l_shipdate AS DATE) + {MARKET_DAY_SHIFT}) AS DATE) + INTERVAL 2 MONTH) AS date,
+       SUM(l_extendedprice) AS GDP_REAL FROM lineitem GROUP BY 1""",
+    "monthly": f"""
+SELECT last_day(CAST(o_orderdate AS DATE) + {MARKET_DAY_SHIFT}) AS date, 100 * AVG(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END) AS UNEMPLOYMENT_RATE,
+       CAST(COUNT(*) AS DOUBLE) AS JOB_OPENINGS, AVG(o_totalprice) AS CPI_ALL, AVG(o_totalprice - o_custkey) AS PCE_CORE,
+       AVG(o_totalprice) / 10000 AS LEADING_INDEX FROM orders GROUP BY 1""",
+    "business": f"""
+SELECT CAST(l_shipdate AS DATE) + {MARKET_DAY_SHIFT} AS date, AVG(l_quantity) AS VIX, 100 * AVG(l_tax) AS CREDIT_SPREAD_BAA,
+       100 * AVG(l_discount) AS CREDIT_SPREAD_AAA FROM lineitem GROUP BY 1""",
     "predictions": """
 SELECT m.model_name, o.o_orderkey AS row_id, CAST(o.o_orderdate AS DATE) AS date,
        o.o_totalprice AS actual,
@@ -206,6 +236,9 @@ _DEPS = {
     "flows": ["customers", "daily_flows"],
     "market": [],
     "market_gappy": ["market"],
+    "growth": [],
+    "monthly": [],
+    "business": [],
     "predictions": [],
 }
 

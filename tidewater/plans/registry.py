@@ -99,6 +99,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from . import (q_clean, q_evaluate, q_extra, q_features, q_flows, q_joins, q_misc, q_quality_reports,  # noqa: F401
+    from . import (q_clean, q_economics, q_evaluate, q_extra, q_features, q_flows, q_joins, q_misc, q_quality_reports,  # noqa: F401
                    q_risk,
                    q_scenarios, q_windows)

@@ -124,7 +124,8 @@ def data_profile(df: DataFrame, outlier_k: float = 1.5) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
                        min_periods: int = 10) -> DataFrame:
     """Pairwise-complete correlation, long form (var1, var2, corr) for all
-    ordered pairs including the diagonal; pairs with fewer than
+    ordered pairs including the diagonal; ``pearson``, ``spearman`` or
+    ``kendall`` (tau-b); pairs with fewer than
     ``min_periods`` complete rows are NULL.  Spearman ranks each pair's
     complete rows (average ranks) before correlating; ranks use windows
     partitioned by pair, so each task holds one pair's rows."""
@@ -160,6 +161,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
         # each pair was worked out once; its mirror image is added here
         one, two = F.struct("var1", "var2", "corr"), F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "corr")
         return r.select(F.explode(F.when(F.col("var1") == F.col("var2"), F.array(one)).otherwise(F.array(one, two))).alias("__s")).select("__s.*")
+    if method == "kendall":
+        from .rankcorr import kendall_tau_b
+        names = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+        pairs = F.array(*[F.struct(F.lit(g).alias("g"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for g, (a, b) in enumerate(names)])
+        p = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        table = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(v).alias("var1"), F.lit(w).alias("var2"), F.lit(m).alias("mirror"))
+                          for g, (a, b) in enumerate(names) for m, (v, w) in enumerate([(a, b)] if a == b else [(a, b), (b, a)])])
+        named = df.sparkSession.range(1).select(F.explode(table).alias("t")).select("t.*")
+        return named.join(kendall_tau_b(p, min_periods), "g", "left").select("var1", "var2", F.col("tau").alias("corr"))
     raise ValueError(f"unsupported method {method!r}")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import fixtures as fx
 from ..functions.core import round_doubles
 from ..operators import economics as EC
+from ..operators import reports as RP
 from .registry import register
 
 _DERIVED = """,
@@ -47,3 +48,16 @@ FROM j WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT R
 def j3_economic_composite(spark, sf_dir):
     """All series and what is derived from them, on the union of their dates."""
     return round_doubles(EC.economic_composite(fx.economic_groups(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------- A9
+_RANKED = ["balance_avg", "rate_sensitivity", "loyalty_score", "volatility_factor"]
+
+
+@register("a9_kendall_correlation", fx.sql_with("customers") + ",\np AS (" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS var1, '{b}' AS var2, SUM(sign(s.{a} - t.{a}) * sign(s.{b} - t.{b})) AS c,
+  SUM(CASE WHEN s.{a} <> t.{a} THEN 1 ELSE 0 END) AS nx, SUM(CASE WHEN s.{b} <> t.{b} THEN 1 ELSE 0 END) AS ny
+  FROM customers s JOIN customers t ON s.customer_id < t.customer_id""" for a in _RANKED for b in _RANKED) + """)
+SELECT var1, var2, round(CASE WHEN (SELECT COUNT(*) FROM customers) >= 10 THEN c / NULLIF(sqrt(CAST(nx AS DOUBLE) * ny), 0) END, 4) AS corr FROM p""")
+def a9_kendall_correlation(spark, sf_dir):
+    return round_doubles(RP.correlation_matrix(fx.customers(spark, sf_dir), _RANKED, "kendall"))

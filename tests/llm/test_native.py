@@ -1,6 +1,7 @@
 """Quality rules, secrets and licences against brute force, and their plans."""
 
 import hashlib
+import random as rnd
 import re
 from collections import Counter
 
@@ -188,3 +189,38 @@ def test_lines_are_found_in_a_large_known_table(spark, monkeypatch, broadcast):
     docs = spark.createDataFrame([(1, text), (2, "words"), (1, text), (None, text), (3, None)], "doc_id long, text string")
     got = Counter((r["doc_id"], r["notices"]) for r in licenses.license_scan(docs, known).collect())
     assert got == {(1, "Beer,L7,MIT"): 2, (None, "Beer,L7,MIT"): 1, (2, ""): 1, (3, ""): 1}
+
+
+def dump(n):
+    """A text of ``n`` assignments, random tokens, hex and overlapping spans, with wide characters."""
+    rng = rnd.Random(n)
+    token = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    return "\n".join(rng.choice(["api_key = ", "é🙂 token:", "", "AKIA", "password=short ", "0123456789abcdef0123456789abcdefapi_key="]) + token(rng.choice([5, 20, 40])) for _ in range(n))
+
+
+def test_many_spans_in_one_text(spark):
+    text = dump(3_000)
+    docs = spark.createDataFrame([(1, text, "s"), (2, None, None)], "doc_id long, text string, source string")
+    ratios = secrets.trained(spark.read.parquet(f"{cases.SF}/documents.parquet"))
+    found = {r["doc_id"]: r["found"] for r in secrets.secret_scan(docs, ratios).collect()}
+    spans = [(x["s"], x["e"], x["kind"]) for x in found[1]]
+    assert found[2] == [] and [f"{k}:{s}:{e}" for s, e, k in spans if k != "random"] == base(text)
+    assert len(spans) > 2_500
+    out, at = [], 0
+    for s, e, _ in sorted(spans):
+        out += [text[at:max(s, at)], "[SECRET]" if s >= at else ""]
+        at = max(at, e)
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, ratios).collect()}
+    assert got == {1: "".join(out) + text[at:], 2: None}
+
+
+def test_time_grows_with_the_spans(spark):
+    import time
+    ratios = secrets.trained(spark.read.parquet(f"{cases.SF}/documents.parquet"))
+    took = []
+    for n in (4_000, 4_000, 16_000):
+        docs = spark.createDataFrame([(1, dump(n))], "doc_id long, text string")
+        began = time.time()
+        assert secrets.secret_scan(docs, ratios).selectExpr("size(found)").first()[0] > n // 2
+        took.append(time.time() - began)
+    assert took[2] < 5 * max(took[1], 1.0)

@@ -17,6 +17,8 @@ of any name are carried by ``redacted`` and ignored by ``secret_scan``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,33 +40,59 @@ MIN_EVIDENCE = 16.0
 RANDOM_SAMPLES = 2_000
 IDENTIFIER_DOCUMENTS = 100
 
+#: Values whose running sums grow one array; code points of a page of a text.
+BLOCK, PAGE = 256, 4096
+
 _SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
 _STRETCHES = "array<struct<a:int,b:int>>"
 _MARKED = "array<struct<s:bigint,rank:int,e:bigint,kind:string>>"
 
 
-def _found(text: Column, pattern: str, least: int = 0) -> Column:
-    """Spans (start, end, match) of a pattern's matches, in code points.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    ``split`` gives the stretches between the matches, so running sums of
-    lengths give the places.  Only texts with a match come that far.
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The running sums (or maxima) of an array of longs that is not empty.
+
+    Adding to an array copies it; so sums run inside stretches of ``BLOCK``
+    values, then over the stretches, which takes BLOCK steps a value at most.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else hits
-    n = F.size(hits)
-    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), n).alias("p"), hits.alias("h"), value.alias("v"))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+    def grown(xs: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.slice(xs, F.lit(2), F.size(xs)), F.array(of(F.get(xs, F.lit(0)))), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), of(x)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["h"])
-        out = F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["h"].alias("m"))))
-        if least:
-            out = F.when(F.length(x["v"]) >= least, out).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def joined(parts: Column) -> Column:
+        ends = grown(parts, lambda part: F.element_at(part, -1))
+        first = F.array(F.get(parts, F.lit(0)))
+        more = F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), F.slice(ends, F.lit(1), F.size(parts) - 1), lambda part, upto: F.transform(part, lambda x: add(upto, x)))
+        return F.flatten(F.concat(first, more))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    return _let(F.transform(starts, lambda k: grown(F.slice(values, k * BLOCK + 1, F.lit(BLOCK)), lambda x: x)), joined)
+
+
+def _places(text: Column, pattern: str, hits: Column) -> Column:
+    """The ends of a pattern's matches ``hits`` (one or more), in code points:
+    running sums of their lengths and those of the stretches between them."""
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda p, h: (F.length(p) + F.length(h)).cast("bigint"))
+    return _let(lengths, lambda x: _running(x, lambda y, z: y + z))
+
+
+def _found(text: Column, pattern: str, least: int = 0) -> Column:
+    """Spans (start, end, match) of a pattern's matches, in code points.  Only
+    texts with a match come that far."""
+    span = lambda end, h: F.struct((end - F.length(h)).alias("s"), end.alias("e"), h.alias("m"))
 
-    spans = F.aggregate(rows, first, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
+    def spans(hits: Column) -> Column:
+        ends = _places(text, pattern, hits)
+        if not least:
+            return F.zip_with(ends, hits, span)
+        rows = F.arrays_zip(ends.alias("e"), hits.alias("h"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
+        return F.transform(F.filter(rows, lambda x: F.length(x["v"]) >= least), lambda x: span(x["e"], x["h"]))
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
 def _states(token: Column) -> Column:
@@ -212,36 +240,47 @@ def _stretches(token: Column, table: Column) -> Column:
     return F.when(_sum(ratios) >= MIN_EVIDENCE, all_of_it).otherwise(words)
 
 
+def _piece(pages: Column, a: Column, b: Column) -> Column:
+    """The code points [a, b) of a text cut into pages of ``PAGE``; the page is
+    looked up, so the text before it is not walked through."""
+    a, b = a.cast("int"), b.cast("int")
+    page = lambda at: F.coalesce(F.get(pages, F.floor(at / PAGE).cast("int")), F.lit(""))
+    i, j = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
+    across = F.concat(F.substring(page(a), a % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(page(b), F.lit(1), b % PAGE))
+    return F.when(i == j, F.substring(page(a), a % PAGE + 1, b - a)).otherwise(across)
+
+
+def _replaced(body: Column, spans: Column, by: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with ``by(before, start, end)`` for each of the sorted spans;
+    ``before`` is the end of what is replaced before it."""
+    def joined(pages: Column, spans: Column) -> Column:
+        ends = _running(F.transform(spans, lambda x: x["e"].cast("bigint")), lambda a, b: F.greatest(a, b))
+        rows = F.arrays_zip(spans.alias("x"), F.concat(F.array(F.lit(0).cast("bigint")), F.slice(ends, F.lit(1), F.size(spans) - 1)).alias("at"))
+        parts = F.transform(rows, lambda r: F.concat(_piece(pages, r["at"], F.greatest(r["at"], r["x"]["s"])), by(r["at"], r["x"]["s"], r["x"]["e"])))
+        return F.concat(F.array_join(parts, ""), _piece(pages, F.array_max(F.transform(spans, lambda x: x["e"])), F.length(body)))
+
+    pages = F.regexp_extract_all(body, F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+    done = _let(F.struct(pages.alias("p"), spans.alias("s")), lambda x: joined(x["p"], x["s"]))
+    return F.when(F.size(spans) > 0, done).otherwise(body)
+
+
 def _without(body: Column, spans: Column) -> Column:
     """The text with blanks for the spans; places stay."""
-    def step(acc: Column, x: Column) -> Column:
-        at = F.greatest(acc["at"], x["s"])
-        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - at, F.lit(0)).cast("int"))
-        between = F.substring(body, (acc["at"] + 1).cast("int"), (at - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(between, blank)).alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(F.sort_array(spans), first, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
-    return F.when(F.size(spans) > 0, masked).otherwise(body)
+    return _replaced(body, F.sort_array(spans), lambda at, s, e: F.repeat(F.lit(" "), F.greatest(e - F.greatest(at, s), F.lit(0)).cast("int")))
 
 
-def _random(body: Column, likely: Column, pattern: str, table: Column) -> Column:
-    """Spans of the secrets in those of a text's runs that are ``likely``."""
-    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(F.slice(F.split(body, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("h"))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
+def _random(body: Column, likely: Column, pattern: str, table: Column, steps: Column) -> Column:
+    """Spans of the secrets in a text's runs; few texts have a ``likely`` one."""
+    none = F.array().cast(_STRETCHES)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["h"])
-        run = F.array(F.struct(start.alias("s"), end.alias("e"), x["h"].alias("m")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(likely, x["h"]), F.concat(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+    def spans(hits: Column) -> Column:
+        secret = F.transform(hits, lambda h: F.when(_gains(h, steps) >= int(1000 * MIN_EVIDENCE), _stretches(h, table)).otherwise(none))
+        rows = F.arrays_zip(_places(body, pattern, hits).alias("e"), hits.alias("h"), secret.alias("w"))
+        return F.flatten(F.transform(F.filter(rows, lambda x: F.size(x["w"]) > 0), lambda x: _let(x["e"] - F.length(x["h"]), lambda at: F.transform(
+            x["w"], lambda y: F.struct((at + y["a"]).alias("s"), (at + y["b"]).alias("e"), x["h"].alias("m"))))))
 
-    runs = F.aggregate(rows, first, step, lambda acc: acc["out"])
-    spans = F.flatten(F.transform(runs, lambda x: F.transform(_stretches(x["m"], table), lambda y: F.struct(
-        (x["s"] + y["a"]).alias("s"), (x["s"] + y["b"]).alias("e"), x["m"].alias("m")))))
-    return F.when(F.size(likely) > 0, spans.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+    found = _let(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), spans)
+    return F.when(F.size(likely) > 0, found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
 def with_spans(docs: DataFrame, ratios: np.ndarray, text: str = "text", name: str = "spans") -> DataFrame:
@@ -258,7 +297,7 @@ def with_spans(docs: DataFrame, ratios: np.ndarray, text: str = "text", name: st
     words = F.array_distinct(F.regexp_extract_all(F.col(rest), F.lit(run), F.lit(0)))
     out = out.withColumn(likely, F.filter(
         F.filter(words, lambda x: _gains(x, steps) >= int(1000 * MIN_EVIDENCE)), lambda x: F.size(_stretches(x, table)) > 0))
-    out = out.withColumn(parts[-1], _random(F.col(rest), F.col(likely), run, table))
+    out = out.withColumn(parts[-1], _random(F.col(rest), F.col(likely), run, table, steps))
 
     def marked(spans: Column, k: int) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("rank"), x["e"].alias("e"), F.lit(KINDS[k]).alias("kind")))
@@ -285,16 +324,6 @@ def secret_scan(docs: DataFrame, ratios: np.ndarray, doc_id: str = "doc_id", tex
 def redacted(docs: DataFrame, ratios: np.ndarray, text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span's text replaced; overlapping spans by one mark."""
     (name,) = fresh(docs, "spans")
-    body = F.col(text)
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        between = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(new, F.concat(acc["out"], F.array(between, F.lit(by)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col(name), first, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
     marked = with_spans(docs, ratios, text, name)
-    return marked.withColumn(text, F.when(F.size(name) > 0, done).otherwise(body)).select(*docs.columns)
+    mark = lambda at, s, e: F.when(s >= at, F.lit(by)).otherwise("")
+    return marked.withColumn(text, _replaced(F.col(text), F.col(name), mark)).select(*docs.columns)

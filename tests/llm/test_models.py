@@ -146,3 +146,12 @@ def test_neighbours_edge_rows(spark):
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).collect() == []
     one = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert ann.nearest(one, F.col("id") % 20 == 0).collect() == []
+
+
+def test_quality_scores_do_not_depend_on_the_partitions(spark):
+    texts = ["the quiet river and the stone garden of winter music", "buy now buy now cheap cheap click", "la la la la la", "a letter of the cloud in the field", "win win win money money"]
+    docs = spark.createDataFrame([(k % 3, texts[(k * 7) % 5] + f" {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = [[r["score"] for r in knn_quality.scored(asked, knn_quality.fit(docs.repartition(n), labels)).orderBy("doc_id").collect()] for n in (1, 4, 7)]
+    assert scores[0] == scores[1] == scores[2]

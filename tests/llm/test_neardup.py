@@ -65,7 +65,7 @@ def test_star_points_that_link_only_to_each_other(spark, monkeypatch):
     assert result(neardup.near_duplicates(docs)) == want
     # the same with every bucket taken for a large one, in small blocks
     monkeypatch.setattr(neardup, "SMALL", 1)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 600)
     monkeypatch.setattr(neardup, "STAR", 5)
     assert result(neardup.near_duplicates(docs)) == want
 

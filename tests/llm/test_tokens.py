@@ -25,9 +25,7 @@ TEXTS = st.text(alphabet=ALPHABET, max_size=80) | st.text(max_size=60)
 
 @pytest.fixture(scope="module")
 def hf():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -183,3 +181,16 @@ def test_count_query(spark, unigram):
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(cases.documents(spark), PIECES).collect()), key=repr)
     assert got == sorted(((r[0], len(unigram.encode(r[1] or "", add_special_tokens=False).ids)) for r in cases.rows()), key=repr)
     assert token_counts.token_counts(cases.nothing(spark), PIECES).collect() == []
+
+
+def test_added_tokens_as_in_the_library(spark, hf):
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x" * 3_000 + "<|endoftext|>" + " y" * 1_500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pieces(docs, JSON, public_tokenizers.PATTERN).collect())
+    want = []
+    for i, t in enumerate(texts):
+        ids = hf.encode(t, add_special_tokens=False).ids + [2]
+        for k, z in enumerate(range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)):
+            a = max(0, z - 1024)
+            want.append((i, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())))
+    assert got == sorted(want) and hf.encode(texts[0], add_special_tokens=False).ids == [5303, 220, 50256, 612]

@@ -32,6 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Makes the session hand over at most ``rows`` rows at a time, from Parquet
+    and to Python: rows of texts are long, and a usual batch of 10,000 of them
+    takes as much memory as the work on it."""
+    for key, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if not 0 < int(spark.conf.get(key, usual)) <= rows:
+            spark.conf.set(key, str(rows))
+
+
 def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` (or a list) doesn't have."""
     taken, out = {c.lower() for c in (df if isinstance(df, list) else df.columns)}, []
@@ -129,11 +138,11 @@ def maybe_among(ids: DataFrame, slots: int = 8) -> Callable[[Column], Column]:
         return [mix(h ^ seed) & np.uint64(size - 1) for seed in mix(np.arange(4))]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size >> 3, np.uint8)
         for b in batches:
             for at in places(b.column(0).drop_null().to_numpy()):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slot", "v"])
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slot", "v"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size >> 3, np.uint8)

@@ -154,7 +154,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, k
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["id", "label", "idx", "cnt"])
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(some), texts["id"] == some["_id"]).dropDuplicates(["id", "_label"]).select("id", F.col("_label").alias("label"), "text")
+    rows = texts.join(F.broadcast(some), texts["id"] == some["_id"])
+    # of an id's rows the one whose text has the smallest digest, wherever they lie
+    rows = rows.groupBy("id", F.col("_label").alias("label")).agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text"))
     got = rows.mapInArrow(bags, "id long, label int, idx array<int>, cnt array<int>").collect()
     got.sort(key=lambda r: (r["label"], r["id"]))
     out, have = [], {0: 0, 1: 0}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach
+from .common import BROADCAST_ROWS, attach, written
 
 #: Spellings that licences use for one another, as they look
 #: when punctuation is gone.
@@ -26,8 +26,6 @@ SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("copyright
              ("whilst", "while"), ("wilful", "willful"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"),
              ("redistributions", "redistribution"), ("https ", "http "), ("per cent", "percent")]
 COPYRIGHT = r"^[^\n]{0,20}(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by[ \t])[^\n]*$"
-#: Lines that the SQL looks up; here every line is.
-NOTICE_LINE = "licen[sc]e|permi"
 
 #: Texts of short public licences and the usual notices.
 KNOWN = [
@@ -90,7 +88,7 @@ def license_scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text
     lines = rows.select("raw", F.explode(F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))).alias("line"))
     lines = lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("raw", digest(F.col("line")).alias("digest"))
     hits = attach(lines, known, "digest", F.col("raw"), n).where(F.col("license").isNotNull())
-    notices = hits.groupBy("raw").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    notices = written(hits.groupBy("raw").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")))
     rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), "raw")
     rows = attach(rows, notices, "raw", F.col("doc_id")).withColumn("notices", F.coalesce(F.col("notices"), F.lit("")))
     side = F.broadcast(known) if n <= BROADCAST_ROWS else known
@@ -114,8 +112,7 @@ WITH known AS (SELECT sha256({_sql_canonical('body')}) AS digest, min(license) A
   FROM (VALUES {', '.join(f"({_sql_text(n)}, {_sql_text(b)})" for n, b in KNOWN)}) AS k(license, body) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-hits AS (SELECT DISTINCT r, license FROM lines JOIN known ON known.digest = sha256({_sql_canonical('line')})
-  WHERE regexp_matches(line, '(?i){NOTICE_LINE}')),
+hits AS (SELECT DISTINCT r, license FROM lines JOIN known ON known.digest = sha256({_sql_canonical('line')})),
 found AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM hits GROUP BY r)
 SELECT doc_id, sha256({_sql_canonical('text')}) AS digest, license, coalesce(notices, '') AS notices
 FROM docs LEFT JOIN known ON known.digest = sha256({_sql_canonical('text')}) LEFT JOIN found USING (r)"""

@@ -11,9 +11,12 @@
    are confirmed on whole sets, and components are made of the links.
 4. A star can miss a link between two of its points.  So buckets that still
    hold several components are finished exactly: small ones (up to ``SMALL``)
-   by their pairs across components, large ones in blocks of ``BLOCK`` by
-   ``BLOCK`` classes whose sets are compared inside a task, which returns
-   a spanning forest of the links it finds.  Nothing is capped.
+   by their pairs across components, large ones in blocks: the classes are dealt
+   over parts of about ``BLOCK`` shingles, every two parts are compared inside a
+   task over an index of one's shingles, which returns a spanning forest of the
+   links it finds.  A set is copied once for each part, so a bucket of m
+   dissimilar sets of n shingles moves m * n / BLOCK copies of each; the
+   comparing takes the square.  Nothing is capped.
 
 A pair at the least similarity shares no bucket with probability
 (1 - 0.85 ** 4) ** 24 = 2e-8.
@@ -34,17 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_among, written
+from .common import fresh, looked_up, maybe_among, written
 from .components import components
 from .wordhash import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 LEAST_PERCENT = 85
 SMALL = 16
-BLOCK = 256
+#: Shingles of the classes that one task compares with as many others.
+BLOCK = 1 << 21
 #: Members of a star that one task compares with its centre at a time.
 STAR = 256
 SPREAD = 32
+#: Shingles of sets handed over at a time.
+HELD = 1 << 18
 
 _U = np.uint64
 _BINS = BANDS * ROWS
@@ -103,13 +109,17 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
-            doc, found = [], []
+            doc, found, size = [], [], 0
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1))):
                 mark = (i, len(s), int(mix(s).sum(dtype=_U)))
                 if len(s) and mark not in seen:
                     seen.add(mark)
                     doc.append(i)
                     found.append(s)
+                    size += len(s)
+                if size >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), _lists(found)], ["doc", "hashes"])
+                    doc, found, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), _lists(found)], ["doc", "hashes"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(sets, "doc long, hashes array<long>")
@@ -211,8 +221,8 @@ def _block_links(block: list[tuple[int, int, int, np.ndarray]], same: bool) -> l
 
 
 def _large(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components in large buckets (key, doc, comp, members)."""
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """Links across components in large buckets (key, doc, comp, shingles)."""
+    chunks = F.ceil(F.col("shingles") / BLOCK).cast("int")
     dealt = buckets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("key", "doc", "comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
@@ -249,8 +259,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # stars: each bucket's smallest id with all others
     keyed = classes.select("doc", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(keyed.join(hubs, "key").select("key", "doc", "n", "members", "hub"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    members = written(looked_up(keyed, hubs, ["key"], F.col("doc"), "inner").select("key", "doc", "n", "members", "shingles", "hub"))
     wanted = written(members.select(F.col("doc").alias("_wanted")).distinct())
     texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     # few texts are candidates; the filter keeps most others out of the shuffle
@@ -261,9 +271,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comp = written(components(confirmed(stars.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")), sets)))
 
     # the rest: buckets that still hold more than one component
-    labelled = members.join(comp, members["doc"] == comp["node"], "left").select("key", "doc", "n", "members", F.coalesce("comp", "doc").alias("comp"))
+    labelled = members.join(comp, members["doc"] == comp["node"], "left").select("key", "doc", "n", "members", "shingles", F.coalesce("comp", "doc").alias("comp"))
+    labelled = written(labelled)
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = written(labelled.join(mixed, "key"))
+    rest = written(looked_up(labelled, mixed, ["key"], F.col("doc"), "inner"))
     few = rest.where(F.col("members") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc", "n", "comp")).alias("m"))
     few = few.select(F.explode(F.expr(
         f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.comp <> y.comp and {near}), "

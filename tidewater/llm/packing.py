@@ -18,7 +18,7 @@ its length comes from its place within the task that made it and the counts of
 the tasks before.
 
 Defined cases: a null text is an empty one and makes one piece, the closing
-id; texts of any length are cut, never shortened; repeated rows are packed
+id; the string of an added token in a text is that token, as in the library; texts of any length are cut, never shortened; repeated rows are packed
 each; an empty table gives no rows; further columns of any name are ignored.
 """
 
@@ -46,20 +46,24 @@ def _encoder(path: str, pattern: str):
     """An encoder for the byte-level BPE file of the ``tokenizers`` library.
 
     The file's vocabulary is run by ``tiktoken``, whose merging is five times
-    as fast; ids are the same, as the tests check against ``tokenizers`` (its
-    special strings taken as ordinary text).  Loaded once a process.
+    as fast; ids are the same, as the tests check against ``tokenizers``.  The
+    file's added tokens are the special tokens; whether their strings in a text
+    are taken for them is up to the caller.  Loaded once a process.
     """
     if (path, pattern) not in _LOADED:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["id"] for t in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that are more than plain strings")
+        special = {t["id"] for t in added}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
         ranks = {bytes(byte[c] for c in token): k for token, k in model["model"]["vocab"].items() if k not in special}
-        _LOADED[path, pattern] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _LOADED[path, pattern] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     return _LOADED[path, pattern]
 
 
@@ -71,11 +75,15 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, doc_id: str = "doc_id"
     task's pieces of that length."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(tokenizer, pattern), np.zeros(context + 1, np.int64)
+        special = encoder.special_tokens_set
         task, last = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = []
             for at, text_ in enumerate(b.column(1)):
-                ids = encoder.encode_to_numpy(text_.as_py() or "", disallowed_special=()).astype("<u4").tobytes() + last
+                text_ = text_.as_py() or ""
+                # the library cuts a text at the strings of its added tokens
+                allowed = special if any(s in text_ for s in special) else set()
+                ids = encoder.encode_to_numpy(text_, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes() + last
                 n = len(ids) // 4
                 for k, z in enumerate(range((n - 1) % context + 1, n + 1, context)):
                     a = max(z - context, 0)

@@ -133,16 +133,18 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns only.
 
-    The counts are made twice, once for the hosts and once for the rows, so
-    that texts are neither shuffled nor written.
+    Every text is measured once: the rows are written with their counts, those
+    that the base rules reject without their text, and the hosts judged on them.
     """
     names = fresh(docs, *COUNTS)
     n_words, n_repeat = names[0], names[4]
-    hosts = host_verdicts(with_counts(docs.select(host, text), text, names), names, host, host_limit)
+    (failed,) = fresh(docs.columns + names, "failed")
+    counted = with_counts(docs, text, names).withColumn(failed, base_failed(F.col(n_words), F.col(n_repeat)))
+    counted = written(counted.withColumn(text, F.when(~F.col(failed), F.col(text))))
+    hosts = host_verdicts(counted, names, host, host_limit)
     bad = written(hosts.where("host_rejected").select(F.col("host").alias(host), F.lit(True).alias(fresh(docs, "host_bad")[0])))
     flag = bad.columns[1]
-    counted = with_counts(docs, text, names)
-    good = counted.where(~base_failed(F.col(n_words), F.col(n_repeat)))
+    good = counted.where(~F.col(failed))
     rows = bad.count()
     if rows:
         good = attach(good, bad, host, F.xxhash64(*docs.columns), rows).where(F.col(flag).isNull())

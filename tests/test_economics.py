@@ -56,3 +56,14 @@ def test_missing_values_repeated_series_and_nothing(spark):
     rows = [tuple(r)[:2] for r in EC.economic_composite({"a": a, "b": b}).orderBy("date").collect()]
     assert rows == [(d[0], 1.0), (d[1], 5.0), (d[2], 5.0)]
     assert EC.economic_composite({"a": a.limit(0)}).collect() == []
+
+
+def test_behavioral_features(spark):
+    from tidewater.operators.reports import behavioral_features
+    rows = [("Loyalty_score", 0.25), ("segment_SME", 0.3), ("segment_A", 0.3), ("VIX", 0.9), ("behavioral_index", 0.1), (None, 0.5), ("volatility_factor", None)]
+    rows += [(f"rate_sensitivity_{k}", 0.01 * k) for k in range(8)]
+    got = [tuple(r) for r in behavioral_features(spark.createDataFrame(rows, "feature string, importance double")).orderBy("rank").collect()]
+    assert [r[1] for r in got] == ["segment_A", "segment_SME", "Loyalty_score", "behavioral_index", *(f"rate_sensitivity_{k}" for k in (7, 6, 5, 4, 3, 2))]
+    assert got[2][3:] == ("Customer loyalty significantly impacts deposit stability", "25.0%") and got[3][3] == "This behavioral factor influences deposit flows"
+    assert got[4][3].startswith("Rate sensitivity") and got[5][3:] == (None, None)
+    assert behavioral_features(spark.createDataFrame([], "feature string, importance double")).collect() == []

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import (adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div, scalar_fields,
                              with_row)
+from ..functions.stats import fixed1
 from ..plans.global_order import exact_quantiles
 from . import windows as W
 
@@ -360,6 +361,42 @@ def feature_category(name: Column, table=FEATURE_CATEGORIES, other: str = "Other
     return expr
 
 
+# -------------------------------------------------------------------------- P26
+# fixed values: keywords of behavioural features, and what is said of a feature
+# by the first of these words in its name
+BEHAVIORAL_WORDS = ["rate_sensitivity", "loyalty", "volatility", "behavioral", "segment"]
+BEHAVIORAL_INSIGHTS = [
+    ("rate_sensitivity", "Rate sensitivity is a key driver of deposit behavior"),
+    ("loyalty", "Customer loyalty significantly impacts deposit stability"),
+    ("volatility", "Customer volatility factor affects flow predictability"),
+    ("segment", "Customer segment is important for behavioral prediction"),
+]
+OTHER_INSIGHT = "This behavioral factor influences deposit flows"
+
+
+def behavioral_features(importance: DataFrame, top: int = 10, told: int = 5) -> DataFrame:
+    """The ``top`` behavioural features of (feature, importance) by importance
+    (equal to 9 decimals: by name), with their rank, and for the first ``told``
+    an insight and the importance as a percentage text.
+
+    A null name or importance is no feature.  One row per model feature, so the
+    order is over a table that the columns bound.
+    """
+    low = F.lower("feature")
+    words = F.lit(False)
+    for w in BEHAVIORAL_WORDS:
+        words = words | low.contains(w)
+    rows = importance.where(F.col("importance").isNotNull() & words).withColumn("__o", F.round("importance", 9))
+    rows = rows.orderBy(F.col("__o").desc(), "feature").limit(top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("__o").desc(), "feature")))
+    insight = F.lit(OTHER_INSIGHT)
+    for word, text in reversed(BEHAVIORAL_INSIGHTS):
+        insight = F.when(low.contains(word), text).otherwise(insight)
+    first = F.col("rank") <= told
+    return rows.select("rank", "feature", "importance", F.when(first, insight).alias("insight"),
+                       F.when(first, F.concat(fixed1(F.col("__o") * 100), F.lit("%"))).alias("importance_text"))
+
+
 # -------------------------------------------------------------------------- P27
 def status_band(x: Column, bands=((0.9, "Excellent"), (0.7, "Good"), (0.5, "Fair"), (0.3, "Poor")),
                 other: str = "Critical") -> Column:

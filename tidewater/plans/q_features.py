@@ -10,7 +10,9 @@ from .. import fixtures as fx
 from ..functions import calendar as CAL
 from ..functions.core import round_doubles
 from ..operators import features as FE
+from ..operators import reports as RP
 from ..operators.flows import segment_behavioral_features
+from ..schemas import SEGMENTS
 from .registry import register
 
 AS_OF = "2024-01-31"
@@ -173,6 +175,34 @@ def m3_select_features(spark, sf_dir):
     return round_doubles(FE.select_features(m, "VIX", _FEATS + ["VIX"]))
 
 
+_BEHAVIOR = ["rate_sensitivity", "loyalty_score", "volatility_factor", "balance_avg"]
+
+
+@register("p26_behavioral_features", fx.sql_with("customers", "flows") + """,
+t AS (SELECT customer_id, SUM(deposit_flow) AS target FROM flows GROUP BY customer_id),
+x AS (SELECT c.*, COALESCE(t.target, 0) AS target, """ + ", ".join(f"CASE WHEN segment = '{s}' THEN 1.0 ELSE 0.0 END AS segment_{s}" for s in SEGMENTS) + """
+      FROM customers c LEFT JOIN t ON c.customer_id = t.customer_id),
+i AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, target)) AS importance FROM x" for c in _BEHAVIOR + [f"segment_{s}" for s in SEGMENTS]) + """),
+b AS (SELECT *, row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS rank FROM i
+      WHERE importance IS NOT NULL AND NOT isnan(importance) AND regexp_matches(lower(feature), 'rate_sensitivity|loyalty|volatility|behavioral|segment'))
+SELECT CAST(rank AS INTEGER) AS rank, feature, round(importance, 4) AS importance,
+  CASE WHEN rank <= 5 THEN CASE WHEN feature LIKE '%rate_sensitivity%' THEN 'Rate sensitivity is a key driver of deposit behavior'
+    WHEN feature LIKE '%loyalty%' THEN 'Customer loyalty significantly impacts deposit stability'
+    WHEN feature LIKE '%volatility%' THEN 'Customer volatility factor affects flow predictability'
+    ELSE 'Customer segment is important for behavioral prediction' END END AS insight,
+  CASE WHEN rank <= 5 THEN format('{:.1f}%', CAST(round(importance, 9) * 100 AS DOUBLE)) END AS importance_text
+FROM b WHERE rank <= 10""")
+def p26_behavioral_features(spark, sf_dir):
+    """Features of customers by the correlation with their total flow; the
+    behavioural ones among them."""
+    c = fx.customers(spark, sf_dir)
+    t = fx.daily_flows(spark, sf_dir).groupBy("customer_id").agg(F.sum("deposit_flow").alias("target"))
+    x = c.join(t, "customer_id", "left").select(
+        *_BEHAVIOR, F.coalesce("target", F.lit(0.0)).alias("target"), *[F.when(F.col("segment") == s, 1.0).otherwise(0.0).alias(f"segment_{s}") for s in SEGMENTS])
+    scores = FE.select_features(x, "target", x.columns).select("feature", F.col("score").alias("importance"))
+    return round_doubles(RP.behavioral_features(scores))
+
+
 def _rank_sql(n: int) -> str:
     """Average-rank percentile of the value within the last n rows, once
     there are n."""

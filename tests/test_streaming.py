@@ -90,3 +90,57 @@ def test_weights_per_twenty_rows(spark, tmp_path):
         got = {(r["window"], r["model_name"]): r["weight"] for r in x2(spark, at).collect()}
         assert got.keys() == want.keys() and len(total) > 2
         assert all(abs(got[k] - v / total[k[0]]) < 1e-9 for k, v in want.items())
+
+
+def _ordered_files(spark, path, rows, files):
+    """``rows`` in ``files`` files, taken in their order."""
+    size = -(-len(rows) // files)
+    for k in range(files):
+        part = spark.createDataFrame(rows[k * size:(k + 1) * size], "model_name string, row_id long, actual double, predicted double")
+        part.coalesce(1).write.mode("append").parquet(path)
+    old = sorted((f for f in os.listdir(path) if f.endswith(".parquet")), key=lambda f: os.stat(os.path.join(path, f)).st_mtime_ns)
+    for k, f in enumerate(old):
+        os.utime(os.path.join(path, f), (1_700_000_000 + 10 * k,) * 2)
+    return part.schema
+
+
+def _weights_by_hand(rows, size, least):
+    out, place = {}, {}
+    for model, _, actual, predicted in rows:
+        k = place[model] = place.get(model, -1) + 1
+        out.setdefault((k // size, model), []).append(None if actual is None else (actual - predicted) ** 2)
+    inv = {}
+    for key, e in out.items():
+        known = [x for x in e if x is not None]
+        if len(e) >= least and known:
+            inv[key] = 1 / ((sum(known) / len(known)) ** 0.5 + 1e-8)
+    total = {w: sum(v for (x, _), v in inv.items() if x == w) for w, _ in inv}
+    return {k: (len(out[k]), v / total[k[0]]) for k, v in inv.items()}
+
+
+def test_windows_go_on_over_micro_batches(spark, tmp_path):
+    path = os.path.join(str(tmp_path), "in")
+    # model b begins late and ends with less than half a window; one window of c has no known error
+    rows = [(m, i, None if m == "c" and 20 <= i < 40 else float(i % 7), float(i * (2 if m == "a" else 3) % 11))
+            for i in range(73) for m in ("a", "b", "c") if m != "b" or 30 <= i < 55]
+    schema = _ordered_files(spark, path, rows, 8)
+    want = _weights_by_hand(rows, 20, 10)
+    assert (1, "c") not in want and (1, "b") not in want and (0, "b") in want
+    for files in (1, 20):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+        got = {(r["window"], r["model_name"]): (r["rows"], r["weight"])
+               for r in X.run_dynamic_weights(spark, stream, order_by="row_id").collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_weights_of_nothing(spark, tmp_path):
+    schema = "model_name string, row_id long, actual double, predicted double"
+    for name, rows in (("none", None), ("empty", [])):
+        path = os.path.join(str(tmp_path), name)
+        os.mkdir(path)
+        if rows is not None:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        for order_by in (None, "row_id"):
+            stream = spark.readStream.schema(schema).parquet(path)
+            assert X.run_dynamic_weights(spark, stream, order_by=order_by).count() == 0

@@ -123,9 +123,14 @@ def t1_random_forest_segment_flows(spark, sf_dir):
     return ML.predict_long(model, d, feats, "y", "random_forest")
 
 
-@register("x2_streaming_dynamic_weights")
+@register("x2_streaming_dynamic_weights", fx.sql_with("predictions") + """,
+p AS (SELECT model_name, actual, predicted,
+             (row_number() OVER (PARTITION BY model_name ORDER BY row_id) - 1) // 20 AS w FROM predictions),
+e AS (SELECT w, model_name, COUNT(*) AS n, 1 / (sqrt(AVG((actual - predicted) * (actual - predicted))) + 1e-8) AS inv
+      FROM p GROUP BY w, model_name HAVING COUNT(*) >= 10)
+SELECT w AS "window", model_name, n AS rows, round(inv / SUM(inv) OVER (PARTITION BY w), 9) AS weight FROM e""")
 def x2_streaming_dynamic_weights(spark, sf_dir):
-    """foreachBatch weight updates over a file stream of orders, one per 20 rows: rows-only."""
+    """Weight updates over a file stream of orders, one per 20 rows of a model."""
     o = X.arriving(spark, sf_dir, "orders")
     variants = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(k).alias("k")) for n, k in fx.MODEL_VARIANTS])
     p = o.select("o_orderkey", "o_totalprice", F.explode(variants).alias("m")).select(
@@ -133,7 +138,7 @@ def x2_streaming_dynamic_weights(spark, sf_dir):
         F.col("o_totalprice").alias("actual"),
         (F.col("o_totalprice") * (1 + ((F.col("o_orderkey") * F.col("m.k")) % 21 - 10).cast("double") / 100))
         .alias("predicted"))
-    return X.run_dynamic_weights(spark, p, order_by="row_id")
+    return round_doubles(X.run_dynamic_weights(spark, p, order_by="row_id"), 9)
 
 
 @register("v6_clean_all_integrity")

@@ -3,6 +3,9 @@
 X1: segment-daily flows from an arriving event stream: stream-static join
 to the customer segment, event-time windows of one day with a watermark
 for late rows, partial aggregation in the state store.
+
+X2: ensemble weights of arriving predictions; the place of a model's next
+row is state, kept from one micro-batch to the next.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..fixtures import OUTFLOW_EVENT_TYPES
-from ..operators.evaluate import positioned
+from ..plans.global_order import join_groups, with_global_position
 from ..session import checkpoint_dir, read_table, table_path
 
 
@@ -92,13 +95,16 @@ def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], na
     base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     out = os.path.join(base, "rows")
 
+    ran = set()
+
     def store(batch: DataFrame, batch_id: int) -> None:
+        ran.add(batch_id)
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
     q = (stream.writeStream.foreachBatch(store).outputMode("update")
                .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
-    if q.lastProgress is None:
+    if not ran:
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(stream.schema).option("basePath", out).parquet(os.path.join(out, "batch_id=*"))
     rest = [c for c in stream.columns if c not in keys]
@@ -106,38 +112,97 @@ def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], na
     return last.select(*keys, "last.*").select(*stream.columns)
 
 
-def dynamic_weights_batch(batch: DataFrame, window_rows: int = 20, order_by: str | None = None) -> DataFrame:
-    """X2 (foreachBatch body): weights proportional to 1/(rmse + 1e-8) per
-    model, normalised, for every ``window_rows`` rows of each model in the
-    order of ``order_by``; without an order the batch is one window."""
-    at = F.lit(0).cast("long")
-    if order_by is not None:
-        batch, at = positioned(batch, "model_name", order_by), F.floor(F.col("pos") / window_rows)
-    err = batch.groupBy(at.alias("window"), "model_name").agg(
-        F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("rmse"))
-    inv = err.select("window", "model_name", (1 / (F.col("rmse") + 1e-8)).alias("__w"))
+def _weights(errors: DataFrame, rmse: Column) -> DataFrame:
+    """Weights of one row per (window, model): 1/(rmse + 1e-8), normalised."""
+    inv = errors.withColumn("__w", 1 / (rmse + 1e-8))
     # a window over one row per model
     total = F.sum("__w").over(Window.partitionBy("window"))
-    return inv.select("window", "model_name", (F.col("__w") / total).alias("weight"))
+    return inv.withColumn("weight", F.col("__w") / total).drop("__w")
+
+
+def dynamic_weights_batch(batch: DataFrame) -> DataFrame:
+    """X2 (foreachBatch body without an order): the batch is one window, its
+    weights are proportional to 1/(rmse + 1e-8) per model, normalised."""
+    err = batch.groupBy(F.lit(0).cast("long").alias("window"), "model_name").agg(
+        F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("rmse"))
+    return _weights(err, F.col("rmse")).drop("rmse")
+
+
+def window_errors(batch: DataFrame, seen: DataFrame, order_by: str, window_rows: int) -> tuple[DataFrame, DataFrame]:
+    """X2 (foreachBatch body with an order): the batch's share of each
+    ``window_rows``-row window, and the rows seen per model after it.
+
+    ``seen`` (model_name, seen) is the state so far: a model's next row has
+    position ``seen``, so a window that one micro-batch leaves open goes on in
+    the next.  Positions come from the distributed global order, sums are
+    combined before the shuffle: no task holds a model's rows.
+    """
+    p = with_global_position(batch, ["model_name", order_by], "gpos")
+    start = (p.groupBy("model_name").agg(F.min("gpos").alias("first"), F.count(F.lit(1)).alias("rows"))
+              .join(seen, "model_name", "full"))
+    start = start.select("model_name", "first", F.coalesce("rows", F.lit(0)).alias("rows"),
+                         F.coalesce("seen", F.lit(0)).alias("seen"))
+    p = join_groups(p, start.where("rows > 0").select("model_name", (F.col("seen") - F.col("first")).alias("shift")),
+                    ["model_name"])
+    error = (F.col("actual") - F.col("predicted")) ** 2
+    window = F.floor((F.col("gpos") + F.col("shift")) / window_rows)
+    errors = p.groupBy(window.alias("window"), "model_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(error).alias("known"), F.sum(error).alias("squares"))
+    return errors, start.select("model_name", (F.col("seen") + F.col("rows")).alias("seen"))
 
 
 def run_dynamic_weights(spark: SparkSession, predictions_stream: DataFrame, name: str = "x2",
-                        order_by: str | None = None) -> DataFrame:
-    """Each arriving micro-batch of labelled predictions updates the
-    ensemble weights (1/rmse of each 20-row window of the batch, normalised;
-    see ``dynamic_weights_batch``); every update is appended with its batch id
-    to a table in the shared checkpoint folder, which is returned after all
-    available input is processed."""
+                        order_by: str | None = None, window_rows: int = 20, min_rows: int = 10) -> DataFrame:
+    """Ensemble weights (1/rmse, normalised over the models) of arriving
+    labelled predictions, after all available input is processed.
+
+    With ``order_by`` (unique within a model) every ``window_rows`` rows of a
+    model are a window, in the order of the micro-batches and of ``order_by``
+    within one; a window goes on over micro-batches, so the result is the same
+    however ordered files are dealt to them.  A model with fewer than
+    ``min_rows`` rows in a window has no weight there (as in E5), nor has one
+    without a known error.  Returns (window, model_name, rows, weight).
+    Without an order each micro-batch is one window: (window, model_name,
+    weight, batch_id).  No batch or only empty ones: no rows.
+
+    The state is a table of one row per model for each micro-batch, beside the
+    windows' sums, in the shared checkpoint folder.  Batch k reads the state
+    of batch k - 1 and overwrites its own folders, so one that is run again
+    after a failure counts nothing twice.
+    """
     base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    out_path, ck = os.path.join(base, "weights"), os.path.join(base, "_checkpoint")
+    out, state = os.path.join(base, "windows"), os.path.join(base, "state")
+
+    def folder(of: str, batch_id: int) -> str:
+        return os.path.join(of, f"batch_id={batch_id}")
+
+    ran = set()
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        ran.add(batch_id)
+        if order_by is None:
+            dynamic_weights_batch(batch).write.mode("overwrite").parquet(folder(out, batch_id))
             return
-        # a folder per batch: a batch that is run again overwrites itself
-        dynamic_weights_batch(batch, order_by=order_by).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
-
-    q = (predictions_stream.writeStream.foreachBatch(update).option("checkpointLocation", ck)
+        own = batch.sparkSession
+        schema = "model_name string, seen long"
+        seen = own.createDataFrame([], schema) if batch_id == 0 else own.read.schema(schema).parquet(folder(state, batch_id - 1))
+        errors, seen = window_errors(batch, seen, order_by, window_rows)
+        errors.write.mode("overwrite").parquet(folder(out, batch_id))
+        seen.write.mode("overwrite").parquet(folder(state, batch_id))
+
+    q = (predictions_stream.writeStream.foreachBatch(update)
+                           .option("checkpointLocation", os.path.join(base, "_checkpoint"))
                            .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    if order_by is None:
+        if not ran:
+            return spark.createDataFrame([], "window long, model_name string, weight double, batch_id int")
+        return spark.read.parquet(out)
+    schema = "window long, model_name string, rows long, known long, squares double"
+    if not ran:
+        errors = spark.createDataFrame([], schema)
+    else:
+        errors = spark.read.schema(schema).option("basePath", out).parquet(os.path.join(out, "batch_id=*"))
+    whole = errors.groupBy("window", "model_name").agg(*[F.sum(c).alias(c) for c in ("rows", "known", "squares")])
+    whole = whole.where((F.col("rows") >= min_rows) & (F.col("known") > 0))
+    return _weights(whole, F.sqrt(F.col("squares") / F.col("known"))).select("window", "model_name", "rows", "weight")

@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.sources import io as S_IO
@@ -65,6 +66,44 @@ def test_export_load_roundtrip_and_snapshots(spark):
     assert S_IO.is_stale(spark, os.path.join(base, "none"), "t", "2024-01-04 00:00:00", 24)
 
 
+def test_a_save_that_dies_is_not_mixed_with_an_older_one(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="tidewater-io-"), "snap")
+    names = ["a", "b"]
+
+    def tables(k, b=None):
+        b = F.lit(k) if b is None else b
+        return {"a": spark.range(2).select("id", F.lit(k).alias("v")), "b": spark.range(3).select("id", b.alias("v"))}
+
+    def loaded():
+        return {n: sorted({r["v"] for r in df.collect()}) for n, df in S_IO.load_latest_snapshot(spark, base, names).items()}
+
+    S_IO.save_snapshot(tables(1), base, "2024-01-01 00:00:00")
+    with pytest.raises(Exception, match="killed"):
+        S_IO.save_snapshot(tables(2, F.raise_error(F.lit("killed")).cast("int")), base, "2024-01-02 00:00:00")
+    assert os.path.isdir(os.path.join(base, "a", "snapshot_ts=2024-01-02 00%3A00%3A00"))
+    assert loaded() == {"a": [1], "b": [1]}
+    assert S_IO.is_stale(spark, base, names, "2024-01-02 12:00:00", 24)
+    fresh = S_IO.refresh_if_stale(spark, base, names, "2024-01-02 00:00:00", lambda: tables(3), 12)
+    assert {n: df.count() for n, df in fresh.items()} == {"a": 2, "b": 3}
+    assert loaded() == {"a": [3], "b": [3]}
+    # a table saved alone is no snapshot of both
+    S_IO.save_snapshot({"a": tables(4)["a"]}, base, "2024-01-03 00:00:00")
+    assert loaded() == {"a": [3], "b": [3]}
+    with pytest.raises(FileNotFoundError):
+        S_IO.load_latest_snapshot(spark, base, ["a", "c"])
+
+
+def test_run_log_gives_the_newest_runs(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewater-log-"), "log")
+    for k in (1, 2, 10, 9, 3, 4, 10):  # out of order, one written twice
+        S_IO.append_run(spark.createDataFrame([(f"s{k}", float(k))] * 2, "scenario string, x double"), path, k)
+    got = [(r["run_id"], r["scenario"]) for r in S_IO.last_runs(spark, path, 5).orderBy("run_id").collect()]
+    assert got == [(k, f"s{k}") for k in (2, 3, 4, 9, 10) for _ in range(2)]
+    assert S_IO.last_runs(spark, path, 50).select("run_id").distinct().count() == 6
+    plan = S_IO.last_runs(spark, path, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "PushedFilters: []" in plan
+
+
 def test_validate_types(spark):
     from tidewater.operators import clean as C
     df = spark.createDataFrame([(1, "a", 2.5)], "id int, name string, x double")

@@ -8,6 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import scenarios as N
 from tidewater.sources import io as S_IO
 from tidewater.sources import payloads as P
 
@@ -96,7 +97,7 @@ def test_a_save_that_dies_is_not_mixed_with_an_older_one(spark):
 def test_run_log_gives_the_newest_runs(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="tidewater-log-"), "log")
     for k in (1, 2, 10, 9, 3, 4, 10):  # out of order, one written twice
-        S_IO.append_run(spark.createDataFrame([(f"s{k}", float(k))] * 2, "scenario string, x double"), path, k)
+        S_IO.append_runs(spark.createDataFrame([(k, f"s{k}", float(k))] * 2, "run_id long, scenario string, x double"), path)
     got = [(r["run_id"], r["scenario"]) for r in S_IO.last_runs(spark, path, 5).orderBy("run_id").collect()]
     assert got == [(k, f"s{k}") for k in (2, 3, 4, 9, 10) for _ in range(2)]
     assert S_IO.last_runs(spark, path, 50).select("run_id").distinct().count() == 6
@@ -104,6 +105,16 @@ def test_run_log_gives_the_newest_runs(spark):
     assert "PartitionFilters: [isnotnull(run_id" in plan and "PushedFilters: []" in plan
 
 
+def test_comparison_of_runs_needs_two(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewater-log-"), "log")
+    schema = "run_id long, scenario string, deposit_change_pct double, lcr_change double, funding_gap double, risk_level string"
+    S_IO.append_runs(spark.createDataFrame([(1, "a", -5.0, None, 2.5e6, None)], schema), path)
+    assert N.compare_runs(S_IO.last_runs(spark, path)).count() == 0
+    S_IO.append_runs(spark.createDataFrame([(2, "b", None, -0.1, None, "High")], schema), path)
+    got = sorted(map(tuple, N.compare_runs(S_IO.last_runs(spark, path)).collect()))
+    assert got == [(1, "a", -5.0, 0.0, 2.5, "Unknown"), (2, "b", 0.0, -0.1, 0.0, "High")]
+
+
 def test_validate_types(spark):
     from tidewater.operators import clean as C
     df = spark.createDataFrame([(1, "a", 2.5)], "id int, name string, x double")

@@ -256,3 +256,15 @@ def waterfall(comparison: DataFrame, base_value: float | Column, value: str = "d
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return comparison.select(order, F.col(value).alias("increment"),
                              (F.lit(base_value) + F.sum(value).over(w)).alias("running_total"))
+
+
+def compare_runs(runs: DataFrame) -> DataFrame:
+    """The compared columns of logged quick-impact runs (the newest five
+    from ``io.last_runs``): missing figures are 0, a missing level 'Unknown';
+    no rows for fewer than two runs, as there is nothing to compare."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = runs.select("run_id", "scenario", number("deposit_change_pct").alias("deposit_change_pct"),
+                      number("lcr_change").alias("lcr_change"), (number("funding_gap") / 1e6).alias("funding_gap_millions"),
+                      F.coalesce("risk_level", F.lit("Unknown")).alias("risk_level"))
+    n_runs = runs.agg(F.count_distinct("run_id").alias("n")).scalar()
+    return out.where(n_runs >= 2)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.core import round_doubles
 from ..operators import scenarios as N
 from ..schemas import ECONOMIC_SHOCKS, STANDARD_SCENARIOS
+from ..session import checkpoint_dir
+from ..sources.io import append_runs, last_runs
 from .registry import register
 
 
@@ -201,3 +206,24 @@ def n10_scenario_waterfall(spark, sf_dir):
     m = N.scenario_metrics(N.shock_deposits(f, c))
     base = m.where(F.col("scenario") == "base").select("total_deposits").scalar()
     return round_doubles(N.waterfall(N.compare_scenarios(m), base))
+
+
+@register("n10_last_runs_comparison", fx.sql_with("customers") + """,
+b AS (SELECT COALESCE(SUM(balance_avg), 1e9) AS bd FROM customers),
+p AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{n}', {float(o)})" for i, (n, o, _) in enumerate(N.SCENARIO_PRESETS)) + """)
+      AS v(run_id, scenario, outr)),
+x AS (SELECT run_id, scenario, bd, bd * (1 - outr) AS sd, 1.15 * (1 - outr * 0.5) AS lcr FROM b, p
+      ORDER BY run_id DESC LIMIT 5)
+SELECT CAST(run_id AS BIGINT) AS run_id, scenario, round((sd - bd) / bd * 100, 4) AS deposit_change_pct,
+  round(round(lcr - 1.15, 9) * 10000) / 10000 AS lcr_change,
+  round(greatest(0.0, (bd - sd) - bd * 0.15) / 1e6, 4) AS funding_gap_millions,
+  CASE WHEN lcr / 1.15 < 0.8 THEN 'High' WHEN lcr / 1.15 < 0.9 THEN 'Medium' ELSE 'Low' END AS risk_level
+FROM x""")
+def n10_last_runs_comparison(spark, sf_dir):
+    """Each preset is a run of the log; its five newest runs are compared."""
+    c, f = _deposits(spark, sf_dir)
+    ids = F.create_map(*[x for i, (n, _, _) in enumerate(N.SCENARIO_PRESETS) for x in (F.lit(n), F.lit(i).cast("long"))])
+    runs = N.quick_impact(c, f, N.SCENARIO_PRESETS).withColumn("run_id", ids[F.col("scenario")])
+    log = os.path.join(checkpoint_dir(spark), f"scenario_runs-{uuid.uuid4().hex}")
+    append_runs(runs, log)
+    return round_doubles(N.compare_runs(last_runs(spark, log, 5)))

@@ -129,11 +129,12 @@ def refresh_if_stale(spark: SparkSession, base_path: str, names: list[str], as_o
 
 
 # ------------------------------------------------------------------- run log
-def append_run(runs: DataFrame, path: str, run_id: int) -> None:
-    """N10, EV13: the result rows of one run, as partition ``run_id`` of an
-    append-only log; a run written again under its id replaces itself."""
-    (runs.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+def append_runs(runs: DataFrame, path: str) -> None:
+    """N10, EV13: the result rows of one or more runs, with their long
+    ``run_id``, as partitions of an append-only log; a run written again under
+    its id replaces itself."""
+    (runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id").parquet(path))
 
 
 def last_runs(spark: SparkSession, path: str, n: int = 5) -> DataFrame:

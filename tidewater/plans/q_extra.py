@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import stats as ST
 from ..functions.core import round_doubles
+from ..operators import bootstrap as BS
 from ..operators import clean as CL
 from ..operators import evaluate as EV
 from ..operators import features as FE
@@ -346,6 +347,36 @@ def t6_tree_intervals(spark, sf_dir):
                                                                               "upper")
 
 
+@register("t7_bootstrap_intervals")
+def t7_bootstrap_intervals(spark, sf_dir):
+    """Row intervals from 100 weighted refits of a linear model: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    return BS.bootstrap_intervals(BS.replicate_models(d, feats, "deposit_flow"), d, feats)
+
+
+@register("ev7_bootstrap_stability")
+def ev7_bootstrap_stability(spark, sf_dir):
+    """Spread of scores and importances over 30 refits of a tree, a share of
+    0.8 of the rows drawn in each: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    models = BS.replicate_models(d, feats, "deposit_flow", n=30, rate=0.8, kind="decision_tree")
+    return BS.stability(BS.replicate_scores(models, d, feats, "deposit_flow"),
+                        BS.replicate_importances(spark, models, feats, "decision_tree"))
+
+
+@register("t9_combined_importances")
+def t9_combined_importances(spark, sf_dir):
+    """Average, weighted and greatest importance over three tree models: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    sizes = {"decision_tree": {}, "random_forest": {"numTrees": 20}, "gbt": {"maxIter": 10}}
+    imp = None
+    for kind, params in sizes.items():
+        models = BS.replicate_models(d, feats, "deposit_flow", n=1, kind=kind, **params)
+        one = BS.replicate_importances(spark, models, feats, kind)
+        imp = one if imp is None else imp.unionByName(one)
+    return BS.combined_importance(imp, {"random_forest": 0.4, "gbt": 0.6})
+
+
 @register("t8_expanding_window_stability")
 def t8_expanding_window_stability(spark, sf_dir):
     """Fits per expanding fold: rows-only."""

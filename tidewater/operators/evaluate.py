@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
@@ -275,6 +275,71 @@ def evaluation_report(metrics: DataFrame, residuals: DataFrame | None = None, by
     return m.select("*", recs.alias("recommendations")).drop("__score")
 
 
+# fixed values: recommendation texts of the performance report
+PERFORMANCE_TEXTS = {
+    "accuracy": "Consider feature engineering or alternative algorithms to improve accuracy",
+    "error": "High error rate - review model assumptions and data quality",
+    "time": "Consider model simplification to reduce training time",
+    "stability": "Model stability issues - consider ensemble methods or regularization",
+    "none": "Model performance is satisfactory - monitor for any degradation",
+}
+# fixed values: points of the efficiency and stability ratings (others: 5)
+EFFICIENCY_POINTS = {"Excellent": 20.0, "Good": 15.0, "Fair": 10.0}
+STABILITY_POINTS = {"Very Stable": 20.0, "Stable": 15.0, "Moderately Stable": 10.0}
+
+
+def performance_report(metrics: DataFrame, efficiency: DataFrame | None = None, business: DataFrame | None = None,
+                       stability: DataFrame | None = None, by: str = KEY) -> DataFrame:
+    """EV13, the performance report: a score of up to 100 from accuracy (r2:
+    50 / 37.5 / 25 / 12.5 points from .8, .6, .4), efficiency and stability
+    (rating: 20 / 15 / 10 / 5) and business impact (ROI %: 10 above 20, 7.5
+    above 0, 5 above -10, else 2.5); overall Excellent from 85, Good 70, Fair
+    55; recommendations.
+
+    ``metrics`` has rmse, r2 and mape per ``by``; the other tables are
+    optional, with a row per ``by``: efficiency_rating and
+    training_time_seconds; roi_percentage; stability_rating.  A model that a
+    table does not hold gets no points and no advice from it; a NULL rating
+    or ROI in a row counts as Fair, Moderately Stable or 0, a NULL r2 as 0
+    and a NULL mape as no error known.
+    """
+    def given(d: DataFrame, table: DataFrame | None, name: str, columns: dict) -> DataFrame:
+        if table is None:
+            return d.select("*", F.lit(False).alias(name), *[F.lit(v).alias(c) for c, v in columns.items()])
+        t = table.select(by, F.lit(True).alias("__there"), *[F.coalesce(F.col(c) if c in table.columns else F.lit(None), F.lit(v)).alias(c)
+                                                             for c, v in columns.items()])
+        return d.join(t, by, "left").withColumn(name, F.coalesce("__there", F.lit(False))).drop("__there")
+
+    m = metrics.select(by, "rmse", "r2", "mape")
+    m = given(m, efficiency, "__eff", {"efficiency_rating": "Fair", "training_time_seconds": 0.0})
+    m = given(m, business, "__bus", {"roi_percentage": 0.0})
+    m = given(m, stability, "__stab", {"stability_rating": "Moderately Stable"})
+
+    def points(rating: str, table: dict) -> Column:
+        out = F.lit(5.0)
+        for text, value in table.items():
+            out = F.when(F.col(rating) == text, value).otherwise(out)
+        return out
+
+    r2, roi = F.coalesce("r2", F.lit(0.0)), F.col("roi_percentage")
+    accuracy = F.when(r2 >= 0.8, 50.0).when(r2 >= 0.6, 37.5).when(r2 >= 0.4, 25.0).otherwise(12.5)
+    score = (accuracy + F.when(F.col("__eff"), points("efficiency_rating", EFFICIENCY_POINTS)).otherwise(0.0)
+             + F.when(F.col("__stab"), points("stability_rating", STABILITY_POINTS)).otherwise(0.0)
+             + F.when(F.col("__bus"), F.when(roi > 20, 10.0).when(roi > 0, 7.5).when(roi > -10, 5.0).otherwise(2.5)).otherwise(0.0))
+    advice = F.array_compact(F.array(
+        F.when(r2 < 0.6, PERFORMANCE_TEXTS["accuracy"]),
+        F.when(F.col("mape") > 15, PERFORMANCE_TEXTS["error"]),
+        F.when(F.col("__eff") & (F.col("training_time_seconds") > 300), PERFORMANCE_TEXTS["time"]),
+        F.when(F.col("__stab") & F.col("stability_rating").isin("Unstable", "Moderately Stable"), PERFORMANCE_TEXTS["stability"])))
+    out = m.select(by, "rmse", "r2", "mape",
+                   F.when(r2 >= 0.8, "Excellent").when(r2 >= 0.6, "Good").when(r2 >= 0.4, "Fair").otherwise("Poor").alias("accuracy_rating"),
+                   F.bround(score, 1).alias("overall_score"),
+                   F.when(score >= 85, "Excellent").when(score >= 70, "Good").when(score >= 55, "Fair").otherwise("Poor").alias("overall_rating"),
+                   advice.alias("__advice"))
+    return out.select("*", F.when(F.size("__advice") > 0, F.col("__advice"))
+                      .otherwise(F.array(F.lit(PERFORMANCE_TEXTS["none"]))).alias("recommendations")).drop("__advice")
+
+
 # ------------------------------------------------------------------------ EV14
 def qq_pairs(preds: DataFrame, by: str = KEY, order_by: str = "row_id", points: int = 99) -> DataFrame:
     """Q-Q pairs of standardised residuals: theoretical normal quantiles at

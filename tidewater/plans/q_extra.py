@@ -259,6 +259,31 @@ def ev11_run_stability(spark, sf_dir):
     return round_doubles(RP.run_stability(p, "run", ["a", "b"]))
 
 
+@register("ev13_performance_report", f"""
+WITH m AS (SELECT * FROM ({ORACLE_SQL['ev3_simple_metrics']})), b AS (SELECT * FROM ({ORACLE_SQL['ev10_business_impact']})),
+st AS (SELECT stability_rating FROM ({ORACLE_SQL['ev11_run_stability']})),
+s AS (SELECT m.*, stability_rating AS rating, CASE WHEN r2 >= 0.8 THEN 50 WHEN r2 >= 0.6 THEN 37.5 WHEN r2 >= 0.4 THEN 25 ELSE 12.5 END
+    + CASE stability_rating WHEN 'Very Stable' THEN 20 WHEN 'Stable' THEN 15 WHEN 'Moderately Stable' THEN 10 ELSE 5 END
+    + CASE WHEN roi_percentage > 20 THEN 10 WHEN roi_percentage > 0 THEN 7.5 WHEN roi_percentage > -10 THEN 5 ELSE 2.5 END AS score
+  FROM m JOIN b ON m.model_name = b.model_name, st),
+a AS (SELECT *, list_filter([CASE WHEN r2 < 0.6 THEN '{EV.PERFORMANCE_TEXTS["accuracy"]}' END,
+    CASE WHEN mape > 15 THEN '{EV.PERFORMANCE_TEXTS["error"]}' END,
+    CASE WHEN rating IN ('Unstable', 'Moderately Stable') THEN '{EV.PERFORMANCE_TEXTS["stability"]}' END], lambda x: x IS NOT NULL) AS advice
+  FROM s)
+SELECT model_name, rmse, r2, mape,
+  CASE WHEN r2 >= 0.8 THEN 'Excellent' WHEN r2 >= 0.6 THEN 'Good' WHEN r2 >= 0.4 THEN 'Fair' ELSE 'Poor' END AS accuracy_rating,
+  CAST(score AS DOUBLE) AS overall_score,
+  CASE WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 55 THEN 'Fair' ELSE 'Poor' END AS overall_rating,
+  CASE WHEN len(advice) > 0 THEN advice ELSE ['{EV.PERFORMANCE_TEXTS["none"]}'] END AS recommendations
+FROM a""")
+def ev13_performance_report(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    rating = RP.run_stability(p.select(F.col("model_name").alias("run"), "row_id", "predicted"), "run", ["a", "b"])
+    models = spark.createDataFrame([(m,) for m, _ in fx.MODEL_VARIANTS], "model_name string")
+    stability = models.withColumn("stability_rating", rating.select("stability_rating").scalar())
+    return round_doubles(EV.performance_report(EV.simple_metrics(p), business=EV.business_impact(p), stability=stability))
+
+
 # ---------------------------------------------------------------- ensembles
 @register("e4_diversity", fx.sql_with("predictions") + """,
 w AS (SELECT row_id, MAX(CASE WHEN model_name = 'a' THEN predicted END) AS a,

@@ -41,7 +41,7 @@ def replicate_weight(row_id: Column, replicate: int, rate: float = 1.0, seed: in
     return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("double")
 
 
-def _assembled(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> DataFrame:
     """``keep`` and the feature vector (NULL features are 0)."""
     asm = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")
     return asm.transform(df.fillna(0.0, subset=list(features))).select(*keep, "__features")
@@ -53,7 +53,7 @@ def replicate_models(train: DataFrame, features: Sequence[str], label: str, row_
     """``n`` models of one ``kind``, each fitted on the rows weighted by their
     Poisson(``rate``) draws.  Rows without a label are left out; ``params`` go
     to the estimator.  ``parallelism`` fits are under way at a time."""
-    d = _assembled(train, features, [F.col(row_id).alias("__id"), F.col(label).cast("double").alias("__label")])
+    d = assembled(train, features, [F.col(row_id).alias("__id"), F.col(label).cast("double").alias("__label")])
     d = reliable_checkpoint(d.where(F.col("__label").isNotNull()))
 
     def fit(replicate: int):
@@ -72,7 +72,7 @@ def replicate_models(train: DataFrame, features: Sequence[str], label: str, row_
 def replicate_predictions(models: Sequence, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` and ``predictions``, an array with one value per model, from
     one pass over the rows."""
-    d = _assembled(df, features, [F.col(c) for c in keep])
+    d = assembled(df, features, [F.col(c) for c in keep])
     for i, m in enumerate(models):
         d = m.copy().setPredictionCol(f"__p{i}").transform(d)
     return d.select(*keep, F.array(*[F.col(f"__p{i}") for i in range(len(models))]).alias("predictions"))

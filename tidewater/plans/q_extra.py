@@ -16,6 +16,7 @@ from ..operators import ml as ML
 from ..operators import reports as RP
 from ..operators import risk as R
 from ..operators import sampling as SA
+from ..operators import tuning as TU
 from ..operators import windows as W
 from ..schemas import SEGMENTS
 from ..session import read_table
@@ -379,6 +380,22 @@ def t7_bootstrap_intervals(spark, sf_dir):
     return BS.bootstrap_intervals(BS.replicate_models(d, feats, "deposit_flow"), d, feats)
 
 
+@register("ev4_cross_validation")
+def ev4_cross_validation(spark, sf_dir):
+    """Scores over five expanding folds of two kinds of models: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    return TU.cross_validate(d, feats, "deposit_flow", ["date", "customer_id"],
+                             {"linear": ("linear", {}), "decision_tree": ("decision_tree", {"maxDepth": 5})})
+
+
+@register("t1_grid_search")
+def t1_grid_search(spark, sf_dir):
+    """Random forests of four settings over five folds: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    return TU.grid_search(d, feats, "deposit_flow", ["date", "customer_id"], "random_forest",
+                          {"numTrees": [5, 10], "maxDepth": [3, 5]})
+
+
 @register("ev7_bootstrap_stability")
 def ev7_bootstrap_stability(spark, sf_dir):
     """Spread of scores and importances over 30 refits of a tree, a share of

@@ -1,10 +1,11 @@
-"""Cross validation and grid search against numpy."""
+"""Cross validation, grid search and ensemble weights against numpy."""
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as E
 from tidewater.operators import tuning as TU
+from tidewater.operators.ml import optimize_weights
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +70,11 @@ def test_queries(spark):
     assert cv.keys() == {"linear", "decision_tree"} and all(r["rmse_min"] <= r["rmse_mean"] <= r["rmse_max"] for r in cv.values())
     grid = q["t1_grid_search"](spark, SF).orderBy("rank").collect()
     assert [r["rank"] for r in grid] == [1, 2, 3, 4] and grid[0]["mse_mean"] == min(r["mse_mean"] for r in grid)
+
+
+def test_ensemble_weights_settle_or_say_so():
+    assert np.allclose(optimize_weights([[1.0, 0.0], [0.0, 3.0]]), [0.75, 0.25])
+    with pytest.raises(ValueError):
+        optimize_weights([[1.0, None], [None, 3.0]])
+    with pytest.raises(ArithmeticError):
+        optimize_weights([[1.0, 0.0], [0.0, 3.0]], max_steps=1)

@@ -68,16 +68,19 @@ def error_gram(preds: DataFrame, models: Sequence[str]) -> list[list[float]]:
     return [[row[f"{i}_{j}"] for j in range(k)] for i in range(k)]
 
 
-def optimize_weights(gram: list[list[float]], tolerance: float = 1e-13) -> list[float]:
+def optimize_weights(gram: list[list[float]], tolerance: float = 1e-13, max_steps: int = 1_000_000) -> list[float]:
     """Minimise w' G w on the simplex (w >= 0, sum 1) by projected
     gradient until no weight moves by more than ``tolerance``; k is the number
-    of models (<= 10), so this is driver math on a k x k matrix."""
+    of models (<= 10), so this is driver math on a k x k matrix.  Entries that
+    are missing or not finite, and weights that don't settle, are errors."""
     import numpy as np
     g = np.asarray(gram, dtype=float)
+    if not np.isfinite(g).all():
+        raise ValueError("two models without a common row, or with an error that is not finite")
     k = g.shape[0]
     w = np.full(k, 1.0 / k)
     step = 1.0 / (2 * max(np.linalg.eigvalsh(g).max(), 1e-12))
-    while True:
+    for _ in range(max_steps):
         before = w
         w = w - step * 2 * g @ w
         # Euclidean projection onto the simplex
@@ -87,6 +90,7 @@ def optimize_weights(gram: list[list[float]], tolerance: float = 1e-13) -> list[
         w = np.maximum(w - (css[rho] - 1) / (rho + 1.0), 0)
         if np.abs(w - before).max() <= tolerance:
             return w.tolist()
+    raise ArithmeticError(f"the weights still move after {max_steps} steps")
 
 
 def diversity(preds: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import np_round
+from ..functions.core import np_round, safe_div
 from ..functions.stats import fixed1
 from ..plans.global_order import exact_quantiles, global_lag, join_groups, with_global_position
 
@@ -72,14 +72,15 @@ def prediction_metrics(preds: DataFrame, by: str = KEY, order_by: str = "row_id"
         .otherwise(0.0).alias("volatility_ratio"), "correlation")
 
 
-def simple_metrics(preds: DataFrame, by: str = KEY, mape_mode: str = "epsilon") -> DataFrame:
-    """EV3: mse/rmse/mae/r2 and mape over (y + 1e-8) (``epsilon``) or y <> 0."""
+def simple_metrics(preds: DataFrame, by: str | Sequence[str] = KEY, mape_mode: str = "epsilon") -> DataFrame:
+    """EV3: mse/rmse/mae/r2 and mape over (y + 1e-8) (``epsilon``) or y <> 0;
+    r2 is NULL where all actual values are equal."""
     y, yh = F.col("actual"), F.col("predicted")
     res = y - yh
     mape = (F.avg(F.abs(res / (y + 1e-8))) if mape_mode == "epsilon" else F.avg(F.when(y != 0, F.abs(res / y)))) * 100
     return preds.groupBy(by).agg(F.avg(res * res).alias("mse"), F.sqrt(F.avg(res * res)).alias("rmse"),
                                  F.avg(F.abs(res)).alias("mae"),
-                                 (1 - F.sum(res * res) / (F.var_pop(y) * F.count(y))).alias("r2"),
+                                 (1 - safe_div(F.sum(res * res), F.var_pop(y) * F.count(y))).alias("r2"),
                                  mape.alias("mape"))
 
 

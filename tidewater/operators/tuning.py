@@ -55,39 +55,65 @@ def fold_predictions(df: DataFrame, features: Sequence[str], label: str, order_b
     a label take no part; positions follow ``order_by``, which should be
     unique.  ``parallelism`` fits are under way at a time.
     """
+    d = placed(df, features, label, order_by, row_id)
+    return placed_fold_predictions(d, d.count(), candidates, n_splits, method, seed, parallelism).drop("__pos")
+
+
+def placed(df: DataFrame, features: Sequence[str], label: str, order_by: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """The labelled rows as (__pos, row_id, actual, __features), written once;
+    ``__pos`` is the 0-based position in ``order_by``."""
     known = df.where(F.col(label).isNotNull())
     d = with_global_position(known, list(order_by), "__pos")
-    d = reliable_checkpoint(assembled(d, features, [
+    return reliable_checkpoint(assembled(d, features, [
         F.col("__pos"), F.col(row_id).alias("row_id"), F.col(label).cast("double").alias("actual")]))
-    bounds = fold_bounds(d.count(), n_splits, method)
 
-    def tested(fold: int) -> Column:
-        start, stop = bounds[fold]
-        return (F.col("__pos") >= start) & (F.col("__pos") < stop)
 
-    def fit(job: tuple[int, str]):
-        fold, name = job
+def fit_all(jobs: Mapping, candidates: Mapping[str, tuple[str, Mapping]], seed: int = 42, parallelism: int = 4) -> dict:
+    """Fits each job once: key -> (candidate's name, rows of ``placed``);
+    ``parallelism`` fits are under way at a time.  Returns key -> model."""
+    def fit(job: tuple[str, DataFrame]):
+        name, rows = job
         kind, params = candidates[name]
-        train = F.col("__pos") < bounds[fold][0] if method == "timeseries" else ~tested(fold)
         est = ESTIMATORS[kind](featuresCol="__features", labelCol="actual", **({"seed": seed} if kind in SEEDED else {}), **params)
-        return est.fit(d.where(train))
+        return est.fit(rows)
 
-    jobs = [(fold, name) for fold in range(n_splits) for name in candidates]
+    if not jobs:
+        return {}
+    spark = next(iter(jobs.values()))[1].sparkSession
     pool = ThreadPool(parallelism)
     try:
-        models = dict(zip(jobs, pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs)))
+        return dict(zip(jobs, pool.map(inheritable_thread_target(spark)(fit), jobs.values())))
     finally:
         pool.close()
 
+
+def predicted_by(models: Sequence, rows: DataFrame) -> DataFrame:
+    """``rows`` of ``placed`` with __p0, __p1, ..., one column per model, from one pass."""
+    for i, m in enumerate(models):
+        rows = m.copy().setPredictionCol(f"__p{i}").transform(rows)
+    return rows
+
+
+def placed_fold_predictions(d: DataFrame, n: int, candidates: Mapping[str, tuple[str, Mapping]], n_splits: int = 5,
+                            method: str = "timeseries", seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """``fold_predictions`` of the rows of ``placed`` at positions 0 to ``n`` - 1, with ``__pos``."""
+    bounds = fold_bounds(n, n_splits, method)
+
+    def tested(fold: int) -> Column:
+        start, stop = bounds[fold]
+        return (F.col("__pos") >= start) & (F.col("__pos") < stop)
+
+    jobs = {(fold, name): (name, d.where(F.col("__pos") < bounds[fold][0] if method == "timeseries" else ~tested(fold)))
+            for fold in range(n_splits) for name in candidates}
+    models = fit_all(jobs, candidates, seed, parallelism)
+
     out = None
     for fold in range(n_splits):
-        part = d.where(tested(fold))
-        for i, name in enumerate(candidates):
-            part = models[fold, name].copy().setPredictionCol(f"__p{i}").transform(part)
+        part = predicted_by([models[fold, name] for name in candidates], d.where(tested(fold)))
         each = F.array(*[F.struct(F.lit(name).alias("model_name"), F.col(f"__p{i}").alias("predicted"))
                          for i, name in enumerate(candidates)])
-        part = part.select("row_id", "actual", F.explode(each).alias("x")).select(
-            "x.model_name", F.lit(fold).alias("fold"), "row_id", "actual", "x.predicted")
+        part = part.select("__pos", "row_id", "actual", F.explode(each).alias("x")).select(
+            "x.model_name", F.lit(fold).alias("fold"), "row_id", "actual", "x.predicted", "__pos")
         out = part if out is None else out.unionByName(part)
     return out
 

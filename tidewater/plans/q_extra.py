@@ -9,6 +9,7 @@ from ..functions import stats as ST
 from ..functions.core import round_doubles
 from ..operators import bootstrap as BS
 from ..operators import clean as CL
+from ..operators import ensemble as EN
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import joins as J
@@ -396,6 +397,14 @@ def t1_grid_search(spark, sf_dir):
                           {"numTrees": [5, 10], "maxDepth": [3, 5]})
 
 
+@register("e7_ensemble_pipeline")
+def e7_ensemble_pipeline(spark, sf_dir):
+    """Scores of two components and three ensemble types on validation and test rows: rows-only."""
+    d, feats = _flow_features(spark, sf_dir)
+    return EN.ensemble_pipeline(d, feats, "deposit_flow", ["date", "customer_id"], {
+        "random_forest": ("random_forest", {"numTrees": 20, "maxDepth": 5}), "gbt": ("gbt", {"maxIter": 10, "maxDepth": 3})}, n_splits=3).scores
+
+
 @register("ev7_bootstrap_stability")
 def ev7_bootstrap_stability(spark, sf_dir):
     """Spread of scores and importances over 30 refits of a tree, a share of

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import clean_double, clip, numeric_columns, with_row
+from ..plans.column_ladder import column_ladder, wide_quantiles
 from ..plans.global_order import exact_quantiles, join_groups
 from ..schemas import SEGMENTS
 from . import windows as W
@@ -223,20 +224,19 @@ def clean_flow_data(flows: DataFrame, as_of: str, ingest_order: str | None = Non
     d = W.dedupe(flows, ["customer_id", "date"], [ingest_order or "date"], keep="last")
     d = d.where(~F.coalesce(F.col("date") > F.lit(as_of).cast("date"), F.lit(False)))
     flow_cols = [c for c in d.columns if "flow" in c.lower() and c in numeric_columns(d)]
+    names = d.columns
+    if flow_cols:
+        quartiles = wide_quantiles(column_ladder(d, flow_cols), flow_cols, {"q1": 0.25, "q3": 0.75})
+        d = with_row(d, quartiles, "__q")
     sel = []
-    for c in d.columns:
+    for c in names:
+        x = F.col(c)
         if c in flow_cols:
-            q = exact_quantiles(d, c, [0.25, 0.75], ["q1", "q3"])
-            qf = q.first()  # one row per column: two numbers
-            q1, q3 = qf["q1"], qf["q3"]
-            if q1 is None:
-                sel.append(F.col(c))
-                continue
+            # a column without values has no quartiles, and is left as it is
+            q1, q3 = F.col("__q")[c]["q1"], F.col("__q")[c]["q3"]
             lo, hi = q1 - iqr_k * (q3 - q1), q3 + iqr_k * (q3 - q1)
-            x = F.col(c)
-            sel.append(F.when(x < lo, lo).when(x > hi, hi).otherwise(x).alias(c))
-        else:
-            sel.append(F.col(c))
+            x = F.when(x < lo, lo).when(x > hi, hi).otherwise(x).alias(c)
+        sel.append(x)
     d = d.select(*sel)
     if {"balance_start", "balance_end", "deposit_flow"} <= set(d.columns):
         calc = F.col("balance_start") + F.col("deposit_flow")

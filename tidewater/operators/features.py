@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import flow_date_flags
 from ..functions.core import flag, safe_div, with_row
+from ..plans.column_ladder import column_ladder, wide_quantiles
 from ..plans.global_order import exact_quantiles, rank_pct
 from . import windows as W
 
@@ -186,22 +187,22 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard") ->
     """Fitted parameters, one row per column: (column, center, scale).
     standard: mean / population std; minmax: min / (max - min);
     robust: median / IQR (exact quantiles)."""
-    parts = []
-    for c in cols:
-        if method == "standard":
-            p = df.agg(F.avg(c).alias("center"), F.stddev_pop(c).alias("scale"))
-        elif method == "minmax":
-            p = df.agg(F.min(c).cast("double").alias("center"), (F.max(c) - F.min(c)).cast("double").alias("scale"))
-        elif method == "robust":
-            q = exact_quantiles(df, c, [0.25, 0.5, 0.75], ["q1", "m", "q3"])
-            p = q.select(F.col("m").alias("center"), (F.col("q3") - F.col("q1")).alias("scale"))
-        else:
-            raise ValueError(method)
-        parts.append(p.select(F.lit(c).alias("column"), "center", "scale"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if method == "standard":
+        fitted = {c: (F.avg(c), F.stddev_pop(c)) for c in cols}
+    elif method == "minmax":
+        fitted = {c: (F.min(c), F.max(c) - F.min(c)) for c in cols}
+    elif method == "robust":
+        q = wide_quantiles(column_ladder(df, cols), cols, {"q1": 0.25, "m": 0.5, "q3": 0.75})
+        row = q.select(*[F.struct(F.col(c)["m"].alias("center"), (F.col(c)["q3"] - F.col(c)["q1"]).alias("scale")).alias(c)
+                         for c in cols])
+    else:
+        raise ValueError(method)
+    if method != "robust":
+        row = df.agg(*[F.struct(m.cast("double").alias("center"), s.cast("double").alias("scale")).alias(c)
+                       for c, (m, s) in fitted.items()])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["center"].alias("center"), F.col(c)["scale"].alias("scale"))
+                     for c in cols])
+    return row.select(F.explode(each).alias("__s")).select("__s.*")
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:

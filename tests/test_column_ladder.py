@@ -110,3 +110,18 @@ def test_jobs_do_not_grow_with_the_columns(spark, table):
             sc.setLocalProperty("spark.jobGroup.id", None)
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(name)))
     assert jobs[1] <= jobs[0] + 1 and jobs[0] < 25
+
+
+@pytest.mark.parametrize("values", [[5.0], [2.0, 1.0], [1.0] * 9 + [4.0], list(range(100)), [1.0, 1.0, 2.0, 2.0, 2.0, 7.5]])
+def test_many_quantiles_are_numpys(spark, values):
+    from tidewater.plans.global_order import long_quantiles, value_count_ladder
+    qs = [0.0, 0.01, 0.25, 0.5, 0.505, 0.9, 1.0]
+    df = spark.createDataFrame([(g, float(v) * (1 + g)) for g in (0, 1) for v in values] + [(0, None)], "g int, x double")
+    got = {(r["g"], r["i"]): r["value"] for r in long_quantiles(value_count_ladder(df, "x", ["g"]), "x", qs, ["g"]).collect()}
+    assert got == {(g, i): pytest.approx(np.quantile(np.array(values, float) * (1 + g), q)) for g in (0, 1) for i, q in enumerate(qs)}
+
+
+def test_qq_pairs_of_equal_residuals(spark):
+    from tidewater.operators import evaluate as EV
+    df = spark.createDataFrame([("a", i, 2.0, 1.0) for i in range(5)], "model_name string, row_id long, actual double, predicted double")
+    assert EV.qq_pairs(df).count() == 0

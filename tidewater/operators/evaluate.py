@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import np_round, safe_div
 from ..functions.stats import fixed1
-from ..plans.global_order import exact_quantiles, global_lag, join_groups, with_global_position
+from ..plans.global_order import (exact_quantiles, global_lag, join_groups, long_quantiles, value_count_ladder,
+                                  with_global_position)
 
 KEY = "model_name"
 
@@ -344,16 +345,15 @@ def performance_report(metrics: DataFrame, efficiency: DataFrame | None = None,
 # ------------------------------------------------------------------------ EV14
 def qq_pairs(preds: DataFrame, by: str = KEY, order_by: str = "row_id", points: int = 99) -> DataFrame:
     """Q-Q pairs of standardised residuals: theoretical normal quantiles at
-    linspace(.01, .99, points) against the exact sample quantiles."""
+    linspace(.01, .99, points) against the exact sample quantiles.  A model
+    whose residuals are all equal has no rows."""
     from ..functions.stats import norm_ppf
     r = preds.select(by, (F.col("actual") - F.col("predicted")).alias("__r"))
     st = r.groupBy(by).agg(F.avg("__r").alias("__m"), F.stddev_pop("__r").alias("__s"))
-    z = join_groups(r, st, [by]).select(by, ((F.col("__r") - F.col("__m")) / F.col("__s")).alias("__z"))
+    z = join_groups(r, st, [by]).select(by, safe_div(F.col("__r") - F.col("__m"), F.col("__s")).alias("__z"))
     qs = [0.01 + i * (0.98 / (points - 1)) for i in range(points)]
-    q = exact_quantiles(z, "__z", qs, [f"q{i}" for i in range(points)], by=[by])
-    arr = F.array(*[F.struct(F.lit(qs[i]).alias("p"), F.col(f"q{i}").alias("sample_quantile")) for i in range(points)])
-    out = q.select(by, F.explode(arr).alias("s")).select(by, "s.*")
-    return out.select(by, "p", norm_ppf(F.col("p")).alias("theoretical_quantile"), "sample_quantile")
+    q = long_quantiles(value_count_ladder(z, "__z", [by]), "__z", qs, [by])
+    return q.select(by, F.col("q").alias("p"), norm_ppf(F.col("q")).alias("theoretical_quantile"), F.col("value").alias("sample_quantile"))
 
 
 # ------------------------------------------------------------------------ EV15

@@ -142,3 +142,28 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
         frac = F.max(pos - lo)
         aggs.append((v_lo + (v_hi - v_lo) * frac).alias(names[i]))
     return lad.groupBy(*keys).agg(*aggs)
+
+
+def long_quantiles(ladder: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The quantiles of ``exact_quantiles`` as rows (by, i, q, value), for many
+    ``qs``: a ladder row gives a row per quantile whose position lies on it or
+    next to it, so that two rows of a group and quantile at most are shuffled."""
+    keys = list(by)
+    n, v, c, below = F.col("__n"), F.col(col), F.col("c"), F.col("below")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+
+    def low(q):
+        return F.floor((n - 1) * q)
+
+    def high(q):
+        return F.ceil((n - 1) * q)
+
+    near = F.filter(wanted, lambda w: (low(w["q"]) < below + c) & (high(w["q"]) >= below))
+    d = ladder.select(*keys, v.alias("__v"), "c", "below", "__n", F.explode(near).alias("__w")) \
+              .select(*keys, "__v", "c", "below", "__n", "__w.i", "__w.q")
+    q = F.col("q")
+    at_low, at_high = (below <= low(q)) & (low(q) < below + c), (below <= high(q)) & (high(q) < below + c)
+    g = d.groupBy(*keys, "i", "q").agg(F.max(F.when(at_low, F.col("__v"))).alias("__lo"),
+                                       F.max(F.when(at_high, F.col("__v"))).alias("__hi"),
+                                       F.max((n - 1) * q - low(q)).alias("__f"))
+    return g.select(*keys, "i", "q", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("value"))

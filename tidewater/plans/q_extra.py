@@ -235,10 +235,28 @@ def ev13_evaluation_report(spark, sf_dir):
     return round_doubles(EV.evaluation_report(EV.prediction_metrics(p), EV.residual_analysis(p)))
 
 
-@register("ev14_qq_pairs")
+def _ratio_sql(top, bottom, x: str, factor: str) -> str:
+    def poly(coefficients):
+        text = f"{coefficients[0]:.17e}"
+        for c in coefficients[1:]:
+            text = f"({text} * {x} + {c:.17e})"
+        return text
+    return f"{poly(top)} * {factor} / ({poly(bottom)} * {x} + 1)"
+
+
+_QQ = "[" + ", ".join(f"{0.01 + i * (0.98 / 98):.17e}" for i in range(99)) + "]"
+
+
+@register("ev14_qq_pairs", fx.sql_with("predictions") + f""",
+st AS (SELECT model_name, AVG(actual - predicted) AS m, STDDEV_POP(actual - predicted) AS s FROM predictions GROUP BY model_name),
+z AS (SELECT p.model_name, (actual - predicted - m) / s AS z FROM predictions p JOIN st ON p.model_name = st.model_name),
+q AS (SELECT model_name, unnest({_QQ}) AS p, unnest(quantile_cont(z, {_QQ})) AS sample_quantile FROM z GROUP BY model_name),
+t AS (SELECT *, sqrt(-2 * ln(p)) AS lo, sqrt(-2 * ln(1 - p)) AS hi, (p - 0.5) * (p - 0.5) AS mid FROM q)
+SELECT model_name, round(p, 4) AS p, round(sample_quantile, 4) AS sample_quantile,
+  round(CASE WHEN p < 0.02425 THEN {_ratio_sql(ST._C, ST._D, "lo", "1")} WHEN p <= 1 - 0.02425 THEN {_ratio_sql(ST._A, ST._B, "mid", "(p - 0.5)")}
+             ELSE -({_ratio_sql(ST._C, ST._D, "hi", "1")}) END, 4) AS theoretical_quantile FROM t""")
 def ev14_qq_pairs(spark, sf_dir):
-    """Normal quantiles from a rational approximation: rows-only."""
-    return EV.qq_pairs(fx.predictions(spark, sf_dir))
+    return round_doubles(EV.qq_pairs(fx.predictions(spark, sf_dir)))
 
 
 @register("ev11_run_stability", fx.sql_with("predictions") + """,

@@ -11,7 +11,8 @@ from ..operators import sampling as L
 from ..session import read_table
 from ..sources import payloads as S
 from ..streaming import flows as X
-from .registry import register
+from . import q_clean  # noqa: F401 - its SQL is reused below
+from .registry import ORACLE_SQL, register
 
 
 @register("s13_api_usage_stats", """
@@ -141,22 +142,75 @@ def x2_streaming_dynamic_weights(spark, sf_dir):
     return round_doubles(X.run_dynamic_weights(spark, p, order_by="row_id"), 9)
 
 
-@register("v6_clean_all_integrity")
+def _v6_sql(result: str) -> str:
+    """The cleaned tables by the SQL of P5, P6 and P7, then P8 and P9 on them."""
+    def sparse(columns: str) -> str:
+        names = columns.split()
+        return f"({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in names)}) / {len(names)}.0 > 0.5"
+
+    return fx.sql_with("market_gappy", "flows") + f""",
+m5 AS ({ORACLE_SQL["p5_clean_market_data"]}),
+c6 AS ({ORACLE_SQL["p6_clean_customer_data"]}),
+f7 AS ({ORACLE_SQL["p7_clean_flow_data"]}),
+wild AS (SELECT c.customer_id FROM c6 c JOIN (SELECT customer_id, STDDEV_SAMP(deposit_flow) AS sd FROM f7 GROUP BY customer_id) s
+         ON c.customer_id = s.customer_id WHERE s.sd / NULLIF(c.balance_avg, 0) > 0.5),
+m AS (SELECT * FROM m5 WHERE NOT ({sparse("FED_FUNDS_RATE TREASURY_10Y TREASURY_5Y TREASURY_2Y TREASURY_3M VIX")})),
+c AS (SELECT *, true AS insufficient_history FROM c6 WHERE NOT ({sparse("balance_avg rate_sensitivity loyalty_score volatility_factor")})),
+f AS (SELECT * FROM f7 WHERE customer_id NOT IN (SELECT customer_id FROM wild)
+      AND NOT ({sparse("deposit_flow inflow outflow balance_start balance_end")})){result}"""
+
+
+def _v6_report_sql() -> str:
+    def gaps(table: str, columns: list[str]) -> str:
+        return f"(SELECT COUNT(*) AS n, COUNT(*) * {len(columns)} - {' - '.join(f'COUNT({c})' for c in columns)} AS gone FROM {table})"
+
+    market = ["date", "FED_FUNDS_RATE", "TREASURY_10Y", "TREASURY_5Y", "TREASURY_2Y", "TREASURY_3M", "VIX"]
+    customers = ["customer_id", "segment", "balance_avg", "rate_sensitivity", "loyalty_score", "volatility_factor", "region",
+                 "industry", "account_opening_date"]
+    flows = ["customer_id", "date", "deposit_flow", "inflow", "outflow", "segment", "balance_start", "balance_end"]
+    parts = [f"SELECT '{name}' AS \"table\", o.n AS n0, k.n AS n1, o.gone AS g0, k.gone AS g1, {len(after)} AS width "
+             f"FROM {gaps(old, before)} o, {gaps(new, after)} k"
+             for name, old, before, new, after in (
+                 ("market_data", "market_gappy", market, "m", market),
+                 ("customer_data", "customers", customers, "c", [*customers, "insufficient_history"]),
+                 ("flow_data", "flows", flows, "f", flows))]
+    return _v6_sql(f""",
+t AS ({" UNION ALL ".join(parts)}),
+r AS (SELECT *, (n0 - n1) * 100.0 / n0 AS rp, 100.0 * (1 - g1 / (n1 * width)) AS whole FROM t)
+SELECT "table", n0 AS original_rows, n1 AS cleaned_rows, n0 - n1 AS rows_removed, round(rp, 4) AS removal_percentage,
+  CAST(g0 AS BIGINT) AS missing_before, CAST(g1 AS BIGINT) AS missing_after, round(whole, 4) AS completeness,
+  CAST(CASE WHEN rp <= 5 THEN 95 ELSE 80 END AS DOUBLE) AS consistency, CAST(90 AS DOUBLE) AS validity,
+  round(0.4 * whole + 0.3 * CASE WHEN rp <= 5 THEN 95 ELSE 80 END + 0.3 * 90, 4) AS overall_score FROM r""")
+
+
+@register("v6_clean_all_integrity", _v6_sql(""",
+r AS (SELECT (SELECT MIN(date) FROM m) AS ms, (SELECT MAX(date) FROM m) AS me, (SELECT COUNT(*) FROM m) AS mn,
+             (SELECT MIN(date) FROM f) AS fs, (SELECT MAX(date) FROM f) AS fe, (SELECT COUNT(*) FROM f) AS fn,
+             (SELECT COUNT(*) FROM c) AS cn,
+             (SELECT COUNT(DISTINCT customer_id) FROM f WHERE customer_id NOT IN (SELECT customer_id FROM c)) AS lost),
+k AS (SELECT *, COALESCE(fs >= ms AND fe <= me, false) AS inside FROM r),
+i AS (SELECT *, list_filter([CASE WHEN NOT inside THEN 'Flow dates outside market data range' END,
+                             CASE WHEN lost > 0 THEN 'Orphan flow records' END,
+                             CASE WHEN mn < 30 THEN 'Insufficient market data' END,
+                             CASE WHEN cn < 100 THEN 'Insufficient customer data' END,
+                             CASE WHEN fn < 1000 THEN 'Insufficient flow data' END], lambda x: x IS NOT NULL) AS issues FROM k)
+SELECT ms AS market_start, me AS market_end, mn AS market_rows, fs AS flow_start, fe AS flow_end, fn AS flow_rows,
+  cn AS customer_rows, lost AS orphan_flow_customers, inside AS dates_in_market_range, issues, len(issues) = 0 AS overall_valid FROM i"""))
 def v6_clean_all_integrity(spark, sf_dir):
-    """V6 composition (its steps have oracles): integrity row, rows-only."""
+    """V6 composition: the integrity row of the cleaned tables."""
     from .compositions import clean_all
     c = fx.customers(spark, sf_dir)
     out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
     return out["integrity"]
 
 
-@register("v6_clean_all_quality_report")
+@register("v6_clean_all_quality_report", _v6_report_sql())
 def v6_clean_all_quality_report(spark, sf_dir):
-    """V6 composition: per-table quality report, rows-only."""
+    """V6 composition: the quality report of each table."""
     from .compositions import clean_all
     c = fx.customers(spark, sf_dir)
     out = clean_all(fx.market_gappy(spark, sf_dir), c, fx.flows(spark, sf_dir, c), fx.last_day(spark, sf_dir))
-    return out["quality_report"]
+    return round_doubles(out["quality_report"])
 
 
 @register("m4_feature_table")

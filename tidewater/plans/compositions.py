@@ -17,20 +17,23 @@ from ..operators import features as FE
 from ..operators import flows as A
 from ..operators import quality as Q
 from ..operators import windows as W
-from ..schemas import SEGMENTS
+from ..session import reliable_checkpoint
 
 
 # --------------------------------------------------------------------------- V6
 def clean_all(market: DataFrame, customers: DataFrame, flows: DataFrame, as_of: str) -> dict:
     """P5-P7, then P8, then P9 (NULL-heavy rows dropped), then V2 integrity
-    and V3 quality reports per table."""
+    and V3 quality reports per table.  Each cleaned table is written once to
+    the shared checkpoint folder, where both reports and the caller read it;
+    the flows are also written between P7 and P8, which reads them twice."""
     m = C.clean_market_data(market)
     c = C.clean_customer_data(customers, as_of)
-    f = C.clean_flow_data(flows, as_of)
+    f = reliable_checkpoint(C.clean_flow_data(flows, as_of))
     c, f = C.apply_business_rules(c, f, as_of)
     m, _ = C.remove_anomalous_patterns(m, [], ["date"])
     c, _ = C.remove_anomalous_patterns(c, [], ["customer_id"])
     f, _ = C.remove_anomalous_patterns(f, [], ["date"], ["customer_id"])
+    m, c, f = reliable_checkpoint(m), reliable_checkpoint(c), reliable_checkpoint(f)
     integrity = Q.validate_integrity(m, c, f)
     report = (Q.quality_report(market, m, "market_data")
                 .unionByName(Q.quality_report(customers, c, "customer_data"))
@@ -91,6 +94,3 @@ def train_and_compare(table: DataFrame, features, label: str, cutoff: str) -> tu
         preds = p if preds is None else preds.unionByName(p)
     return preds, EV.compare_models(EV.simple_metrics(preds, mape_mode="nonzero"))
 
-
-def segment_list() -> list[str]:
-    return list(SEGMENTS)

@@ -419,6 +419,26 @@ def market_segment_interactions(unified: DataFrame, segments: Sequence[str]) ->
     return unified.select("*", *cols)
 
 
+def segment_day_interactions(df: DataFrame) -> DataFrame:
+    """P13 on rows of (date, segment) with the day's market values: rate x
+    VIX, rate / (VIX + 1), steepness x VIX, each column of the segment's
+    summed flow x the first two columns of the policy rate, and the first
+    three of them x VIX.  Columns whose factors are absent are left out."""
+    has, v = set(df.columns), F.col("VIX")
+    sums = [c for c in df.columns if "segment_sum_deposit_flow" in c]
+    cols = []
+    if {"FED_FUNDS_RATE", "VIX"} <= has:
+        r = F.col("FED_FUNDS_RATE")
+        cols += [(r * v).alias("RATE_VIX_interaction"), safe_div(r, v + 1).alias("RATE_VIX_ratio")]
+    if {"YIELD_CURVE_STEEPNESS", "VIX"} <= has:
+        cols.append((F.col("YIELD_CURVE_STEEPNESS") * v).alias("STEEPNESS_VIX_interaction"))
+    for s in sums:
+        cols += [(F.col(s) * F.col(r)).alias(f"{s}_X_{r}") for r in [c for c in df.columns if "FED_FUNDS_RATE" in c][:2]]
+    if "VIX" in has:
+        cols += [(F.col(s) * v).alias(f"{s}_X_VIX") for s in sums[:3]]
+    return df.select("*", *cols)
+
+
 # ------------------------------------------------------------------------ P23
 # fixed values: monthly seasonal deposit factors (January .. December)
 SEASONAL_FACTORS = [0.1, 0.05, -0.1, -0.05, 0.0, 0.1, -0.05, -0.05, 0.05, 0.0, -0.1, 0.15]

@@ -64,12 +64,12 @@ def market_feature_table(market: DataFrame) -> DataFrame:
 def feature_table(market: DataFrame, flows: DataFrame, horizons=(1, 5, 21)) -> DataFrame:
     """Segment-day behavioural features (A2) left-joined to the daily
     market features (broadcast: one row per day), market x segment
-    interactions, targets per segment; rows without targets are dropped
+    interactions (P13), targets per segment; rows without targets are dropped
     first, then features are forward filled within the segment (the
-    corrected order, Q8)."""
-    seg = A.segment_behavioral_features(flows)
-    mk = market_feature_table(market)
-    d = seg.join(F.broadcast(mk), "date", "left")
+    corrected order, Q8).  Both sides of the join are written once."""
+    seg = reliable_checkpoint(A.segment_behavioral_features(flows))
+    mk = reliable_checkpoint(market_feature_table(market))
+    d = FE.segment_day_interactions(seg.join(F.broadcast(mk), "date", "left"))
     d = FE.target_variables(d, horizons)
     targets = [c for c in d.columns if c.startswith("target_flow_")]
     d = d.dropna(subset=targets)

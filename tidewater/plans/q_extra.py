@@ -12,6 +12,7 @@ from ..operators import clean as CL
 from ..operators import ensemble as EN
 from ..operators import evaluate as EV
 from ..operators import features as FE
+from ..operators import flows as A
 from ..operators import joins as J
 from ..operators import ml as ML
 from ..operators import reports as RP
@@ -95,6 +96,20 @@ def p13_market_segment_interactions(spark, sf_dir):
     return round_doubles(d.select(*keep))
 
 
+@register("p13_segment_day_interactions", fx.sql_with("market", "flows") + """,
+s AS (SELECT date, segment, round_even(SUM(deposit_flow), 4) AS total FROM flows GROUP BY date, segment),
+d AS (SELECT s.*, FED_FUNDS_RATE AS r, VIX AS v, TREASURY_10Y - TREASURY_2Y AS steep FROM s LEFT JOIN market m ON s.date = m.date)
+SELECT date, segment, round(r * v, 4) AS RATE_VIX_interaction, round(r / (v + 1), 4) AS RATE_VIX_ratio,
+  round(steep * v, 4) AS STEEPNESS_VIX_interaction, round(total * r, 4) AS segment_sum_deposit_flow_X_FED_FUNDS_RATE,
+  round(total * v, 4) AS segment_sum_deposit_flow_X_VIX FROM d""")
+def p13_segment_day_interactions(spark, sf_dir):
+    seg = A.segment_behavioral_features(fx.flows(spark, sf_dir)).select("date", "segment", "segment_sum_deposit_flow")
+    m = fx.market(spark, sf_dir)
+    d = seg.join(F.broadcast(FE.yield_curve_features(m).select("date", "FED_FUNDS_RATE", "VIX", "YIELD_CURVE_STEEPNESS")), "date", "left")
+    out = FE.segment_day_interactions(d)
+    return round_doubles(out.select("date", "segment", *out.columns[len(d.columns):]))
+
+
 # ------------------------------------------------------------------------ P23
 @register("p23_behavioral_impacts", fx.sql_with("market", "flows") + """,
 m AS (SELECT date, VIX, FED_FUNDS_RATE - LAG(FED_FUNDS_RATE) OVER (ORDER BY date) AS rc FROM market),

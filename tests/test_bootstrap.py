@@ -70,6 +70,30 @@ def test_intervals_and_scores_are_numpys(spark, table):
                            [v.mean(), v.std(), v.std() / v.mean(), v.min(), v.max(), *np.quantile(v, [0.25, 0.75])], atol=1e-6)
 
 
+def test_moments_of_all_replicates_in_one_pass(spark, table):
+    """One pass gives the fits that each replicate's weighted rows give."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegression
+    d = BS.assembled(table, FEATS, [F.col("row_id").alias("__id"), F.col("y").alias("__label")]).where("__label is not null")
+    for params in ({}, {"regParam": 0.3, "elasticNetParam": 0.5}):
+        models = BS.replicate_models(table, FEATS, "y", n=3, rate=0.8, **params)
+        for k, m in enumerate(models):
+            w = d.withColumn("__weight", BS.replicate_weight(F.col("__id"), k, 0.8)).where("__weight > 0")
+            own = LinearRegression(featuresCol="__features", labelCol="__label", weightCol="__weight", **params).fit(w)
+            assert np.allclose([*m.coefficients, m.intercept], [*own.coefficients, own.intercept], atol=1e-6)
+    sums = BS.replicate_moments(d.repartition(3), [0.0, 0.0, 0.0], 2).orderBy("at").toPandas()["value"].to_numpy()
+    rows = [r for r in _rows() if r[3] is not None]
+    v = np.array([[1.0, r[1] or 0.0, r[2], r[3]] for r in rows])
+    w = _weights(spark, 2)[[r[0] for r in rows]]
+    i, j = np.triu_indices(4)
+    assert np.allclose(sums.reshape(2, 10), w.T @ (v[:, i] * v[:, j]))
+    # a feature that does not vary, one that repeats another
+    odd = spark.createDataFrame([(k, 7.0, float(k % 5), float(k % 5), 2.0 * (k % 5) + 1) for k in range(60)],
+                                "row_id long, c double, a double, b double, y double")
+    for m in BS.replicate_models(odd, ["c", "a", "b"], "y", n=2):
+        assert abs(m.predict(Vectors.dense([7.0, 3.0, 3.0])) - 7.0) < 1e-6
+
+
 def test_intervals_cover_the_fitted_line(spark, table):
     got = BS.bootstrap_intervals(BS.replicate_models(table, FEATS, "y", n=60), table, FEATS).join(table.fillna(0.0, FEATS), "row_id")
     r = got.agg(F.avg((F.expr("3 * a - b + 5").between(F.col("lower"), F.col("upper"))).cast("int")),

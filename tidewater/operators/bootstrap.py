@@ -5,6 +5,9 @@ the replicate and a seed: no resampled copy of the table is made, and a row
 has the same weight however the table is partitioned or re-read.  The
 training rows are written once to the shared checkpoint folder; every fit
 reads them there, and all replicate models are applied in one pass.
+
+A linear least-squares fit depends on its rows only by their weighted moments,
+so those of all replicates come from one pass over the rows (T7).
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +32,8 @@ ESTIMATORS = {"linear": LinearRegression, "decision_tree": DecisionTreeRegressor
 SEEDED = ("decision_tree", "random_forest", "gbt")
 
 
-def replicate_weight(row_id: Column, replicate: int, rate: float = 1.0, seed: int = 42) -> Column:
-    """Poisson(``rate``) draw of a row in a replicate: the number of steps of
-    the distribution function at or below a uniform hash of 53 bits."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(replicate), row_id), 11) / float(2 ** 53)
+def poisson_steps(rate: float) -> list[float]:
+    """The steps of Poisson(``rate``)'s distribution function, as far as 53 bits tell them from 1."""
     steps, term, below = [], math.exp(-rate), 0.0
     for k in range(1, 64):
         below += term
@@ -38,7 +41,14 @@ def replicate_weight(row_id: Column, replicate: int, rate: float = 1.0, seed: in
         if below >= 1.0 - 2.0 ** -53:
             break
         steps.append(below)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("double")
+    return steps
+
+
+def replicate_weight(row_id: Column, replicate: int, rate: float = 1.0, seed: int = 42) -> Column:
+    """Poisson(``rate``) draw of a row in a replicate: the number of steps of
+    the distribution function at or below a uniform hash of 53 bits."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(replicate), row_id), 11) / float(2 ** 53)
+    return F.size(F.filter(F.array(*[F.lit(s) for s in poisson_steps(rate)]), lambda s: s <= u)).cast("double")
 
 
 def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> DataFrame:
@@ -47,18 +57,104 @@ def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) ->
     return asm.transform(df.fillna(0.0, subset=list(features))).select(*keep, "__features")
 
 
+def replicate_moments(d: DataFrame, center: Sequence[float], n: int, rate: float = 1.0, seed: int = 42) -> DataFrame:
+    """Weighted sums of all products of two of (1, features, label), the last
+    two less their ``center``, in each of ``n`` replicates: rows (at, value),
+    ``at`` = replicate * number of products + product (upper triangle by rows).
+    One pass over ``d`` (__id, __label, __features); a partition gives one row
+    to the sum."""
+    import numpy as np
+    steps, middle = np.array(poisson_steps(rate)), np.array(center, dtype=float)
+    left, right = np.triu_indices(len(middle) + 1)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.xxhash64(F.lit(seed), r, F.col("__id")))
+
+    def sums(batches):
+        import pyarrow as pa
+        total = np.zeros((n, len(left)))
+        for b in batches:
+            rows = b.num_rows
+            u = (b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)) / float(2 ** 53)
+            w = np.searchsorted(steps, u, side="right").reshape(rows, n).astype(float)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, len(middle)) - middle
+            v = np.hstack([np.ones((rows, 1)), v])
+            some = max(2_000_000 // len(left), 1)   # rows whose products are in memory at a time
+            for i in range(0, rows, some):
+                part = v[i:i + some]
+                total += w[i:i + some].T @ (part[:, left] * part[:, right])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    values = F.concat(vector_to_array("__features"), F.array("__label"))
+    parts = d.select(draws.alias("draws"), values.alias("row")).mapInArrow(sums, "sums array<double>")
+    return parts.select(F.posexplode("sums").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
+
+
+def points_of_moments(total: float, mean, cov):
+    """Rows (values, weight) whose weight, mean and population covariance are
+    the given ones: two per dimension, at the mean +/- the scaled axes of the
+    correlation matrix.  A value that does not vary is the same in all rows."""
+    import numpy as np
+    size = len(mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    varies = np.flatnonzero(scale > 1e-12 * np.abs(mean))
+    axes = np.zeros((size, size))
+    if len(varies):
+        by = scale[varies]
+        value, vector = np.linalg.eigh(cov[np.ix_(varies, varies)] / np.outer(by, by))
+        value[value < 1e-12 * value.max()] = 0.0
+        axes[np.ix_(varies, varies)] = by[:, None] * vector * np.sqrt(value)
+    step = math.sqrt(size)
+    return [(mean + sign * step * axes[:, j], total / (2 * size)) for j in range(size) for sign in (1.0, -1.0)]
+
+
+def _replicate_points(d: DataFrame, n: int, rate: float, seed: int) -> list[list] | None:
+    """Each replicate's ``points_of_moments``; None if there are no rows or a sum is not finite."""
+    import numpy as np
+    at = vector_to_array("__features")
+    size = d.select(F.size(at).alias("n")).first()
+    if size is None:
+        return None
+    center = d.agg(*[F.avg(at[i]) for i in range(size["n"])], F.avg("__label")).first()
+    flat = np.array([r["value"] for r in replicate_moments(d, center, n, rate, seed).orderBy("at").collect()])
+    if not np.isfinite(flat).all():
+        return None
+    k = len(center) + 1
+    out = []
+    for row in flat.reshape(n, -1):
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = row
+        if m[0, 0] <= 0:
+            return None
+        mean = m[0, 1:] / m[0, 0]
+        second = (m + np.triu(m, 1).T)[1:, 1:] / m[0, 0]
+        points = points_of_moments(m[0, 0], mean + np.array(center), second - np.outer(mean, mean))
+        out.append([(Vectors.dense(v[:-1]), float(v[-1]), float(w)) for v, w in points])
+    return out
+
+
 def replicate_models(train: DataFrame, features: Sequence[str], label: str, row_id: str = "row_id",
                      n: int = 100, rate: float = 1.0, kind: str = "linear", seed: int = 42,
                      parallelism: int = 4, **params) -> list:
     """``n`` models of one ``kind``, each fitted on the rows weighted by their
     Poisson(``rate``) draws.  Rows without a label are left out; ``params`` go
-    to the estimator.  ``parallelism`` fits are under way at a time."""
+    to the estimator.  ``parallelism`` fits are under way at a time.
+
+    Linear models by normal equations (the estimator's own choice up to 4,096
+    features) are fitted on a few rows with the moments of the replicate's
+    rows, which come from one pass: the same coefficients, but the fit's
+    summary is about those few rows."""
     d = assembled(train, features, [F.col(row_id).alias("__id"), F.col(label).cast("double").alias("__label")])
     d = reliable_checkpoint(d.where(F.col("__label").isNotNull()))
 
+    normal = (kind == "linear" and len(features) <= 4096 and params.get("solver", "auto") in ("auto", "normal")
+              and params.get("loss", "squaredError") == "squaredError")
+    points = _replicate_points(d, n, rate, seed) if normal else None
+
     def fit(replicate: int):
         est = ESTIMATORS[kind](featuresCol="__features", labelCol="__label", weightCol="__weight",
                                **({"seed": seed + replicate} if kind in SEEDED else {}), **params)
+        if points is not None:
+            rows = train.sparkSession.createDataFrame(points[replicate], ["__features", "__label", "__weight"])
+            return est.fit(rows.coalesce(1))
         weighted = d.withColumn("__weight", replicate_weight(F.col("__id"), replicate, rate, seed))
         return est.fit(weighted.where(F.col("__weight") > 0))
 
@@ -92,7 +188,7 @@ def bootstrap_intervals(models: Sequence, df: DataFrame, features: Sequence[str]
     """Per row the mean of the replicate models' predictions and their
     (1 - confidence) / 2 and (1 + confidence) / 2 quantiles."""
     n, tail = len(models), (1 - confidence) / 2
-    p = replicate_predictions(models, df, features, [row_id]).select(row_id, F.array_sort("predictions").alias("a"))
+    p = replicate_predictions(models, df, features, [row_id]).select(row_id, F.sort_array("predictions").alias("a"))
     mean = F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / n
     low, high = _array_quantile(F.col("a"), n, tail), _array_quantile(F.col("a"), n, 1 - tail)
     return p.select(row_id, mean.alias("prediction"), low.alias("lower"), high.alias("upper"))

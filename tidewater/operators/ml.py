@@ -14,6 +14,12 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
+#: Forests keep each row's node of each tree between levels, not the trees to
+#: walk again (the same trees); the last of the few levels needs no checkpoint.
+FOREST = {"numTrees": 100, "maxDepth": 10, "cacheNodeIds": True, "checkpointInterval": 20}
+
 
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, kind: str = "random_forest",
                   seed: int = 42):
@@ -21,7 +27,7 @@ def fit_regressor(train: DataFrame, features: Sequence[str], label: str, kind: s
     depth 6, step .1) behind a vector assembler (NULL features -> 0)."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     if kind == "random_forest":
-        est = RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed)
+        est = RandomForestRegressor(labelCol=label, seed=seed, **FOREST)
     else:
         est = GBTRegressor(labelCol=label, maxIter=100, maxDepth=6, stepSize=0.1, seed=seed)
     return Pipeline(stages=[asm, est]).fit(train.fillna(0.0, subset=list(features)))
@@ -154,7 +160,7 @@ def fit_risk_classifier(train: DataFrame, features: Sequence[str], target: str,
     sd = train.agg(F.stddev_samp(target)).first()[0] or 1.0
     d = train.select("*", risk_class_label(target, sd).alias("risk_class")).where(F.col("risk_class").isNotNull())
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    clf = RandomForestClassifier(labelCol="risk_class", numTrees=100, maxDepth=10, seed=seed)
+    clf = RandomForestClassifier(labelCol="risk_class", seed=seed, **FOREST)
     return Pipeline(stages=[asm, clf]).fit(d.fillna(0.0, subset=list(features))), sd
 
 

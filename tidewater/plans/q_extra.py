@@ -21,7 +21,7 @@ from ..operators import sampling as SA
 from ..operators import tuning as TU
 from ..operators import windows as W
 from ..schemas import SEGMENTS
-from ..session import read_table
+from ..session import read_table, reliable_checkpoint
 from ..sources import payloads as S
 from .q_joins import _unified_sql
 from . import q_evaluate, q_risk  # noqa: F401 - their SQL is reused below
@@ -365,7 +365,8 @@ def _flow_features(spark, sf_dir):
     f = fx.flows(spark, sf_dir, c).select("customer_id", "date", "segment", "deposit_flow")
     m = fx.market(spark, sf_dir).select("date", "FED_FUNDS_RATE", "VIX")
     d = W.lag_features(f.join(F.broadcast(m), "date", "left"), ["deposit_flow"], [1, 2], ["date"], ["customer_id"])
-    d = d.select("*", F.concat_ws("|", "customer_id", "date").alias("row_id"))
+    # written once: fits read their rows several times
+    d = reliable_checkpoint(d.select("*", F.concat_ws("|", "customer_id", "date").alias("row_id")))
     return d, ["deposit_flow_lag_1", "deposit_flow_lag_2", "FED_FUNDS_RATE", "VIX"]
 
 
@@ -397,12 +398,7 @@ def t4_risk_classifier(spark, sf_dir):
 def t6_tree_intervals(spark, sf_dir):
     """Per-tree spread of a random forest: rows-only."""
     d, feats = _flow_features(spark, sf_dir)
-    from pyspark.ml.regression import RandomForestRegressor
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
-                             RandomForestRegressor(labelCol="deposit_flow", numTrees=100, maxDepth=10, seed=42)]
-                     ).fit(d.fillna(0.0, subset=feats))
+    model = ML.fit_regressor(d, feats, "deposit_flow", "random_forest")
     return ML.tree_intervals(model, d.select("row_id", *feats), feats).select("row_id", "prediction", "lower",
                                                                               "upper")
 

@@ -124,8 +124,10 @@ def per_segment_models(train: DataFrame, test: DataFrame, features: Sequence[str
                        segments: Sequence[str], min_rows: int = 50, kind: str = "gbt", row_id: str = "row_id"):
     """One distributed fit per segment with more than ``min_rows`` rows;
     predictions routed by segment; unseen segments get the mean of the
-    other predictions.  Returns the long prediction frame."""
+    other predictions.  Returns the long prediction frame.  Every fit reads
+    its segment from rows written once, and so does the mean its predictions."""
     parts = []
+    train, test = reliable_checkpoint(train), reliable_checkpoint(test)
     counts = {r["segment"]: r["n"] for r in train.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
     for s in segments:
         if counts.get(s, 0) > min_rows:
@@ -139,6 +141,7 @@ def per_segment_models(train: DataFrame, test: DataFrame, features: Sequence[str
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
+    pred = reliable_checkpoint(pred)
     fallback = pred.agg(F.avg("predicted")).scalar()
     return (base.join(pred.select(row_id, "predicted"), row_id, "left")
                 .select(row_id, "segment", "actual", F.coalesce(F.col("predicted"), fallback).alias("predicted")))

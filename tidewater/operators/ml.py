@@ -190,16 +190,24 @@ def tree_intervals(model, df: DataFrame, features: Sequence[str], z: float = 1.9
 # -------------------------------------------------------------------------- T8
 def expanding_window_stability(df: DataFrame, features: Sequence[str], label: str, order_by: Sequence[str],
                                n_splits: int = 5, kind: str = "random_forest") -> DataFrame:
-    """Fit on each expanding fold, score on its test block (folds by global
-    position), then rmse mean/std/cv and r2 mean/std (population)."""
-    from .sampling import expanding_folds
-    folds = expanding_folds(df, list(order_by), n_splits)
+    """Fit on each expanding fold (L6), score on its test block (folds by
+    global position), then rmse mean/std/cv and r2 mean/std (population).
+
+    The rows are written once, dealt by a hash of their position, so that a
+    fold's rows, which are those of the first positions, lie in all partitions;
+    in a partition rows of similar features are neighbours, which take the
+    same ways through the trees."""
+    from ..plans.global_order import with_global_position
+    from .sampling import fold_start
+    from .tuning import near_rows_together
+    d = with_global_position(df, list(order_by), "__pos").fillna(0.0, subset=list(features))
+    d = reliable_checkpoint(near_rows_together(d.select("__pos", label, *features), features, ["__pos"]))
+    n = d.count()
     scores = []
     for i in range(n_splits):
-        tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
-        te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
-        m = fit_regressor(tr, features, label, kind)
-        p = m.transform(te.fillna(0.0, subset=list(features)))
+        start, stop = fold_start(n, n_splits, i), fold_start(n, n_splits, i + 1)
+        m = fit_regressor(d.where(F.col("__pos") < start), features, label, kind)
+        p = m.transform(d.where((F.col("__pos") >= start) & (F.col("__pos") < stop)))
         r = F.col(label) - F.col("prediction")
         scores.append(p.agg(F.lit(i).alias("fold"), F.sqrt(F.avg(r * r)).alias("rmse"),
                             (1 - F.sum(r * r) / (F.var_pop(label) * F.count(label))).alias("r2")))

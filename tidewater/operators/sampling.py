@@ -75,6 +75,12 @@ def date_cutoff_split(df: DataFrame, date_col: str, cutoff: str) -> DataFrame:
                      .alias("split"))
 
 
+def fold_start(n: int, n_splits: int, fold: int) -> int:
+    """The position at which fold ``fold``'s test rows of ``expanding_folds`` begin (and the last one's end)."""
+    size = n // (n_splits + 1)
+    return (fold + 1) * size + (n - (n_splits + 1) * size)
+
+
 def expanding_folds(df: DataFrame, order_by: Sequence[str], n_splits: int = 5) -> DataFrame:
     """L6 (TimeSeriesSplit): test size n // (k + 1); fold i trains on
     positions < (i + 1) * size and tests on the next ``size`` rows.  Output:
